@@ -53,19 +53,21 @@ def listed(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL: labels of the host with their place from the right, hyphen parts of labels, segments of
+    """Distinct tokens of a URL: labels of the host with their place from the right, parts of labels with hyphens, segments of
     the path without digits, the file's ending, and the names of query parameters."""
     labels = F.reverse(F.split(host, r"\."))
     placed = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
-    parts = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("w="), x))
+    parts = F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.transform(F.filter(F.split(x, "-"), lambda y: y != ""), lambda y: F.concat(F.lit("w="), y))))
     segs = F.transform(F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p="), x))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q="), F.split(x, "=")[0]))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(placed, parts, segs, names)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
-    """rule (number), antecedent, verdict, confidence, support from columns tokens and verdict."""
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.9, min_count: int = 20) -> DataFrame:
+    """rule (number), antecedent, verdict, confidence, support from columns tokens and verdict. A combination counts as
+    frequent from min_support of all rows and min_count rows on, so few labels don't make every combination a rule."""
+    min_support = min(1.0, max(min_support, min_count / max(labelled.count(), 1)))
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(LABEL))))
