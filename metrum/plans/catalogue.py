@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from metrum.plans import event_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_PARTS = (event_queries,)
+QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _PARTS for k, s in m.ORACLES.items()}
