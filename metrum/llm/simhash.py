@@ -1,9 +1,9 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 Bit i of a fingerprint gets a vector phi(i) of radius + 1 bits. For every non-zero vector v, table v keeps the bits with
-<phi(i), v> = 0 (mod 2) and masks the others. Up to `radius` differing bits give at most `radius` linear equations in
-radius + 1 unknowns, so some v is orthogonal to all of them: every pair within the radius has the same masked value in
-that table. No pair is missed, and 2**(radius+1) - 1 tables do.
+<phi(i), v> = 1 (mod 2) and masks the others. Up to `radius` differing bits give at most `radius` linear equations
+<phi(i), v> = 0 in radius + 1 unknowns, so some non-zero v solves them all: in that table every differing bit is masked,
+and the pair has the same kept value. No pair is missed, and 2**(radius+1) - 1 tables do.
 
 Fingerprints are made distinct before the tables; a bucket is compared in blocks of bounded size, whose tasks emit a
 spanning forest and not the pairs.
@@ -53,10 +53,10 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def masks(radius: int = 3, bits: int = 64) -> list[int]:
-    """The bits that each table keeps. phi runs through all non-zero vectors in turn, so each table masks about half."""
+    """The bits that each table keeps. phi runs through all non-zero vectors in turn, so each table keeps about half."""
     n = 2 ** (radius + 1) - 1
     phi = [i % n + 1 for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() % 2 == 0) for v in range(1, n + 1)]
+    return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def _signed(x: int) -> int:
