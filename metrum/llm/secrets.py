@@ -110,10 +110,11 @@ def span_text(spans: Column) -> Column:
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, digests and verdicts of scan_secrets()."""
+    of_kind = lambda k: lambda s: s["kind"] == k  # noqa: E731 - a second parameter would be the place in the list
     spans, many = F.col("spans"), lambda test: F.size(F.filter("spans", test)).cast("long")
     return scanned.select(
         key,
-        *(many(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        *(many(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         span_text(spans).alias("spans"),
         many(lambda s: s["live"]).alias("n_live_looking"),
