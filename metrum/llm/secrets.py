@@ -142,6 +142,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: s
 
     clean = F.aggregate("__m_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.lit(2**31 - 1))))
     joined = stamped.join(live, F.col(key).eqNullSafe(F.col("__m_k")) & (F.col("__m_hash") == F.col("__m_h")), "left")
-    new = F.when(F.col("__m_spans").isNull(), body).otherwise(clean)
-    own = {text: new} | ({length: F.when(F.col("__m_spans").isNull(), F.col(length)).otherwise(F.length(new)).cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return joined.select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
+    # The new text has a name of its own: names in a select may mean the aliases beside them.
+    made = joined.withColumn("__m_new", F.when(F.col("__m_spans").isNull(), body).otherwise(clean))
+    own = {text: F.col("__m_new")}
+    if length in docs.columns:
+        own[length] = F.when(F.col("__m_spans").isNull(), F.col(length)).otherwise(F.length("__m_new")).cast(docs.schema[length].dataType)
+    return made.select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
