@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrum.llm.shared import ascii_lower
+from metrum.llm.shared import ascii_lower, materialize
 
 LABEL = "label="
 BROADCAST_RULES = 20_000
@@ -110,7 +110,8 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None,
     known = known.where(F.size("tokens") > 0)
     # Equal token sets are judged once; pages look up their own by a hash of the set.
     sets = told.where("said is null").select("tokens").distinct().withColumn("row", F.xxhash64(F.array_join(F.array_sort("tokens"), "\n")))
-    mined = match(sets.select("row", "tokens").dropDuplicates(["row"]), mine(known, min_support, min_confidence)) if not known.isEmpty() else None
+    # Written first, the join's two sides are plain exchanges, and a set that very many pages share is split.
+    mined = materialize(match(sets.select("row", "tokens").dropDuplicates(["row"]), mine(known, min_support, min_confidence)), "mined") if not known.isEmpty() else None
     open_ = told.withColumn("row", F.xxhash64(F.array_join(F.array_sort("tokens"), "\n")))
     open_ = open_.join(mined, "row", "left") if mined is not None else open_.withColumn("mined", F.lit(None).cast("string"))
     by = F.when(F.col("said").isNotNull(), "list").when(F.col("mined").isNotNull(), "mined").otherwise("default")
