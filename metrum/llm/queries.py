@@ -87,23 +87,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter)
 }
 
+# Offsets of spans, XXH64, CRC-32, tokenizers, trained scores and phrase sets are beyond DuckDB's SQL, so the other nine
+# queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
-    "op5_sharding": """
-        WITH sized AS (
-            SELECT doc_id, coalesce(text, '') AS body, strlen(coalesce(text, '')) + 1 AS size,
-                   CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS major,
-                   coalesce(doc_id, -9223372036854775808) AS minor
-            FROM documents),
-        totals AS (
-            SELECT sum(size) AS total, greatest(32, least(4096, CAST(ceil(count(*) / 50000.0) AS BIGINT))) AS cells FROM sized),
-        placed AS (
-            SELECT doc_id, body, size, major, minor,
-                   CAST(((sum(size) OVER (ORDER BY major, minor RANGE UNBOUNDED PRECEDING)
-                          - sum(size) OVER (PARTITION BY major, minor)) * 8) // total AS INTEGER) AS shard,
-                   ((coalesce(doc_id, 0) % cells) + cells) % cells AS cell
-            FROM sized, totals)
-        SELECT doc_id, size, shard, 'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard,
-               row_number() OVER (PARTITION BY shard ORDER BY cell, major, minor, size) - 1 AS slot
-        FROM placed
+    "op7_chat_format": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        shown AS (
+            SELECT *, CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 WHEN 'tool' THEN 4
+                        ELSE 5 + length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c')) END
+                   + 4 + 2 + length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) + 8 AS chars
+            FROM said)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars,
+               regexp_full_match(string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text), '(system,)?user,assistant(,(user|tool),assistant)*') AS valid
+        FROM shown GROUP BY conv_id
     """,
 }
