@@ -162,3 +162,46 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "p.csv"), "phone_index int, word string, start double").collect()] == [("p", 4, 'a "b", c', None), ("p", None, "x", None)]
     files.write_csv(spark.createDataFrame([(None, "x,y")], "n int, s string").coalesce(1), str(tmp_path / "out"))
     assert next((tmp_path / "out").glob("*.csv")).read_text() == 'n,s\n-1,"x,y"\n'
+
+
+def test_hysteresis():
+    from metrum.operators.frames import hysteresis
+
+    assert hysteresis([True], 2, 12) == [] and hysteresis([True, True], 2, 12) == [(0, 1, 0, False)]
+    assert hysteresis([True] * 2 + [False] * 11 + [True], 2, 12) == [(0, 13, 1, False)]
+    assert hysteresis([True] * 2 + [False] * 12 + [True], 2, 12) == [(0, 1, 0, True)]
+
+
+def test_greedy_gaps():
+    from metrum.operators.curation import greedy_matches
+
+    assert greedy_matches([(0, 1), (0.2, 1)], [(0, 1), (5, 6)], 0.18) == [(0, 0)]
+    assert greedy_matches([(0, 1), (2, 3)], [(2.1, 3), (0, 0.9)], 0.18) == [(0, 1), (1, 0)]
+
+
+def test_phones(spark):
+    from metrum.operators import phones
+
+    want = {"ngo": "NG OW1", "city": "S IH1 T IY0", "tough": "T AO1", "psst": "P IY1 EH1 S EH1 S T IY1", "gem": "JH EH1 M", "nge": "NG EH1", "back": "B AH0 K", "ex": "EH1 K S", "rhythms": "R HH IY0 TH M S", "a": None}
+    df = spark.createDataFrame([(w,) for w in want], "w string")
+    got = {r.w: r.p and " ".join(r.p) for r in df.select("w", phones.spell_out(F.col("w")).alias("p")).collect()}
+    assert got == want
+    assert one(spark, phones.stress(F.lit("EY1")), phones.stress(F.lit("T")), phones.syllables(F.array(F.lit("T"), F.lit("S"))), phones.plan_units(F.lit(1), F.lit(9)))[:] == (1, 0, 1, 4)
+    to = spark.createDataFrame([("to", "AH0"), ("on", "AH0"), ("x", "??")], "word string, phone string")
+    assert [(r.word, r.pose) for r in phones.poses(to).collect()] == [("to", "11_Oo"), ("on", "18_Uh"), ("x", None)]
+
+
+def test_silences(spark):
+    from metrum.operators.curation import with_silences
+
+    t = spark.createDataFrame([(1, 0, "a", 1.0, 0.2), (1, 1, "b", 2.0, 0.2), (1, 2, "b", 2.1, 0.2), (1, 3, "c", 2.105, 0.2)], "case_id int, idx int, word string, centre double, duration double")
+    got = [(r.idx, r.silence, round(r.centre, 6), round(r.duration, 6)) for r in with_silences(t).orderBy("idx", "silence").collect()]
+    assert got == [(0, False, 1.0, 0.2), (0, True, 1.5, 0.8), (1, False, 2.0, 0.2), (2, False, 2.1, 0.2), (2, True, 2.1025, 0.01), (3, False, 2.105, 0.2)]
+
+
+def test_scores(spark):
+    from metrum.operators import frames
+
+    x = F.array(F.lit(0.0), F.lit(1.0))
+    got = one(spark, frames.sigmoid(F.lit(-800.0)), frames.sigmoid(F.lit(0.0)), frames.log_softmax(x), frames.mix(x, F.array(F.lit(1.0), F.lit(3.0)), 0.5), frames.widen(x, 1, 2))
+    assert got[0] == 0.0 and got[1] == 0.5 and got[2] == pytest.approx([-1.313262, -0.313262], abs=1e-5) and got[3] == [0.5, 2.0] and got[4] == [0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
