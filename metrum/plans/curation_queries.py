@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,7 +27,10 @@ def query(sql: str | None):
 
 
 NUMBERED = "n AS (SELECT case_id, event_id, t, event_type, value, row_number() OVER (PARTITION BY case_id ORDER BY t, event_id) - 1 AS place FROM ev)"
-PLACE = F.row_number().over(Window.partitionBy("case_id").orderBy("t", "event_id")) - 1
+
+
+def place() -> Column:
+    return F.row_number().over(Window.partitionBy("case_id").orderBy("t", "event_id")) - 1
 
 
 @query(f"""WITH {EVENTS_SQL}, c AS (SELECT case_id, event_id, t / CAST({HOUR} AS DOUBLE) AS centre, event_type, value, t / CAST({HOUR} AS DOUBLE) - lag(t / CAST({HOUR} AS DOUBLE)) OVER (PARTITION BY case_id ORDER BY t, event_id) AS d FROM ev),
@@ -43,7 +46,7 @@ def draft_flag_risk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, {NUMBERED}, b AS (SELECT case_id, place AS idx, place AS word_at, CASE WHEN event_type = 'error' THEN -1 ELSE place + 1 END AS next_at, t + {HOUR} AS e FROM n WHERE event_type IN ('error', 'click'))
     SELECT b.case_id, b.idx, least(b.e, coalesce(r.t, b.e)) AS start_us, greatest(least(b.e, coalesce(r.t, b.e)) + 1000, coalesce(r.t, b.e)) AS end_us FROM b LEFT JOIN n r ON r.case_id = b.case_id AND r.place = b.next_at""")
 def boundary_hydration(spark: SparkSession, sf: str) -> DataFrame:
-    n = adapters.events(spark, sf).withColumn("place", PLACE)
+    n = adapters.events(spark, sf).withColumn("place", place())
     w = n.select("case_id", "place", F.col("t").alias("start"), (F.col("t") + HOUR).alias("end"))
     b = n.where(F.col("event_type").isin("error", "click")).select("case_id", F.col("place").alias("idx"), F.col("place").alias("word_at"), F.when(F.col("event_type") == "error", -1).otherwise(F.col("place") + 1).alias("next_at"))
     return curation.hydrate_boundaries(b, w, 1000).select("case_id", "idx", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
@@ -84,7 +87,7 @@ def greedy_gap_match(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, {NUMBERED}, x AS (SELECT *, t - lag(t) OVER (PARTITION BY case_id, event_type ORDER BY place) AS d FROM n)
     SELECT case_id, count(*) AS tails, count_if(coalesce(d < {2 * HOUR}, false)) AS compressed, count_if(value > 100) AS early, count_if(abs(value) >= 150) AS shifted FROM x WHERE event_id % 3 = 0 GROUP BY 1""")
 def tail_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    e = adapters.events(spark, sf).select("case_id", PLACE.alias("idx"), F.col("event_type").alias("word"), (F.col("t") / float(HOUR)).alias("h"), "t", "value", (F.col("event_id") % 3 == 0).alias("tail"))
+    e = adapters.events(spark, sf).select("case_id", place().alias("idx"), F.col("event_type").alias("word"), (F.col("t") / float(HOUR)).alias("h"), "t", "value", (F.col("event_id") % 3 == 0).alias("tail"))
     r = e.select("case_id", "idx", "word", F.col("t").alias("centre"), (F.col("t") + F.col("value")).alias("prior"), F.col("value").alias("lead"), "tail")
     # The prior is as far from the centre as the value, in whole microseconds, so times stay exact.
     return curation.tail_recovery(r.withColumn("prior", F.col("centre") + F.floor(F.abs("lead")).cast("long")), 2 * HOUR, 100.0, 150.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from metrum.functions import intervals, stats
 from metrum.operators import regions, sampling
@@ -25,7 +25,10 @@ def query(sql: str | None):
 
 
 BOTH = f"WITH {EVENTS_SQL}, {GOLD_SQL}, {PRED_SQL}"
-ORDERED = Window.partitionBy("case_id").orderBy("t", "event_id")
+
+
+def ordered() -> WindowSpec:
+    return Window.partitionBy("case_id").orderBy("t", "event_id")
 
 
 @query(f"WITH {EVENTS_SQL}, {GOLD_SQL} SELECT case_id, region, s AS start_us, e AS end_us, n AS n_events FROM gold")
@@ -40,7 +43,7 @@ def pause_regions(spark: SparkSession, sf: str) -> DataFrame:
     FROM b WHERE gap IS NOT NULL""")
 def pause_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps between neighbours, and whether they part regions by the mark before them."""
-    b = regions.gaps(adapters.events(spark, sf)).withColumn("mark", F.lag("event_type").over(ORDERED)).where("gap IS NOT NULL")
+    b = regions.gaps(adapters.events(spark, sf)).withColumn("mark", F.lag("event_type").over(ordered())).where("gap IS NOT NULL")
     kind = F.when(F.col("mark") == "error", "hard").when(F.col("mark") == "click", "comma").otherwise("")
     return b.select("case_id", "event_id", "gap", F.coalesce("mark", F.lit("")).alias("mark"), regions.split_rule(kind, F.col("gap"), 9 * HOUR, 12 * HOUR).alias("split"))
 
@@ -129,7 +132,7 @@ def activity_threshold(spark: SparkSession, sf: str) -> DataFrame:
     SELECT case_id, event_id, round(coalesce(value - before, 0), 6) AS delta, round(greatest(coalesce(value - before, 0), 0), 6) AS flux, round(peak + 0.0000017, 5) AS peak FROM d""")
 def delta_flux_decay(spark: SparkSession, sf: str) -> DataFrame:
     """Change from the row before, its positive part, and a running maximum that decays by 0.995 a row."""
-    d = F.coalesce(F.col("value") - F.lag("value").over(ORDERED), F.lit(0.0))
+    d = F.coalesce(F.col("value") - F.lag("value").over(ordered()), F.lit(0.0))
     rows = adapters.events(spark, sf).withColumn("delta", d)
     return sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["t", "event_id"]).select("case_id", "event_id", F.round("delta", 6).alias("delta"), F.round(F.greatest("delta", F.lit(0.0)), 6).alias("flux"), F.round(F.col("peak") + 0.0000017, 5).alias("peak"))
 
@@ -160,11 +163,11 @@ def split_precision_recall_f1(spark: SparkSession, sf: str) -> DataFrame:
 
     def numbered(rows: DataFrame, gap: int, name: str) -> DataFrame:
         new = (F.col("gap").isNull() | (F.col("gap") >= gap)).cast("int")
-        return regions.gaps(rows).withColumn(name, F.sum(new).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)))
+        return regions.gaps(rows).withColumn(name, F.sum(new).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
 
     g = numbered(ev, 8 * HOUR, "g").select("case_id", "event_id", "t", "g")
     p = numbered(ev.where(~F.col("event_type").isin("error", "view")), 12 * HOUR, "p").select("case_id", "event_id", "p")
-    w = g.join(p, ["case_id", "event_id"]).withColumn("gs", F.col("g") != F.lag("g").over(ORDERED)).withColumn("ps", F.col("p") != F.lag("p").over(ORDERED))
+    w = g.join(p, ["case_id", "event_id"]).withColumn("gs", F.col("g") != F.lag("g").over(ordered())).withColumn("ps", F.col("p") != F.lag("p").over(ordered()))
     c = w.groupBy("case_id").agg(F.count_if(F.col("gs") & F.col("ps")).alias("tp"), F.count_if(~F.col("gs") & F.col("ps")).alias("fp"), F.count_if(F.col("gs") & ~F.col("ps")).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("case_id", "tp", "fp", "fn", F.round(intervals.ratio(tp, tp + fp), 6).alias("precision_"), F.round(intervals.ratio(tp, tp + fn), 6).alias("recall"), F.round(intervals.ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))
@@ -217,8 +220,8 @@ def visibility_phases(spark: SparkSession, sf: str) -> DataFrame:
     a AS (SELECT *, step - lag(step) OVER (PARTITION BY case_id ORDER BY t, event_id) AS acc FROM s)
     SELECT case_id, round(coalesce(max(abs(step)), 0), 6) AS max_step, round(coalesce(sqrt(avg(step * step)), 0), 6) AS rms_step, round(coalesce(max(abs(acc)), 0), 6) AS max_acc, round(coalesce(sqrt(avg(acc * acc)), 0), 6) AS rms_acc FROM a GROUP BY 1""")
 def motion_grade(spark: SparkSession, sf: str) -> DataFrame:
-    s = adapters.events(spark, sf).withColumn("step", F.col("value") - F.lag("value").over(ORDERED))
-    a = s.withColumn("acc", F.col("step") - F.lag("step").over(ORDERED))
+    s = adapters.events(spark, sf).withColumn("step", F.col("value") - F.lag("value").over(ordered()))
+    a = s.withColumn("acc", F.col("step") - F.lag("step").over(ordered()))
     most = lambda c: F.round(F.coalesce(F.max(F.abs(c)), F.lit(0.0)), 6)
     return a.groupBy("case_id").agg(most(F.col("step")).alias("max_step"), F.round(stats.rms(F.col("step")), 6).alias("rms_step"), most(F.col("acc")).alias("max_acc"), F.round(stats.rms(F.col("acc")), 6).alias("rms_acc"))
 
