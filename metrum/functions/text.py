@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Marks and word lists.
 HARD_MARKS = ".!?:;-–—"
-CLAUSE_STARTERS = ("and", "but", "so", "because", "when", "if", "then", "which", "who", "that", "while", "where")
-CONJUNCTIONS = ("and", "or", "nor")
+CLAUSE_STARTERS = (
+    "what when where why how who whom whose which can could would will did do does is are was were have has had i you we they he she it though because but so then well"
+).split()
+LIST_CONJUNCTIONS = ("and", "or")
 UNITS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen").split()
 TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 DECADES = ("", "tens", "twenties", "thirties", "forties", "fifties", "sixties", "seventies", "eighties", "nineties")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metrum.functions import hashing, text
-from metrum.operators import lexicon
+from metrum.operators import lexicon, pauses
 from metrum.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -45,6 +45,15 @@ def token_boundary_class(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("role", text.mark_class(text.mark_of(F.col("t.tail"))).alias("class")).groupBy("role", "class").agg(F.count("*").alias("n"))
 
 
+@query(None)
+def pause_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """How turns pause: the planner's class, the scorecard's class and the expected seconds, by role."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(text.tokens_and_tails(F.coalesce("text", F.lit("")))).alias("i", "t"))
+    marked = t.select("conv_id", "turn", "role", "i", F.lower("t.word").alias("word"), text.mark_of(F.col("t.tail")).alias("mark"))
+    c = pauses.classify(marked, ["conv_id", "turn"])
+    return c.groupBy("role", "pause", "scored").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))
+
+
 @query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]{1,6}')) AS token FROM documents), u AS (SELECT ['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'] AS a, ['','','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] AS b),
     p AS (SELECT token, CAST(token AS BIGINT) AS v, CAST(token AS BIGINT) // 1000 AS th, CAST(token AS BIGINT) % 1000 AS lo FROM n),
     q AS (SELECT token, v, concat_ws(' ', CASE WHEN th >= 100 THEN a[th // 100 + 1] || ' hundred' END, CASE WHEN th % 100 BETWEEN 1 AND 19 THEN a[th % 100 + 1] WHEN th % 100 >= 20 THEN b[th % 100 // 10 + 1] || CASE WHEN th % 10 > 0 THEN ' ' || a[th % 10 + 1] ELSE '' END END, CASE WHEN th > 0 THEN 'thousand' END,

@@ -205,3 +205,16 @@ def test_scores(spark):
     x = F.array(F.lit(0.0), F.lit(1.0))
     got = one(spark, frames.sigmoid(F.lit(-800.0)), frames.sigmoid(F.lit(0.0)), frames.log_softmax(x), frames.mix(x, F.array(F.lit(1.0), F.lit(3.0)), 0.5), frames.widen(x, 1, 2))
     assert got[0] == 0.0 and got[1] == 0.5 and got[2] == pytest.approx([-1.313262, -0.313262], abs=1e-5) and got[3] == [0.5, 2.0] and got[4] == [0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+
+
+def test_pause_classes(spark):
+    from metrum.operators import pauses
+
+    def run(said):
+        t = spark.createDataFrame([(1, said)], "k int, s string").select("k", F.posexplode(text.tokens_and_tails(F.col("s"))).alias("i", "t"))
+        marked = t.select("k", "i", F.lower("t.word").alias("word"), text.mark_of(F.col("t.tail")).alias("mark"))
+        return [(r.pause, r.scored, r.seconds) for r in pauses.classify(marked, ["k"]).orderBy("i").collect()]
+
+    assert run("a, b, and c.") == [("soft_list", "list_comma", 0.04), ("soft_list", "standard_comma", 0.04), ("none", "none", 0.0), ("hard_break", "hard_stop", 0.2)]
+    assert run("well, I think so.")[0] == ("hard_break", "standard_comma", 0.2)
+    assert run("x, y. p; q") == [("hard_break", "other_comma", 0.2), ("hard_break", "hard_stop", 0.2), ("hard_break", "semicolon", 0.2), ("none", "none", 0.0)]
