@@ -161,7 +161,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, o: Options = Options(), ke
     take = F.lit(0.0)
     for y, n in counts.items():
         take = F.when(F.col("y") == y, min(1.0, o.train_docs / 2 / n)).otherwise(take)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known.where(u < take), "k").where(F.col("t").isNotNull())
+    # The sample's keys, 2 * train_docs at most, are broadcast, so no text is exchanged but the sample's.
+    sample = F.broadcast(known.where(u < take).orderBy(u, "k").limit(2 * o.train_docs))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").where(F.col("t").isNotNull())
     texts, ys, size = [], [], 0
     for r in rows.select("t", "y", "k").orderBy(F.xxhash64("k"), "t").limit(2 * o.train_docs).toLocalIterator():
         size += len(r["t"])
