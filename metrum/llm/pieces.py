@@ -5,8 +5,9 @@ weights of all paths to each position; backward sampling then draws, from the en
 sum, so a segmentation is drawn exactly with the probability its pieces' weights give it. A piece of rank r in the model
 file weighs (r + 1) ** -alpha: the file is a merge list, and its ranks stand in for frequencies.
 
-No piece spans a space but at its start, so the lattice falls apart at spaces, and equal chunks have equal lattices: the
-forward pass runs once for each distinct chunk, and the backward pass runs for all chunks of a batch at once in numpy.
+Where no piece of the vocabulary spans two neighbouring characters, as before spaces, every path has a node: the lattice
+falls apart there, and equal chunks have equal lattices. The forward pass runs once for each distinct chunk, and the
+backward pass runs for all chunks of a batch at once in numpy.
 Draws come from a hash of (seed, row key, place, step), so a row's segmentation depends on nothing but its own key and
 text, and not on partitions.
 
@@ -20,7 +21,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 from metrum.llm.shared import bound_arrow
 
 SPACE = "▁"
-_CHUNK = re.compile(" *[^ ]{1,48}| +")
-_CACHE_CHUNKS = 150_000
-_PORTION_CHARS = 1_000_000
+_CLASSES = 1024  # code points told apart when chunks are cut; all beyond count as one that is never cut off
+_CACHE_CHUNKS = 250_000
+_PORTION_CHARS = 3_000_000
+_TINY, _LIFT = 1e-200, 1e200
+_TOGETHER = 40  # even the least weight to this power is no underflow
+_BASE_A, _BASE_B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(1)
 
 
 class Pieces:
@@ -60,37 +63,110 @@ class Pieces:
                 self.text[p.replace(SPACE, " ")] = i
                 self.surface.append(p.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.text))
+        self.spanned = self._pairs()
         ranks = {i: r for r, i in enumerate(sorted(self.text.values()))}
-        self.log_weight = {i: -alpha * float(np.log(r + 1.0)) for i, r in ranks.items()}
-        self.byte_weight = -alpha * float(np.log(len(ranks) + 1.0))
+        # By text: the ids of the one edge (a tuple shared by all its uses) and its weight.
+        self.edge = {t: ((i,), (ranks[i] + 1.0) ** -alpha) for t, i in self.text.items()}
+        self.byte_weight = (len(ranks) + 1.0) ** -alpha
+        self.index = self._index()
+
+    def _pairs(self) -> np.ndarray:
+        """Which pairs of neighbouring characters some piece spans."""
+        spanned = np.zeros((_CLASSES, _CLASSES), bool)
+        spanned[-1, :] = spanned[:, -1] = True
+        for t in self.text:
+            at = [min(ord(c), _CLASSES - 1) for c in t]
+            spanned[at[:-1], at[1:]] = True
+        return spanned
+
+    def chunks(self, text: str) -> list[str]:
+        """The text, cut wherever no piece spans both neighbours: there every path of the lattice has a node."""
+        if not text:
+            return []
+        at = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), _CLASSES - 1)
+        cuts = (np.flatnonzero(~self.spanned[at[:-1], at[1:]]) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+    def bytes_of(self, c: str) -> tuple[tuple[int, ...], float]:
+        ids = tuple(self.bytes[b] for b in c.encode())
+        return ids, self.byte_weight ** len(ids)
 
     def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end position 1..n the edges into it: (start, ids, log weight)."""
-        get, into = self.text.get, [[] for _ in range(len(chunk) + 1)]
-        for i, c in enumerate(chunk):
-            for j in range(i + 1, min(len(chunk), i + self.longest) + 1):
-                k = get(chunk[i:j])
-                if k is not None:
-                    into[j].append((i, (k,), self.log_weight[k]))
-            if c not in self.text:
-                ids = tuple(self.bytes[b] for b in c.encode())
-                into[i + 1].append((i, ids, self.byte_weight * len(ids)))
+        """For each end position 0..n the edges into it: (start, ids, weight)."""
+        get, longest, into = self.edge.get, self.longest, [[]]
+        for j in range(1, len(chunk) + 1):
+            here = []
+            for i in range(j - longest if j > longest else 0, j):
+                e = get(chunk[i:j])
+                if e is not None:
+                    here.append((i, *e))
+            if chunk[j - 1] not in self.edge:
+                here.append((j - 1, *self.bytes_of(chunk[j - 1])))
+            into.append(here)
         return into
 
-    def filtered(self, chunk: str) -> list[tuple[list[int], list[tuple[int, ...]], list[float]]]:
-        """For each end position the edges' starts, ids and cumulative shares of the forward sum."""
-        forward, out = [0.0], []
-        for edges in self.edges(chunk)[1:]:
-            logs = np.array([forward[s] + w for s, _, w in edges])
-            top = logs.max()
-            share = np.exp(logs - top)
-            total = share.sum()
-            forward.append(float(top + np.log(total)))
-            shares = np.cumsum(share / total)
-            shares[-1] = 1.0
-            out.append(([s for s, _, _ in edges], [i for _, i, _ in edges], shares.tolist()))
+    def filtered(self, chunk: str) -> Iterator[list[tuple[int, tuple[int, ...], float]]]:
+        """For each end position 1..n the edges into it with their cumulative shares of the forward sum. Only ratios
+        count, so sums that get tiny are lifted together with all that later edges can start from."""
+        forward = [1.0]
+        for here in self.edges(chunk)[1:]:
+            seen, out = 0.0, []
+            for i, ids, w in here:
+                seen += forward[i] * w
+                out.append((i, ids, seen))
+            forward.append(seen)
+            yield [(i, ids, x / seen) for i, ids, x in out]
+            if seen < _TINY:
+                for i in range(max(0, len(forward) - self.longest), len(forward)):
+                    forward[i] *= _LIFT
+
+
+    def _index(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length the pieces' two hashes (sorted by the first), ids and weights."""
+        out = [(np.empty(0, np.uint64),) * 4]
+        for n in range(1, self.longest + 1):
+            own = [t for t in self.text if len(t) == n]
+            at = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
+            a, b = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+            for k in range(n):
+                a, b = a * _BASE_A + at[:, k] + _ONE, b * _BASE_B + at[:, k] + _ONE
+            order = np.argsort(a)
+            out.append((a[order], b[order], np.array([self.text[t] for t in own], np.int32)[order], np.array([self.edge[t][1] for t in own])[order]))
         return out
 
+    def filtered_together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What filtered() gives, for many chunks at once: keys (node and cumulative share), nodes that edges come from (-1:
+        a chunk's start), ones, ids. Nodes are the characters of all chunks in a row. Substrings are looked up by two
+        64-bit hashes that grow by a character a round; the forward pass goes position by position over all chunks."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.uint64) + _ONE
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        a, b, found = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), []
+        for n in range(1, min(self.longest, int(sizes.max())) + 1):
+            m = len(at) - n + 1
+            a, b = a[:m] * _BASE_A + at[n - 1 :], b[:m] * _BASE_B + at[n - 1 :]
+            end = np.flatnonzero(place[n - 1 :] >= n - 1)  # begins of substrings within one chunk
+            keys, check, ids, weights = self.index[n]
+            hit = np.minimum(np.searchsorted(keys, a[end]), len(keys) - 1)
+            ok = (keys[hit] == a[end]) & (check[hit] == b[end])
+            found.append((end[ok] + n - 1, np.full(int(ok.sum()), n), ids[hit[ok]], weights[hit[ok]]))
+        end, n, ids, weight = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
+        order = np.argsort(end, kind="stable")
+        end, n, ids, weight = end[order], n[order], ids[order], weight[order]
+        to = np.where(place[end] >= n, end - n, -1)
+        forward, share = np.zeros(len(at)), np.empty(len(end))
+        by_place = np.argsort(place[end], kind="stable")
+        cuts = np.searchsorted(place[end][by_place], np.arange(int(sizes.max()) + 1))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            e = by_place[lo:hi]
+            share[e] = np.where(to[e] < 0, 1.0, forward[to[e]]) * weight[e]
+            first = np.flatnonzero(np.diff(end[e], prepend=-1))
+            forward[end[e][first]] = np.add.reduceat(share[e], first)
+        share /= forward[end]
+        last = np.append(end[1:] != end[:-1], True)
+        keys = np.where(last, end + 1.0, np.cumsum(share))
+        return keys, to, np.ones(len(end), np.int64), ids
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-mixed 64-bit hash of each number."""
@@ -112,44 +188,47 @@ class Sampler:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.last_node: list[int] = []  # by chunk
         self.n_nodes = 0
-        self.edge_key, self.edge_to, self.edge_ids = [np.empty(0)], [np.empty(0, np.int64)], []
-        self.flat: tuple | None = None
+        self.parts = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
 
     def _learn(self, chunks: list[str]) -> None:
-        keys, to = [], []
+        """Adds the chunks' edges to the tables: keys, nodes they come from (-1: the start), how many ids, ids; and each
+        chunk's last node. Short chunks of known characters go through numpy together, the others one by one."""
+        known = self.pieces.edge
+        short = [c for c in chunks if len(c) <= _TOGETHER and all(x in known for x in c)]
+        if short:
+            self._add(short, *self.pieces.filtered_together(short))
+        together = set(short)
         for c in chunks:
-            first = self.n_nodes
-            for p, (starts, ids, shares) in enumerate(self.pieces.filtered(c)):
-                keys += [first + p + s for s in shares]
-                to += [first + s - 1 if s else -1 for s in starts]
-                self.edge_ids += ids
-            self.n_nodes += len(c)
-            self.known[c] = len(self.last_node)
-            self.last_node.append(self.n_nodes - 1)
-        self.edge_key.append(np.array(keys))
-        self.edge_to.append(np.array(to, np.int64))
-        self.flat = None
-
-    def _tables(self) -> tuple:
-        if self.flat is None:
-            self.edge_key, self.edge_to = [np.concatenate(self.edge_key)], [np.concatenate(self.edge_to)]
-            sizes = np.fromiter(map(len, self.edge_ids), np.int64, len(self.edge_ids))
-            ids = np.fromiter((i for x in self.edge_ids for i in x), np.int32, int(sizes.sum()))
-            self.flat = self.edge_key[0], self.edge_to[0], sizes, np.cumsum(sizes) - sizes, ids, np.array(self.last_node, np.int64)
-        return self.flat
+            if c not in together:
+                keys, to, many, ids = [], [], [], []
+                for p, here in enumerate(self.pieces.filtered(c)):
+                    for i, own, share in here:
+                        keys.append(p + share)
+                        to.append(i - 1 if i else -1)
+                        many.append(len(own))
+                        ids += own
+                    keys[-1] = p + 1.0
+                self._add([c], np.array(keys), np.array(to, np.int64), np.array(many, np.int64), np.array(ids, np.int32))
+
+    def _add(self, chunks: list[str], keys: np.ndarray, to: np.ndarray, many: np.ndarray, ids: np.ndarray) -> None:
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        self.parts.append((keys + self.n_nodes, np.where(to < 0, -1, to + self.n_nodes), many, ids, ends - 1 + self.n_nodes))
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.n_nodes += int(ends[-1])
 
     def sample(self, texts: list[str], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and how many each text has."""
-        split = [_CHUNK.findall(t) for t in texts]
+        split = [self.pieces.chunks(t) for t in texts]
         new = {c for s in split for c in s if c not in self.known}
         if len(self.known) + len(new) > _CACHE_CHUNKS:
             self._reset()
             new = {c for s in split for c in s}
         if new:
             self._learn(sorted(new))
-        key, to, sizes, first, ids, last = self._tables()
+        self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
+        key, to, sizes, ids, last = self.parts[0]
+        first = np.cumsum(sizes) - sizes
         many = np.fromiter(map(len, split), np.int64, len(split))
         chunk = np.fromiter((self.known[c] for s in split for c in s), np.int64, int(many.sum()))
         row = np.repeat(np.arange(len(texts)), many)
