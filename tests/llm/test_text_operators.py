@@ -110,10 +110,10 @@ def test_piece_sampling_follows_the_lattice():
     every = [" the", " hat"]
     want = []
     for c in every:
-        edges, paths = s.pieces.edges(c), {0: [((), 0.0)]}
+        edges, paths = s.pieces.edges(c), {0: [((), 1.0)]}
         for e in range(1, len(c) + 1):
-            paths[e] = [(ids + k, w + x) for st, k, x in edges[e] for ids, w in paths.get(st, [])]
-        weights = np.exp([w for _, w in paths[len(c)]])
+            paths[e] = [(ids + k, w * x) for st, k, x in edges[e] for ids, w in paths.get(st, [])]
+        weights = np.array([w for _, w in paths[len(c)]])
         want.append(dict(zip([p for p, _ in paths[len(c)]], weights / weights.sum(), strict=True)))
     ids, many = s.sample([text] * n, [str(i) for i in range(n)])
     got, at = Counter(), 0
@@ -125,6 +125,13 @@ def test_piece_sampling_follows_the_lattice():
     assert max(abs(got[k] / n - p) for k, p in expect.items()) < 0.03
 
 
+def test_long_chunks_do_not_underflow():
+    s = pieces.Sampler(tokenizer("piece_bpe_32k.model"), 1.0, 1)
+    for text in ("\U0001f600" * 500, "x" * 5000, " " * 3000 + "y"):
+        ids, many = s.sample([text], ["k"])
+        assert pieces.decode_ids(ids.tolist(), s.pieces) == text and many.tolist() == [len(ids)]
+
+
 def test_packing(spark, docs, table):
     from tokenizers import Tokenizer
 
