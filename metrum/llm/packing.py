@@ -29,7 +29,7 @@ from metrum.llm.shared import bound_arrow, materialize
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 300_000
 _PORTION_CHARS = 4_000_000
 _CACHE_CHARS = 64
 _OTHER = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")

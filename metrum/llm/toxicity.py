@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from metrum.llm.shared import bound_arrow
 
 WORD = re.compile(r"\w+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)
