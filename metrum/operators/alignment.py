@@ -1,13 +1,16 @@
 """Monotonic alignments by dynamic programming, one group of two sequences at a time.
 
 The tables are sequential by nature, so they run in grouped pandas functions; the exchange is by the group's key, and a
-group is as long as one case. Ties are decided as documented with each function.
+group is as long as one case. Token lists that share a row are aligned row by row. Ties are decided as documented with each function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -15,9 +18,11 @@ def lcs(planned: list[str], gold: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence; on a tie a planned item is skipped first."""
     n, m = len(planned), len(gold)
     best = np.zeros((n + 1, m + 1), np.int32)
+    ids = {t: k for k, t in enumerate(dict.fromkeys(gold))}
+    other = np.array([ids[t] for t in gold], np.int64)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if planned[i] == gold[j] else max(best[i + 1, j], best[i, j + 1])
+        row = np.where(other == ids.get(planned[i], -1), best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
     pairs, i, j = [], 0, 0
     while i < n and j < m:
         if planned[i] == gold[j]:
@@ -134,19 +139,27 @@ def fixed_lag(scores: np.ndarray, stay: np.ndarray, lag: int) -> list[int]:
     return done
 
 
-def align_tokens(planned: DataFrame, gold: DataFrame, key: str = "case_id") -> DataFrame:
-    """key, planned and gold places (from 0) of matched tokens. Inputs: (key, place, token)."""
-    kind = planned.schema[key].dataType.simpleString()
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):  # an absent side comes without columns
-            return pd.DataFrame({key: [], "planned": [], "gold": []})
-        a, b = a.sort_values("place"), b.sort_values("place")
-        pairs = lcs(a["token"].tolist(), b["token"].tolist())
-        k = a[key].iloc[0]
-        return pd.DataFrame({key: [k] * len(pairs), "planned": [int(a["place"].iloc[i]) for i, _ in pairs], "gold": [int(b["place"].iloc[j]) for _, j in pairs]})
-
-    return planned.groupBy(key).cogroup(gold.groupBy(key)).applyInPandas(run, f"{key} {kind}, planned int, gold int")
+def align_tokens(pairs: DataFrame) -> DataFrame:
+    """The other columns of pairs, then planned and gold places (from 0) of matched tokens, a row a match. planned and gold
+    of pairs are lists of tokens; a null list matches nothing."""
+    keys = [f for f in pairs.schema.fields if f.name not in ("planned", "gold")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, planned, gold = [], [], []
+            for row, (x, y) in enumerate(zip(b.column("planned"), b.column("gold"), strict=True)):
+                for i, j in lcs(x.as_py() or [], y.as_py() or []):
+                    at.append(row)
+                    planned.append(i)
+                    gold.append(j)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(f.name).take(rows) for f in keys), pa.array(planned, pa.int32()), pa.array(gold, pa.int32())],
+                names=[*(f.name for f in keys), "planned", "gold"],
+            )
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+    return pairs.mapInArrow(run, f"{kinds}, planned int, gold int")
 
 
 def align_events(a: DataFrame, b: DataFrame, limit: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from metrum.functions import text
 from metrum.operators import alignment, signal
@@ -27,11 +28,13 @@ def query(sql: str | None):
 
 @query(None)
 def lcs_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of each conversation's first and second turn."""
-    c = table(spark, sf, "conversations")
-    turn = lambda k: c.where(F.col("turn") == k).groupBy(F.col("conv_id").alias("case_id")).agg(F.min("text").alias("text"))
-    tokens = lambda d: d.select("case_id", F.posexplode(text.words(F.col("text"))).alias("place", "token"))
-    return alignment.align_tokens(tokens(turn(0)), tokens(turn(1)))
+    """Words of each turn against those of the next turn of its conversation. Rows of the same turn are one sequence, in
+    the order of role and text."""
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id"), "turn").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    words = turns.select("case_id", "turn", F.flatten(F.transform("said", lambda r: text.words(r["text"]))).alias("planned"))
+    w = Window.partitionBy("case_id").orderBy("turn")
+    return alignment.align_tokens(words.select("case_id", "turn", F.lead("turn").over(w).alias("next_turn"), "planned", F.lead("planned").over(w).alias("gold")))
 
 
 @query(None)

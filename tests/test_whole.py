@@ -1,6 +1,10 @@
 """Queries that take the whole table, against brute force or SQL without any subset."""
 
+import re
+from collections import defaultdict
+
 from metrum.plans import catalogue
+from metrum.session import table
 from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +16,34 @@ def test_manifest_of_every_customer(spark):
         WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = need)"""
     df = catalogue.QUERIES["manifest_completeness"](spark, SF)
     assert differences(df, sql, SF) == "" and any(r.custkey % 3 == 0 for r in df.collect())
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_every_turn_is_aligned_with_the_next(spark, tmp_path):
+    # Turn 3 is missing, turn 2 has two rows, one text is null.
+    rows = [(1, 0, "user", "a b c d"), (1, 1, "bot", "b d a"), (1, 2, "user", "x a"), (1, 2, "bot", "d a x"), (1, 4, "bot", "a x"), (2, 0, "user", "a"), (3, 0, "user", None), (3, 1, "bot", "a b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for sf in (str(tmp_path), SF):
+        said = defaultdict(list)
+        for r in sorted(table(spark, sf, "conversations").collect(), key=lambda r: (r.conv_id, r.turn, r.role or "", r.text or "")):
+            said[r.conv_id, r.turn] += re.findall("[a-z0-9']+", (r.text or "").lower())
+        keys = sorted(said)
+        want = {(*p, q[1]): lcs_length(said[p], said[q]) for p, q in zip(keys, keys[1:], strict=False) if p[0] == q[0]}
+        got = defaultdict(list)
+        for r in catalogue.QUERIES["lcs_alignment"](spark, sf).collect():
+            got[r.case_id, r.turn, r.next_turn].append((r.planned, r.gold))
+        assert {k: len(v) for k, v in got.items()} == {k: n for k, n in want.items() if n}
+        for (conv, turn, after), pairs in got.items():
+            pairs.sort()
+            assert all(said[conv, turn][i] == said[conv, after][j] for i, j in pairs)
+            assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+    assert any(turn > 0 for _, turn, _ in got)
