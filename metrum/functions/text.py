@@ -33,6 +33,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
 
 
+def whole_tokens(text: Column) -> Column:
+    """The matches of TOKEN, however long: that pattern takes stack for each character, runs and their split do not."""
+    runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9',.]+"), F.lit(0))
+    return F.filter(F.flatten(F.transform(runs, lambda r: F.split(r, "[,.](?![0-9])|(?<![0-9])[,.]"))), lambda t: t != "")
+
+
 def tokens_and_tails(text: Column) -> Column:
     """List of (word, tail): tokens in order, each with the separators up to the next."""
     w, t = (F.regexp_extract_all(text, F.lit(TOKEN_AND_TAIL), F.lit(i)) for i in (1, 2))
@@ -79,7 +85,7 @@ def expand_number(token: Column) -> Column:
     """Number tokens as words: grouping commas are dropped; `1980s` is a century and a decade (a decade without a name
     leaves the century's word alone); other tokens stay."""
     plain = F.replace(token, F.lit(","), F.lit(""))
-    decade = F.regexp_extract(plain, "^([0-9]{3})0s$", 1)
+    decade = F.regexp_extract(plain, "^([1-9][0-9]{2})0[sS]$", 1)
     named = F.trim(F.concat_ws(" ", _below_1000(F.floor(decade.cast("int") / 10)), _word(DECADES, decade.cast("int") % 10)))
     number = F.when(F.length(plain) <= 9, plain.cast("long"))
     return F.when(plain.rlike("^[0-9]{1,9}$") & (number < 1_000_000), cardinal(number)).when(decade != "", named).otherwise(token)

@@ -60,7 +60,9 @@ def pause_classes(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN lo >= 100 THEN a[lo // 100 + 1] || ' hundred' END, CASE WHEN lo % 100 BETWEEN 1 AND 19 THEN a[lo % 100 + 1] WHEN lo % 100 >= 20 THEN b[lo % 100 // 10 + 1] || CASE WHEN lo % 10 > 0 THEN ' ' || a[lo % 10 + 1] ELSE '' END END) AS words FROM p, u)
     SELECT token, CASE WHEN v = 0 THEN 'zero' ELSE words END AS words FROM q""")
 def number_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]{1,6}"), F.lit(0))).alias("token")).distinct()
+    """Whole tokens that have a digit, each as spoken; those that are no numbers or over 999 999 stay as they are."""
+    each = table(spark, sf, "documents").select(F.explode(text.whole_tokens(F.col("text"))).alias("token"))
+    n = each.where(F.col("token").rlike("[0-9]")).distinct()
     return n.select("token", text.expand_number(F.col("token")).alias("words"))
 
 

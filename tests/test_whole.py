@@ -47,3 +47,31 @@ def test_every_turn_is_aligned_with_the_next(spark, tmp_path):
             assert all(said[conv, turn][i] == said[conv, after][j] for i, j in pairs)
             assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
     assert any(turn > 0 for _, turn, _ in got)
+
+
+UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = ". . twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def spoken(n: int) -> str:
+    if n < 20:
+        return UNITS[n]
+    if n < 100:
+        return TENS[n // 10] + (" " + UNITS[n % 10] if n % 10 else "")
+    step, name = (100, "hundred") if n < 1000 else (1000, "thousand")
+    return f"{spoken(n // step)} {name}" + (" " + spoken(n % step) if n % step else "")
+
+
+def test_numbers_are_whole_tokens(spark, tmp_path):
+    text = "In the 1980s, 12,345 of 1234567 (4111111111111111) rose by 3.14; 0980s, 1985s, 1990S, 007, mail2 and 999,999 or 1,000,000. No number here."
+    spark.createDataFrame([(1, text), (2, None), (3, "8" * 50_000 + " 5")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.token: r.words for r in catalogue.QUERIES["number_expansion"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "1980s": "nineteen eighties", "12,345": "twelve thousand three hundred forty five", "1234567": "1234567", "4111111111111111": "4111111111111111", "3.14": "3.14", "0980s": "0980s", "1985s": "1985s", "1990S": "nineteen nineties",
+        "007": "seven", "mail2": "mail2", "999,999": "nine hundred ninety nine thousand nine hundred ninety nine", "1,000,000": "1,000,000", "8" * 50_000: "8" * 50_000, "5": "five",
+    }
+    tokens = {t for r in table(spark, SF, "documents").collect() for t in re.findall(r"[A-Za-z0-9'](?:[A-Za-z0-9']|(?<=[0-9])[,.](?=[0-9]))*", r.text or "") if re.search("[0-9]", t)}
+    rows = catalogue.QUERIES["number_expansion"](spark, SF).collect()
+    assert len(rows) == len(tokens)
+    plain = lambda t: t.replace(",", "")
+    assert {r.token: r.words for r in rows} == {t: spoken(int(plain(t))) if re.fullmatch("[0-9]{1,9}", plain(t)) and int(plain(t)) < 1_000_000 else t for t in tokens}
