@@ -99,7 +99,8 @@ def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, tier, place, start, end, text) of long TextGrid files, by built-in functions: the file is cut at tiers
     and then at intervals."""
     t = spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("case_id"), F.regexp_replace("value", "^﻿", "").alias("v"))
-    tiers = t.select("case_id", F.explode(F.slice(F.split("v", r"item \[[0-9]+\]:"), 2, 1000)).alias("tier"))
+    tiers = t.select("case_id", F.split("v", r"item \[[0-9]+\]:").alias("items"))
+    tiers = tiers.select("case_id", F.explode(F.slice("items", F.lit(2), F.size("items"))).alias("tier"))
     named = tiers.select("case_id", F.regexp_extract("tier", r'name = "([^"]*)"', 1).alias("tier"), F.split("tier", r"intervals \[[0-9]+\]:?").alias("parts"))
     rows = named.select("case_id", "tier", F.posexplode(F.slice(F.col("parts"), F.lit(2), F.greatest(F.size("parts"), F.lit(1)))).alias("place", "i"))
     number = lambda n: F.regexp_extract("i", rf"{n} = (-?[0-9.]+)", 1).try_cast("double")

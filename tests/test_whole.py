@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from metrum.plans import catalogue
 from metrum.session import table
+from metrum.sources import files
 from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +76,10 @@ def test_numbers_are_whole_tokens(spark, tmp_path):
     assert len(rows) == len(tokens)
     plain = lambda t: t.replace(",", "")
     assert {r.token: r.words for r in rows} == {t: spoken(int(plain(t))) if re.fullmatch("[0-9]{1,9}", plain(t)) and int(plain(t)) < 1_000_000 else t for t in tokens}
+
+
+def test_textgrid_of_many_tiers(spark, tmp_path):
+    tiers = "".join(f' item [{i}]:\n  name = "t{i}"\n  intervals [1]:\n   xmin = 0\n   xmax = 1\n   text = "x"\n' for i in range(1, 1203))
+    (tmp_path / "a.TextGrid").write_text("item []:\n" + tiers)
+    (tmp_path / "b.TextGrid").write_text("no tiers")
+    assert {r.tier for r in files.read_textgrid(spark, str(tmp_path / "*.TextGrid")).collect()} == {f"t{i}" for i in range(1, 1203)}
