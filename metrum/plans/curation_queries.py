@@ -87,7 +87,8 @@ def greedy_gap_match(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, {NUMBERED}, x AS (SELECT *, t - lag(t) OVER (PARTITION BY case_id, event_type ORDER BY place) AS d FROM n)
     SELECT case_id, count(*) AS tails, count_if(coalesce(d < {2 * HOUR}, false)) AS compressed, count_if(value > 100) AS early, count_if(abs(value) >= 150) AS shifted FROM x WHERE event_id % 3 = 0 GROUP BY 1""")
 def tail_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    e = adapters.events(spark, sf).select("case_id", place().alias("idx"), F.col("event_type").alias("word"), (F.col("t") / float(HOUR)).alias("h"), "t", "value", (F.col("event_id") % 3 == 0).alias("tail"))
+    """Tails are the rows of one reason; events have none, so their type stands for it: signups."""
+    e = adapters.events(spark, sf).select("case_id", place().alias("idx"), F.col("event_type").alias("word"), (F.col("t") / float(HOUR)).alias("h"), "t", "value", (F.col("event_type") == "signup").alias("tail"))
     r = e.select("case_id", "idx", "word", F.col("t").alias("centre"), (F.col("t") + F.col("value")).alias("prior"), F.col("value").alias("lead"), "tail")
     # The prior is as far from the centre as the value, in whole microseconds, so times stay exact.
     return curation.tail_recovery(r.withColumn("prior", F.col("centre") + F.floor(F.abs("lead")).cast("long")), 2 * HOUR, 100.0, 150.0)
