@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -218,38 +219,73 @@ def exchange(a: Bin, b: Bin, capacity: int) -> tuple[tuple[int, ...], tuple[int,
     return found
 
 
-def local_search(plan: Plan, capacity: int, rounds: int = 20_000, partners: int = 200) -> Plan:
-    """Empties the least filled bins into fuller ones: the least filled group exchanges with up to `partners` underfull
-    groups, fullest first, for as many bins at once as both have. It ends when no exchange is left among them or after
-    `rounds` exchanges; both limits bound the driver's time and drop no item."""
+def offered(b: Bin) -> tuple[int, int]:
+    """Bit sets of the lengths of b, and of its lengths and the sums of two of its items."""
+    one = two = 0
+    for i, (s, m) in enumerate(b):
+        one |= 1 << s
+        for t, _ in b[i:] if m > 1 else b[i + 1 :]:
+            two |= 1 << s + t
+    return one, one | two
+
+
+def exchangeable(a: Bin, b: Bin, capacity: int, sums: dict[Bin, tuple[int, int]]) -> bool:
+    """Whether exchange(a, b, capacity) finds one."""
+    room = (1 << capacity - fill(a)) - 1
+    one, both = sums[b]
+    mine = [s for s, _ in a]
+    if both >> 1 & room or any(both >> s + 1 & room for s in mine):
+        return True
+    return any(one >> s + t + 1 & room for i, (s, m) in enumerate(a) for t in (mine[i:] if m > 1 else mine[i + 1 :]))
+
+
+def local_search(plan: Plan, capacity: int) -> Plan:
+    """Empties the least filled bins into fuller ones: the least filled group exchanges with another underfull one,
+    fullest first, for as many bins at once as both have. It ends when no two underfull bins have an exchange left. An
+    exchange depends on the two bins' contents alone, so a pair that has none is not tried again."""
     plan = dict(plan)
-    open_bins = sorted((b for b in plan if b and fill(b) < capacity), key=lambda b: (fill(b), b))
-    stuck: set[Bin] = set()
-    for _ in range(rounds):
-        open_bins = [b for b in open_bins if plan.get(b)]
-        donors = [b for b in open_bins if b not in stuck]
-        if len(open_bins) < 2 and not (open_bins and plan[open_bins[0]] > 1) or not donors:
-            break
-        donor = donors[0]
-        done = False
-        for taker in [b for b in reversed(open_bins) if fill(b) >= fill(donor)][:partners]:
-            if taker == donor and plan[donor] < 2 or (move := exchange(taker, donor, capacity)) is None:
+    key = lambda b: (fill(b), b)
+    open_bins = sorted((b for b in plan if b and fill(b) < capacity), key=key)
+    sums = {b: offered(b) for b in open_bins}
+    # Groups in the order in which they became open; a donor has tried all before its mark, and those in its set.
+    opened = list(open_bins)
+    mark: dict[Bin, int] = {}
+    tried: dict[Bin, set[Bin]] = {}
+    at = 0
+    while at < len(open_bins):
+        donor = open_bins[at]
+        fresh = {b for b in opened[mark.get(donor, 0) :] if plan.get(b) and fill(b) >= fill(donor)}
+        without = tried.setdefault(donor, set())
+        for taker in sorted(fresh - without, key=key, reverse=True):
+            if taker == donor and plan[donor] < 2:
                 continue
-            out, into = move
-            bins = plan[donor] // 2 if taker == donor else min(plan[donor], plan[taker])
-            for old in (taker, donor):
-                plan[old] -= bins
-            for new in (changed(taker, out, into), changed(donor, into, out)):
-                if new:
-                    plan[new] = plan.get(new, 0) + bins
-                    if fill(new) < capacity and new not in open_bins:
-                        open_bins.append(new)
-                    stuck.discard(new)
-            open_bins.sort(key=lambda b: (fill(b), b))
-            done = True
-            break
-        if not done:
-            stuck.add(donor)
+            if exchangeable(taker, donor, capacity, sums):
+                break
+            without.add(taker)
+        else:
+            mark[donor] = len(opened)
+            del tried[donor]
+            at += 1
+            continue
+        out, into = exchange(taker, donor, capacity)
+        bins = plan[donor] // 2 if taker == donor else min(plan[donor], plan[taker])
+        for old in {taker, donor}:
+            plan[old] -= bins * (2 if taker == donor else 1)
+            if not plan[old]:
+                del open_bins[bisect_left(open_bins, key(old), key=key)]
+                for known in (plan, sums, mark, tried):
+                    known.pop(old, None)
+        for new in (changed(taker, out, into), changed(donor, into, out)):
+            if new:
+                before = plan.get(new, 0)
+                plan[new] = before + bins
+                if fill(new) < capacity:
+                    if not before:
+                        insort(open_bins, new, key=key)
+                        sums[new] = offered(new)
+                    if before < 2:  # a single bin has not been tried with itself
+                        opened.append(new)
+        at = 0
     return {b: n for b, n in plan.items() if b and n}
 
 
