@@ -54,14 +54,16 @@ def listed(rules: list[Rule]) -> tuple[Column, Column]:
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens of a URL: labels of the host with their place from the right, parts of labels with hyphens, segments of
-    the path without digits, the file's ending, and the names of query parameters."""
+    the path without digits, the file's ending (A-Z lower-cased), and the names of query parameters."""
     labels = F.reverse(F.split(host, r"\."))
     placed = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
     parts = F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.transform(F.filter(F.split(x, "-"), lambda y: y != ""), lambda y: F.concat(F.lit("w="), y))))
     segs = F.transform(F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p="), x))
+    ending = ascii_lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    file = F.when(ending != "", F.array(F.concat(F.lit("e="), ending))).otherwise(F.array().cast("array<string>"))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q="), F.split(x, "=")[0]))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(placed, parts, segs, names)))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(placed, parts, segs, file, names)))
 
 
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.9, min_count: int = 20) -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from metrum.llm import packing
+from pyspark.sql import functions as F
+
+from metrum.llm import packing, urlrules
 
 
 def test_local_search_ends_without_an_exchange():
@@ -20,3 +22,14 @@ def test_local_search_ends_without_an_exchange():
         assert used == Counter(h)
         under = [b for b in plan if packing.fill(b) < capacity]
         assert not any(packing.exchange(a, b, capacity) for a in under for b in under if packing.fill(a) >= packing.fill(b) and (a != b or plan[a] > 1))
+
+
+def test_url_tokens_have_the_files_ending(spark):
+    urls = {"https://a.b/x/setup.EXE?q=1.zip#f.pdf": ["e=exe"], "http://a.b/v1.2/": [], "http://a.b": [], "http://a.b/.env": [], "http://a.b/x.tar.gz": ["e=gz"], "http://a.b/x.": [], "http://a.b/v1.2/get": [], "no url.exe": [], "http://a.b/song.mp3": ["e=mp3"]}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = df.select("u", urlrules.tokens(urlrules.host_of(F.col("u")), urlrules.path_of(F.col("u")), F.col("u")).alias("t")).collect()
+    assert {r.u: [t for t in r.t if t.startswith("e=")] for r in got} == urls
+    # Pages that share nothing but their ending are blocked by it.
+    labels = spark.createDataFrame([(f"http://h{i}x{i}/p{chr(97 + i % 26)}{chr(97 + i // 26)}.{'exe' if i % 2 else 'txt'}", "block" if i % 2 else "allow") for i in range(200)], "url string, verdict string")
+    pages = spark.createDataFrame([(1, "http://new/other.exe"), (2, "http://new/other.txt"), (3, "http://new/other")], "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.by) for r in urlrules.judge(pages, [], labels).collect()} == {1: ("block", "mined"), 2: ("allow", "mined"), 3: ("allow", "default")}
