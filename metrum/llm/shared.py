@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import os
 import tempfile
 import uuid
 from functools import reduce
@@ -10,19 +12,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers that may be broadcast, some 100 MB at most.
+BROADCAST_ROWS = 1_000_000
 _ARROW_ROWS = 2000
 _ARROW_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that is unset, a folder of this machine does for
+    a local master, whose executors are on it; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="metrum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_shipped: dict[tuple[str, str], str] = {}
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to all executors; workers open it by the returned name through SparkFiles."""
+    app, name = spark.sparkContext.applicationId, os.path.basename(path)
+    if _shipped.setdefault((app, name), path) != path:
+        raise ValueError(f"another file named {name} was sent before: {_shipped[app, name]}")
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm, sc = spark._jvm, spark.sparkContext
@@ -46,7 +65,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bound_arrow(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts; a smaller setting of the user's stays."""
+    """Keep Arrow batches small enough for very long texts; a smaller setting of the user's stays. Spark reads these
+    settings when a plan runs and has none for a single plan, so they stay set in the session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, _ARROW_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_ARROW_BYTES))
@@ -57,6 +77,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def literals(values: list, kind: str) -> Column:
+    """An array in the plan, of constant size there: one string, which the optimizer turns into the array once."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def places(bounds: list[tuple], columns: list[Column], kinds: list[str]) -> Column:
+    """How many of the sorted bounds are at or below a row's key (columns, compared in turn), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    n, lists = len(bounds), [literals([b[k] for b in bounds], kind) for k, kind in enumerate(kinds)]
+
+    def step(found: Column, jump: Column) -> Column:
+        at = found + jump
+        reached = F.lit(True)
+        for values, c in reversed(list(zip(lists, columns, strict=True))):
+            bound = F.get(values, at - 1)
+            reached = (bound < c) | ((bound == c) & reached)
+        return F.when((at <= n) & reached, at).otherwise(found)
+
+    jumps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    return F.aggregate(jumps, F.lit(0), step)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
