@@ -22,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metrum.llm.shared import bound_arrow
+from metrum.llm.shared import bound_arrow, literals, places
 
 SIZE = 64
+HEAD = 32
 _MASK = (1 << 32) - 1
-_LOW = -(1 << 63)
 
 
 class Parse:
@@ -122,39 +122,27 @@ class _Row:
 
 def compare_with_next(docs: DataFrame, rows_a_range: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The next document is the one that follows by descending key; after the last comes the first.
+    near_next. The next document is the one that follows by descending key, then by text; after the last comes the first.
 
-    Keys are cut into ranges at quantiles. Only ids are read for that, and the driver gets one id a range: the first of
-    each range, which is also sent to the range before, where it ends the chain. Texts are exchanged once.
+    Rows are dealt to ranges of that order. Spark's range partitioner cuts the ranges over ids and the texts' first HEAD
+    characters alone, and the driver gets one such pair a range: its first. Rows find their range by binary search, and a
+    range's first row also goes to the range before, where it ends the chain. So the plan has one size however many
+    ranges there are, and texts are exchanged once. Rows that share id and HEAD characters share a range.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     kind = docs.schema[key].dataType.simpleString()
-    ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("i"))
-    many = ids.count()
-    wanted = max(8, -(-many // rows_a_range))
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", [k / wanted for k in range(1, wanted)], 100 * wanted)).first()[0] or [])) if many else []
-    # Range r, counted from the largest ids, has the ids above cut r and up to cut r - 1.
-    down = cuts[::-1]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("i") > down[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    ranged = tree(0, len(down))
-    heads = {r["r"]: r["i"] for r in ids.select(ranged.alias("r"), "i").groupBy("r").agg(F.max("i").alias("i")).collect()}
-    order = sorted(heads)
-    before = {heads[r]: order[k - 1] for k, r in enumerate(order)}  # the first range's head goes to the last range
-    extra = F.lit(None).cast("int")
-    if before:
-        extra = _lookup(before)
+    # Descending ids as ascending numbers; null ids come last.
+    down = F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1))
     body = F.coalesce(F.col(text), F.lit(""))
-    routed = docs.select(F.col(key).alias("k"), body.alias("t"), F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("i"))
-    own = routed.withColumn("to", F.array_compact(F.array(F.struct(ranged.alias("r"), F.lit(0).alias("ahead")), F.when(extra.isNotNull(), F.struct(extra.alias("r"), F.lit(1).alias("ahead"))))))
-    sent = own.select("k", "t", "i", F.explode("to").alias("to")).select("k", "t", "i", "to.r", "to.ahead")
-    parts = max(len(order), 1)
+    heads = first_keys(docs.select(down.alias("i"), F.substring(body, 1, HEAD).alias("p")), rows_a_range)
+    n = max(len(heads), 1)
+    routed = docs.select(F.col(key).alias("k"), body.alias("t"), down.alias("i"))
+    own = F.greatest(places(heads, [F.col("i"), F.substring("t", 1, HEAD)], ["long", "string"]), F.lit(1)) - 1
+    ranged = routed.withColumn("r", own)
+    is_head = (F.col("i") == F.get(literals([h[0] for h in heads], "long"), F.col("r"))) & (F.substring("t", 1, HEAD) == F.get(literals([h[1] for h in heads], "string"), F.col("r")))
+    to = F.array_compact(F.array(F.struct(F.col("r"), F.lit(0).alias("ahead")), F.when(is_head, F.struct(F.pmod(F.col("r") - 1, F.lit(n)).alias("r"), F.lit(1).alias("ahead")))))
+    sent = ranged.select("k", "t", "i", F.explode(to).alias("to")).select("k", "t", "i", "to.r", "to.ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, ended = None, None, True
@@ -173,18 +161,12 @@ def compare_with_next(docs: DataFrame, rows_a_range: int = 2000, key: str = "doc
             types = [b.schema.field("k").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types, strict=True)], names=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    dealt = sent.repartition(parts, "r").sortWithinPartitions("r", "ahead", F.col("i").desc(), "t")
+    dealt = sent.repartition(n, "r").sortWithinPartitions("r", "ahead", "i", "t")
     return dealt.mapInArrow(run, f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _lookup(before: dict[int, int]) -> Column:
-    """before[i], or null, by a balanced tree of comparisons over its sorted ids."""
-    keys = sorted(before)
-
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return F.when(F.col("i") == keys[lo], F.lit(before[keys[lo]]))
-        mid = (lo + hi) // 2
-        return F.when(F.col("i") < keys[mid], tree(lo, mid)).otherwise(tree(mid, hi))
-
-    return tree(0, len(keys))
+def first_keys(keys: DataFrame, rows_a_range: int) -> list[tuple[int, str]]:
+    """The first (i, p) of each range, in order; ranges have about rows_a_range rows."""
+    wanted = max(8, -(-keys.count() // rows_a_range))
+    cut = keys.repartitionByRange(wanted, "i", "p").select("i", "p", F.spark_partition_id().alias("r"))
+    return sorted((h["i"], h["p"]) for (h,) in cut.groupBy("r").agg(F.min(F.struct("i", "p")).alias("h")).select("h").collect())
