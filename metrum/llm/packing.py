@@ -15,18 +15,18 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrum.llm.shared import bound_arrow, materialize
+from metrum.llm.shared import bound_arrow, materialize, ship
 
 CAPACITY = 2048
 END_ID = 0
@@ -41,9 +41,10 @@ class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     Every single space before a visible character begins a pre-token, so the ids of a text are those of its chunks at
-    such spaces, joined. Chunks repeat, and their ids are kept, up to a fixed number. Texts with adjoining white space or
-    with letters beyond Latin go through the library whole, where its own rules for them decide. New chunks are encoded
-    by tiktoken from the same file's vocabulary, which gives the same ids (tests compare both).
+    such spaces, joined. Chunks repeat, and their ids are kept, up to a fixed number. Texts with adjoining white space,
+    with letters beyond Latin or with the string of a special token, which becomes that token, go through the library
+    whole, where its own rules for them decide. New chunks are encoded by tiktoken from the same file's vocabulary, which
+    gives the same ids (tests compare both).
     """
 
     def __init__(self, path: str):
@@ -51,10 +52,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"] for x in spec["added_tokens"]}
+        self.special = tuple(special)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
         ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
@@ -91,7 +92,7 @@ class Encoder:
         return out + self._encode(portion)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        uneven = [t[-1:] == " " or bool(_OTHER.search(t)) or any(x in t for x in _ADJOINING) for t in texts]
+        uneven = [t[-1:] == " " or bool(_OTHER.search(t)) or any(x in t for x in _ADJOINING) or any(x in t for x in self.special) for t in texts]
         split = [[] if u else t.split(" ") for t, u in zip(texts, uneven, strict=True)]
         got = [list(map(self.known.get, w)) for w in split]
         new = self._learn({w for words, r in zip(split, got, strict=True) if None in r for w, x in zip(words[1:], r[1:], strict=True) if x is None})
@@ -110,21 +111,21 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(name: str) -> Encoder:
+    """One encoder for each file in a worker process; name: of a file that ship() sent."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(SparkFiles.get(name))
+    return _encoders[name]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32, part, nth): documents end with id 0; only longer ones are cut, all
     pieces but the first to the full capacity. part and nth number the pieces of each length, written by one task."""
     bound_arrow(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), ship(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, part, seen = encoder(name), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             at, piece, start, length, crc, nth = [], [], [], [], [], []
@@ -197,96 +198,127 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Plan:
     return dict(plan)
 
 
+def pairs(b: Bin) -> dict[int, tuple[int, int]]:
+    """Sums of two items of b, each with one such pair."""
+    return {s + t: (s, t) for i, (s, m) in enumerate(b) for t, _ in b[i:] if s != t or m > 1}
+
+
+def offers(b: Bin) -> dict[int, tuple[int, ...]]:
+    """What b can give: sums of one or two of its items, one item where both have the sum."""
+    return pairs(b) | {s: (s,) for s, _ in b}
+
+
 def exchange(a: Bin, b: Bin, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """The lengths that leave a and those that come from b, in the exchange that fills a (the fuller bin) most: a move,
-    one for one, one for two or two for one; None if there is none. Any such exchange increases the squared fill."""
-    room = capacity - fill(a)
-    best, found = 0, None
-    mine, theirs = [s for s, _ in a], [s for s, _ in b]
-    pairs = lambda c: {s + t: (s, t) for i, (s, m) in enumerate(c) for t, k in c[i:] if s != t or m > 1}
-    offers = {s: (s,) for s in theirs} | {}
-    for total, two in pairs(b).items():
-        offers.setdefault(total, two)
-    wants = {0: ()} | {s: (s,) for s in mine}
-    for total, two in pairs(a).items():
-        wants.setdefault(total, two)
-    for take, out in wants.items():
-        for give, into in offers.items():
-            if best < give - take <= room and len(out) + len(into) <= 3:
-                best, found = give - take, (out, into)
-                if best == room:
-                    return found
-    return found
-
-
-def offered(b: Bin) -> tuple[int, int]:
-    """Bit sets of the lengths of b, and of its lengths and the sums of two of its items."""
-    one = two = 0
-    for i, (s, m) in enumerate(b):
-        one |= 1 << s
-        for t, _ in b[i:] if m > 1 else b[i + 1 :]:
-            two |= 1 << s + t
-    return one, one | two
-
-
-def exchangeable(a: Bin, b: Bin, capacity: int, sums: dict[Bin, tuple[int, int]]) -> bool:
-    """Whether exchange(a, b, capacity) finds one."""
-    room = (1 << capacity - fill(a)) - 1
-    one, both = sums[b]
-    mine = [s for s, _ in a]
-    if both >> 1 & room or any(both >> s + 1 & room for s in mine):
-        return True
-    return any(one >> s + t + 1 & room for i, (s, m) in enumerate(a) for t in (mine[i:] if m > 1 else mine[i + 1 :]))
+    """The lengths that leave a and those that come from b, in the exchange that fills a (the fuller bin) most: a move of
+    one or two, one for one, one for two or two for one; None if there is none. Any such exchange increases the squared
+    fill."""
+    found = [(sum(into) - sum(out), out, into) for out in [(), *offers(a).values()] for into in offers(b).values() if len(out) + len(into) <= 3]
+    gain, out, into = max((x for x in found if 0 < x[0] <= capacity - fill(a)), default=(0, (), ()))
+    return (out, into) if gain else None
+
+
+class _Wants:
+    """For all underfull groups what a bin could part with: nothing, one item or two. A row's limit is the most that may
+    come instead. Rows are only added; those of groups that are gone are dead."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.size = capacity, 0
+        self.out: list[tuple[int, ...]] = []
+        self.groups: list[Bin] = []
+        self.slot_of: dict[Bin, int] = {}
+        self.alive = np.zeros(1024, bool)
+        self.rows = np.zeros((4, 4096), np.int64)  # sum of what leaves, limit, fill, slot
+        self.two = np.zeros(4096, bool)
+
+    def add(self, b: Bin) -> None:
+        slot, f = len(self.groups), fill(b)
+        self.groups.append(b)
+        if b in self.slot_of:
+            self.alive[self.slot_of[b]] = False
+        self.slot_of[b] = slot
+        if slot == len(self.alive):
+            self.alive = np.concatenate([self.alive, np.zeros_like(self.alive)])
+        self.alive[slot] = True
+        out = [(), *offers(b).values()]
+        n = self.size + len(out)
+        while n > self.rows.shape[1]:
+            self.rows, self.two = np.concatenate([self.rows, np.zeros_like(self.rows)], axis=1), np.concatenate([self.two, np.zeros_like(self.two)])
+        x = np.fromiter(map(sum, out), np.int64, len(out))
+        self.rows[:, self.size : n] = x, x + self.capacity - f, np.full(len(out), f), np.full(len(out), slot)
+        self.two[self.size : n] = [len(o) == 2 for o in out]
+        self.out += out
+        self.size = n
+
+    def drop(self, b: Bin) -> None:
+        self.alive[self.slot_of.pop(b)] = False
+
+    def without_dead(self, seen: dict[Bin, int]) -> dict[Bin, int]:
+        """Takes out the dead rows once they are most; the same marks by the rows' new numbers."""
+        kept = np.flatnonzero(self.alive[self.rows[3, : self.size]])
+        if self.size < 4096 or 2 * len(kept) > self.size:
+            return seen
+        self.rows, self.two, self.out, self.size = self.rows[:, kept], self.two[kept], [self.out[k] for k in kept.tolist()], len(kept)
+        return {b: int(np.searchsorted(kept, m)) for b, m in seen.items()}
+
+    def best(self, donor: Bin, since: int, alone: bool) -> tuple[Bin, tuple[int, ...], tuple[int, ...]] | None:
+        """Of the rows from `since` on the exchange that increases the squared fill most: taker, what leaves it, what it
+        gets. alone: the donor's group has one bin, which has none of its own group to give to."""
+        give, f = offers(donor), fill(donor)
+        both, ones = np.array(sorted(give)), np.array(sorted(s for s, _ in donor))
+        x, limit, filled, slot = self.rows[:, since : self.size]
+        at = np.where(self.two[since : self.size], np.searchsorted(ones, limit, "right") - 1, np.searchsorted(both, limit, "right") - 1)
+        got = np.where(self.two[since : self.size], ones[np.minimum(at, len(ones) - 1)], both[at])
+        gain = np.where(at < 0, 0, got - x)
+        ok = self.alive[slot] & (filled >= f) & (gain > 0)
+        if alone:
+            ok &= slot != self.slot_of[donor]
+        if not ok.any():
+            return None
+        k = int(np.argmax(np.where(ok, gain * (filled - f + gain), 0)))
+        into = (int(got[k]),) if self.two[since + k] else give[int(got[k])]
+        return self.groups[int(slot[k])], self.out[since + k], into
 
 
 def local_search(plan: Plan, capacity: int) -> Plan:
-    """Empties the least filled bins into fuller ones: the least filled group exchanges with another underfull one,
-    fullest first, for as many bins at once as both have. It ends when no two underfull bins have an exchange left. An
-    exchange depends on the two bins' contents alone, so a pair that has none is not tried again."""
-    plan = dict(plan)
-    key = lambda b: (fill(b), b)
-    open_bins = sorted((b for b in plan if b and fill(b) < capacity), key=key)
-    sums = {b: offered(b) for b in open_bins}
-    # Groups in the order in which they became open; a donor has tried all before its mark, and those in its set.
-    opened = list(open_bins)
-    mark: dict[Bin, int] = {}
-    tried: dict[Bin, set[Bin]] = {}
-    at = 0
-    while at < len(open_bins):
-        donor = open_bins[at]
-        fresh = {b for b in opened[mark.get(donor, 0) :] if plan.get(b) and fill(b) >= fill(donor)}
-        without = tried.setdefault(donor, set())
-        for taker in sorted(fresh - without, key=key, reverse=True):
-            if taker == donor and plan[donor] < 2:
+    """Empties the least filled bins into fuller ones: the least filled group makes the exchange that increases the
+    squared fill most, for as many bins at once as both groups have. It ends when no two underfull bins have an exchange
+    left. An exchange depends on the two bins' contents alone, so a donor that found none looks only at groups that came
+    later. Work grows with the histogram, not with the corpus."""
+    plan = {b: n for b, n in plan.items() if b and n}
+    wants, seen = _Wants(capacity), {}
+    queue = sorted((fill(b), b) for b in plan if fill(b) < capacity)
+    for _, b in queue:
+        wants.add(b)
+    while queue:
+        while queue:
+            _, donor = heappop(queue)
+            if not plan.get(donor):
+                continue
+            found = wants.best(donor, seen.get(donor, 0), plan[donor] < 2)
+            if found is None:
+                seen[donor] = wants.size
                 continue
-            if exchangeable(taker, donor, capacity, sums):
-                break
-            without.add(taker)
-        else:
-            mark[donor] = len(opened)
-            del tried[donor]
-            at += 1
-            continue
-        out, into = exchange(taker, donor, capacity)
-        bins = plan[donor] // 2 if taker == donor else min(plan[donor], plan[taker])
-        for old in {taker, donor}:
-            plan[old] -= bins * (2 if taker == donor else 1)
-            if not plan[old]:
-                del open_bins[bisect_left(open_bins, key(old), key=key)]
-                for known in (plan, sums, mark, tried):
-                    known.pop(old, None)
-        for new in (changed(taker, out, into), changed(donor, into, out)):
-            if new:
-                before = plan.get(new, 0)
-                plan[new] = before + bins
-                if fill(new) < capacity:
-                    if not before:
-                        insort(open_bins, new, key=key)
-                        sums[new] = offered(new)
-                    if before < 2:  # a single bin has not been tried with itself
-                        opened.append(new)
-        at = 0
-    return {b: n for b, n in plan.items() if b and n}
+            taker, out, into = found
+            bins = plan[donor] // 2 if taker == donor else min(plan[donor], plan[taker])
+            for old in {taker, donor}:
+                plan[old] -= bins * (2 if taker == donor else 1)
+                if not plan[old]:
+                    del plan[old]
+                    wants.drop(old)
+                    seen.pop(old, None)
+            for new in (changed(taker, out, into), changed(donor, into, out)):
+                if new:
+                    before = plan.get(new, 0)
+                    plan[new] = before + bins
+                    # A single bin has not been tried with its own group.
+                    if fill(new) < capacity and before < 2:
+                        wants.add(new)
+                        heappush(queue, (fill(new), new))
+            if donor in plan:
+                heappush(queue, (fill(donor), donor))
+            seen = wants.without_dead(seen)
+        queue = sorted((fill(b), b) for b in plan if fill(b) < capacity and seen.get(b, 0) < wants.size)
+    return plan
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
