@@ -1,34 +1,36 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows are ordered by a composite key (hash of the text, id), so equal texts lie together and no key is common. Splitters
-are found before any row moves: each round counts the exact bytes below candidate boundaries over all partitions, in one
-aggregation, and narrows each splitter's interval to the probe gap that holds its target, until the bytes left in the
-interval meet the tolerance. Only the counts of the probes reach the driver. The rows are then exchanged once, to
+Rows are ordered by a composite key (hash of the text, id, number of the row), so equal texts lie together and no two
+rows share a key. Splitters are found before any row moves: each round counts the exact bytes below candidate boundaries
+over all partitions, in one aggregation, and narrows each splitter's interval to the probe gap that holds its target,
+until the bytes left in the interval meet the tolerance or one row is left there. Only the counts of the probes reach
+the driver. The rows are then exchanged once, to
 (shard, cell); cells are of bounded size, and a row's slot is its place in the cell plus the counts of the cells before.
 
-Defined results: a null text has no bytes, so size 1; a null id sorts before all others; repeated rows have equal keys
-and stay together; with fewer rows than shards some shards are empty; extra columns are ignored.
+Defined results: a null text has no bytes, so size 1; a null id sorts before all others; repeated rows lie together,
+in the order of their numbers, and are parted where a boundary falls among them; with fewer rows than shards some shards are empty; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrum.llm.shared import materialize
+from metrum.llm.shared import materialize, places
 
 SHARDS = 8
 PROBES = 64
-FEW_ROWS = 2000
 CELL_ROWS, LEAST_CELLS, MOST_CELLS = 50_000, 32, 4096
-_TOP = (1 << 60, 0)
 _LOW = -(1 << 63)
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, size, text_crc32, major, minor): bytes and one more, and the composite key, 60 bits of the text's MD5
-    and the id."""
+    """Rows (id, size, text_crc32, major, minor, tie): bytes and one more, and the composite key: 60 bits of the text's
+    MD5, the id, and a number of the row that parts repeated rows; it is fixed once this table is written."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(key).cast("long").alias("id"),
@@ -36,95 +38,58 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.conv(F.substring(F.md5(F.encode(body, "UTF-8")), 1, 15), 16, 10).cast("long").alias("major"),
         F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("minor"),
+        F.monotonically_increasing_id().alias("tie"),
     )
 
 
-def _search(bounds: list[tuple[int, int]]) -> Column:
-    """How many of the sorted bounds are at or below a row's key, by a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        a, b = bounds[mid]
-        at = (F.col("major") > a) | ((F.col("major") == a) & (F.col("minor") >= b))
-        return F.when(at, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+KEY, KINDS = ["major", "minor", "tie"], ["long"] * 3
+
+
+@dataclass(frozen=True)
+class _Line:
+    """Composite keys as points of one line of whole numbers, in their order: no gaps but those between hashes."""
 
-    return tree(0, len(bounds))
+    least: int
+    ids: int
+    ties: int
 
+    def key(self, at: int) -> tuple[int, int, int]:
+        rest, tie = divmod(at, self.ties)
+        major, minor = divmod(rest, self.ids)
+        return major, minor + self.least, tie
 
-def _between(lo: tuple[int, int], hi: tuple[int, int], probes: int) -> list[tuple[int, int]]:
-    """Keys strictly between lo and hi, evenly spaced: by the hash, or by the id if the hashes are equal or adjacent."""
-    if hi[0] - lo[0] > 1:
-        step = max(1, (hi[0] - lo[0]) // (probes + 1))
-        return [(a, _LOW) for a in range(lo[0] + step, hi[0], step)][: probes + 1]
-    if hi[0] > lo[0] and hi[1] > _LOW:
-        return [(hi[0], _LOW)]
-    top = hi[1] if hi[0] == lo[0] else (1 << 63) - 1
-    step = max(1, (top - lo[1]) // (probes + 1))
-    return [(lo[0], b) for b in range(lo[1] + step, top, step)][: probes + 1]
+    @property
+    def end(self) -> int:
+        return (1 << 60) * self.ids * self.ties
 
 
-def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: int = 0, probes: int = PROBES) -> list[tuple[int, int]]:
+def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: int = 0, probes: int = PROBES) -> list[tuple[int, int, int]]:
     """shards - 1 keys; a row goes to the shard numbered by the splitters at or below its key. Splitter i parts the rows
     where the bytes before first reach i / shards of all: exactly for tolerance 0, else within so many bytes."""
-    total, many, least, most = rows.agg(F.sum("size"), F.count("*"), F.min("minor"), F.max("minor")).first()
+    total, least, most, ties = rows.agg(F.sum("size"), F.min("minor"), F.max("minor"), F.max("tie")).first()
     if not total:
-        return [_TOP] * (shards - 1)
+        return [(1 << 60, 0, 0)] * (shards - 1)
+    line = _Line(least, most - least + 1, ties + 1)
     goal = [-(-i * total // shards) for i in range(1, shards)]  # bytes at or above which a key is past splitter i
-    # The key sought is the first with `goal` bytes or more before it: it lies above lo and at or below hi.
-    lo, hi = [(-1, _LOW)] * (shards - 1), [_TOP] * (shards - 1)
-    under, over = [0] * (shards - 1), [total] * (shards - 1)
-    rows_under, rows_over = [0] * (shards - 1), [many] * (shards - 1)
+    # Fewer than `goal` bytes lie below lo, `goal` or more below hi. With one row between them, hi parts the rows.
+    lo, hi = [0] * (shards - 1), [line.end] * (shards - 1)
+    under, over = [(0, 0)] * (shards - 1), [(total, 2)] * (shards - 1)
     while True:
-        open_ = [i for i in range(shards - 1) if over[i] - under[i] > tolerance]
-        if sum(rows_over[i] - rows_under[i] for i in open_) <= FEW_ROWS:
-            return _settled(rows, lo, hi, under, goal, open_)
-        bounds = sorted({p for i in open_ for p in _narrowed(lo[i], hi[i], least, most, probes)})
-        if not bounds:
-            return hi
-        sums = {r["at"]: (r["bytes"], r["rows"]) for r in rows.groupBy(_search(bounds).alias("at")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-        seen, counted, before = 0, 0, []
-        for i in range(len(bounds)):
-            x, y = sums.get(i, (0, 0))
-            seen, counted = seen + x, counted + y
-            before.append((seen, counted))
+        open_ = [i for i in range(shards - 1) if over[i][0] - under[i][0] > tolerance and over[i][1] - under[i][1] > 1 and hi[i] - lo[i] > 1]
+        if not open_:
+            return [line.key(h) for h in hi]
+        bounds = sorted({lo[i] + (hi[i] - lo[i]) * k // (probes + 1) for i in open_ for k in range(1, probes + 1)} - {0})
+        at = places([line.key(p) for p in bounds], [F.col(c) for c in KEY], KINDS)
+        sums = {r["at"]: (r["bytes"], r["rows"]) for r in rows.groupBy(at.alias("at")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
+        before = list(accumulate((sums.get(k, (0, 0)) for k in range(len(bounds) + 1)), lambda x, y: (x[0] + y[0], x[1] + y[1])))
         for i, g in enumerate(goal):
-            for p, (n, k) in zip(bounds, before, strict=True):
-                if n < g and p > lo[i]:
-                    lo[i], under[i], rows_under[i] = p, n, k
-                elif n >= g and p < hi[i]:
-                    hi[i], over[i], rows_over[i] = p, n, k
-
-
-def _settled(rows: DataFrame, lo: list, hi: list, under: list[int], goal: list[int], open_: list[int]) -> list[tuple[int, int]]:
-    """The splitters, from the FEW_ROWS rows at most that lie in the intervals still open."""
-    if not open_:
-        return hi
-    key = F.struct("major", "minor")
-    at = lambda p: F.struct(F.lit(p[0]).cast("long").alias("major"), F.lit(p[1]).cast("long").alias("minor"))
-    within = F.lit(False)
-    for i in open_:
-        within = within | ((key >= at(lo[i])) & (key < at(hi[i])))
-    keys = sorted((r["major"], r["minor"], r["bytes"]) for r in rows.where(within).groupBy("major", "minor").agg(F.sum("size").alias("bytes")).collect())
-    found = list(hi)
-    for i in open_:
-        seen = under[i]
-        for a, b, n in keys:
-            if lo[i] <= (a, b) < hi[i]:
-                if seen >= goal[i]:
-                    found[i] = (a, b)
-                    break
-                seen += n
-    return found
-
-
-def _narrowed(lo: tuple[int, int], hi: tuple[int, int], least: int, most: int, probes: int) -> list[tuple[int, int]]:
-    """Probes between lo and hi; within one hash only ids from least to most occur."""
-    if hi[0] == lo[0] or hi[0] - lo[0] == 1 and hi[1] == _LOW:
-        a = (lo[0], max(lo[1], least - 1)) if least > _LOW else lo
-        b = (lo[0], min(hi[1], most + 1) if hi[0] == lo[0] else most + 1)
-        return [p for p in {*_between(a, b, probes), b} if lo < p < hi]
-    return _between(lo, hi, probes)
+            if i in open_ and over[i][0] == total:
+                over[i] = before[-1]
+            for p, seen in zip(bounds, before, strict=False):
+                if seen[0] < g and p > lo[i]:
+                    lo[i], under[i] = p, seen
+                elif seen[0] >= g and p < hi[i]:
+                    hi[i], over[i] = p, seen
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,11 +98,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, key: str =
     rows = materialize(sized(docs, key, text), "sized")
     many = rows.count()
     cells = max(LEAST_CELLS, min(MOST_CELLS, -(-many // CELL_ROWS)))
-    placed = rows.withColumn("shard", _search(splitters(rows, shards, tolerance))).withColumn("cell", F.pmod(F.coalesce("id", F.lit(0)), F.lit(cells)).cast("int"))
+    placed = rows.withColumn("shard", places(splitters(rows, shards, tolerance), [F.col(c) for c in KEY], KINDS)).withColumn("cell", F.pmod(F.coalesce("id", F.lit(0)), F.lit(cells)).cast("int"))
     # At most shards * MOST_CELLS short rows, so this may be broadcast.
     counts = placed.groupBy("shard", "cell").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "cell", before.alias("before"))
-    in_cell = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("major", "minor", "size")) - 1
+    in_cell = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("major", "minor", "tie")) - 1
     numbered = placed.withColumn("in_cell", in_cell)
     return numbered.join(F.broadcast(offsets), ["shard", "cell"]).select(F.col("id").alias(key), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("in_cell")).cast("long").alias("slot"))
