@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrum.llm.shared import bound_arrow, materialize
+from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, materialize
 
 # Patterns, least lengths and the order of kinds.
 KINDS = ("assign", "access", "hex", "live")
@@ -49,10 +49,14 @@ def scan(text: str | None, min_entropy: float = 3.0) -> list[tuple[int, int, int
     found = [(0, m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    base = [(s, e) for _, s, e, _ in found]
+    # Tokens come in order, so one pass over the base spans in order finds those that touch one.
+    base, at, reach = sorted((s, e) for _, s, e, _ in found), 0, 0
     for m in TOKEN.finditer(text):
         s, e, v = m.start(), m.end(), m[0]
-        if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= min_entropy and not any(s < y and x < e for x, y in base):
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= s and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= min_entropy:
             found.append((3, s, e, v))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
@@ -123,16 +127,19 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: str = "text", owner: str = "source", length: str | None = "n_chars", **rules) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: str = "text", owner: str = "source", length: str | None = "n_chars", broadcast_rows: int = BROADCAST_ROWS, **rules) -> DataFrame:
     """docs with each live-looking span replaced by mask; copied examples stay. Columns and rows stay as they are;
     length, where it is a column, is counted anew for changed texts. Rows that share a key get the spans of the texts
-    they themselves hold: the join also compares a hash of the text."""
+    they themselves hold: the join also compares a hash of the text. The spans of the texts to change are counted, and
+    sent to the texts as long as they are broadcast_rows rows or fewer; beyond that both sides are exchanged."""
     bound_arrow(docs.sparkSession)
     stamped = docs.select("*", F.xxhash64(text).alias("__m_hash"))
     slim = stamped.select(F.struct(F.col(key).alias("k"), F.col("__m_hash").alias("h")).alias("__m_key"), F.col(text).alias("__m_text"), F.col(owner).alias("__m_owner"))
     found = scan_secrets(slim, "__m_key", "__m_text", "__m_owner", **rules)
     live = found.select("__m_key", F.filter("spans", lambda s: s["live"]).alias("__m_spans")).where(F.size("__m_spans") > 0).dropDuplicates(["__m_key"])
-    live = live.select(F.col("__m_key.k").alias("__m_k"), F.col("__m_key.h").alias("__m_h"), "__m_spans")
+    live = materialize(live.select(F.col("__m_key.k").alias("__m_k"), F.col("__m_key.h").alias("__m_h"), F.transform("__m_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__m_spans")), "live")
+    if live.count() <= broadcast_rows:
+        live = F.broadcast(live)
     body = F.col(text)
 
     def cut(acc: Column, s: Column) -> Column:
@@ -141,7 +148,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: s
         return F.when(s["end"] <= at, acc).otherwise(F.struct(kept.alias("out"), s["end"].alias("at")))
 
     clean = F.aggregate("__m_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.lit(2**31 - 1))))
-    joined = stamped.join(live, F.col(key).eqNullSafe(F.col("__m_k")) & (F.col("__m_hash") == F.col("__m_h")), "left")
+    joined = stamped.join(live, F.col(key).eqNullSafe(F.col("__m_k")) & F.col("__m_hash").eqNullSafe(F.col("__m_h")), "left")
     # The new text has a name of its own: names in a select may mean the aliases beside them.
     made = joined.withColumn("__m_new", F.when(F.col("__m_spans").isNull(), body).otherwise(clean))
     own = {text: F.col("__m_new")}
