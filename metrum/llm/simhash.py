@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metrum.llm.shared import bound_arrow, connected_components, materialize
+from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, connected_components, materialize
 
 SEED = 42
 BLOCK = 2048
@@ -139,24 +139,45 @@ def components(docs: DataFrame, radius: int = 3, words: int = 3, key: str = "doc
     """One row for each row of docs: key, fingerprint (signed long), component_id: the smallest key reachable over links
     of at most `radius` differing bits. Keys are longs."""
     prints = materialize(fingerprints(docs, words, key, text), "fingerprints")
-    none = -(1 << 63)  # stands for a null key while ids are compared; such a node gets a number of its own below
-    reps = prints.groupBy("fingerprint").agg(F.min("key").cast("long").alias("least"))
-    nodes = materialize(reps.select("fingerprint", "least", F.when(F.col("least").isNull(), F.lit(none) + F.pmod(F.col("fingerprint"), F.lit(1 << 61))).otherwise(F.col("least")).alias("node")), "nodes")
-    found = connected_components(links(nodes.select("node", "fingerprint"), radius))
-    of = nodes.join(found, "node", "left").select("fingerprint", "node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = materialize(of.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    named = materialize(of.join(smallest, "component").select("fingerprint", "component_id"), "named")
+    named = materialize(components_of(prints, radius).select("fingerprint", "component_id"), "named")
     return prints.join(named, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
+def components_of(prints: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, component (its smallest fingerprint, as a number), component_id (its smallest key, null if all keys
+    are) for each fingerprint of prints (key, fingerprint)."""
+    nodes = materialize(prints.groupBy("fingerprint").agg(F.min("key").cast("long").alias("least")), "nodes")
+    found = connected_components(links(nodes.select(F.col("fingerprint").alias("node"), "fingerprint"), radius))
+    of = nodes.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
+    smallest = materialize(of.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    return of.join(smallest, "component").select("fingerprint", "component", "component_id")
+
+
 def fingerprint_hex(c: Column) -> Column:
     """16 lowercase digits of a signed long."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: a row whose key is the component's smallest. Rows with a null key stay."""
-    kept = components(docs.select(key, text).where(F.col(key).isNotNull()), radius, words, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__m_key")).distinct()
-    own = docs.where(F.col(key).isNotNull())
-    held = own.join(kept, F.col(key) == F.col("__m_key"), "left_semi").dropDuplicates([key])
-    return held.unionByName(docs.where(F.col(key).isNull()))
+def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with one row of each component: of its rows the one with the smallest key (null after all others), then the
+    smallest fingerprint, then the smallest hashes of the text. Texts are no part of the comparison and stay in their
+    tasks: what goes is named by key and hashes of the text, and sent to the rows as long as it is broadcast_rows rows or
+    fewer; beyond that both sides are exchanged. Repeated rows (equal key and text) are one: of these, and only these,
+    whole rows are exchanged."""
+    hashes = [F.xxhash64(text).alias("__m_h"), F.xxhash64(F.lit(1), text).alias("__m_g")]
+    named = docs.select(F.struct(F.col(key).cast("long").alias("k"), *(h.alias(n) for h, n in zip(hashes, "hg", strict=True))).alias("who"), F.col(text).alias("t"))
+    prints = materialize(fingerprints(named, words, "who", "t"), "rows")
+    parts = components_of(prints.select(F.col("key.k").alias("key"), "fingerprint"), radius)
+    rows = prints.groupBy("fingerprint", "key").agg(F.count("*").alias("n")).join(parts.select("fingerprint", "component"), "fingerprint")
+    rank = F.struct(F.col("key.k").isNull(), "key.k", "fingerprint", "key.h", "key.g")
+    best = rows.groupBy("component").agg(F.min(rank).alias("best"))
+    told = materialize(rows.join(best, "component").select(F.col("key.k").alias("__m_k"), F.col("key.h").alias("__m_h"), F.col("key.g").alias("__m_g"), (rank != F.col("best")).alias("goes"), "n"), "told")
+    gone, again = told.where("goes").drop("goes", "n"), told.where("n > 1 AND NOT goes").drop("goes", "n")
+    is_row = lambda d: F.col(key).cast("long").eqNullSafe(d["__m_k"]) & F.col("__m_th").eqNullSafe(d["__m_h"]) & F.col("__m_tg").eqNullSafe(d["__m_g"])
+    few = lambda d: F.broadcast(d) if d.count() <= broadcast_rows else d
+    stamped = docs.select("*", hashes[0].alias("__m_th"), hashes[1].alias("__m_tg"))
+    kept = stamped.join(few(gone), is_row(gone), "left_anti")
+    if not again.isEmpty():
+        again = few(again)
+        kept = kept.join(again, is_row(again), "left_anti").unionByName(kept.join(again, is_row(again), "left_semi").dropDuplicates([key, "__m_th", "__m_tg"]))
+    return kept.select(*docs.columns)
