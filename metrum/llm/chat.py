@@ -124,9 +124,12 @@ def read_back(formatted: DataFrame, t: Template = Template(), conv: str = "conv_
 
 
 def digest(formatted: DataFrame, t: Template = Template(), conv: str = "conv_id") -> DataFrame:
-    """Counts and digests of what is read back: turns from the string, the loss texts from the masked segments."""
-    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t))
-    read = formatted.select(conv, "valid", F.length("formatted").cast("long").alias("formatted_chars"), _turns(t).alias("turns"), F.array_join(masked, "").alias("loss"))
+    """Counts and digests of what is read back: turns from the string, and of these texts those whose segment the mask
+    marks; a turn's text is the second of its three segments."""
+    masks = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    turns = formatted.select(conv, "valid", F.length("formatted").cast("long").alias("formatted_chars"), _turns(t).alias("turns"), masks.alias("masks"))
+    loss = F.array_join(F.zip_with("turns", "masks", lambda x, m: F.when(m, x["text"]).otherwise(F.lit(""))), "")
+    read = turns.withColumn("loss", loss)
     lines = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     return read.select(
         conv,
