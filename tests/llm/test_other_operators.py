@@ -193,7 +193,7 @@ def test_mined_rules_equal_brute_force(spark):
         t = sorted({rng.choice("abcd"), rng.choice("efg"), rng.choice("hi")})
         rows.append((t, "block" if {"a", "e"} <= set(t) or "h" in t and rng.random() < 0.5 else "allow"))
     df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
-    got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urlrules.mine(df, 0.05, 0.9).collect()}
+    got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urlrules.mine(df, 0.05, 0.9, folds=0).collect()}
     every = {}
     from itertools import combinations
 
@@ -207,7 +207,7 @@ def test_mined_rules_equal_brute_force(spark):
     kept = {r: s for r, s in every.items() if not any(set(o[0]) < set(r[0]) and o[1] == r[1] and every[o][0] >= s[0] for o in every)}
     assert got == kept and got
     pages = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "row long, tokens array<string>")
-    told = {r.row: r.mined for r in urlrules.match(pages, urlrules.mine(df, 0.05, 0.9)).collect()}
+    told = {r.row: r.mined for r in urlrules.match(pages, urlrules.mine(df, 0.05, 0.9, folds=0)).collect()}
     for i, (t, _) in enumerate(rows):
         fits = [(s[0], len(a), v) for (a, v), s in kept.items() if set(a) <= set(t)]
         assert told.get(i) == (max(fits)[2] if fits else None)
