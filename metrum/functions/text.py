@@ -49,7 +49,7 @@ def mark_of(tail: Column) -> Column:
     """The boundary mark in a tail: the last hard one, else the first comma, else empty. A hyphen counts only between
     white space."""
     clean = F.regexp_replace(tail, r"(?<!\s)-|-(?!\s)", "")
-    hard = F.regexp_extract(clean, r"[.!?:;\-–—](?!.*[.!?:;\-–—])", 0)
+    hard = F.regexp_extract(clean, r"(?s)[.!?:;\-–—](?!.*[.!?:;\-–—])", 0)
     return F.when(hard != "", hard).otherwise(F.regexp_extract(clean, ",", 0))
 
 

@@ -92,10 +92,10 @@ def owner_of_point(points: DataFrame, regions: DataFrame, width: int, tolerance:
     return points.join(found, ["case_id", "idx"], "left").select("case_id", "idx", F.when(F.col("k") == 1, F.col("r")).otherwise(F.lit(-1)).alias("owner"))
 
 
-def split_rule(mark: Column, gap: Column, hard: int, comma: int) -> Column:
-    """Whether a gap parts regions: hard marks from `hard` on, commas from `comma` on, all from 1.5 times comma (twice
-    the default comma gap at least) on."""
-    return (F.coalesce(mark, F.lit("")) == "hard") & (gap >= hard) | (F.coalesce(mark, F.lit("")) == "comma") & (gap >= comma) | (gap >= int(comma * 1.5)) & (gap >= 2 * comma)
+def split_rule(mark: Column, gap: Column, hard: float, comma: float, strong: float) -> Column:
+    """Whether a gap parts regions: hard marks from `hard` on, commas from `comma` on, all from `strong`, and from 1.5
+    times comma at least, on."""
+    return (F.coalesce(mark, F.lit("")) == "hard") & (gap >= hard) | (F.coalesce(mark, F.lit("")) == "comma") & (gap >= comma) | (gap >= max(strong, 1.5 * comma))
 
 
 def interpolate_centres(rows: DataFrame, step: float, partition: list[str], order: str, value: str = "centre") -> DataFrame:

@@ -23,13 +23,18 @@ def envelope(samples: DataFrame, step: int, edge: int) -> DataFrame:
 
 
 def decaying_max(rows: DataFrame, value: str, decay: float, floor: float, partition: list[str], order: list[str]) -> DataFrame:
-    """peak: max(decay * the peak before, value), begun from floor, for non-negative values. In logarithms the decay is a
-    straight line, so a running maximum does."""
+    """peak: max(decay * the peak before, value), begun from floor, for non-negative values; peak_value and peak_age: the
+    value it comes from and how many rows ago that was, null while it is the floor's. In logarithms the decay is a straight
+    line, so a running maximum does."""
     w = Window.partitionBy(*partition).orderBy(*order)
     i, k = F.row_number().over(w), float(np.log(decay))
-    logs = F.when(F.col(value) > 0, F.ln(value) - F.col("_i") * k)
+    logs = F.when(F.col(value) > 0, F.struct((F.ln(value) - F.col("_i") * k).alias("log"), F.col("_i").alias("at"), F.col(value).alias("v")))
     run = F.max(logs).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_i", i).withColumn("peak", F.exp(F.greatest(F.coalesce(run + F.col("_i") * k, F.lit(float(np.log(floor))) + F.col("_i") * k), F.lit(float(np.log(floor))) + F.col("_i") * k))).drop("_i")
+    low = F.lit(float(np.log(floor))) + F.col("_i") * k
+    seen = rows.withColumn("_i", i).withColumn("_r", run).withColumn("_p", F.col("_r.log") + F.col("_i") * k)
+    real = F.coalesce(F.col("_p") >= low, F.lit(False))
+    peak = F.when(~real, F.exp(low)).when(F.col("_r.at") == F.col("_i"), F.col("_r.v")).otherwise(F.exp("_p"))
+    return seen.withColumn("peak", peak).withColumn("peak_value", F.when(real, F.col("_r.v"))).withColumn("peak_age", F.when(real, F.col("_i") - F.col("_r.at"))).drop("_i", "_r", "_p")
 
 
 def attack_release(rows: DataFrame, attack: float, release: float, unit: int) -> DataFrame:

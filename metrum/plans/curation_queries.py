@@ -85,7 +85,7 @@ def greedy_gap_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENTS_SQL}, {NUMBERED}, x AS (SELECT *, t - lag(t) OVER (PARTITION BY case_id, event_type ORDER BY place) AS d FROM n)
-    SELECT case_id, count(*) AS tails, count_if(coalesce(d < {2 * HOUR}, false)) AS compressed, count_if(value > 100) AS early, count_if(abs(value) >= 150) AS shifted FROM x WHERE event_id % 3 = 0 GROUP BY 1""")
+    SELECT case_id, count(*) AS tails, count_if(coalesce(d < {2 * HOUR}, false)) AS compressed, count_if(value > 100) AS early, count_if(abs(value) >= 150) AS shifted FROM x WHERE event_type = 'signup' GROUP BY 1""")
 def tail_recovery(spark: SparkSession, sf: str) -> DataFrame:
     """Tails are the rows of one reason; events have none, so their type stands for it: signups."""
     e = adapters.events(spark, sf).select("case_id", place().alias("idx"), F.col("event_type").alias("word"), (F.col("t") / float(HOUR)).alias("h"), "t", "value", (F.col("event_type") == "signup").alias("tail"))
@@ -147,7 +147,7 @@ def oversampled_cadence(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if((F.col("h") + 3) % 16 == 0).alias("due"))
 
 
-@query("""SELECT c_custkey AS custkey, need AS artefact FROM customer CROSS JOIN (SELECT unnest(['O', 'F', 'P']) AS need) WHERE c_custkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = need)""")
+@query("""SELECT c_custkey AS custkey, need AS artefact FROM customer CROSS JOIN (SELECT unnest(['O', 'F', 'P']) AS need) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = need)""")
 def manifest_completeness(spark: SparkSession, sf: str) -> DataFrame:
     """What each case lacks of three required artefacts: one aggregation and one join, then a set difference in the row."""
     have = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("have"))

@@ -39,13 +39,13 @@ def pause_regions(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, b AS (
     SELECT case_id, event_id, t - lag(t) OVER w AS gap, lag(event_type) OVER w AS mark FROM ev WINDOW w AS (PARTITION BY case_id ORDER BY t, event_id))
     SELECT case_id, event_id, gap, coalesce(mark, '') AS mark,
-      (mark = 'error' AND gap >= {9 * HOUR}) OR (mark = 'click' AND gap >= {12 * HOUR}) OR gap >= {24 * HOUR} AS split
+      (mark = 'error' AND gap >= {9 * HOUR}) OR (mark = 'click' AND gap >= {12 * HOUR}) OR gap >= {18 * HOUR} AS split
     FROM b WHERE gap IS NOT NULL""")
 def pause_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps between neighbours, and whether they part regions by the mark before them."""
     b = regions.gaps(adapters.events(spark, sf)).withColumn("mark", F.lag("event_type").over(ordered())).where("gap IS NOT NULL")
     kind = F.when(F.col("mark") == "error", "hard").when(F.col("mark") == "click", "comma").otherwise("")
-    return b.select("case_id", "event_id", "gap", F.coalesce("mark", F.lit("")).alias("mark"), regions.split_rule(kind, F.col("gap"), 9 * HOUR, 12 * HOUR).alias("split"))
+    return b.select("case_id", "event_id", "gap", F.coalesce("mark", F.lit("")).alias("mark"), regions.split_rule(kind, F.col("gap"), 9 * HOUR, 12 * HOUR, 16 * HOUR).alias("split"))
 
 
 OVERLAP = """p AS (SELECT g.case_id, g.region AS idx, p.region AS r, greatest(0, least(g.e, p.e) - greatest(g.s, p.s)) AS shared, g.s AS gs, g.e AS ge, p.s AS ps, p.e AS pe
@@ -127,14 +127,16 @@ def activity_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT case_id, event_id, value, row_number() OVER (PARTITION BY case_id ORDER BY t, event_id) AS i,
       lag(value) OVER (PARTITION BY case_id ORDER BY t, event_id) AS before FROM ev),
-    d AS (SELECT case_id, event_id, i, value, before, greatest(0.995 * 0.0001, value) AS peak FROM r WHERE i = 1
-      UNION ALL SELECT r.case_id, r.event_id, r.i, r.value, r.before, greatest(0.995 * d.peak, r.value) FROM d JOIN r ON r.case_id = d.case_id AND r.i = d.i + 1)
-    SELECT case_id, event_id, round(coalesce(value - before, 0), 6) AS delta, round(greatest(coalesce(value - before, 0), 0), 6) AS flux, round(peak + 0.0000017, 5) AS peak FROM d""")
+    d AS (SELECT case_id, event_id, i, value, before, greatest(0.995 * 0.0001, value) AS peak, CASE WHEN value >= 0.995 * 0.0001 THEN value END AS peak_value, CASE WHEN value >= 0.995 * 0.0001 THEN 0 END AS peak_age FROM r WHERE i = 1
+      UNION ALL SELECT r.case_id, r.event_id, r.i, r.value, r.before, greatest(0.995 * d.peak, r.value), CASE WHEN r.value >= 0.995 * d.peak THEN r.value ELSE d.peak_value END, CASE WHEN r.value >= 0.995 * d.peak THEN 0 ELSE d.peak_age + 1 END
+        FROM d JOIN r ON r.case_id = d.case_id AND r.i = d.i + 1)
+    SELECT case_id, event_id, round(coalesce(value - before, 0), 6) AS delta, round(greatest(coalesce(value - before, 0), 0), 6) AS flux, peak_value, CAST(peak_age AS INTEGER) AS peak_age FROM d""")
 def delta_flux_decay(spark: SparkSession, sf: str) -> DataFrame:
-    """Change from the row before, its positive part, and a running maximum that decays by 0.995 a row."""
+    """Change from the row before, its positive part, and of a running maximum that decays by 0.995 a row the value it
+    comes from and how many rows ago that was, as both are exact where the product is rounded (null: the floor)."""
     d = F.coalesce(F.col("value") - F.lag("value").over(ordered()), F.lit(0.0))
     rows = adapters.events(spark, sf).withColumn("delta", d)
-    return sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["t", "event_id"]).select("case_id", "event_id", F.round("delta", 6).alias("delta"), F.round(F.greatest("delta", F.lit(0.0)), 6).alias("flux"), F.round(F.col("peak") + 0.0000017, 5).alias("peak"))
+    return sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["t", "event_id"]).select("case_id", "event_id", F.round("delta", 6).alias("delta"), F.round(F.greatest("delta", F.lit(0.0)), 6).alias("flux"), "peak_value", "peak_age")
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90,

@@ -54,11 +54,21 @@ def pause_classes(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("role", "pause", "scored").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))
 
 
-@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]{1,6}')) AS token FROM documents), u AS (SELECT ['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'] AS a, ['','','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] AS b),
-    p AS (SELECT token, CAST(token AS BIGINT) AS v, CAST(token AS BIGINT) // 1000 AS th, CAST(token AS BIGINT) % 1000 AS lo FROM n),
-    q AS (SELECT token, v, concat_ws(' ', CASE WHEN th >= 100 THEN a[th // 100 + 1] || ' hundred' END, CASE WHEN th % 100 BETWEEN 1 AND 19 THEN a[th % 100 + 1] WHEN th % 100 >= 20 THEN b[th % 100 // 10 + 1] || CASE WHEN th % 10 > 0 THEN ' ' || a[th % 10 + 1] ELSE '' END END, CASE WHEN th > 0 THEN 'thousand' END,
-      CASE WHEN lo >= 100 THEN a[lo // 100 + 1] || ' hundred' END, CASE WHEN lo % 100 BETWEEN 1 AND 19 THEN a[lo % 100 + 1] WHEN lo % 100 >= 20 THEN b[lo % 100 // 10 + 1] || CASE WHEN lo % 10 > 0 THEN ' ' || a[lo % 10 + 1] ELSE '' END END) AS words FROM p, u)
-    SELECT token, CASE WHEN v = 0 THEN 'zero' ELSE words END AS words FROM q""")
+# A token: letters, digits and apostrophes, with commas and full stops between digits.
+NUMBER_TOKEN = "[A-Za-z0-9'']*[0-9](?:[,.][0-9](?:[A-Za-z0-9'']*[0-9])?)*[A-Za-z0-9'']*"
+
+
+def _spoken(n: str) -> str:
+    """Words of 1 to 999 in SQL; empty for 0."""
+    return f"""concat_ws(' ', CASE WHEN {n} >= 100 THEN a[{n} // 100 + 1] || ' hundred' END, CASE WHEN {n} % 100 BETWEEN 1 AND 19 THEN a[{n} % 100 + 1] WHEN {n} % 100 >= 20 THEN b[{n} % 100 // 10 + 1] || CASE WHEN {n} % 10 > 0 THEN ' ' || a[{n} % 10 + 1] ELSE '' END END)"""
+
+
+@query(f"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{NUMBER_TOKEN}')) AS token FROM documents),
+    u AS (SELECT ['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'] AS a, ['','','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] AS b,
+      ['','tens','twenties','thirties','forties','fifties','sixties','seventies','eighties','nineties'] AS c),
+    p AS (SELECT token, CASE WHEN regexp_full_match(replace(token, ',', ''), '[0-9]{{1,9}}') THEN CAST(replace(token, ',', '') AS BIGINT) END AS v, CASE WHEN regexp_full_match(replace(token, ',', ''), '[1-9][0-9][0-9]0[sS]') THEN CAST(substr(replace(token, ',', ''), 1, 3) AS BIGINT) END AS d FROM n)
+    SELECT token, CASE WHEN v = 0 THEN 'zero' WHEN v < 1000000 THEN concat_ws(' ', CASE WHEN v >= 1000 THEN {_spoken("(v // 1000)")} || ' thousand' END, nullif({_spoken("(v % 1000)")}, ''))
+      WHEN d IS NOT NULL THEN trim({_spoken("(d // 10)")} || ' ' || c[d % 10 + 1]) ELSE token END AS words FROM p, u""")
 def number_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """Whole tokens that have a digit, each as spoken; those that are no numbers or over 999 999 stay as they are."""
     each = table(spark, sf, "documents").select(F.explode(text.whole_tokens(F.col("text"))).alias("token"))
@@ -131,12 +141,12 @@ def prior_heldout_mae(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.sum("k").alias("n"), err("base").alias("base_mae"), err("prior").alias("position_mae"))
 
 
-TURN_WORDS = "c AS (SELECT conv_id, turn, role, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ws FROM conversations WHERE len(regexp_extract_all(lower(text), '[a-z0-9'']+')) > 0)), v AS (SELECT conv_id, turn, i, substr(word, 1, 2) AS base, word AS variant, (conv_id * 1000 + turn) * 100000 + i AS place FROM c WHERE len(word) >= 3)"
+TURN_WORDS = "c AS (SELECT conv_id, turn, role, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ws FROM conversations WHERE len(regexp_extract_all(lower(text), '[a-z0-9'']+')) > 0)), v AS (SELECT conv_id, turn, i, substr(word, 1, 2) AS base, word AS variant, {'c': conv_id, 't': turn, 'i': i} AS place FROM c WHERE len(word) >= 3)"
 
 
 def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(text.words(F.col("text"))).alias("p", "variant"))
-    return c.select("conv_id", "turn", (F.col("p") + 1).alias("i"), "variant", F.substring("variant", 1, 2).alias("base"), ((F.col("conv_id") * 1000 + F.col("turn")) * 100000 + F.col("p") + 1).alias("place"))
+    return c.select("conv_id", "turn", (F.col("p") + 1).alias("i"), "variant", F.substring("variant", 1, 2).alias("base"), F.struct("conv_id", "turn", "p").alias("place"))
 
 
 @query(f"""WITH {TURN_WORDS}, k AS (SELECT base, variant, count(*) AS n, min(place) AS first_place FROM v GROUP BY ALL), t AS (SELECT base, sum(n) AS total FROM k GROUP BY 1),
@@ -145,7 +155,7 @@ def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
 def preference_mining(spark: SparkSession, sf: str) -> DataFrame:
     """The most common variant of each base, the one seen first of several, where it is common enough."""
     k = _turn_words(spark, sf).where(F.length("variant") >= 3).groupBy("base", "variant").agg(F.count("*").alias("n"), F.min("place").alias("at"))
-    b = k.groupBy("base").agg(F.max_by("variant", F.struct(F.col("n"), -F.col("at"))).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).withColumn("share", F.col("n") / F.col("total"))
+    b = k.groupBy("base").agg(F.min_by("variant", F.struct(-F.col("n"), "at")).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).withColumn("share", F.col("n") / F.col("total"))
     return b.where("total >= 5 AND share >= 0.3").withColumn("share", F.round("share", 6))
 
 
@@ -158,7 +168,7 @@ def context_preference(spark: SparkSession, sf: str) -> DataFrame:
     x = _turn_words(spark, sf).where(F.length("variant") >= 3).withColumn("prev", F.lag("variant").over(w)).withColumn("next", F.lead("variant").over(w))
     kinds = F.array_compact(F.array(F.concat(F.lit("prev:"), F.col("prev")), F.concat(F.lit("next:"), F.col("next"))))
     k = x.select("base", "variant", "place", F.explode(kinds).alias("context")).groupBy("base", "context", "variant").agg(F.count("*").alias("n"), F.min("place").alias("at"))
-    return k.groupBy("base", "context").agg(F.max_by("variant", F.struct(F.col("n"), -F.col("at"))).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).where("total >= 4")
+    return k.groupBy("base", "context").agg(F.min_by("variant", F.struct(-F.col("n"), "at")).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).where("total >= 4")
 
 
 @query(f"""WITH {WORDS}, d AS (SELECT word AS entry FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20 AND len(word) >= 2), u AS (SELECT DISTINCT word FROM w),

@@ -24,16 +24,48 @@ def stem(path: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted CSV with doubled quotes; columns by name, with the names they had before; absent ones are null. case_id is
-    the file's stem."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False).withColumn("case_id", stem(F.input_file_name()))
-    wanted = [x.split() for x in schema.split(",")]
+    """Quoted CSV with doubled quotes; columns by the names in each file's own first line, with the names they had before;
+    absent ones are null. case_id is the file's stem."""
+    return numbered_csv(spark, path, schema).drop("row")
+
+
+def numbered_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_csv() with row, the place of a row in its file (from 0)."""
+    first = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.input_file_name().alias("_file"), "value", F.monotonically_increasing_id().alias("_at"))
+    headers = first.groupBy("_file").agg(F.min_by("value", "_at").alias("line"))
+    names = F.transform(F.split(F.regexp_replace("line", '^\ufeff|\r$|"', ""), ","), F.trim)
+    headers = headers.select("_file", names.alias("_names")).cache()
+    width = headers.agg(F.max(F.size("_names"))).first()[0] or 1
+    cells = [f"_c{i}" for i in range(width)]
+    raw = spark.read.csv(path, header=False, quote='"', escape='"', schema=", ".join(f"{c} string" for c in cells))
+    raw = raw.select(F.array(*cells).alias("_cells"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at")).join(headers, "_file")
+    # Data rows follow their file's first row.
+    rows = raw.withColumn("row", F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 2).where("row >= 0")
 
     def pick(name: str, kind: str) -> Column:
-        there = [F.col(n) for n in ALIASES.get(name, (name,)) if n in raw.columns]
-        return (F.coalesce(*there) if there else F.lit(None)).try_cast(kind).alias(name)
+        cell = lambda n: F.get("_cells", F.array_position("_names", n).cast("int") - 1)
+        return F.coalesce(*map(cell, ALIASES.get(name, (name,)))).try_cast(kind).alias(name)
 
-    return raw.select("case_id", *(pick(n, k) for n, k in wanted))
+    return rows.select(stem(F.col("_file")).alias("case_id"), "row", *(pick(n, k) for n, k in (x.split() for x in schema.split(","))))
+
+
+#: Gold tables; a column that a file lacks is null.
+PHONES = "start double, end double, phone string, word string, confidence double, word_index int, region int, phone_index int, sentence_index int, alignment_reason string"
+WORDS = "word_index int, word string, start double, end double, region int, sentence_index int"
+REGIONS = "index int, start double, end double, word_start_index int, word_end_index int, source string"
+
+
+def read_phones(spark: SparkSession, path: str) -> DataFrame:
+    """Gold phones; where phone_index is missing it is the row's place in its file."""
+    return numbered_csv(spark, path, PHONES).withColumn("phone_index", F.coalesce("phone_index", "row")).drop("row")
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    return numbered_csv(spark, path, WORDS).withColumn("word_index", F.coalesce("word_index", "row")).drop("row")
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    return numbered_csv(spark, path, REGIONS).withColumn("index", F.coalesce("index", "row")).drop("row")
 
 
 def write_csv(df: DataFrame, path: str, sentinels: bool = True) -> None:
@@ -103,19 +135,30 @@ def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
     tiers = tiers.select("case_id", F.explode(F.slice("items", F.lit(2), F.size("items"))).alias("tier"))
     named = tiers.select("case_id", F.regexp_extract("tier", r'name = "([^"]*)"', 1).alias("tier"), F.split("tier", r"intervals \[[0-9]+\]:?").alias("parts"))
     rows = named.select("case_id", "tier", F.posexplode(F.slice(F.col("parts"), F.lit(2), F.greatest(F.size("parts"), F.lit(1)))).alias("place", "i"))
-    number = lambda n: F.regexp_extract("i", rf"{n} = (-?[0-9.]+)", 1).try_cast("double")
+    number = lambda n: F.regexp_extract("i", rf"{n} = (-?[0-9.]+(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double")
     return rows.select("case_id", "tier", "place", number("xmin").alias("start"), number("xmax").alias("end"), F.replace(F.regexp_extract("i", r'text = "((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"')).alias("text"))
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
-    """(case_id, pairs): lines `key=value`; the first `=` parts them, the last line of a key wins."""
-    t = spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("case_id"), F.regexp_replace("value", "^﻿", "").alias("v"))
-    lines = F.filter(F.split("v", r"\r?\n"), lambda x: F.instr(x, "=") > 1)
+    """(case_id, pairs): lines `key=value`; the first `=` parts them, the last line of a key wins. Files are UTF-16 where a
+    byte order mark says so, else UTF-8; text that was UTF-8 read as Windows-1252 is put right."""
+    raw = spark.read.format("binaryFile").load(path).select(stem(F.col("path")).alias("case_id"), "content")
+    head = F.hex(F.substring("content", 1, 2))
+    text = F.when(head.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8"))
+    t = raw.select("case_id", F.regexp_replace(text, "^\ufeff", "").alias("v"))
+    mended = F.col("v")
+    for right in MANGLED:
+        mended = F.replace(mended, F.lit(right.encode().decode("cp1252", "replace")), F.lit(right))
+    lines = F.filter(F.split(mended, r"\r?\n"), lambda x: F.instr(x, "=") > 1)
     entry = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
     last = F.filter(entry, lambda e, i: ~F.exists(F.slice(entry, i + 2, F.size(entry)), lambda later: later["k"] == e["k"]))
     return t.select("case_id", F.map_from_entries(last).alias("pairs"))
 
 
+#: Characters that come mangled when UTF-8 is read as Windows-1252.
+MANGLED = "’‘“–—…é"
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(word, variant, phones): comments `;;;` and `#` go, `(n)` marks are dropped, leading probabilities are dropped,
     equal phones of a word come once, in the order of the file."""

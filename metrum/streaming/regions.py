@@ -8,7 +8,6 @@ them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from metrum.session import shared_folder
+
 OUT = "case_id long, region int, start_us long, end_us long, n_events long"
 STATE = "region int, first long, last long, n long"
 
@@ -28,13 +29,14 @@ def detect(events: DataFrame, gap: int, hold: int, watermark: str = "0 seconds")
         out = []
         region, first, last, n = state.get if state.exists else (-1, 0, 0, 0)
         if state.hasTimedOut:
-            state.remove()
+            # The number stays, so that the case's next region has the next one; n = 0 says that none is open.
+            state.update((region, first, last, 0))
             yield pd.DataFrame([(key[0], region, first, last + hold, n)], columns=["case_id", "region", "start_us", "end_us", "n_events"])
             return
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"], kind="stable")
         for t in rows["t"].tolist():
-            if region < 0 or t - last >= gap:
-                if region >= 0:
+            if n == 0 or t - last >= gap:
+                if n > 0:
                     out.append((key[0], region, first, last + hold, n))
                 region, first, n = region + 1, t, 0
             last, n = t, n + 1
@@ -47,17 +49,17 @@ def detect(events: DataFrame, gap: int, hold: int, watermark: str = "0 seconds")
     return stream.groupBy("case_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def regions_of_table(spark: SparkSession, path: str, gap: int, hold: int) -> DataFrame:
-    """The stream over a table read to its end: closed regions from the sink, and the open one of each case from its last
-    events. A stream that ends closes nothing by itself, so what is open is what came after the last closed region."""
+def regions_of_table(spark: SparkSession, path: str, gap: int, hold: int, watermark: str = "0 seconds") -> DataFrame:
+    """The stream over a table read to its end: closed regions from the sink, and those that are open at the end, as no
+    gap has passed since their last events, from these events. watermark: how much later than later rows a row may come;
+    one micro-batch, as of up to 1000 files, is sorted whatever its rows' order."""
     schema = spark.read.parquet(path).schema
     source = path.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", source[1]).parquet(source[0] if source[1].endswith(".parquet") else path)
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
     shaped = lambda d: d.select(F.col("user_id").alias("case_id"), "event_id", micros.alias("t"), F.timestamp_micros(micros).alias("at"))
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="metrum-")).rstrip("/")
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
-    run = detect(shaped(stream), gap, hold, "365 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = detect(shaped(stream), gap, hold, watermark).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     run.awaitTermination()
     closed = spark.read.schema(OUT).parquet(f"{folder}/out")
     ends = closed.groupBy("case_id").agg(F.max("region").alias("r"), F.max("end_us").alias("e"))

@@ -42,6 +42,7 @@ def test_tokens_and_marks(spark):
     assert [r.word for r in got] == ["Well", "it's", "1,234.5", "a", "re", "run", "Yes"]
     df = spark.createDataFrame([(r.tail,) for r in got], "tail string")
     assert [r[0] for r in df.select(text.mark_of(F.col("tail"))).collect()] == [",", "", "-", "", "", ".", "!"]
+    assert one(spark, text.mark_of(F.lit("!\n?")), text.mark_of(F.lit(",\n , ")))[:] == ("?", ",")
     assert one(spark, text.text_key(F.lit("Ça VA, it's 5!")), text.vowel_runs(F.lit("rhythms"))).asDict() == {"c0": "a va it's 5", "c1": 1}
 
 
@@ -74,7 +75,8 @@ def test_range_join_equals_theta_join(spark):
 
 def test_split_rule(spark):
     df = spark.createDataFrame([("hard", 90, True), ("hard", 89, False), ("comma", 120, True), ("comma", 119, False), ("", 240, True), ("", 239, False), (None, 239, False)], "m string, g long, want boolean")
-    assert df.where(regions.split_rule(F.col("m"), F.col("g"), 90, 120) != F.col("want")).count() == 0
+    assert df.where(regions.split_rule(F.col("m"), F.col("g"), 90, 120, 240) != F.col("want")).count() == 0
+    assert one(spark, regions.split_rule(F.lit(""), F.lit(350), 90, 200, 240), regions.split_rule(F.lit(""), F.lit(299), 90, 200, 240))[:] == (True, False)
 
 
 def test_grid_and_interpolation(spark):
@@ -218,3 +220,33 @@ def test_pause_classes(spark):
     assert run("a, b, and c.") == [("soft_list", "list_comma", 0.04), ("soft_list", "standard_comma", 0.04), ("none", "none", 0.0), ("hard_break", "hard_stop", 0.2)]
     assert run("well, I think so.")[0] == ("hard_break", "standard_comma", 0.2)
     assert run("x, y. p; q") == [("hard_break", "other_comma", 0.2), ("hard_break", "hard_stop", 0.2), ("hard_break", "semicolon", 0.2), ("none", "none", 0.0)]
+
+
+def test_csv_files_have_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("phone_index,word,start\n3,x,0.5\n")
+    (tmp_path / "b.csv").write_text('﻿word,word_phone_index,start\n"a, b",1,0.25\ny,,1e-3\n')
+    (tmp_path / "c.csv").write_text("word\nz\nw\n")
+    got = sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "*.csv"), "phone_index int, word string, start double").collect())
+    assert sorted(got, key=repr) == sorted([("a", 3, "x", 0.5), ("b", 1, "a, b", 0.25), ("b", None, "y", 0.001), ("c", None, "z", None), ("c", None, "w", None)], key=repr)
+    assert [(r.word, r.phone_index) for r in files.read_phones(spark, str(tmp_path / "c.csv")).orderBy("phone_index").collect()] == [("z", 0), ("w", 1)]
+
+
+def test_textgrid_exponents_and_mangled_metadata(spark, tmp_path):
+    (tmp_path / "a.TextGrid").write_text('item [1]:\n  name = "w"\n  intervals [1]:\n   xmin = 1e-05\n   xmax = 2.5E+1\n   text = "x"\n')
+    assert tuple(files.read_textgrid(spark, str(tmp_path / "a.TextGrid")).first())[3:5] == (1e-05, 25.0)
+    (tmp_path / "u.meta").write_bytes("k=vé\r\nz=1\r\n".encode("utf-16"))
+    (tmp_path / "m.meta").write_bytes(("k=it" + "’".encode().decode("cp1252") + "s").encode())
+    assert files.read_key_values(spark, str(tmp_path / "u.meta")).first().pairs == {"k": "vé", "z": "1"}
+    assert files.read_key_values(spark, str(tmp_path / "m.meta")).first().pairs == {"k": "it’s"}
+
+
+def test_decaying_maximum(spark):
+    rng = random.Random(3)
+    v = [rng.choice([0.0, rng.random() * 10]) for _ in range(300)]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "case_id int, i int, value double")
+    peak, want = 1e-4, []
+    for x in v:
+        peak = max(0.995 * peak, x)
+        want.append(peak)
+    got = sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["i"]).orderBy("i").collect()
+    assert [r.peak for r in got] == pytest.approx(want, rel=1e-12) and all(r.peak_value is None or r.peak_value == v[r.i - r.peak_age] for r in got)
