@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from metrum.functions import hashing
 from metrum.operators import curation, frames, gates, phones
 from metrum.plans import adapters
-from metrum.plans.adapters import EVENTS_SQL, HOUR
+from metrum.plans.adapters import EVENTS_SQL, GOLD_SQL, HOUR, PRED_SQL
 from metrum.plans.text_queries import WORDS, words
 from metrum.session import table
 
@@ -73,7 +73,16 @@ def silence_insertion(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("case_id").agg(F.count("*").alias("tokens"), F.count_if("silence").alias("silences"), only("centre").alias("centres"), only("duration").alias("durations"))
 
 
-@query(None)
+def _gap_rows(name: str) -> str:
+    return f"""(SELECT case_id, region AS idx, e AS gs, nx AS ge, row_number() OVER (PARTITION BY case_id ORDER BY region) AS p FROM (SELECT case_id, region, e, lead(s) OVER (PARTITION BY case_id ORDER BY region) AS nx FROM {name}) WHERE nx > e)"""
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {GOLD_SQL}, {PRED_SQL}, x AS {_gap_rows("gold")}, y AS {_gap_rows("pred")},
+    near AS (SELECT x.case_id, x.p, list({{'d': abs((y.gs + y.ge) / 2e0 - (x.gs + x.ge) / 2e0), 'j': y.p}} ORDER BY abs((y.gs + y.ge) / 2e0 - (x.gs + x.ge) / 2e0), y.p) AS c FROM x JOIN y ON y.case_id = x.case_id AND (least(x.ge, y.ge) > greatest(x.gs, y.gs) OR abs((y.gs + y.ge) / 2e0 - (x.gs + x.ge) / 2e0) <= {HOUR}) GROUP BY ALL),
+    m AS (SELECT case_id, 0::BIGINT AS p, []::BIGINT[] AS used, NULL::BIGINT AS j FROM (SELECT DISTINCT case_id FROM x)
+      UNION ALL SELECT m.case_id, x.p, CASE WHEN list_filter(n.c, lambda k: NOT list_contains(m.used, k.j))[1] IS NULL THEN m.used ELSE list_append(m.used, list_filter(n.c, lambda k: NOT list_contains(m.used, k.j))[1].j) END, list_filter(n.c, lambda k: NOT list_contains(m.used, k.j))[1].j
+        FROM m JOIN x ON x.case_id = m.case_id AND x.p = m.p + 1 LEFT JOIN near n ON n.case_id = x.case_id AND n.p = x.p)
+    SELECT m.case_id, CAST(x.idx AS BIGINT) AS expected, CAST(y.idx AS BIGINT) AS found FROM m JOIN x ON x.case_id = m.case_id AND x.p = m.p JOIN y ON y.case_id = m.case_id AND y.p = m.j""")
 def greedy_gap_match(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps between gold regions against gaps between predicted ones."""
 
@@ -117,7 +126,18 @@ def standardized_bands(spark: SparkSession, sf: str) -> DataFrame:
     return frames.band_max(z, "value", 4, ["case_id"], ["t", "event_id"]).select("case_id", "event_id", F.round("value", 6).alias("z"), F.round("band", 6).alias("band"), F.round(frames.sigmoid(F.col("value")), 6).alias("p"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, f AS (SELECT case_id, event_id AS frame, row_number() OVER (PARTITION BY case_id ORDER BY event_id) AS i, 1 / (1 + exp(-value / 50.0)) >= 0.45 AS active FROM ev),
+    d AS (SELECT case_id, frame, i, active, CASE WHEN active THEN 1 ELSE 0 END AS run, 0 AS quiet, false AS inside, -1 AS region, NULL::BIGINT AS opened, frame AS began FROM f WHERE i = 1
+      UNION ALL SELECT f.case_id, f.frame, f.i, f.active,
+        CASE WHEN d.inside THEN (CASE WHEN NOT f.active AND d.quiet + 1 >= 12 THEN 0 ELSE d.run END) WHEN f.active THEN d.run + 1 ELSE 0 END,
+        CASE WHEN d.inside AND NOT f.active THEN d.quiet + 1 ELSE 0 END,
+        CASE WHEN d.inside THEN f.active OR d.quiet + 1 < 12 ELSE f.active AND d.run + 1 >= 2 END,
+        CASE WHEN NOT d.inside AND f.active AND d.run + 1 >= 2 THEN d.region + 1 ELSE d.region END,
+        CASE WHEN NOT d.inside AND f.active AND d.run + 1 >= 2 THEN d.began ELSE d.opened END,
+        CASE WHEN NOT d.inside AND f.active AND d.run = 0 THEN f.frame ELSE d.began END FROM d JOIN f ON f.case_id = d.case_id AND f.i = d.i + 1),
+    p AS (SELECT *, lag(inside) OVER w AS was, lag(quiet) OVER w AS before FROM d WINDOW w AS (PARTITION BY case_id ORDER BY i))
+    SELECT case_id, CAST(region AS INTEGER) AS region, max(opened) AS first, max(frame) FILTER (active) AS last, CAST(count(*) FILTER (active AND was AND before > 0) AS INTEGER) AS reopened, count(*) FILTER (NOT inside) > 0 AS ended
+    FROM p WHERE region >= 0 AND (inside OR was) GROUP BY case_id, region""")
 def hysteresis_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions of frames by hysteresis: open after two active frames, closed after twelve quiet ones."""
     f = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), (frames.sigmoid(F.col("value") / 50.0) >= 0.45).alias("active"))

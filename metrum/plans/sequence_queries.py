@@ -50,15 +50,44 @@ def span_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.align_regions(adapters.gold(spark, sf), adapters.predicted(spark, sf))
 
 
-@query(None)
+# The best scores of all states after each frame, and which of them came from the state before. A path is read back from its
+# last state; a frame is committed from what is known LAG frames later, within one state of the frame before.
+STATES, LAG = 6, 30
+DECODE_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, f AS (SELECT case_id, event_id AS frame, row_number() OVER (PARTITION BY case_id ORDER BY event_id) AS i, value, min(value) OVER (PARTITION BY case_id) AS lo, max(value) OVER (PARTITION BY case_id) AS hi, count(*) OVER (PARTITION BY case_id) AS n FROM ev),
+    raw AS (SELECT *, list_transform(range({STATES}), lambda j: -abs(value - (lo + (hi - lo) * j / {STATES - 1})) / (hi - lo + 1e-9)) AS x FROM f),
+    sc AS (SELECT case_id, frame, i, n, list_transform(x, lambda a: a - list_max(x) - ln(greatest(list_sum(list_transform(x, lambda b: exp(b - list_max(x)))), 1e-12))) AS s FROM raw),
+    d AS (SELECT case_id, i, list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN j = 1 THEN s[1] ELSE '-infinity'::DOUBLE END) AS best, list_transform(range({STATES}), lambda j: 0) AS back FROM sc WHERE i = 1
+      UNION ALL SELECT sc.case_id, sc.i,
+        list_transform(range(1, {STATES + 1}), lambda j: greatest(d.best[j] + ln(0.8), CASE WHEN j = 1 THEN '-infinity'::DOUBLE ELSE d.best[j - 1] + ln(0.2) END) + sc.s[j]),
+        list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN j > 1 AND d.best[j - 1] + ln(0.2) > d.best[j] + ln(0.8) THEN 1 ELSE 0 END)
+      FROM d JOIN sc ON sc.case_id = d.case_id AND sc.i = d.i + 1)"""
+
+
+@query(f"""{DECODE_SQL}, n AS (SELECT case_id, max(i) AS n FROM d GROUP BY 1), ends AS (SELECT d.case_id, d.i AS upto, n.n, list_position(best, list_max(best)) AS state FROM d JOIN n ON n.case_id = d.case_id),
+    walk AS (SELECT case_id, upto, n, upto AS i, state FROM ends UNION ALL SELECT w.case_id, w.upto, w.n, w.i - 1, w.state - d.back[w.state] FROM walk w JOIN d ON d.case_id = w.case_id AND d.i = w.i WHERE w.i > 1 AND (w.upto - w.i < {LAG} OR w.upto = w.n)),
+    off AS (SELECT case_id, i, state - 1 AS offline FROM walk WHERE upto = n),
+    seen AS (SELECT case_id, i, state - 1 AS want FROM walk WHERE upto = least(i + {LAG}, n)),
+    com AS (SELECT case_id, i, want AS committed FROM seen WHERE i = 1 UNION ALL SELECT s.case_id, s.i, least(greatest(s.want, c.committed), c.committed + 1) FROM com c JOIN seen s ON s.case_id = c.case_id AND s.i = c.i + 1)
+    SELECT f.case_id, f.frame, CAST(off.offline AS INTEGER) AS offline, CAST(com.committed AS INTEGER) AS committed FROM f JOIN off ON off.case_id = f.case_id AND off.i = f.i JOIN com ON com.case_id = f.case_id AND com.i = f.i""")
 def fixed_lag_viterbi(spark: SparkSession, sf: str) -> DataFrame:
     frames = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), "value")
     return alignment.decode_cases(frames, 6, 30)
 
 
-@query(None)
+BANDS = [1.0, 2.0, 4.0, 8.0, 16.0, 24.0]
+
+
+@query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, len(embedding) AS n FROM embeddings WHERE len(embedding) > 1),
+    h AS (SELECT *, list_transform(x, lambda a, i: a * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / (n - 1)))) AS w FROM v),
+    e AS (SELECT *, list_transform({BANDS}::DOUBLE[], lambda b: (pow(list_sum(list_transform(w, lambda a, i: a * cos(2 * pi() * (i - 1) * b / n))), 2) + pow(list_sum(list_transform(w, lambda a, i: a * sin(2 * pi() * (i - 1) * b / n))), 2)) / n) AS energies FROM h),
+    lags AS (SELECT vec_id, max(CASE WHEN aa * bb > 0 THEN greatest(ab / sqrt(aa * bb), 0) ELSE 0 END) AS periodicity FROM (SELECT vec_id, list_inner_product(x[:n-k], x[k+1:]) AS ab, list_inner_product(x[:n-k], x[:n-k]) AS aa, list_inner_product(x[k+1:], x[k+1:]) AS bb FROM (SELECT *, unnest(range(2, least(16, n - 1) + 1)) AS k FROM v)) GROUP BY 1)
+    SELECT e.vec_id, round(sqrt(list_inner_product(x, x) / n), 6) AS rms, len(list_filter(range(1, n), lambda i: (x[i] < 0) <> (x[i + 1] < 0))) AS zero_crossings, round(list_sum(energies), 6) AS energy, round(list_inner_product(energies, {BANDS}::DOUBLE[]) / greatest(list_sum(energies), 1e-12), 6) AS centroid,
+      round(exp(list_avg(list_transform(energies, lambda a: ln(greatest(a, 1e-12))))) / greatest(list_avg(energies), 1e-12), 6) AS flatness, len(list_filter(range(1, len(energies) + 1), lambda i: list_sum(energies[1:i]) < 0.85 * greatest(list_sum(energies), 1e-12))) AS rolloff, round(periodicity, 6) AS periodicity
+    FROM e JOIN lags ON lags.vec_id = e.vec_id""")
 def goertzel_features(spark: SparkSession, sf: str) -> DataFrame:
-    return signal.features(table(spark, sf, "embeddings"), "vec_id", "embedding", [1.0, 2.0, 4.0, 8.0, 16.0, 24.0])
+    f = signal.features(table(spark, sf, "embeddings"), "vec_id", "embedding", BANDS)
+    r = lambda c: F.round(c, 6)
+    return f.select("vec_id", r("rms").alias("rms"), "zero_crossings", r(F.aggregate("energies", F.lit(0.0), lambda a, x: a + x)).alias("energy"), r("centroid").alias("centroid"), r("flatness").alias("flatness"), "rolloff", r("periodicity").alias("periodicity"))
 
 
 @query(f"WITH {EVENTS_SQL}, {GOLD_SQL} SELECT case_id, region, s AS start_us, e AS end_us, n AS n_events FROM gold")
