@@ -21,6 +21,22 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(byte, F.lit(FNV_OFFSET).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK32).cast("long")))
 
 
+def fnv1a64(text: Column) -> Column:
+    """FNV-1a of 64 bits over the UTF-8 bytes, as its unsigned halves (high, low). The prime is 2^40 + 435, so a step is
+    shifts and short products of the halves, and nothing overflows."""
+    hexed = F.hex(F.encode(text, "UTF-8"))
+    long_ = lambda x: F.lit(x).cast("long")
+    byte = F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2)), lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["low"].bitwiseXOR(b)
+        product = low * long_(435)
+        high = h["high"] * long_(435) + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(long_(MASK32)).alias("high"), product.bitwiseAND(long_(MASK32)).alias("low"))
+
+    return F.aggregate(byte, F.struct(long_(0xCBF29CE4).alias("high"), long_(0x84222325).alias("low")), step)
+
+
 def split_75_10_15(group: Column, namespace: str = "timing") -> Column:
     """train, validation or test by the SHA-256 of namespace, NUL and group."""
     p = hex_number(F.sha2(F.concat(F.lit(namespace), F.lit("\0"), group), 256)) % 100

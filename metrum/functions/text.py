@@ -89,3 +89,23 @@ def expand_number(token: Column) -> Column:
     named = F.trim(F.concat_ws(" ", _below_1000(F.floor(decade.cast("int") / 10)), _word(DECADES, decade.cast("int") % 10)))
     number = F.when(F.length(plain) <= 9, plain.cast("long"))
     return F.when(plain.rlike("^[0-9]{1,9}$") & (number < 1_000_000), cardinal(number)).when(decade != "", named).otherwise(token)
+
+
+def sanitise(c: Column) -> Column:
+    """Runs of anything but ASCII letters and digits as one underscore."""
+    return F.regexp_replace(c, "[^A-Za-z0-9]+", "_")
+
+
+def log_key(c: Column) -> Column:
+    """Lower case, letters and digits alone."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def truth(c: Column) -> Column:
+    """Whether a string says 1, true or yes, in either case; null for null."""
+    return F.lower(F.trim(c)).isin("1", "true", "yes")
+
+
+def number(c: Column, kind: str, default: float) -> Column:
+    """A string as a number; the default where it is none."""
+    return F.coalesce(F.trim(c).try_cast(kind), F.lit(default).cast(kind))

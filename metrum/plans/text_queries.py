@@ -38,14 +38,32 @@ def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return each.groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
-@query(None)
+# A token and what follows it up to the next; and of that the place of the last hard mark, a hyphen only between white space.
+TOKEN_SQL = "([A-Za-z0-9'']*[0-9](?:[,.][0-9](?:[A-Za-z0-9'']*[0-9])?)*[A-Za-z0-9'']*|[A-Za-z0-9'']+)([^A-Za-z0-9'']*)"
+MARKED_SQL = f"""tk AS (SELECT conv_id, turn, role, row_number() OVER () AS row_, coalesce(text, '') AS body FROM conversations),
+    tl AS (SELECT conv_id, turn, role, row_, generate_subscripts(ws, 1) AS i, lower(unnest(ws)) AS word, string_split(unnest(ts), '') AS c FROM (SELECT *, regexp_extract_all(body, '{TOKEN_SQL}', 1) AS ws, regexp_extract_all(body, '{TOKEN_SQL}', 2) AS ts FROM tk) WHERE len(ws) > 0),
+    at_ AS (SELECT *, list_filter(range(1, len(c) + 1), lambda k: c[k] IN ('.', '!', '?', ':', ';', '–', '—') OR c[k] = '-' AND k > 1 AND k < len(c) AND regexp_matches(c[k - 1], '^\\s$') AND regexp_matches(c[k + 1], '^\\s$')) AS hard, list_filter(range(1, len(c) + 1), lambda k: c[k] = ',') AS commas FROM tl),
+    mk AS (SELECT *, CASE WHEN len(hard) > 0 THEN c[hard[len(hard)]] WHEN len(commas) > 0 THEN ',' ELSE '' END AS mark FROM at_)"""
+
+
+@query(f"""WITH {MARKED_SQL} SELECT role, CASE mark WHEN '' THEN 'none' WHEN ',' THEN 'comma' WHEN '.' THEN 'period' WHEN '!' THEN 'exclamation' WHEN '?' THEN 'question' WHEN ':' THEN 'colon' WHEN ';' THEN 'semicolon' ELSE 'dash' END AS class, count(*) AS n FROM mk GROUP BY ALL""")
 def token_boundary_class(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of conversations by the class of the mark that follows them."""
     t = table(spark, sf, "conversations").select("role", F.explode(text.tokens_and_tails(F.coalesce("text", F.lit("")))).alias("t"))
     return t.select("role", text.mark_class(text.mark_of(F.col("t.tail"))).alias("class")).groupBy("role", "class").agg(F.count("*").alias("n"))
 
 
-@query(None)
+STARTERS_SQL = ", ".join(f"'{w}'" for w in text.CLAUSE_STARTERS)
+
+
+@query(f"""WITH {MARKED_SQL}, st AS (SELECT *, mark IN ('.', '!', '?', ':', ';', '-', '–', '—') AS is_hard, lead(word) OVER w AS nw FROM mk WINDOW w AS (PARTITION BY row_ ORDER BY i)),
+    se AS (SELECT *, coalesce(sum(CASE WHEN is_hard THEN 1 ELSE 0 END) OVER (PARTITION BY row_ ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM st),
+    co AS (SELECT *, count(*) FILTER (mark = ',') OVER (PARTITION BY row_, sentence) AS commas_, coalesce(bool_or(word IN ('and', 'or')) OVER (PARTITION BY row_, sentence ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS joined,
+      min(CASE WHEN mark <> '' THEN i END) OVER (PARTITION BY row_ ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM se),
+    cl AS (SELECT co.*, n.mark AS later_mark, (commas_ >= 2 OR joined) AND NOT coalesce(nw IN ({STARTERS_SQL}), false) AS soft FROM co LEFT JOIN mk n ON n.row_ = co.row_ AND n.i = co.later),
+    pc AS (SELECT role, CASE WHEN is_hard OR mark = ',' AND NOT soft THEN 'hard_break' WHEN mark = ',' THEN 'soft_list' ELSE 'none' END AS pause,
+      CASE WHEN mark = ',' THEN CASE WHEN later IS NULL OR later > i + 1 THEN 'standard_comma' WHEN later_mark = ',' THEN 'list_comma' ELSE 'other_comma' END WHEN mark IN ('.', '!', '?') THEN 'hard_stop' WHEN mark = ';' THEN 'semicolon' WHEN mark = ':' THEN 'colon' WHEN mark = '' THEN 'none' ELSE 'other' END AS scored FROM cl)
+    SELECT role, pause, scored, count(*) AS n, round(sum(CASE pause WHEN 'hard_break' THEN 0.2 WHEN 'soft_list' THEN 0.04 ELSE 0.0 END), 3) AS seconds FROM pc GROUP BY ALL""")
 def pause_classes(spark: SparkSession, sf: str) -> DataFrame:
     """How turns pause: the planner's class, the scorecard's class and the expected seconds, by role."""
     t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(text.tokens_and_tails(F.coalesce("text", F.lit("")))).alias("i", "t"))
@@ -198,3 +216,21 @@ def risk_ranking_topn(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     risk = 5 * one(F.col("toxic") == 1) + 3 * one(F.col("quality") == 0) + F.coalesce("short", F.lit(0))
     return f.select("doc_id", "source", risk.alias("risk")).orderBy(F.desc("risk"), "doc_id").limit(25)
+
+
+@query("""WITH d AS (SELECT DISTINCT c_name AS name FROM customer UNION SELECT DISTINCT p_name FROM part), b AS (SELECT name, list_transform(range(1, strlen(name) + 1), lambda i: CAST(ord(substr(name, i, 1)) AS HUGEINT)) AS bytes FROM d),
+    h AS (SELECT name, list_reduce(list_prepend(CAST('14695981039346656037' AS HUGEINT), bytes), lambda h, x: (xor(h, x) * 1099511628211) % CAST('18446744073709551616' AS HUGEINT)) AS h FROM b)
+    SELECT name, CAST(h // 4294967296 AS BIGINT) AS high, CAST(h % 4294967296 AS BIGINT) AS low, regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g') AS sanitised, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS log_key FROM h""")
+def name_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """FNV-1a of 64 bits in two halves, and names as file tokens and as keys of logs."""
+    names = table(spark, sf, "customer").select(F.col("c_name").alias("name")).union(table(spark, sf, "part").select("p_name")).distinct()
+    h = hashing.fnv1a64(F.col("name"))
+    return names.select("name", h["high"].alias("high"), h["low"].alias("low"), text.sanitise(F.col("name")).alias("sanitised"), text.log_key(F.col("name")).alias("log_key"))
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS nested, lower(json_extract_string(props, '$.k')) IN ('1', 'true', 'yes') AS flag, coalesce(TRY_CAST(event_type AS DOUBLE), 0.5) AS number FROM events WHERE props IS NOT NULL""")
+def json_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of JSON by path, with defaults for what is missing or no number."""
+    e = table(spark, sf, "events").where("props IS NOT NULL")
+    k = F.get_json_object("props", "$.k")
+    return e.select("event_id", text.number(k, "bigint", -1).alias("k"), F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("nested"), text.truth(k).alias("flag"), text.number(F.col("event_type"), "double", 0.5).alias("number"))

@@ -75,6 +75,40 @@ def write_csv(df: DataFrame, path: str, sentinels: bool = True) -> None:
     df.write.csv(path, header=True, quote='"', escape='"', mode="overwrite", emptyValue="")
 
 
+# The columns of the tables that are exported, in order.
+SINKS = {
+    "visemes": "start double, end double, pose string, phone string, word string, confidence double, word_index int, speech_region_index int, sentence_index int, source_phone string, source_phone_index int, alignment_reason string",
+    "phones": "start double, end double, phone string, word string, confidence double, word_index int, speech_region_index int, phone_index int, sentence_index int, alignment_reason string",
+    "words": "word_index int, word string, start double, end double, speech_region_index int, sentence_index int",
+    "speech": "index int, start double, end double, word_start_index int, word_end_index int, source string",
+    "boundaries": "word_index int, word string, next_word_index int, next_word string, mark string, mark_sequence string, pause_class string, split_applied int, split_reason string, direct_word_gap_seconds double, phone_gap_seconds double, wave_silence_seconds double, acoustic_gap_seconds double, speech_region_index_before int, speech_region_index_after int",
+    "planned": "index int, pose string, word string, word_index int, text_sentence_index int, text_center_norm double, strength double, source_phone string, lexical_stress int, source_phone_index int, visual_role string, renderable int, generator string",
+    "regions": "index int, start double, end double, last_speech double, started int, ended int, provisional_end double, end_decision string, reopen_count int, end_reason string",
+    "word_onsets": "word_index int, word string, gold_word_start double, gold_word_end double, first_gold_pose string, first_gold_start double, first_event_pose string, first_event_start double, detected_word_start double, detected_word_start_mapped double, error_ms double, missing_event int",
+}
+
+
+def write_sink(df: DataFrame, kind: str, path: str) -> None:
+    """One of the exported tables as CSV, a folder for each case_id: its columns in order and of its types, absent ones as
+    sentinels, flags as 0 and 1, rows in the order of their first column."""
+    columns = [x.split() for x in SINKS[kind].split(", ")]
+    kinds = dict(df.dtypes)
+    pick = lambda n, t: (F.col(n).cast("int").cast(t) if kinds.get(n) == "boolean" else F.col(n).cast(t)) if n in kinds else F.lit(None).cast(t)
+    blank = lambda t: F.lit("" if t == "string" else -1).cast(t)
+    rows = df.select("case_id", *(F.coalesce(pick(n, t), blank(t)).alias(n) for n, t in columns))
+    rows.repartition("case_id").sortWithinPartitions("case_id", columns[0][0]).write.partitionBy("case_id").csv(path, header=True, quote='"', escape='"', mode="overwrite", emptyValue="")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines; nulls are left out."""
+    df.write.json(path, mode="overwrite")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, one a line or over many lines; fields that a document lacks are null."""
+    return spark.read.json(path, schema=schema, multiLine=True) if path.endswith(".json") else spark.read.json(path, schema=schema)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, text): whole files, without a byte order mark, trimmed."""
     return spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("case_id"), F.trim(F.regexp_replace("value", "^﻿", "")).alias("text"))

@@ -250,3 +250,51 @@ def test_decaying_maximum(spark):
         want.append(peak)
     got = sampling.decaying_max(rows, "value", 0.995, 1e-4, ["case_id"], ["i"]).orderBy("i").collect()
     assert [r.peak for r in got] == pytest.approx(want, rel=1e-12) and all(r.peak_value is None or r.peak_value == v[r.i - r.peak_age] for r in got)
+
+
+def test_sinks_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", 1, "b, c", True), ("c1", 0, None, False), ("c2", 0, 'say "x"', None)], "case_id string, word_index int, word string, split_applied boolean")
+    files.write_sink(rows, "boundaries", str(tmp_path / "b"))
+    lines = next((tmp_path / "b" / "case_id=c1").glob("*.csv")).read_text().splitlines()
+    assert lines[0] == ",".join(x.split()[0] for x in files.SINKS["boundaries"].split(", ")) and lines[1].startswith("0,,-1,") and lines[2].startswith('1,"b, c",-1,,,,,1,')
+    back = files.read_csv(spark, str(tmp_path / "b" / "case_id=c2"), "word string, split_applied int").first()
+    assert (back.word, back.split_applied) == ('say "x"', -1)
+    files.write_json(rows, str(tmp_path / "j"))
+    assert files.read_json(spark, str(tmp_path / "j"), "word_index int, word string").where("word IS NULL").count() == 1
+    (tmp_path / "one.json").write_text('{\n  "a": {"b": 2},\n  "c": [1, 2]\n}\n')
+    assert files.read_json(spark, str(tmp_path / "one.json"), "a struct<b:int>, c array<int>, d string").first() == ((2,), [1, 2], None)
+
+
+def test_fnv64(spark):
+    def fnv(b):
+        h = 14695981039346656037
+        for x in b:
+            h = (h ^ x) * 1099511628211 % 2**64
+        return h
+
+    for t in ("", "a", "foobar", "é" * 50):
+        r = one(spark, hashing.fnv1a64(F.lit(t)))[0]
+        assert r.high * 2**32 + r.low == fnv(t.encode())
+    assert one(spark, text.truth(F.lit(" Yes")), text.truth(F.lit("2")), text.number(F.lit("x"), "int", 7), text.sanitise(F.lit("a - b!")))[:] == (True, False, 7, "a_b_")
+
+
+def test_drafting_edges(spark):
+    from metrum.operators import drafting
+
+    spans = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 20, 20), (1, 2, 50, 60)], "case_id long, idx long, start long, end long")
+    found = spark.createDataFrame([(1, 0, 5, 20), (1, 1, 20, 30)], "case_id long, r_idx int, r_start long, r_end long")
+    assert {r.idx: r.match for r in drafting.region_of_span(spans, found, 7).collect()} == {0: 0, 1: 1, 2: -1}
+    w = spark.createDataFrame([(1, i, c == "x", 12) for i, c in enumerate("x..x....x...")], "case_id long, i long, active boolean, n long")
+    # Gaps of two and four quiet windows: four end a region; the last region's three quiet ones do not.
+    got = [(r.start, r.end) for r in drafting.active_regions(w, 10, 4, 2, 0, 0, 0).orderBy("region").collect()]
+    assert got == [(0, 40), (80, 120)] and [(r.start, r.end) for r in drafting.quiet_spans(w, 10, 3).orderBy("start").collect()] == [(40, 80), (90, 120)]
+    g = spark.createDataFrame([(".", 90), (",", 119), (",", 120), ("", 239), ("", 240), (",", 20), (".", 20), (".", 19)], "mark string, acoustic long")
+    told = [(r.reason, r.pause_class) for r in drafting.split_reasons(g, (".",), 90, 120, 240, 20).collect()]
+    assert told == [("hard_punctuation_with_lull", "region_break"), ("none", "soft_pause"), ("comma_with_lull", "region_break"), ("none", "none"), ("strong_acoustic_gap", "region_break"), ("none", "soft_pause"), ("none", "hard_pause"), ("none", "none")]
+    planned = spark.createDataFrame([(1, 0, "AH", 0), (1, 0, "T", 1), (1, 0, "T", 9), (1, 0, "", -1), (1, 0, "Z", 9), (2, 0, "T", 0), (1, 0, "", 1)], "case_id long, word_index long, source_phone string, source_index int")
+    owned = spark.createDataFrame([(1, 0, 0, "AH1"), (1, 0, 1, "S"), (1, 0, 2, "T")], "case_id long, owner long, index_in_word long, label string")
+    got = [(r.source_phone, r.source_index, r.reason, r.located) for r in drafting.locate_phones(planned, owned).collect()]
+    assert sorted(got) == sorted([
+        ("AH", 0, "mfa_exact_source_phone_index", 0), ("T", 1, "mfa_source_phone_index_label_mismatch", 1), ("T", 9, "mfa_source_phone_label_fallback", 2), ("", -1, "synthetic_word_fallback", 0),
+        ("Z", 9, "no_phone_evidence", -1), ("T", 0, "no_phone_evidence", -1), ("", 1, "mfa_exact_source_phone_index", 1),
+    ])
