@@ -31,6 +31,9 @@ def resolve(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     simple = F.array_compact(F.array(cand(0, none, 0, w), F.when(w.endswith("'s"), cand(1, none, 0, w.substr(F.lit(1), F.length(w) - 2))), F.when(w.endswith("s") & (F.length(w) > 1), cand(2, none, 0, w.substr(F.lit(1), F.length(w) - 1)))))
     halves = F.flatten(F.transform(cuts, lambda c: F.array(cand(3, c, 0, w.substr(F.lit(1), c)), cand(3, c, 1, w.substr(c + 1, F.length(w))))))
     asked = words.select("word").distinct().select("word", F.explode(F.concat(simple, halves)).alias("c")).select("word", "c.*")
+    # Entries that no dictionary word is as long as go before the exchange; its lengths are one short row.
+    lengths = dictionary.agg(F.collect_set(F.length("entry")).alias("_lengths"))
+    asked = asked.crossJoin(F.broadcast(lengths)).where(F.array_contains("_lengths", F.length("entry"))).drop("_lengths")
     hits = asked.join(dictionary.select("entry"), "entry").groupBy("word", "rank", "cut").agg(F.count("*").alias("k"))
     good = hits.where((F.col("rank") < 3) | (F.col("k") == 2)).groupBy("word").agg(F.min(F.struct("rank", "cut")).alias("best"))
     r = F.col("best.rank")
@@ -47,11 +50,11 @@ def word_position(partition: list[str], order: str) -> Column:
 
 def duration_priors(observed: DataFrame, least: int = 8, low: float = 0.025, high: float = 0.250) -> DataFrame:
     """(phone, position, prior, n): the median, then clamped; by phone alone (position null) and by phone and position
-    where `least` observations or more exist. observed: (phone, position, seconds)."""
+    where `least` observations or more exist. observed: (phone, position, seconds, k: how many such observations)."""
     clamp = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
-    prior = clamp(F.percentile("seconds", F.lit(0.5))).alias("prior")
-    by_phone = observed.groupBy("phone").agg(prior, F.count("*").alias("n")).select("phone", F.lit(None).cast("string").alias("position"), "prior", "n")
-    both = observed.groupBy("phone", "position").agg(prior, F.count("*").alias("n")).where(F.col("n") >= least)
+    prior = clamp(F.percentile("seconds", F.lit(0.5), F.col("k"))).alias("prior")
+    by_phone = observed.groupBy("phone").agg(prior, F.sum("k").alias("n")).select("phone", F.lit(None).cast("string").alias("position"), "prior", "n")
+    both = observed.groupBy("phone", "position").agg(prior, F.sum("k").alias("n")).where(F.col("n") >= least)
     return by_phone.unionByName(both)
 
 

@@ -131,12 +131,15 @@ LETTERS = f"""{WORDS}, l AS (SELECT doc_id, i, word, unnest(generate_series(1, l
 
 
 def _letters(spark: SparkSession, sf: str) -> DataFrame:
-    """Letters as phones, with a made-up duration that depends on the place, so priors have something to fit."""
-    w = words(spark, sf).where(F.col("word").rlike("^[a-z]+$"))
+    """Letters as phones, with a made-up duration that depends on the place, so priors have something to fit; k: how often.
+    Words are counted by fold before their letters are listed, and letters again after, so what is exchanged grows with
+    the vocabulary."""
+    fold = hashing.fold(F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    w = words(spark, sf).where(F.col("word").rlike("^[a-z]+$")).groupBy("word", fold.alias("fold")).agg(F.count("*").alias("k"))
     n = F.length("word")
-    j = w.select("word", hashing.fold(F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("fold"), F.explode(F.sequence(F.lit(1), n)).alias("j"))
+    j = w.select("word", "fold", "k", F.explode(F.sequence(F.lit(1), n)).alias("j"))
     pos = F.when(n == 1, "single").when(F.col("j") == 1, "initial").when(F.col("j") == n, "final").otherwise("medial")
-    return j.select(F.upper(F.substring("word", F.col("j"), F.lit(1))).alias("phone"), pos.alias("position"), (F.lit(0.02) + ((n * 7 + F.col("j") * 13) % 30) / 100.0).alias("seconds"), "fold")
+    return j.select(F.upper(F.substring("word", F.col("j"), F.lit(1))).alias("phone"), pos.alias("position"), (F.lit(0.02) + ((n * 7 + F.col("j") * 13) % 30) / 100.0).alias("seconds"), "fold", "k").groupBy("phone", "position", "seconds", "fold").agg(F.sum("k").alias("k"))
 
 
 @query(f"""WITH {LETTERS} SELECT phone, NULL AS position, round(least(greatest(quantile_cont(CAST(seconds AS DOUBLE), 0.5), 0.025), 0.25), 6) AS prior, count(*) AS n FROM o GROUP BY phone
@@ -152,7 +155,7 @@ def prior_heldout_mae(spark: SparkSession, sf: str) -> DataFrame:
     o = _letters(spark, sf)
     priors = lexicon.duration_priors(o.where("fold <> 0"))
     # Errors of equal observations are equal: they are counted before the join.
-    held = o.where("fold = 0").groupBy("phone", "position", "seconds").agg(F.count("*").alias("k"))
+    held = o.where("fold = 0").groupBy("phone", "position", "seconds").agg(F.sum("k").alias("k"))
     plain = priors.where("position IS NULL").select("phone", F.col("prior").alias("base"))
     both = lexicon.with_prior(held, priors).join(plain, "phone", "left")
     err = lambda c: F.round(F.sum(F.abs(F.col("seconds") - F.coalesce(c, F.lit(0.075))) * F.col("k")) / F.sum("k"), 6)
@@ -189,11 +192,11 @@ def context_preference(spark: SparkSession, sf: str) -> DataFrame:
     return k.groupBy("base", "context").agg(F.min_by("variant", F.struct(-F.col("n"), "at")).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).where("total >= 4")
 
 
-@query(f"""WITH {WORDS}, d AS (SELECT word AS entry FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20 AND len(word) >= 2), u AS (SELECT DISTINCT word FROM w),
-    cuts AS (SELECT word, unnest(generate_series(3, len(word) - 3)) AS cut FROM u WHERE len(word) >= 6),
-    comp AS (SELECT word, min(cut) AS cut FROM cuts JOIN d a ON a.entry = substr(word, 1, cut) JOIN d b ON b.entry = substr(word, cut + 1) GROUP BY 1),
+@query(f"""WITH {WORDS}, d AS (SELECT word AS entry FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20 AND len(word) >= 2), u AS (SELECT DISTINCT word, CASE WHEN word LIKE '%''s' THEN substr(word, 1, len(word) - 2) END AS possessor, CASE WHEN word LIKE '%s' THEN substr(word, 1, len(word) - 1) END AS singular FROM w),
+    halves AS (SELECT word, cut, substr(word, 1, cut) AS one, substr(word, cut + 1) AS two FROM (SELECT word, unnest(generate_series(3, len(word) - 3)) AS cut FROM u WHERE len(word) >= 6)),
+    comp AS (SELECT word, min(cut) AS cut FROM halves JOIN d a ON a.entry = one JOIN d b ON b.entry = two GROUP BY 1),
     s AS (SELECT u.word, CASE WHEN e.entry IS NOT NULL THEN 'exact' WHEN p.entry IS NOT NULL THEN 'possessive' WHEN l.entry IS NOT NULL THEN 'plural' WHEN c.cut IS NOT NULL THEN 'compound' ELSE 'unresolved' END AS source, c.cut
-      FROM u LEFT JOIN d e ON e.entry = u.word LEFT JOIN d p ON u.word LIKE '%''s' AND p.entry = substr(u.word, 1, len(u.word) - 2) LEFT JOIN d l ON u.word LIKE '%s' AND l.entry = substr(u.word, 1, len(u.word) - 1) LEFT JOIN comp c ON c.word = u.word)
+      FROM u LEFT JOIN d e ON e.entry = u.word LEFT JOIN d p ON p.entry = u.possessor LEFT JOIN d l ON l.entry = u.singular LEFT JOIN comp c ON c.word = u.word)
     SELECT word, source, CAST(CASE WHEN source = 'compound' THEN cut ELSE 0 END AS INTEGER) AS cut FROM s""")
 def pronunciation_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Words through the ordered fallbacks of a dictionary of those that 20 documents or more have."""
