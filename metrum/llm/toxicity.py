@@ -83,7 +83,8 @@ class _Bags:
         rows = []
         for t in texts:
             found: dict[int, int] = {}
-            for w in (w for chunk in set(t.split()) for w in words(chunk)):
+            # In the text's order: a set's would differ by process, and with it which subword gets which initial row.
+            for w in (w for chunk in dict.fromkeys(t.split()) for w in words(chunk)):
                 i = word_no.setdefault(w, len(word_no))
                 found[i] = found.get(i, 0) + 1
             rows.append(found)

@@ -1,7 +1,10 @@
 """Training-data operators that do the whole job, against brute force and SQL."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
 
@@ -211,3 +214,9 @@ def test_loss_texts_are_read_from_the_string(spark):
     # With other texts in the segments the digest stays, as only their flags are used.
     other = made.withColumn("segments", F.transform("segments", lambda s: F.struct(F.lit("?").alias("text"), s["loss"].alias("loss"))))
     assert chat.digest(made).first() == chat.digest(other).first() and re.search("a", made.first().formatted)
+
+
+def test_fit_does_not_depend_on_the_process():
+    code = "from metrum.llm import toxicity as t; m = t.fit([f'w{i % 7} w{i % 11} x{i % 5}' + ' bad' * (i % 2) for i in range(200)], [i % 2 for i in range(200)]); print(m.bias, sorted(m.weights.items()))"
+    runs = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONHASHSEED": str(k)}, capture_output=True, text=True, timeout=120, check=True).stdout for k in (1, 2, 3)}
+    assert len(runs) == 1 and len(next(iter(runs))) > 100
