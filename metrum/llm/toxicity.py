@@ -37,7 +37,7 @@ _CACHE_WORDS = 150_000
 class Options:
     """buckets and dim: size of the table; short, long: n-gram lengths; pad: neutral subwords; least_docs: texts that a subword must occur in to be
     learnt; train_docs: the bound on the labelled sample that is fitted, half of it from each class where both have
-    enough; train_chars: the bound on its text."""
+    enough; train_chars: the bound on its text; starts: fits from other initial values whose logits are averaged."""
 
     dim: int = 8
     short: int = 4
@@ -51,6 +51,7 @@ class Options:
     decay: float = 1e-4
     scale: float = 4.0
     seed: int = 7
+    starts: int = 4
 
 
 @dataclass(frozen=True)
@@ -108,39 +109,49 @@ class _Bags:
 
 
 def fit(texts: list[str], labels: list[int], o: Options = Options()) -> Model:
-    """Full-batch Adam, with one second moment for a whole table so that rare subwords stay small, on the classes' mean losses, clean texts with more weight; every fifth text is kept back."""
+    """The mean logit of `starts` fits, which differ by their initial values alone, so the model hangs little on one start. As
+    each is linear in the subwords, their mean is one linear softmax over their embeddings side by side. Every fifth text
+    is kept back from all fits."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(o, {}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    rng = np.random.default_rng(o.seed)
     x = _Bags(texts, o)
-    e, soft, bias = rng.normal(0, 0.1, (len(x.grams), o.dim)), rng.normal(0, 0.1, o.dim), 0.0
     back = np.arange(len(y)) % 5 == 4
     if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
         back[:] = False
+    tables, softs, biases = zip(*(_fit_from(np.random.default_rng((o.seed, i)), x, y, back, o) for i in range(o.starts)), strict=True)
+    e, soft = np.concatenate(tables, axis=1), np.concatenate(softs) / o.starts
+    return Model(o, dict(zip(x.grams, (e @ soft).tolist(), strict=True)), float(np.mean(biases)), e, soft)
+
+
+def _fit_from(rng: np.random.Generator, x: _Bags, y: np.ndarray, back: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, float]:
+    """Embeddings, softmax and bias by full-batch Adam, with one second moment for a whole table so that rare subwords stay
+    small, on the classes' mean losses, clean texts with more weight; texts in `back` place the threshold alone."""
+    e, soft, bias = rng.normal(0, 0.1, (len(x.grams), o.dim)), rng.normal(0, 0.1, o.dim), 0.0
     fitted = ~back
     weight = fitted * np.where(y == 1, 0.35 / max(y[fitted].sum(), 1), 0.65 / max((1 - y[fitted]).sum(), 1))
     state: list[list] = [[np.zeros_like(e), 0.0], [np.zeros_like(soft), 0.0], [0.0, 0.0]]
 
-    def vectors() -> np.ndarray:
-        by_word = np.stack([np.bincount(x.of_word, e[x.sub, d], x.n_words) for d in range(o.dim)], axis=1)
-        return np.stack([np.bincount(x.of_text, by_word[x.at, d] * x.share, x.n_texts) for d in range(o.dim)], axis=1)
+    def logits() -> np.ndarray:
+        """Logits without the bias. Text vectors are linear in the table, so each subword's product with the softmax is summed
+        in place of its embedding; gradients below use the same."""
+        by_word = np.bincount(x.of_word, (e @ soft * o.scale)[x.sub], x.n_words)
+        return np.bincount(x.of_text, by_word[x.at] * x.share, x.n_texts)
 
     for step in range(1, o.epochs + 1):
-        text = vectors()
-        off = weight * (1 / (1 + np.exp(-np.clip(text @ soft * o.scale + bias, -50, 50))) - y)
-        pull = np.bincount(x.at, off[x.of_text] * x.share, x.n_words)
-        g_e = np.bincount(x.sub, pull[x.of_word], len(x.grams))[:, None] * soft[None, :] * o.scale + o.decay * e
+        off = weight * (1 / (1 + np.exp(-np.clip(logits() + bias, -50, 50))) - y)
+        pull = np.bincount(x.sub, np.bincount(x.at, off[x.of_text] * x.share, x.n_words)[x.of_word], len(x.grams)) * o.scale
+        g_e = pull[:, None] * soft[None, :] + o.decay * e
         moves = []
-        for s, g in zip(state, (g_e, text.T @ off * o.scale, off.sum()), strict=True):
+        for s, g in zip(state, (g_e, e.T @ pull, off.sum()), strict=True):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * np.max(np.square(g))
             moves.append(o.rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-12))
         e, soft, bias = e - moves[0], soft - moves[1], float(bias - moves[2])
     if back.any():
-        bias -= _threshold((vectors() @ soft * o.scale + bias)[back], y[back])
-    return Model(o, dict(zip(x.grams, (e @ soft * o.scale).tolist(), strict=True)), bias, e, soft * o.scale)
+        bias -= _threshold((logits() + bias)[back], y[back])
+    return e, soft * o.scale, bias
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:

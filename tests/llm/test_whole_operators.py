@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from metrum.llm import packing, phrases, pieces, queries, secrets, sharding, simhash, urlrules, vptree
+from metrum.llm import chat, packing, phrases, pieces, queries, secrets, sharding, simhash, toxicity, urlrules, vptree
 from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
@@ -208,7 +208,6 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 
 def test_loss_texts_are_read_from_the_string(spark):
-    from metrum.llm import chat
 
     made = chat.format_chats(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a### b")], "conv_id long, turn long, role string, text string"))
     # With other texts in the segments the digest stays, as only their flags are used.
@@ -220,3 +219,22 @@ def test_fit_does_not_depend_on_the_process():
     code = "from metrum.llm import toxicity as t; m = t.fit([f'w{i % 7} w{i % 11} x{i % 5}' + ' bad' * (i % 2) for i in range(200)], [i % 2 for i in range(200)]); print(m.bias, sorted(m.weights.items()))"
     runs = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONHASHSEED": str(k)}, capture_output=True, text=True, timeout=120, check=True).stdout for k in (1, 2, 3)}
     assert len(runs) == 1 and len(next(iter(runs))) > 100
+
+
+def test_score_is_the_softmax_of_the_mean_embedding():
+    """Brute force of a score: embeddings of a text's subwords, taken anew, are summed and divided by their number and the
+    neutral ones; the model of several starts gives the mean logit of models of one start each."""
+    rng = random.Random(5)
+    clean, bad = ["garden", "window", "letters", "planet", "measure"], ["worthless", "disgusting"]
+    texts = [" ".join(rng.choices(clean, k=40) + (rng.choices(bad, k=3) if i % 3 == 0 else [])) + f" {i}" for i in range(240)]
+    model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(240)], toxicity.Options(starts=3))
+    row = {g: i for i, g in enumerate(model.weights)}
+    for text in [*texts[:9], "Worthlesss gardens, WINDOW window!", "", None]:
+        grams = []
+        for chunk in dict.fromkeys((text or "").split()):
+            for word in re.findall(r"\w+", chunk.lower()):
+                marked = f"<{word}>"
+                grams += [marked] + [marked[i : i + n] for n in (4, 5) if n < len(marked) for i in range(len(marked) - n + 1)]
+        mean = sum((model.embeddings[row[g]] for g in grams if g in row), np.zeros(model.softmax.size)) / (len(grams) + model.options.pad)
+        assert abs(toxicity.Scorer(model).score(text) - 1 / (1 + np.exp(-(mean @ model.softmax + model.bias)))) < 1e-9
+    assert model.embeddings.shape == (len(row), 3 * model.options.dim)
