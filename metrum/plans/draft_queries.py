@@ -37,7 +37,7 @@ def phone_flags(spark: SparkSession, sf: str) -> DataFrame:
     return drafting.phone_flags(cases.phones(spark, sf))
 
 
-@query(f"""WITH {WORDS_SQL}, {RUNTIME_SQL}, planned AS (SELECT case_id, word_index, word, row_number() OVER (PARTITION BY case_id ORDER BY word_index) AS p FROM (SELECT case_id, word_index, min(word) AS word FROM rt WHERE event_id % 97 <> 0 GROUP BY ALL)),
+@query(f"""WITH {WORDS_SQL}, {RUNTIME_SQL}, planned AS (SELECT case_id, word_index, word, row_number() OVER (PARTITION BY case_id ORDER BY word_index) AS p FROM (SELECT case_id, word_index, min(word) AS word FROM rt WHERE renderable GROUP BY ALL)),
     found AS (SELECT case_id, word, s, e, row_number() OVER (PARTITION BY case_id ORDER BY word_index) AS p FROM gw),
     z AS (SELECT coalesce(f.case_id, l.case_id) AS case_id, f.p AS fp, l.p AS lp, f.word, coalesce(l.word, f.word) AS said, f.s, f.e FROM found f FULL JOIN planned l ON f.case_id = l.case_id AND f.p = l.p),
     norm AS (SELECT *, regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') AS a, regexp_replace(lower(said), '[^a-z0-9'']', '', 'g') AS b FROM z),
@@ -48,8 +48,8 @@ def phone_flags(spark: SparkSession, sf: str) -> DataFrame:
       UNION ALL SELECT l.case_id, 'mfa_timeline_truncated_tail', CASE WHEN max(t) + {90 * MINUTE} - any_value(l.e) > {-15 * MINUTE} THEN 1 ELSE 0 END FROM last l JOIN ev ON ev.case_id = l.case_id GROUP BY 1)
     SELECT case_id, kind, CAST(n AS BIGINT) AS n FROM flags WHERE n > 0""")
 def draft_word_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """The words found against the planned list, of which some are missing; the audio ends 90 minutes after the last event."""
-    planned = drafting.first_rows(cases.runtime(spark, sf).where("event_id % 97 <> 0"), ["case_id", "word_index"], ["idx"])
+    """The words found against the planned list, those with an event that can be rendered; the audio ends 90 minutes after the last event."""
+    planned = drafting.first_rows(cases.runtime(spark, sf).where("renderable"), ["case_id", "word_index"], ["idx"])
     audio = adapters.events(spark, sf).groupBy("case_id").agg((F.max("t") + 90 * MINUTE).alias("until"))
     return drafting.word_flags(cases.words(spark, sf), planned, audio, -15 * MINUTE, 30 * MINUTE)
 

@@ -36,12 +36,12 @@ def rendered_events(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.rendered_neighbours(cases.runtime(spark, sf)).select("case_id", "idx", "previous", "next", scoring.delivery_candidate().alias("delivered"), place.alias("place"))
 
 
-@query(f"""{TRACK_SQL}, odd AS (SELECT case_id, word_index % 40 AS word_index, idx, pose FROM rt WHERE event_id % 3 = 1)
-    SELECT g.case_id, g.word_index, max_by(o.pose, o.idx) AS pose FROM gw g LEFT JOIN odd o ON o.case_id = g.case_id AND o.word_index = g.word_index GROUP BY ALL""")
+@query(f"""{TRACK_SQL}, rep AS (SELECT case_id, word_index % 40 AS word_index, idx, pose FROM rt)
+    SELECT g.case_id, g.word_index, max_by(o.pose, o.idx) AS pose FROM gw g LEFT JOIN rep o ON o.case_id = g.case_id AND o.word_index = g.word_index GROUP BY ALL""")
 def last_row_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A lookup by word whose rows repeat keys: the last one wins."""
-    odd = cases.runtime(spark, sf).where("event_id % 3 = 1").withColumn("word_index", F.col("word_index") % 40)
-    return scoring.last_row_wins(cases.words(spark, sf).select("case_id", "word_index"), odd, ["case_id", "word_index"], "idx", ["pose"])
+    repeated = cases.runtime(spark, sf).withColumn("word_index", F.col("word_index") % 40)
+    return scoring.last_row_wins(cases.words(spark, sf).select("case_id", "word_index"), repeated, ["case_id", "word_index"], "idx", ["pose"])
 
 
 @query(f"""{TRACK_SQL}, one AS (SELECT case_id, word_index, min_by(idx, idx) AS first_event, min_by(pose, idx) AS first_pose FROM shown GROUP BY ALL), two AS (SELECT case_id, word_index % 30 AS w, k, pose, min(idx) AS idx FROM shown GROUP BY ALL)
@@ -163,7 +163,7 @@ def baseline_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer WHERE contains(c_name, '7') AND (starts_with(c_mktsegment, 'B') OR c_mktsegment IN ('MACHINERY', 'FURNITURE'))),
-    done AS (SELECT DISTINCT lower(c_name) AS key FROM customer WHERE c_custkey < 200 UNION SELECT DISTINCT lower(s_name) FROM supplier),
+    done AS (SELECT DISTINCT lower(c_name) AS key FROM customer WHERE c_acctbal < 0 UNION SELECT DISTINCT lower(s_name) FROM supplier),
     kept AS (SELECT * FROM c WHERE lower(c_name) NOT IN (SELECT key FROM done) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')),
     r AS (SELECT c_mktsegment, list_sort(list_distinct(list(c_name))) AS names, arg_max(c_name, (c_acctbal, -c_custkey)) AS richest, count(*) AS n FROM kept GROUP BY 1)
     SELECT c_mktsegment AS bucket, n, richest, array_to_string(names[1:3], '|') AS first_names FROM r""")
@@ -172,7 +172,7 @@ def case_selection(spark: SparkSession, sf: str) -> DataFrame:
     either source): by bucket their number, the richest, the first of several, and the first three names, sorted."""
     c = table(spark, sf, "customer")
     wanted = c.where(F.contains("c_name", F.lit("7")) & (F.startswith("c_mktsegment", F.lit("B")) | F.col("c_mktsegment").isin("MACHINERY", "FURNITURE")))
-    done = c.where("c_custkey < 200").select(F.lower("c_name").alias("key")).unionByName(table(spark, sf, "supplier").select(F.lower("s_name").alias("key"))).distinct()
+    done = c.where("c_acctbal < 0").select(F.lower("c_name").alias("key")).unionByName(table(spark, sf, "supplier").select(F.lower("s_name").alias("key"))).distinct()
     both = table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "O")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.size(F.collect_set("o_orderstatus")).alias("kinds")).where("kinds = 2")
     kept = wanted.join(done, F.lower("c_name") == F.col("key"), "left_anti").join(both, "c_custkey", "left_semi")
     r = kept.groupBy(F.col("c_mktsegment").alias("bucket")).agg(F.count("*").alias("n"), F.max_by("c_name", F.struct("c_acctbal", -F.col("c_custkey"))).alias("richest"), F.array_sort(F.collect_set("c_name")).alias("names"))
