@@ -52,6 +52,12 @@ def seed_of(key: Column) -> Column:
     return F.lit(1) + hex_number(F.sha2(key, 256)) % 2147483646
 
 
+def salted_key(parts: list[Column], retry: Column) -> Column:
+    """The parts joined by NUL; from the first retry on with its number, so a rejected draw gets another seed."""
+    salt = F.when(retry > 0, F.concat(F.lit("\0retry="), retry.cast("string"))).otherwise(F.lit(""))
+    return F.concat(F.concat_ws("\0", *parts), salt)
+
+
 def choice_of(key: Column, n: int) -> Column:
     """0 to n - 1, from the next four bytes."""
     return hex_number(F.sha2(key, 256), 9) % n

@@ -32,3 +32,9 @@ def most_common_first(key: Column, count: Column, first: Column) -> Column:
 
 def rms(x: Column) -> Column:
     return F.coalesce(F.sqrt(F.avg(x * x)), F.lit(0.0))
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """Not negative numbers rounded half up in binary arithmetic, as any engine does it that has floor."""
+    scale = F.lit(10.0**digits)
+    return F.floor(x * scale + 0.5) / scale

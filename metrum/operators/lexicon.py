@@ -71,3 +71,53 @@ def syllable_bounds(vowel: Column) -> Column:
     at = F.filter(F.transform(vowel, lambda v, i: F.when(v, i)), lambda i: i.isNotNull())
     pairs = F.when(F.size(at) > 1, F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1), lambda a, b: F.floor((a + b + 1) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.concat(F.array(F.lit(0)), pairs)
+
+
+def coherent(phones: Column) -> Column:
+    """Whether a pronunciation (phones by spaces) has no R right before ER, with or without stress digits."""
+    return ~phones.rlike("(^| )R[0-9]* ER[0-9]*( |$)")
+
+
+def _most_common(seen: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """keys, phones (the most common ones, those seen first of several), best (how often), n (of all) and more aggregates."""
+    counted = seen.groupBy(*keys, "phones").agg(F.sum("n").alias("n"), F.min("first").alias("first"), *(F.any_value(c).alias(c) for c in seen.columns if c == "default"))
+    return counted.groupBy(*keys).agg(F.min_by("phones", F.struct(-F.col("n"), "first")).alias("phones"), F.max("n").alias("best"), F.sum("n").alias("total"), *more)
+
+
+def variant_preferences(seen: DataFrame, variants: DataFrame, least: int = 4, share: float = 0.45, win: int = 2) -> DataFrame:
+    """word, phones, share, n of words whose most common pronunciation isn't their first variant: observed `least` times or
+    more in all, with this share of them, and `win` times more than the first variant. seen: (word, phones, n: how often,
+    first: where first); variants: (word, variants: the dictionary's pronunciations in order), one row a word."""
+    known = seen.join(variants.select("word", F.get("variants", F.lit(0)).alias("default")), "word")
+    ruled = F.coalesce(F.sum(F.when(F.col("phones") == F.col("default"), F.col("n"))), F.lit(0)).alias("ruled")
+    top = _most_common(known, ["word"], ruled, F.any_value("default").alias("default")).withColumn("share", F.col("best") / F.col("total"))
+    kept = top.where((F.col("phones") != F.col("default")) & (F.col("total") >= least) & (F.col("share") >= share) & (F.col("best") >= F.col("ruled") + win))
+    return kept.select("word", "phones", "share", F.col("total").alias("n"))
+
+
+def context_preferences(seen: DataFrame, variants: DataFrame, preferences: DataFrame, least: int = 2, share: float = 0.67) -> DataFrame:
+    """word, before (whether the neighbour stands before it), neighbour, phones, share, n where the most common
+    pronunciation next to that neighbour isn't what the word gets without it. seen: as in variant_preferences, with
+    previous and next, empty at the ends."""
+    side = lambda before, c: F.struct(F.lit(before).alias("before"), F.col(c).alias("neighbour"))
+    each = seen.select("word", "phones", "n", "first", F.explode(F.array(side(True, "previous"), side(False, "next"))).alias("s")).select("word", "phones", "n", "first", "s.*")
+    top = _most_common(each, ["word", "before", "neighbour"]).withColumn("share", F.col("best") / F.col("total"))
+    usual = variants.join(preferences.select("word", F.col("phones").alias("_p")), "word", "left").select("word", F.coalesce("_p", F.get("variants", F.lit(0))).alias("_usual"))
+    kept = top.join(usual, "word").where((F.col("phones") != F.col("_usual")) & (F.col("total") >= least) & (F.col("share") >= share))
+    return kept.select("word", "before", "neighbour", "phones", "share", F.col("total").alias("n"))
+
+
+def choose_variants(asked: DataFrame, variants: DataFrame, preferences: DataFrame, contexts: DataFrame) -> DataFrame:
+    """asked (word, previous, next and more) with variant, the place of its pronunciation (from 0), and phones. The first
+    variant unless the word has a preference; before that goes its neighbours' preference with the larger share, then the
+    larger n, then the one before. Incoherent preferences and those that are no variant are passed over; words without
+    variants are left out."""
+    usual = preferences.where(coherent(F.col("phones"))).select("word", F.col("phones").alias("_p"))
+    c = contexts.where(coherent(F.col("phones"))).select("word", "before", "neighbour", F.struct("share", "n").alias("w"), "phones")
+    side = lambda before, key, name: c.where(F.col("before") == before).select("word", F.col("neighbour").alias(key), F.struct("w", "phones").alias(name))
+    rows = asked.join(variants, "word").join(usual, "word", "left").join(side(True, "previous", "_a"), ["word", "previous"], "left").join(side(False, "next", "_b"), ["word", "next"], "left")
+    a, b = F.col("_a"), F.col("_b")
+    told = F.when(b.isNull() | (a["w"] >= b["w"]), a["phones"]).otherwise(b["phones"])
+    place = lambda x: F.nullif(F.array_position("variants", x), F.lit(0)) - 1
+    chosen = rows.withColumn("variant", F.coalesce(place(told), place(F.col("_p")), F.lit(0).cast("long")))
+    return chosen.select(*asked.columns, "variant", F.get("variants", F.col("variant").cast("int")).alias("phones"))

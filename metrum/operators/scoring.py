@@ -6,6 +6,7 @@ cancelled, strength, reason. Times are whole microseconds, so errors are exact;
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,3 +205,74 @@ def baseline_gates(summary: DataFrame, baseline: DataFrame, thresholds: DataFram
     ok = F.when(F.col("direction") == "min", F.col("actual") >= F.col("limit")).otherwise(F.col("actual") <= F.col("limit"))
     missing = F.when(F.col("actual").isNull(), "metric").when(F.col("accepted").isNull(), "baseline").when(F.col("tolerance").isNull(), "tolerance").otherwise("")
     return rows.withColumn("limit", limit).select("metric", "actual", "limit", F.coalesce(ok, F.lit(False)).alias("passed"), missing.alias("missing"))
+
+
+def intra_word_report(labels: DataFrame, events: DataFrame, limit: int, half: int) -> DataFrame:
+    """By case: labels (case_id, word_index, k, pose, start, end) but each word's first, against rendered events but each
+    word's first. A label and an event match by word, place and pose if their centres are at most `limit` apart; places
+    grow along the track, so such matches are in order. Counts, and errors in milliseconds, 0 without a match. Words with
+    one label take no part, nor do their events; a label's (word_index, k) is that of one event at most."""
+    w = Window.partitionBy("case_id", "word_index")
+    later = lambda d, *order: d.withColumn("_i", F.row_number().over(w.orderBy(*order))).where("_i > 1").drop("_i")
+    keys = ["case_id", "word_index"]
+    rest = later(labels, "start", "k")
+    shown = later(events.where(rendered()), "idx").select(*keys, "k", "pose", "centre").join(rest.select(*keys).distinct(), keys, "left_semi")
+    predicted = shown.groupBy("case_id").agg(F.count("*").alias("predicted"))
+    twice = 2 * F.col("centre") - F.col("start") - F.col("end")
+    m = rest.join(shown, [*keys, "k", "pose"], "left").withColumn("centre", F.when(F.abs(twice) <= 2 * limit, F.col("centre")))
+    off = F.abs(twice)
+    told = m.groupBy("case_id").agg(
+        F.count("*").alias("reference_count"), F.count("centre").alias("matched_count"), (stats.mean(off) / 2000.0).alias("centre_ms"), (stats.percentile(off, 0.5) / 2000.0).alias("median_centre_ms"), (stats.percentile(off, 0.9) / 2000.0).alias("p90_centre_ms"),
+        (stats.mean(F.abs(F.col("centre") - half - F.col("start"))) / 1000.0).alias("start_ms"), (stats.mean(F.abs(F.col("centre") + half - F.col("end"))) / 1000.0).alias("end_ms"),
+    )
+    told = told.join(predicted, "case_id", "left").withColumn("missing_count", F.col("reference_count") - F.col("matched_count"))
+    return told.withColumn("extra_count", F.coalesce("predicted", F.lit(0)) - F.col("matched_count")).drop("predicted")
+
+
+def focus_report(labels: DataFrame, events: DataFrame, gold: DataFrame) -> DataFrame:
+    """By case, how heads are met. labels (case_id, word_index, k, start, end, vowel, region; -1: none) and gold (case_id,
+    r_idx, r_start, r_end). A word's head is its first label with the rendered event of its place; a region's head is its
+    first word that has one; its nucleus is that word's first vowel label with the word's first rendered event. Errors of
+    centres in milliseconds; resumes are heads of regions but the first, and are early by what they lie before the region's
+    start; drift is how much earlier a word is than its region's head, at most. Words of no region form one region of their
+    own for heads, as region -1."""
+    keys = ["case_id", "word_index"]
+    shown = events.where(rendered())
+    first = labels.groupBy(*keys).agg(F.min_by(F.struct("k", "start", "end", "region"), F.struct("start", "k")).alias("l")).select(*keys, "l.*")
+    by_place = shown.groupBy(*keys, "k").agg(F.min_by("centre", "idx").alias("centre"))
+    heads = first.join(by_place, [*keys, "k"], "left").withColumn("error", 2 * F.col("centre") - F.col("start") - F.col("end"))
+    w = Window.partitionBy("case_id", "region").orderBy(F.col("error").isNull(), "word_index")
+    heads = heads.withColumn("head_error", F.first("error").over(w)).withColumn("is_head", (F.row_number().over(w) == 1) & F.col("error").isNotNull())
+    nucleus = labels.where("vowel").groupBy(*keys).agg(F.min_by(F.struct("start", "end"), F.struct("start", "k")).alias("v"))
+    opening = shown.groupBy(*keys).agg(F.min_by("centre", "idx").alias("opening"))
+    starts = gold.select("case_id", F.col("r_idx").alias("region"), "r_start", (F.row_number().over(Window.partitionBy("case_id").orderBy("r_idx")) > 1).alias("again"))
+    rows = heads.join(nucleus, keys, "left").join(opening, keys, "left").join(starts, ["case_id", "region"], "left")
+    head = F.col("is_head")
+    resume = head & F.coalesce("again", F.lit(False))
+    lead = F.when(resume, F.greatest(F.col("r_start") - F.col("centre"), F.lit(0)))
+    core = F.when(head, F.abs(2 * F.col("opening") - F.col("v.start") - F.col("v.end")))
+    rate = lambda part, whole, empty: F.when(whole > 0, part / whole).otherwise(F.lit(empty))
+    words, regions_ = F.count("*"), F.count_distinct(F.when(F.col("region") >= 0, F.col("region")))
+    return rows.groupBy("case_id").agg(
+        words.alias("word_count"), F.count("error").alias("word_heads"), rate(F.count("error"), words, 1.0).alias("word_head_rate"), (stats.mean(F.abs("error")) / 2000.0).alias("word_head_ms"), regions_.alias("region_count"), F.count_if(head).alias("region_heads"),
+        (stats.mean(F.abs(F.when(head, F.col("error")))) / 2000.0).alias("region_head_ms"), F.count(core).alias("nuclei"), (stats.mean(core) / 2000.0).alias("nucleus_ms"), F.count_if(resume).alias("resumes"), F.count_if(lead > 0).alias("early_resumes"),
+        rate(F.count_if(lead > 0), F.count_if(resume), 0.0).alias("early_resume_rate"), (F.coalesce(F.max(lead), F.lit(0)) / 1000.0).alias("early_resume_max_ms"), (F.greatest(F.coalesce(F.max(F.col("head_error") - F.col("error")), F.lit(0)), F.lit(0)) / 2000.0).alias("drift_max_ms"),
+    )
+
+
+def deliver_late(events: DataFrame, late: int, ahead: int) -> DataFrame:
+    """case_id, idx, at, moved of events (case_id, idx, centre, clock): where they are shown. In the order of idx a centre
+    is at least one microsecond after the one before; one that then lies more than `late` behind its clock goes `ahead` of
+    it. Each depends on the one before, so a case is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        at, moved, last = [], [], None
+        for centre, clock in zip(pdf["centre"].tolist(), pdf["clock"].tolist(), strict=True):
+            centre = centre if last is None else max(centre, last + 1)
+            moved.append(clock - centre > late)
+            last = clock + ahead if moved[-1] else centre
+            at.append(last)
+        return pd.DataFrame({"case_id": pdf["case_id"], "idx": pdf["idx"], "at": at, "moved": moved})
+
+    return events.select("case_id", "idx", "centre", "clock").groupBy("case_id").applyInPandas(run, "case_id long, idx long, at long, moved boolean")

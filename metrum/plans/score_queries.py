@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from metrum.functions import stats
 from metrum.operators import drafting, regions, scoring
 from metrum.plans import adapters, cases
 from metrum.plans.adapters import DAY, GOLD_SQL, PRED_SQL
@@ -177,3 +178,53 @@ def case_selection(spark: SparkSession, sf: str) -> DataFrame:
     kept = wanted.join(done, F.lower("c_name") == F.col("key"), "left_anti").join(both, "c_custkey", "left_semi")
     r = kept.groupBy(F.col("c_mktsegment").alias("bucket")).agg(F.count("*").alias("n"), F.max_by("c_name", F.struct("c_acctbal", -F.col("c_custkey"))).alias("richest"), F.array_sort(F.collect_set("c_name")).alias("names"))
     return r.select("bucket", "n", "richest", F.array_join(F.slice("names", 1, 3), "|").alias("first_names"))
+
+
+LABELS_SQL = "lb AS (SELECT *, 'p' || ((event_id + k) % 4) AS pose FROM ph WHERE label NOT IN ('', 'sil') AND pe > ps)"
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold phones with the pose that their place stands for."""
+    return drafting.clean_phones(cases.phones(spark, sf)).withColumn("pose", F.concat(F.lit("p"), ((F.col("event_id") + F.col("k")) % 4).cast("string")))
+
+
+@query(f"""{TRACK_SQL}, {LABELS_SQL}, ls AS (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY case_id, word_index ORDER BY ps, k) > 1), es AS (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY case_id, word_index ORDER BY idx) > 1),
+    pr AS (SELECT case_id, count(*) AS predicted FROM es WHERE (case_id, word_index) IN (SELECT (case_id, word_index) FROM ls) GROUP BY 1),
+    m AS (SELECT l.case_id, l.ps, l.pe, e.c FROM ls l LEFT JOIN es e ON e.case_id = l.case_id AND e.word_index = l.word_index AND e.k = l.k AND e.pose = l.pose AND abs(2 * e.c - l.ps - l.pe) <= {24 * MINUTE}),
+    g AS (SELECT case_id, count(*) AS reference_count, count(c) AS matched_count, floor((coalesce(avg(abs(2 * c - ps - pe)), 0) / 2000) * 1e5 + 0.5) / 1e5 AS centre_ms, floor((coalesce(quantile_cont(abs(2 * c - ps - pe)::DOUBLE, 0.5), 0) / 2000) * 1e5 + 0.5) / 1e5 AS median_centre_ms, floor((coalesce(quantile_cont(abs(2 * c - ps - pe)::DOUBLE, 0.9), 0) / 2000) * 1e5 + 0.5) / 1e5 AS p90_centre_ms,
+      floor((coalesce(avg(abs(c - {5 * MINUTE} - ps)), 0) / 1000) * 1e5 + 0.5) / 1e5 AS start_ms, floor((coalesce(avg(abs(c + {5 * MINUTE} - pe)), 0) / 1000) * 1e5 + 0.5) / 1e5 AS end_ms FROM m GROUP BY 1)
+    SELECT g.*, reference_count - matched_count AS missing_count, coalesce(predicted, 0) - matched_count AS extra_count FROM g LEFT JOIN pr ON pr.case_id = g.case_id""")
+def intra_word_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and events within words, without each word's first; a match is at most twelve minutes off."""
+    r = scoring.intra_word_report(_labels(spark, sf), cases.runtime(spark, sf), 12 * MINUTE, 5 * MINUTE)
+    return r.select(*(stats.half_up(F.col(c), 5).alias(c) if c.endswith("_ms") else c for c in r.columns))
+
+
+@query(f"""{TRACK_SQL}, {LABELS_SQL}, {GOLD_SQL}, own AS (SELECT g.case_id, g.word_index, n.region FROM gw g JOIN gold_n n ON n.event_id = g.event_id),
+    l AS (SELECT lb.*, own.region, ascii(substr(label, 2, 1)) % 2 = 0 AS vowel FROM lb JOIN own ON own.case_id = lb.case_id AND own.word_index = lb.word_index),
+    f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY case_id, word_index ORDER BY ps, k) = 1),
+    h AS (SELECT f.case_id, f.word_index, f.region, e.c, 2 * e.c - f.ps - f.pe AS error FROM f LEFT JOIN shown e ON e.case_id = f.case_id AND e.word_index = f.word_index AND e.k = f.k),
+    hd AS (SELECT *, row_number() OVER w = 1 AND error IS NOT NULL AS head, first_value(error) OVER w AS head_error FROM h WINDOW w AS (PARTITION BY case_id, region ORDER BY error IS NULL, word_index)),
+    v AS (SELECT case_id, word_index, ps, pe FROM l WHERE vowel QUALIFY row_number() OVER (PARTITION BY case_id, word_index ORDER BY ps, k) = 1), o AS (SELECT case_id, word_index, min_by(c, idx) AS c FROM shown GROUP BY ALL),
+    x AS (SELECT hd.*, CASE WHEN head THEN abs(2 * o.c - v.ps - v.pe) END AS core, head AND hd.region > 0 AS resume, CASE WHEN head AND hd.region > 0 THEN greatest(g.s - hd.c, 0) END AS lead_ FROM hd LEFT JOIN v ON v.case_id = hd.case_id AND v.word_index = hd.word_index LEFT JOIN o ON o.case_id = hd.case_id AND o.word_index = hd.word_index LEFT JOIN gold g ON g.case_id = hd.case_id AND g.region = hd.region)
+    SELECT case_id, count(*) AS word_count, count(error) AS word_heads, floor((count(error) / count(*)::DOUBLE) * 1e6 + 0.5) / 1e6 AS word_head_rate, floor((coalesce(avg(abs(error)), 0) / 2000) * 1e4 + 0.5) / 1e4 AS word_head_ms, count(DISTINCT region) AS region_count, count(*) FILTER (head) AS region_heads, floor((coalesce(avg(abs(error)) FILTER (head), 0) / 2000) * 1e4 + 0.5) / 1e4 AS region_head_ms,
+      count(core) AS nuclei, floor((coalesce(avg(core), 0) / 2000) * 1e4 + 0.5) / 1e4 AS nucleus_ms, count(*) FILTER (resume) AS resumes, count(*) FILTER (lead_ > 0) AS early_resumes, floor((CASE WHEN count(*) FILTER (resume) > 0 THEN count(*) FILTER (lead_ > 0) / (count(*) FILTER (resume))::DOUBLE ELSE 0 END) * 1e6 + 0.5) / 1e6 AS early_resume_rate,
+      floor((coalesce(max(lead_), 0) / 1000) * 1e4 + 0.5) / 1e4 AS early_resume_max_ms, floor((greatest(coalesce(max(head_error - error), 0), 0) / 2000) * 1e4 + 0.5) / 1e4 AS drift_max_ms FROM x GROUP BY 1""")
+def focus_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads of words and regions, nuclei, resumes and drift; labels of even class stand for vowels."""
+    gold = adapters.as_right(adapters.gold(spark, sf))
+    starts = cases.words(spark, sf).select("case_id", F.col("word_index").alias("idx"), F.col("start").alias("at"))
+    own = regions.owner_of_point(starts, gold, DAY, 0).select("case_id", F.col("idx").alias("word_index"), F.col("owner").alias("region"))
+    labels = _labels(spark, sf).withColumn("vowel", F.ascii(F.substring("label", 2, 1)) % 2 == 0).join(own, ["case_id", "word_index"])
+    r = scoring.focus_report(labels, cases.runtime(spark, sf), gold)
+    return r.select(*(stats.half_up(F.col(c), 4 if c.endswith("_ms") else 6).alias(c) if c.endswith(("_ms", "_rate")) else c for c in r.columns))
+
+
+@query(f"""{TRACK_SQL.replace("WITH", "WITH RECURSIVE", 1)}, x AS (SELECT r.case_id, r.idx, r.c, g.e AS clock FROM rt r JOIN gw g ON g.case_id = r.case_id AND g.word_index = r.word_index),
+    d AS (SELECT case_id, idx, CASE WHEN clock - c > {30 * MINUTE} THEN clock + {2 * MINUTE} ELSE c END AS at_, clock - c > {30 * MINUTE} AS moved FROM x WHERE idx = 0
+      UNION ALL SELECT x.case_id, x.idx, CASE WHEN x.clock - greatest(x.c, d.at_ + 1) > {30 * MINUTE} THEN x.clock + {2 * MINUTE} ELSE greatest(x.c, d.at_ + 1) END, x.clock - greatest(x.c, d.at_ + 1) > {30 * MINUTE} FROM d JOIN x ON x.case_id = d.case_id AND x.idx = d.idx + 1)
+    SELECT case_id, idx, at_ AS "at", moved FROM d""")
+def late_rescue(spark: SparkSession, sf: str) -> DataFrame:
+    """Where events are shown if the clock stands at their word's end: those over 30 minutes late go two ahead of it."""
+    clock = cases.words(spark, sf).select("case_id", "word_index", F.col("end").alias("clock"))
+    return scoring.deliver_late(cases.runtime(spark, sf).join(clock, ["case_id", "word_index"]), 30 * MINUTE, 2 * MINUTE)

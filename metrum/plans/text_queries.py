@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrum.functions import hashing, text
+from metrum.functions import hashing, stats, text
 from metrum.operators import lexicon, pauses
 from metrum.session import table
 
@@ -126,6 +126,15 @@ def seed_voice_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), hashing.seed_of(key).alias("seed"), hashing.choice_of(key, 7).alias("voice"))
 
 
+@query("""WITH r AS (SELECT p_partkey AS id, p_name, p_brand, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) - 1 AS retry FROM part), k AS (SELECT id, retry, 'corpus' || chr(0) || p_name || chr(0) || p_brand || CASE WHEN retry > 0 THEN chr(0) || 'retry=' || retry ELSE '' END AS key FROM r)
+    SELECT id, retry, 1 + CAST('0x' || substr(sha256(key), 1, 8) AS BIGINT) % 2147483646 AS seed FROM k""")
+def retry_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds of names and brands; each further part of the same ones is a retry."""
+    retry = (F.row_number().over(Window.partitionBy("p_name", "p_brand").orderBy("p_partkey")) - 1).cast("long")
+    r = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", retry.alias("retry"))
+    return r.select("id", "retry", hashing.seed_of(hashing.salted_key([F.lit("corpus"), F.col("p_name"), F.col("p_brand")], F.col("retry"))).alias("seed"))
+
+
 LETTERS = f"""{WORDS}, l AS (SELECT doc_id, i, word, unnest(generate_series(1, len(word))) AS j FROM w WHERE regexp_full_match(word, '[a-z]+')),
     o AS (SELECT upper(substr(word, j, 1)) AS phone, CASE WHEN len(word) = 1 THEN 'single' WHEN j = 1 THEN 'initial' WHEN j = len(word) THEN 'final' ELSE 'medial' END AS position, 0.02 + ((len(word) * 7 + j * 13) % 30) / 100.0 AS seconds, CAST('0x' || substr(sha1('doc' || doc_id), 1, 8) AS BIGINT) % 5 AS fold FROM l)"""
 
@@ -192,6 +201,51 @@ def context_preference(spark: SparkSession, sf: str) -> DataFrame:
     return k.groupBy("base", "context").agg(F.min_by("variant", F.struct(-F.col("n"), "at")).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).where("total >= 4")
 
 
+CHOICE_SQL = f"""WITH {TURN_WORDS}, x AS (SELECT *, coalesce(lag(variant) OVER w, '') AS prev, coalesce(lead(variant) OVER w, '') AS next, CAST('0x' || substr(sha1('conv' || conv_id), 1, 8) AS BIGINT) % 5 AS fold FROM v WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+    dv AS (SELECT base, list_sort(list(DISTINCT variant)) AS vs FROM v GROUP BY 1), tr AS (SELECT * FROM x WHERE fold <> 0), k AS (SELECT base, variant, count(*) AS n, min(place) AS p FROM tr GROUP BY ALL),
+    top AS (SELECT *, sum(n) OVER (PARTITION BY base) AS total FROM k QUALIFY row_number() OVER (PARTITION BY base ORDER BY n DESC, p) = 1),
+    pf AS (SELECT top.base, top.variant FROM top JOIN dv ON dv.base = top.base LEFT JOIN k d ON d.base = top.base AND d.variant = vs[1] WHERE top.variant <> vs[1] AND total >= 4 AND top.n / total::DOUBLE >= 0.45 AND top.n >= coalesce(d.n, 0) + 2),
+    y AS (SELECT base, true AS before, prev AS nb, variant, place FROM tr UNION ALL SELECT base, false, next, variant, place FROM tr), kc AS (SELECT base, before, nb, variant, count(*) AS n, min(place) AS p FROM y GROUP BY ALL),
+    tc AS (SELECT *, sum(n) OVER (PARTITION BY base, before, nb) AS total FROM kc QUALIFY row_number() OVER (PARTITION BY base, before, nb ORDER BY n DESC, p) = 1),
+    cf AS (SELECT tc.base, before, nb, tc.variant, tc.n / total::DOUBLE AS share, total FROM tc JOIN dv ON dv.base = tc.base LEFT JOIN pf ON pf.base = tc.base WHERE tc.variant <> coalesce(pf.variant, vs[1]) AND total >= 2 AND tc.n / total::DOUBLE >= 0.67),
+    ch AS (SELECT x.*, vs, coalesce(CASE WHEN a.share IS NULL THEN b.variant WHEN b.share IS NULL OR a.share > b.share OR a.share = b.share AND a.total >= b.total THEN a.variant ELSE b.variant END, pf.variant, vs[1]) AS chosen
+      FROM x JOIN dv ON dv.base = x.base LEFT JOIN pf ON pf.base = x.base LEFT JOIN cf a ON a.base = x.base AND a.before AND a.nb = x.prev LEFT JOIN cf b ON b.base = x.base AND NOT b.before AND b.nb = x.next)"""
+
+
+def _choices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences with the variant chosen for them, and the preferences, learned from four folds of conversations. A word's
+    first two letters stand for the word, the word for its pronunciation; equal occurrences are counted first."""
+    w = Window.partitionBy("conv_id", "turn").orderBy("i")
+    near = lambda f: F.coalesce(f("variant").over(w), F.lit(""))
+    v = _turn_words(spark, sf).where(F.length("variant") >= 3).select(F.col("base").alias("word"), F.col("variant").alias("said"), near(F.lag).alias("previous"), near(F.lead).alias("next"), hashing.fold(F.concat(F.lit("conv"), F.col("conv_id").cast("string"))).alias("fold"), "place")
+    x = v.groupBy("word", "said", "previous", "next", "fold").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    variants = x.groupBy("word").agg(F.array_sort(F.collect_set("said")).alias("variants"))
+    seen = x.where("fold <> 0").withColumnRenamed("said", "phones")
+    preferences = lexicon.variant_preferences(seen.select("word", "phones", "n", "first"), variants)
+    contexts = lexicon.context_preferences(seen, variants, preferences)
+    return lexicon.choose_variants(x, variants, preferences, contexts).join(variants.select("word", F.get("variants", F.lit(0)).alias("default")), "word"), preferences, contexts
+
+
+@query(f"""{CHOICE_SQL} SELECT base, chosen, list_position(vs, chosen) - 1 AS variant, count(*) AS n, count(*) FILTER (chosen = variant) AS hits FROM ch GROUP BY ALL""")
+def variant_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Which variants are chosen by preference and context, how often, and how often rightly."""
+    c = _choices(spark, sf)[0]
+    return c.groupBy(F.col("word").alias("base"), F.col("phones").alias("chosen"), "variant").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("phones") == F.col("said"), F.col("n")).otherwise(0)).alias("hits"))
+
+
+@query(f"""{CHOICE_SQL}, r AS (SELECT fold = 0 AS held, vs[1] = variant AS a, chosen = variant AS b, substr(vs[1], 1, 3) = substr(variant, 1, 3) AS c, substr(chosen, 1, 3) = substr(variant, 1, 3) AS d FROM ch)
+    SELECT count(*) FILTER (NOT held) AS train, count(*) FILTER (held) AS test, (SELECT count(*) FROM pf) AS preferences, (SELECT count(*) FROM cf) AS contexts, floor((count(*) FILTER (held AND a) / greatest(count(*) FILTER (held), 1)::DOUBLE) * 1e6 + 0.5) / 1e6 AS default_exact, floor((count(*) FILTER (held AND b) / greatest(count(*) FILTER (held), 1)::DOUBLE) * 1e6 + 0.5) / 1e6 AS chosen_exact,
+      floor((count(*) FILTER (held AND c) / greatest(count(*) FILTER (held), 1)::DOUBLE) * 1e6 + 0.5) / 1e6 AS default_base, floor((count(*) FILTER (held AND d) / greatest(count(*) FILTER (held), 1)::DOUBLE) * 1e6 + 0.5) / 1e6 AS chosen_base FROM r""")
+def preference_heldout(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy on the held-out fold with and without preferences, of whole pronunciations and of their first three letters."""
+    c, preferences, contexts = _choices(spark, sf)
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    held, short = F.col("fold") == 0, lambda x: F.substring(x, 1, 3)
+    share = lambda cond: stats.half_up(total(held & cond) / F.greatest(total(held), F.lit(1)), 6)
+    told = c.agg(total(~held).alias("train"), total(held).alias("test"), share(F.col("default") == F.col("said")).alias("default_exact"), share(F.col("phones") == F.col("said")).alias("chosen_exact"), share(short("default") == short("said")).alias("default_base"), share(short("phones") == short("said")).alias("chosen_base"))
+    return told.crossJoin(preferences.agg(F.count("*").alias("preferences"))).crossJoin(contexts.agg(F.count("*").alias("contexts")))
+
+
 @query(f"""WITH {WORDS}, d AS (SELECT word AS entry FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20 AND len(word) >= 2), u AS (SELECT DISTINCT word, CASE WHEN word LIKE '%''s' THEN substr(word, 1, len(word) - 2) END AS possessor, CASE WHEN word LIKE '%s' THEN substr(word, 1, len(word) - 1) END AS singular FROM w),
     halves AS (SELECT word, cut, substr(word, 1, cut) AS one, substr(word, cut + 1) AS two FROM (SELECT word, unnest(generate_series(3, len(word) - 3)) AS cut FROM u WHERE len(word) >= 6)),
     comp AS (SELECT word, min(cut) AS cut FROM halves JOIN d a ON a.entry = one JOIN d b ON b.entry = two GROUP BY 1),
