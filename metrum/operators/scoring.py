@@ -196,14 +196,55 @@ BASELINE_GATES = [
 ]
 
 
-def baseline_gates(summary: DataFrame, baseline: DataFrame, thresholds: DataFrame) -> DataFrame:
+# Confusions and tails, which may grow by a tolerance over the baseline.
+TAIL_GATES = [
+    ("word_region_confusion.early_region_thefts", "max", "max_early_region_thefts_increase"),
+    ("word_region_confusion.late_region_assignments", "max", "max_late_region_assignments_increase"),
+    ("word_region_confusion.materially_early_intact_words", "max", "max_materially_early_intact_words_increase"),
+    ("word_region_confusion.max_intact_word_lead_ms", "max", "max_intact_word_lead_ms_increase"),
+    ("word_interval_alignment.zero_overlap_words", "max", "max_zero_overlap_words_increase"),
+    ("word_interval_alignment.low_coverage_words", "max", "max_low_coverage_words_increase"),
+    ("word_interval_alignment.onsets_over_200ms", "max", "max_onsets_over_200ms_increase"),
+    ("phonetic_presentation.late_bilabial_peaks", "max", "max_late_bilabial_peaks_increase"),
+]
+
+# Metrics with a limit of their own, its direction and its name.
+ABSOLUTE_GATES = [
+    ("guardrails.order_violations", "max", "max_order_violations"),
+    ("word_duration.coverage_rate", "min", "min_word_duration_coverage_rate"),
+    ("word_duration.severely_compressed_words", "max", "max_severely_compressed_words"),
+    ("runtime_delivery.event_delivery_rate", "min", "min_runtime_event_delivery_rate"),
+    ("runtime_delivery.word_delivery_rate", "min", "min_runtime_word_delivery_rate"),
+    ("runtime_delivery.speech_region_delivery_rate", "min", "min_runtime_speech_region_delivery_rate"),
+    ("runtime_delivery.sentence_delivery_rate", "min", "min_runtime_sentence_delivery_rate"),
+    ("runtime_delivery.late_after_window_events", "max", "max_late_after_window_events"),
+    ("runtime_delivery.empty_speech_regions", "max", "max_empty_speech_regions"),
+    ("runtime_delivery.missing_sentences", "max", "max_missing_sentences"),
+    ("viseme_proportion.word_coverage_rate", "min", "min_viseme_proportion_word_coverage_rate"),
+    ("viseme_proportion.run_share_abs_error_median", "max", "max_viseme_run_share_abs_error_median"),
+    ("viseme_proportion.boundary_position_abs_error_median", "max", "max_viseme_boundary_position_abs_error_median"),
+    ("viseme_proportion.word_total_variation_median", "max", "max_viseme_word_total_variation_median"),
+    ("viseme_proportion.zero_runtime_words", "max", "max_viseme_zero_runtime_words"),
+    ("presentation_event_visibility.robust_visible_event_rate", "min", "min_presentation_robust_visible_event_rate"),
+    ("presentation_event_visibility.robust_boundary_event_rate", "min", "min_presentation_robust_boundary_event_rate"),
+]
+
+
+def absolute_gates(summary: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """As baseline_gates, with the thresholds themselves as limits."""
+    none = thresholds.select(F.lit("").alias("metric"), F.lit(0.0).alias("value")).where("false")
+    told = baseline_gates(summary, none, thresholds, ABSOLUTE_GATES, absolute=True)
+    return told.withColumn("missing", F.when(F.col("missing") == "tolerance", "threshold").otherwise(F.col("missing")))
+
+
+def baseline_gates(summary: DataFrame, baseline: DataFrame, thresholds: DataFrame, gates: list[tuple[str, str, str]] = BASELINE_GATES, absolute: bool = False) -> DataFrame:
     """metric, actual, limit, passed for every gate whose metric, baseline and tolerance are there. summary and baseline:
     (metric, value) by dotted paths; thresholds: (name, value). missing says which of them is not there; such a gate fails."""
-    gates = summary.sparkSession.createDataFrame(BASELINE_GATES, "metric string, direction string, name string")
+    gates = summary.sparkSession.createDataFrame(gates, "metric string, direction string, name string")
     rows = F.broadcast(gates).join(summary.select("metric", F.col("value").alias("actual")), "metric", "left").join(baseline.select("metric", F.col("value").alias("accepted")), "metric", "left").join(thresholds.select("name", F.col("value").alias("tolerance")), "name", "left")
-    limit = F.when(F.col("direction") == "min", F.col("accepted") - F.col("tolerance")).otherwise(F.col("accepted") + F.col("tolerance"))
+    limit = F.col("tolerance") if absolute else F.when(F.col("direction") == "min", F.col("accepted") - F.col("tolerance")).otherwise(F.col("accepted") + F.col("tolerance"))
     ok = F.when(F.col("direction") == "min", F.col("actual") >= F.col("limit")).otherwise(F.col("actual") <= F.col("limit"))
-    missing = F.when(F.col("actual").isNull(), "metric").when(F.col("accepted").isNull(), "baseline").when(F.col("tolerance").isNull(), "tolerance").otherwise("")
+    missing = F.when(F.col("actual").isNull(), "metric").when(F.col("accepted").isNull() & F.lit(not absolute), "baseline").when(F.col("tolerance").isNull(), "tolerance").otherwise("")
     return rows.withColumn("limit", limit).select("metric", "actual", "limit", F.coalesce(ok, F.lit(False)).alias("passed"), missing.alias("missing"))
 
 

@@ -228,3 +228,34 @@ def late_rescue(spark: SparkSession, sf: str) -> DataFrame:
     """Where events are shown if the clock stands at their word's end: those over 30 minutes late go two ahead of it."""
     clock = cases.words(spark, sf).select("case_id", "word_index", F.col("end").alias("clock"))
     return scoring.deliver_late(cases.runtime(spark, sf).join(clock, ["case_id", "word_index"]), 30 * MINUTE, 2 * MINUTE)
+
+
+LIMIT_ACCEPTED = {"word_region_confusion.early_region_thefts": 40.0, "word_region_confusion.late_region_assignments": 3.0, "word_interval_alignment.zero_overlap_words": 1.0}
+LIMIT_VALUES = {"max_early_region_thefts_increase": 10.0, "max_late_region_assignments_increase": 100000.0, "max_zero_overlap_words_increase": 0.0, "max_order_violations": 0.0, "min_runtime_event_delivery_rate": 0.98, "min_runtime_word_delivery_rate": 0.9}
+
+
+def _values(rows) -> str:
+    return f"(VALUES {', '.join(map(str, rows))})"
+
+
+@query(f"""{ASSIGNED_SQL}, a AS (SELECT 'word_region_confusion.early_region_thefts' AS metric, (count(*) FILTER (complete AND delta < 0))::DOUBLE AS actual FROM asg UNION ALL SELECT 'word_region_confusion.late_region_assignments', (count(*) FILTER (complete AND delta > 0))::DOUBLE FROM asg
+      UNION ALL SELECT 'guardrails.order_violations', (count(*) FILTER (back))::DOUBLE FROM (SELECT c + 1 < lag(c) OVER (PARTITION BY case_id ORDER BY idx) AS back FROM rt) UNION ALL SELECT 'runtime_delivery.event_delivery_rate', (count(*) FILTER (strength > 0.012)) / count(*)::DOUBLE FROM shown),
+    g AS (SELECT 'baseline' AS kind, * FROM {_values(scoring.TAIL_GATES)} AS t(metric, direction, name) UNION ALL SELECT 'absolute', * FROM {_values(scoring.ABSOLUTE_GATES)} AS t(metric, direction, name)),
+    b AS (SELECT metric, accepted::DOUBLE AS accepted FROM {_values(LIMIT_ACCEPTED.items())} AS t(metric, accepted)), t AS (SELECT name, v::DOUBLE AS v FROM {_values(LIMIT_VALUES.items())} AS t(name, v)),
+    r AS (SELECT kind, g.metric, actual, direction, CASE kind WHEN 'absolute' THEN v ELSE accepted + v END AS lim, CASE WHEN actual IS NULL THEN 'metric' WHEN kind = 'baseline' AND accepted IS NULL THEN 'baseline' WHEN v IS NULL THEN CASE kind WHEN 'absolute' THEN 'threshold' ELSE 'tolerance' END ELSE '' END AS missing
+      FROM g LEFT JOIN a ON a.metric = g.metric LEFT JOIN b ON b.metric = g.metric LEFT JOIN t ON t.name = g.name)
+    SELECT kind, metric, floor(actual * 1e6 + 0.5) / 1e6 AS actual, lim AS "limit", coalesce(CASE direction WHEN 'min' THEN actual >= lim ELSE actual <= lim END, false) AS passed, missing FROM r""")
+def limit_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Gates of confusions and tails over a baseline, and gates with limits of their own; this corpus measures four of the
+    metrics, the others are reported missing and fail."""
+    assigned, detected, gold = _assigned(spark, sf)
+    moved = scoring.assignment_report(assigned, detected, gold, DAY).agg(F.sum("early_theft").alias("early"), F.sum("late_assignment").alias("late"))
+    w = Window.partitionBy("case_id").orderBy("idx")
+    events = cases.runtime(spark, sf).withColumn("back", F.coalesce(F.col("centre") + 1 < F.lag("centre").over(w), F.lit(False)))
+    track = events.agg(F.count_if("back").alias("back"), (F.count_if(scoring.delivery_candidate()) / F.count_if(scoring.rendered())).alias("delivered"))
+    of = lambda d, names: d.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("value")) for k, c in names.items()))).alias("m")).select("m.*")
+    summary = of(moved, {"word_region_confusion.early_region_thefts": "early", "word_region_confusion.late_region_assignments": "late"}).union(of(track, {"guardrails.order_violations": "back", "runtime_delivery.event_delivery_rate": "delivered"}))
+    accepted, limits = spark.createDataFrame(list(LIMIT_ACCEPTED.items()), "metric string, value double"), spark.createDataFrame(list(LIMIT_VALUES.items()), "name string, value double")
+    tails, own = scoring.baseline_gates(summary, accepted, limits, scoring.TAIL_GATES), scoring.absolute_gates(summary, limits)
+    both = tails.select(F.lit("baseline").alias("kind"), "*").unionByName(own.select(F.lit("absolute").alias("kind"), "*"))
+    return both.withColumn("actual", stats.half_up(F.col("actual"), 6))

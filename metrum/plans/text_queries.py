@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from metrum.functions import hashing, stats, text
 from metrum.operators import lexicon, pauses
-from metrum.session import table
+from metrum.session import table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -218,11 +218,11 @@ def _choices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     w = Window.partitionBy("conv_id", "turn").orderBy("i")
     near = lambda f: F.coalesce(f("variant").over(w), F.lit(""))
     v = _turn_words(spark, sf).where(F.length("variant") >= 3).select(F.col("base").alias("word"), F.col("variant").alias("said"), near(F.lag).alias("previous"), near(F.lead).alias("next"), hashing.fold(F.concat(F.lit("conv"), F.col("conv_id").cast("string"))).alias("fold"), "place")
-    x = v.groupBy("word", "said", "previous", "next", "fold").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    variants = x.groupBy("word").agg(F.array_sort(F.collect_set("said")).alias("variants"))
+    x = written(v.groupBy("word", "said", "previous", "next", "fold").agg(F.count("*").alias("n"), F.min("place").alias("first")), "occurrences")
+    variants = written(x.groupBy("word").agg(F.array_sort(F.collect_set("said")).alias("variants")), "variants")
     seen = x.where("fold <> 0").withColumnRenamed("said", "phones")
-    preferences = lexicon.variant_preferences(seen.select("word", "phones", "n", "first"), variants)
-    contexts = lexicon.context_preferences(seen, variants, preferences)
+    preferences = written(lexicon.variant_preferences(seen.select("word", "phones", "n", "first"), variants), "preferences")
+    contexts = written(lexicon.context_preferences(seen, variants, preferences), "contexts")
     return lexicon.choose_variants(x, variants, preferences, contexts).join(variants.select("word", F.get("variants", F.lit(0)).alias("default")), "word"), preferences, contexts
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,24 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back, for tables that a query reads more than once; the folder goes when the
+    driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/metrum-{uuid.uuid4().hex}-{tag}"
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder as long as the session still runs."""
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; a file or a folder of files, on any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
