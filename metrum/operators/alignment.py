@@ -198,13 +198,67 @@ def decode_cases(frames: DataFrame, states: int, lag: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        v = pdf["value"].to_numpy(float)
-        levels = np.linspace(v.min(), v.max(), states)
-        scores = -np.abs(v[:, None] - levels[None, :]) / (np.ptp(v) + 1e-9)
-        top = scores.max(axis=1, keepdims=True)
-        scores = scores - top - np.log(np.maximum(np.exp(scores - top).sum(axis=1, keepdims=True), 1e-12))
+        scores = _level_scores(pdf["value"].to_numpy(float), states)
         stay = np.full(states, np.log(0.8))
         return pd.DataFrame({"case_id": pdf["case_id"], "frame": pdf["frame"], "offline": viterbi(scores, stay), "committed": fixed_lag(scores, stay, lag)})
 
     return frames.groupBy("case_id").applyInPandas(run, "case_id long, frame long, offline int, committed int")
 
+
+# Fixed values of the lattice with dwell: weight of speech occupancy, its bounds, a frame's seconds, bounds of the chance to
+# advance, frames a token should last at least by its prior, and at most, and what each missing frame costs.
+OCCUPANCY_WEIGHT, OCCUPANCY_BOUNDS = 1.75, (0.02, 0.98)
+FRAME_SECONDS, LEAST_PRIOR, ADVANCE_BOUNDS = 0.010, 0.020, (0.02, 0.80)
+LEAST_FRAMES_A_SECOND, LEAST_FRAMES, MOST_FRAMES_A_SECOND, MOST_FRAMES = 50.0, (2, 8), 300.0, (6, 30)
+SENTENCE_FRAMES, SENTENCE_COST, TOKEN_COST = 8, 0.75, 0.50
+
+
+def dwell_path(scores: np.ndarray, speech: np.ndarray, prior: np.ndarray, silent: np.ndarray, sentence: np.ndarray) -> list[int]:
+    """Tokens frame by frame, left to right from the first to the last, which the path is made to end in. scores: log
+    probabilities by frame and token; speech: the chance of speech by frame, for tokens that aren't silent; prior: a
+    token's usual seconds. A token is left early at a cost by frame, not before its second frame, and held no longer than
+    its limit; silent tokens have no such limits but a sentence's end has its own cost. Dwell is that of each token's best
+    path, and staying wins a tie. With fewer frames than tokens the path begins later than at the first one."""
+    frames, tokens = scores.shape
+    heard = np.clip(speech, *OCCUPANCY_BOUNDS)[:, None]
+    emission = scores + OCCUPANCY_WEIGHT * np.log(np.where(silent[None, :], 1 - heard, heard))
+    advance = np.clip(FRAME_SECONDS / np.maximum(prior, LEAST_PRIOR), *ADVANCE_BOUNDS)
+    least = np.where(sentence, SENTENCE_FRAMES, np.where(silent, 1, np.clip(np.ceil(prior * LEAST_FRAMES_A_SECOND), *LEAST_FRAMES)))
+    most = np.where(silent, np.inf, np.clip(np.ceil(prior * MOST_FRAMES_A_SECOND), *MOST_FRAMES))
+    cost = np.where(sentence, SENTENCE_COST, TOKEN_COST)
+    stay, go = np.log(1 - advance), np.log(advance)
+    best, dwell = np.full(tokens, -np.inf), np.zeros(tokens, np.int64)
+    best[0], dwell[0] = scores[0, 0] + OCCUPANCY_WEIGHT * np.log(1 - heard[0, 0]), 1
+    came = np.zeros((frames, tokens), bool)
+    for t in range(1, frames):
+        held = np.where(dwell < most, best + stay, -np.inf)
+        left = np.where(silent | (dwell >= 2), best + go - np.maximum(least - dwell, 0) * cost, -np.inf)
+        moved = np.concatenate([[-np.inf], left[:-1]])
+        came[t] = moved > held
+        best, dwell = np.maximum(held, moved) + emission[t], np.where(came[t], 1, dwell + 1)
+    at, path = tokens - 1, []
+    for t in range(frames - 1, -1, -1):
+        path.append(at)
+        at -= int(came[t, at])
+    return path[::-1]
+
+
+def decode_dwell(frames: DataFrame, prior: list[float], silent: list[bool], sentence: list[bool]) -> DataFrame:
+    """case_id, frame, token of frames (case_id, frame, value, speech): a token's score is how near its level, evenly spaced
+    over the case's range, is to the value, and speech the chance of speech."""
+    p, q, r = np.array(prior, float), np.array(silent, bool), np.array(sentence, bool)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        scores = _level_scores(pdf["value"].to_numpy(float), len(p))
+        return pd.DataFrame({"case_id": pdf["case_id"], "frame": pdf["frame"], "token": dwell_path(scores, pdf["speech"].to_numpy(float), p, q, r)})
+
+    return frames.groupBy("case_id").applyInPandas(run, "case_id long, frame long, token int")
+
+
+def _level_scores(v: np.ndarray, states: int) -> np.ndarray:
+    """Log-softmax of how near each of evenly spaced levels is to the values."""
+    levels = np.linspace(v.min(), v.max(), states)
+    scores = -np.abs(v[:, None] - levels[None, :]) / (np.ptp(v) + 1e-9)
+    top = scores.max(axis=1, keepdims=True)
+    return scores - top - np.log(np.maximum(np.exp(scores - top).sum(axis=1, keepdims=True), 1e-12))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metrum.functions import text
-from metrum.operators import alignment, signal
+from metrum.operators import alignment, frames, signal
 from metrum.plans import adapters
 from metrum.plans.adapters import EVENTS_SQL, GOLD_SQL, HOUR
 from metrum.session import table
@@ -94,3 +94,27 @@ def goertzel_features(spark: SparkSession, sf: str) -> DataFrame:
 def stream_regions(spark: SparkSession, sf: str) -> DataFrame:
     """The stream's regions over all events, read to the end; equal to the batch query's."""
     return streaming.regions_of_table(spark, f"{sf}/events.parquet", 8 * HOUR, HOUR)
+
+
+# Six tokens: silence, two sounds, the end of a sentence, two sounds.
+PRIOR, SILENT, SENTENCE = [0.02, 0.05, 0.08, 0.02, 0.04, 0.12], [True, False, False, True, False, False], [False, False, False, True, False, False]
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, f AS (SELECT case_id, event_id AS frame, row_number() OVER (PARTITION BY case_id ORDER BY event_id) AS i, value, min(value) OVER (PARTITION BY case_id) AS lo, max(value) OVER (PARTITION BY case_id) AS hi, count(*) OVER (PARTITION BY case_id) AS n FROM ev),
+    raw AS (SELECT *, list_transform(range({STATES}), lambda j: -abs(value - (lo + (hi - lo) * j / {STATES - 1})) / (hi - lo + 1e-9)) AS x FROM f),
+    sc AS (SELECT case_id, frame, i, n, least(greatest(1 / (1 + exp(-value / 50.0)), 0.02), 0.98) AS occ, list_transform(x, lambda a: a - list_max(x) - ln(greatest(list_sum(list_transform(x, lambda b: exp(b - list_max(x)))), 1e-12))) AS s FROM raw),
+    tk AS (SELECT {PRIOR}::DOUBLE[] AS pr, {str(SILENT).lower()} AS si, {str(SENTENCE).lower()} AS se),
+    tl AS (SELECT si, list_transform(pr, lambda p: least(greatest(0.010::DOUBLE / greatest(p, 0.020::DOUBLE), 0.02::DOUBLE), 0.80::DOUBLE)) AS ap, list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN se[j] THEN 8e0 WHEN si[j] THEN 1e0 ELSE least(greatest(ceil(pr[j] * 50e0), 2e0), 8e0) END) AS mn,
+      list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN si[j] THEN 1e9 ELSE least(greatest(ceil(pr[j] * 300e0), 6e0), 30e0) END) AS mx, list_transform(se, lambda x: CASE WHEN x THEN 0.75e0 ELSE 0.5e0 END) AS cost FROM tk),
+    d AS (SELECT case_id, i, list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN j = 1 THEN s[1] + 1.75e0 * ln(1 - occ) ELSE '-infinity'::DOUBLE END) AS best, list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN j = 1 THEN 1 ELSE 0 END) AS dwell, list_transform(range({STATES}), lambda j: false) AS came FROM sc WHERE i = 1
+      UNION ALL SELECT case_id, i, list_transform(range(1, {STATES + 1}), lambda j: greatest(st[j].h, st[j].g) + s[j] + 1.75e0 * ln(CASE WHEN si[j] THEN 1 - occ ELSE occ END)), list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN st[j].g > st[j].h THEN 1 ELSE dwell[j] + 1 END), list_transform(st, lambda x: x.g > x.h)
+        FROM (SELECT sc.case_id, sc.i, sc.s, sc.occ, si, dwell, list_transform(range(1, {STATES + 1}), lambda j: {{'h': CASE WHEN dwell[j] < mx[j] THEN best[j] + ln(1 - ap[j]) ELSE '-infinity'::DOUBLE END,
+          'g': CASE WHEN j > 1 AND (si[j - 1] OR dwell[j - 1] >= 2) THEN best[j - 1] + ln(ap[j - 1]) - greatest(mn[j - 1] - dwell[j - 1], 0e0) * cost[j - 1] ELSE '-infinity'::DOUBLE END}}) AS st FROM d JOIN sc ON sc.case_id = d.case_id AND sc.i = d.i + 1 CROSS JOIN tl)),
+    p AS (SELECT case_id, i, {STATES - 1} AS token FROM sc WHERE i = n
+      UNION ALL SELECT d.case_id, d.i - 1, p.token - CASE WHEN d.came[p.token + 1] THEN 1 ELSE 0 END FROM p JOIN d ON d.case_id = p.case_id AND d.i = p.i WHERE d.i > 1)
+    SELECT sc.case_id, sc.frame, CAST(p.token AS INTEGER) AS token FROM p JOIN sc ON sc.case_id = p.case_id AND sc.i = p.i""")
+def dwell_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths through the six tokens with dwell limits, dwell costs and speech occupancy."""
+    chance = frames.sigmoid(F.col("value") / 50.0)
+    f = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), "value", chance.alias("speech"))
+    return alignment.decode_dwell(f, PRIOR, SILENT, SENTENCE)

@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from metrum.functions import hashing
-from metrum.operators import lexicon, scoring
+from metrum.operators import alignment, lexicon, scoring
 
 
 def plain_preferences(seen, variants):
@@ -115,3 +116,22 @@ def test_retries_get_other_seeds(spark):
     got = [r.seed for r in d.select(hashing.seed_of(hashing.salted_key([d.line, d.voice], d.retry)).alias("seed")).collect()]
     key = lambda a, b, n: f"{a}\0{b}" + (f"\0retry={n}" if n else "")
     assert got == [1 + int.from_bytes(hashlib.sha256(key(*r).encode()).digest()[:4], "big") % 2147483646 for r in rows]
+
+
+def test_dwell_limits_of_the_lattice():
+    free = lambda frames, tokens: np.full((frames, tokens), -2.0)
+    some = lambda *flags: np.array(flags, bool)
+    speech = np.r_[np.full(3, 0.05), np.full(37, 0.95)]
+    # Token 1 would be held all along by its scores, but six frames are the most that its prior allows.
+    s = free(40, 3)
+    s[3:, 1] = 0.0
+    path = alignment.dwell_path(s, speech, np.array([0.02, 0.02, 0.30]), some(True, False, False), some(False, False, False))
+    assert path[0] == 0 and path[-1] == 2 and path.count(1) <= 6 and all(b - a in (0, 1) for a, b in zip(path, path[1:], strict=False))
+    # A token is not left before its second frame, whatever the scores say.
+    s = free(12, 3)
+    s[:, 1] = -50.0
+    path = alignment.dwell_path(s, np.full(12, 0.9), np.array([0.1, 0.1, 0.1]), some(False, False, False), some(False, False, False))
+    assert path.count(1) >= 2
+    # Fewer frames than tokens: the path still ends in the last one.
+    assert alignment.dwell_path(free(1, 3), np.array([0.5]), np.array([0.1, 0.1, 0.1]), some(False, False, False), some(False, False, False)) == [2]
+    assert alignment.dwell_path(free(1, 1), np.array([0.5]), np.array([0.1]), some(True), some(False)) == [0]
