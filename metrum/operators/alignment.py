@@ -218,7 +218,8 @@ def dwell_path(scores: np.ndarray, speech: np.ndarray, prior: np.ndarray, silent
     probabilities by frame and token; speech: the chance of speech by frame, for tokens that aren't silent; prior: a
     token's usual seconds. A token is left early at a cost by frame, not before its second frame, and held no longer than
     its limit; silent tokens have no such limits but a sentence's end has its own cost. Dwell is that of each token's best
-    path, and staying wins a tie. With fewer frames than tokens the path begins later than at the first one."""
+    path, and staying wins a tie. With fewer frames than tokens the path begins later than at the first one; where no path
+    reaches the last token, as a token before it never lasts, the last token is all there is."""
     frames, tokens = scores.shape
     heard = np.clip(speech, *OCCUPANCY_BOUNDS)[:, None]
     emission = scores + OCCUPANCY_WEIGHT * np.log(np.where(silent[None, :], 1 - heard, heard))
