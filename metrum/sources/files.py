@@ -214,3 +214,27 @@ def preferred_file(files: DataFrame) -> DataFrame:
 def numbered_cases(rows: DataFrame, order: list[str], first: int = 1) -> DataFrame:
     """rows with case_id `case_0001` and so on in the given order. The list of new cases is a report of bounded size."""
     return rows.withColumn("case_id", F.format_string("case_%04d", F.row_number().over(Window.orderBy(*order)) + (first - 1)))
+
+
+def metadata_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest made anew from root/*/metadata.json: case_id (the folder's name where it is missing), approval,
+    review_layers and summary as JSON (`{}` where missing), reviewer ('' where missing) and path, the folder. A file that is
+    no JSON object has all defaults."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/metadata.json").select(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("v"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"))
+    field = lambda name: F.get_json_object("v", f"$.{name}")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select(F.coalesce(field("case_id"), name).alias("case_id"), *(F.coalesce(field(c), F.lit(d)).alias(c) for c, d in (("approval", "{}"), ("review_layers", "{}"), ("reviewer", ""), ("summary", "{}"))), "path")
+
+
+def import_plan(wanted: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+    """wanted (case_id, transcript, and more) with action: `missing` where found (case_id, kind) has not all of wav, grid and
+    transcript for the case, else `differs` where kept (case_id, text: transcripts that are here already) has another text,
+    `keep` where it has the same one, and `copy` where it has none. Texts are compared without white space at their ends;
+    of several transcripts of a case all must be the same."""
+    has = found.where(F.col("kind").isin("wav", "grid", "transcript")).groupBy("case_id").agg(F.count_distinct("kind").alias("_kinds"))
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    texts = kept.groupBy("case_id").agg(F.min(plain(F.col("text"))).alias("_low"), F.max(plain(F.col("text"))).alias("_high"))
+    rows = wanted.join(has, "case_id", "left").join(texts, "case_id", "left")
+    same = (F.col("_low") == plain(F.col("transcript"))) & (F.col("_high") == plain(F.col("transcript")))
+    action = F.when(F.coalesce("_kinds", F.lit(0)) < 3, "missing").when(F.col("_low").isNull(), "copy").when(same, "keep").otherwise("differs")
+    return rows.select(*wanted.columns, action.alias("action"))
