@@ -93,13 +93,13 @@ def region_nearest_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{BOTH}, {OVERLAP} SELECT case_id, count(*) AS pairs, count_if(ps < gs) AS early, count_if(pe > ge) AS late,
-    round(avg(greatest(gs - ps, 0) / 1000.0), 3) AS mean_early_ms, max(greatest(pe - ge, 0)) AS max_late_us FROM best GROUP BY 1""")
+    floor(avg(greatest(gs - ps, 0)) / 1000 * 1e3 + 0.5) / 1e3 AS mean_early_ms, max(greatest(pe - ge, 0)) AS max_late_us FROM best GROUP BY 1""")
 def region_containment_leak(spark: SparkSession, sf: str) -> DataFrame:
     """How far matched regions reach out of the gold ones."""
     left, right = adapters.as_left(adapters.gold(spark, sf)), adapters.as_right(adapters.predicted(spark, sf))
     m = regions.best_overlap(left, right, DAY).where("match >= 0").join(left, ["case_id", "idx"]).join(right.withColumnRenamed("r_idx", "match"), ["case_id", "match"])
     early, late = F.greatest(F.col("start") - F.col("r_start"), F.lit(0)), F.greatest(F.col("r_end") - F.col("end"), F.lit(0))
-    return m.groupBy("case_id").agg(F.count("*").alias("pairs"), F.count_if(early > 0).alias("early"), F.count_if(late > 0).alias("late"), F.round(F.avg(early / 1000.0), 3).alias("mean_early_ms"), F.max(late).alias("max_late_us"))
+    return m.groupBy("case_id").agg(F.count("*").alias("pairs"), F.count_if(early > 0).alias("early"), F.count_if(late > 0).alias("late"), stats.half_up(F.avg(early) / 1000.0, 3).alias("mean_early_ms"), F.max(late).alias("max_late_us"))
 
 
 @query(f"""WITH {EVENTS_SQL}, {adapters.islands_sql("six", 6, "true", 0)} SELECT case_id, count(*) AS sessions, max(n) AS longest, sum(e - s) AS active_us, count_if(n = 1) AS single
