@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrum.llm import chat, packing, phrases, pieces, secrets, sharding, simhash, toxicity, urlrules, vptree
+from metrum.llm import chat, minhash, packing, phrases, pieces, secrets, sharding, simhash, toxicity, urlrules, vptree
 from metrum.session import table
 
 URL_RULES: list[urlrules.Rule] = [
@@ -82,9 +82,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter)
+    for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter, op11_minhash)
 }
 
 KIND_PATTERNS = [
@@ -158,12 +162,26 @@ NEAREST_SQL = """
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
+# All pairs that share a shingle; components by reachability.
+MINHASH_SQL = r"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT row_, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT row_, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+    n AS (SELECT row_, count(*) AS n FROM sh GROUP BY row_),
+    met AS (SELECT a.row_ AS u, b.row_ AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.row_ < b.row_ GROUP BY 1, 2),
+    e AS (SELECT u, v FROM met JOIN n nu ON nu.row_ = u JOIN n nv ON nv.row_ = v WHERE 100 * c >= 85 * (nu.n + nv.n - c)),
+    both_ AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    reach AS (SELECT row_ AS a, row_ AS b FROM d UNION SELECT a, v FROM reach JOIN both_ ON u = b),
+    least_ AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.row_ = b GROUP BY a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN least_ ON a = d.row_ LEFT JOIN n ON n.row_ = d.row_
+"""
+
 # XXH64, tokenizers, trained scores, mined rules and phrase sets are beyond DuckDB's SQL, so the other six queries are held
 # against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_secret_scans": SECRETS_SQL,
     "op5_sharding": SHARDS_SQL,
     "op9_nearest": NEAREST_SQL,
+    "op11_minhash": MINHASH_SQL,
     "op7_chat_format": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
