@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrum.llm import chat, minhash, packing, phrases, pieces, secrets, sharding, simhash, toxicity, urlrules, vptree
+from metrum.llm import chat, divergence, minhash, packing, phrases, pieces, secrets, sharding, simhash, toxicity, urlrules, vptree
 from metrum.session import table
 
 URL_RULES: list[urlrules.Rule] = [
@@ -86,9 +86,13 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter, op11_minhash)
+    for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter, op11_minhash, op12_source_divergence)
 }
 
 KIND_PATTERNS = [
@@ -175,6 +179,23 @@ MINHASH_SQL = r"""
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN least_ ON a = d.row_ LEFT JOIN n ON n.row_ = d.row_
 """
 
+DIVERGENCE_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS row_, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+    t AS (SELECT row_, lang, source, unnest(ts) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row_) >= 30),
+    langs AS (SELECT lang, sum(n) AS n, count(*) AS v FROM kept GROUP BY lang),
+    c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+    g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s ON s.lang = d.lang AND s.source = d.source GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+          FROM g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+    QUALIFY part = 'pair' OR rank <= 50
+"""
+
 # XXH64, tokenizers, trained scores, mined rules and phrase sets are beyond DuckDB's SQL, so the other six queries are held
 # against brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -182,6 +203,7 @@ ORACLES: dict[str, str] = {
     "op5_sharding": SHARDS_SQL,
     "op9_nearest": NEAREST_SQL,
     "op11_minhash": MINHASH_SQL,
+    "op12_source_divergence": DIVERGENCE_SQL,
     "op7_chat_format": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
