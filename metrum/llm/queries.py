@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrum.llm import chat, divergence, minhash, packing, phrases, pieces, secrets, sharding, simhash, toxicity, urlrules, vptree
+from metrum.llm import chat, collocations, divergence, minhash, packing, phrases, pieces, secrets, sharding, simhash, toxicity, urlrules, vptree
 from metrum.session import table
 
 URL_RULES: list[urlrules.Rule] = [
@@ -90,9 +90,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter, op11_minhash, op12_source_divergence)
+    for f in (op1_secret_scans, op2_piece_sampling, op3_best_fit_packing, op4_simhash, op5_sharding, op6_toxicity, op7_chat_format, op8_phrase_fingerprints, op9_nearest, op10_url_filter, op11_minhash, op12_source_divergence, op13_collocations)
 }
 
 KIND_PATTERNS = [
@@ -196,6 +200,20 @@ DIVERGENCE_SQL = r"""
     QUALIFY part = 'pair' OR rank <= 50
 """
 
+COLLOCATIONS_SQL = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+    g AS (SELECT lang, m, array_to_string(w[k:k + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+    n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+    f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    cut AS (SELECT lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first_, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest_ FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+    scored AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r, n.n, CAST((1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+               FROM cut c JOIN n ON n.lang = c.lang JOIN f l ON l.lang = c.lang AND l.phrase = c.first_ JOIN f r ON r.lang = c.lang AND r.phrase = c.rest_),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    left_ AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.m > b.m AND 100 * f.a >= 100 * b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM left_ QUALIFY rank <= 2000
+"""
+
 # XXH64, tokenizers, trained scores, mined rules and phrase sets are beyond DuckDB's SQL, so the other six queries are held
 # against brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -204,6 +222,7 @@ ORACLES: dict[str, str] = {
     "op9_nearest": NEAREST_SQL,
     "op11_minhash": MINHASH_SQL,
     "op12_source_divergence": DIVERGENCE_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
     "op7_chat_format": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
