@@ -171,7 +171,7 @@ def prior_heldout_mae(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.sum("k").alias("n"), err("base").alias("base_mae"), err("prior").alias("position_mae"))
 
 
-TURN_WORDS = "c AS (SELECT conv_id, turn, role, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ws FROM conversations WHERE len(regexp_extract_all(lower(text), '[a-z0-9'']+')) > 0)), v AS (SELECT conv_id, turn, i, substr(word, 1, 2) AS base, word AS variant, {'c': conv_id, 't': turn, 'i': i} AS place FROM c WHERE len(word) >= 3)"
+TURN_WORDS = "c AS (SELECT conv_id, turn, role, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ws FROM conversations WHERE len(regexp_extract_all(lower(text), '[a-z0-9'']+')) > 0)), v AS (SELECT conv_id, turn, i, substr(word, 1, 2) AS base, word AS variant, {'c': conv_id, 't': turn, 'i': i} AS place FROM c)"
 
 
 def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +184,7 @@ def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
     SELECT b.base, b.variant AS preferred, b.n, CAST(t.total AS BIGINT) AS total, round(b.n / CAST(t.total AS DOUBLE), 6) AS share FROM b JOIN t ON b.base = t.base WHERE t.total >= 5 AND b.n / CAST(t.total AS DOUBLE) >= 0.3""")
 def preference_mining(spark: SparkSession, sf: str) -> DataFrame:
     """The most common variant of each base, the one seen first of several, where it is common enough."""
-    k = _turn_words(spark, sf).where(F.length("variant") >= 3).groupBy("base", "variant").agg(F.count("*").alias("n"), F.min("place").alias("at"))
+    k = _turn_words(spark, sf).groupBy("base", "variant").agg(F.count("*").alias("n"), F.min("place").alias("at"))
     b = k.groupBy("base").agg(F.min_by("variant", F.struct(-F.col("n"), "at")).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).withColumn("share", F.col("n") / F.col("total"))
     return b.where("total >= 5 AND share >= 0.3").withColumn("share", F.round("share", 6))
 
@@ -195,7 +195,7 @@ def preference_mining(spark: SparkSession, sf: str) -> DataFrame:
     SELECT k.base, k.context, k.variant AS preferred, k.n, t.total FROM k JOIN t ON k.base = t.base AND k.context = t.context WHERE t.total >= 4 QUALIFY row_number() OVER (PARTITION BY k.base, k.context ORDER BY k.n DESC, k.first_place) = 1""")
 def context_preference(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("conv_id", "turn").orderBy("i")
-    x = _turn_words(spark, sf).where(F.length("variant") >= 3).withColumn("prev", F.lag("variant").over(w)).withColumn("next", F.lead("variant").over(w))
+    x = _turn_words(spark, sf).withColumn("prev", F.lag("variant").over(w)).withColumn("next", F.lead("variant").over(w))
     kinds = F.array_compact(F.array(F.concat(F.lit("prev:"), F.col("prev")), F.concat(F.lit("next:"), F.col("next"))))
     k = x.select("base", "variant", "place", F.explode(kinds).alias("context")).groupBy("base", "context", "variant").agg(F.count("*").alias("n"), F.min("place").alias("at"))
     return k.groupBy("base", "context").agg(F.min_by("variant", F.struct(-F.col("n"), "at")).alias("preferred"), F.max("n").alias("n"), F.sum("n").alias("total")).where("total >= 4")
@@ -217,7 +217,7 @@ def _choices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     first two letters stand for the word, the word for its pronunciation; equal occurrences are counted first."""
     w = Window.partitionBy("conv_id", "turn").orderBy("i")
     near = lambda f: F.coalesce(f("variant").over(w), F.lit(""))
-    v = _turn_words(spark, sf).where(F.length("variant") >= 3).select(F.col("base").alias("word"), F.col("variant").alias("said"), near(F.lag).alias("previous"), near(F.lead).alias("next"), hashing.fold(F.concat(F.lit("conv"), F.col("conv_id").cast("string"))).alias("fold"), "place")
+    v = _turn_words(spark, sf).select(F.col("base").alias("word"), F.col("variant").alias("said"), near(F.lag).alias("previous"), near(F.lead).alias("next"), hashing.fold(F.concat(F.lit("conv"), F.col("conv_id").cast("string"))).alias("fold"), "place")
     x = written(v.groupBy("word", "said", "previous", "next", "fold").agg(F.count("*").alias("n"), F.min("place").alias("first")), "occurrences")
     variants = written(x.groupBy("word").agg(F.array_sort(F.collect_set("said")).alias("variants")), "variants")
     seen = x.where("fold <> 0").withColumnRenamed("said", "phones")
@@ -285,9 +285,9 @@ def name_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("name", h["high"].alias("high"), h["low"].alias("low"), text.sanitise(F.col("name")).alias("sanitised"), text.log_key(F.col("name")).alias("log_key"))
 
 
-@query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS nested, lower(json_extract_string(props, '$.k')) IN ('1', 'true', 'yes') AS flag, coalesce(TRY_CAST(event_type AS DOUBLE), 0.5) AS number FROM events WHERE props IS NOT NULL""")
+@query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS nested, lower(json_extract_string(props, '$.k')) IN ('1', 'true', 'yes') AS flag, coalesce(TRY_CAST(event_type AS DOUBLE), 0.5) AS number FROM events""")
 def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of JSON by path, with defaults for what is missing or no number."""
-    e = table(spark, sf, "events").where("props IS NOT NULL")
+    e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     return e.select("event_id", text.number(k, "bigint", -1).alias("k"), F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("nested"), text.truth(k).alias("flag"), text.number(F.col("event_type"), "double", 0.5).alias("number"))
