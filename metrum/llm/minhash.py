@@ -1,8 +1,8 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, exact confirmation, and connected
 components by alternating large-star and small-star.
 
-A text's set is that of its distinct shingles of five words, A-Z lower-cased. 160 functions a * x + b (mod 2**64, a odd) of
-the shingles' 64-bit hashes have a minimum each, of which one byte is kept; two sets of similarity s agree in a byte with
+A text's set is that of its distinct shingles of five words, A-Z lower-cased. 160 functions a * x + b (mod 2**32, a odd) of
+the shingles' hashes have a minimum each, of which one byte is kept; two sets of similarity s agree in a byte with
 chance s + (1 - s) / 256. 32 bands of five bytes are buckets: a pair of similarity 0.85 has no bucket in common with
 chance (1 - 0.85**5)**32 < 1e-8. Pairs of a bucket are candidates if as many bytes agree as a link has but for one case in
 a billion, and every link is confirmed on the full sets of shingles, as bytes, so no hash decides it.
@@ -30,7 +30,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, materialize, union_all
 
@@ -55,20 +54,21 @@ def shingles(text: str | None, words: int = WORDS) -> tuple[bytes, list[bytes]]:
 
 @cache
 def _functions() -> tuple[np.ndarray, np.ndarray]:
-    drawn = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-    return drawn[0] | np.uint64(1), drawn[1]
+    drawn = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+    return drawn[0] | np.uint32(1), drawn[1]
 
 
 def signature(parts: set[bytes]) -> np.ndarray:
-    """One byte of each function's minimum."""
+    """The lowest byte of each function's minimum; as a is odd, two shingles share it with chance 1 / 256."""
     a, b = _functions()
-    x = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(1)), "<u8", len(parts))
-    least = np.full(len(a), np.iinfo(np.uint64).max)
-    for i in range(0, len(x), 1024):
-        h = np.multiply.outer(a, x[i : i + 1024])
-        h += b[:, None]
+    x = np.fromiter(map(xxhash.xxh32_intdigest, parts, repeat(1)), np.uint32, len(parts))
+    least, room = np.full(len(a), np.iinfo(np.uint32).max), np.empty((len(a), 512), np.uint32)
+    for i in range(0, len(x), 512):
+        some = x[i : i + 512]
+        h = np.multiply(a, some, out=room[:, : len(some)])
+        h += b
         np.minimum(least, h.min(axis=1), out=least)
-    return (least >> np.uint64(24)).astype(np.uint8)
+    return least.astype(np.uint8)
 
 
 def buckets(sig: np.ndarray) -> np.ndarray:
@@ -131,38 +131,51 @@ def _blocks(keyed: DataFrame, full: DataFrame) -> DataFrame:
     return placed.select("bucket", "b.i", "b.j", *(c for c in keyed.columns if c != "bucket"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables of the consecutive rows that have the same values of the integer columns `by`."""
-    rest: pa.Table | None = None
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, np.ndarray | list]]:
+    """The columns of consecutive rows that have the same values of the integer columns `by`: signatures as rows of bytes,
+    texts as a list."""
+
+    def opened(b: pa.RecordBatch) -> dict:
+        out = {}
+        for name, column in zip(b.schema.names, b.columns, strict=True):
+            out[name] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) if name == "sig" else column.to_pylist() if name == "t" else column.to_numpy()
+        return out
+
+    rest: dict | None = None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        cols = [rest.column(c).to_numpy() for c in by]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if len(rest) else []
-        starts = [0, *map(int, new)]
+        if not b.num_rows:
+            continue
+        now = opened(b)
+        if rest is not None:
+            now = {k: rest[k] + v if k == "t" else np.concatenate([rest[k], v]) for k, v in now.items()}
+        starts = [0, *(np.flatnonzero(np.any([now[c][1:] != now[c][:-1] for c in by], axis=0)) + 1).tolist()]
         for lo, hi in zip(starts, starts[1:], strict=False):
-            yield rest.slice(lo, hi - lo)
-        rest = rest.slice(starts[-1])
-    if rest is not None and len(rest):
+            yield {k: v[lo:hi] for k, v in now.items()}
+        rest = {k: v[starts[-1] :] for k, v in now.items()}
+    if rest is not None:
         yield rest
 
 
-def _sigs(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-
-
 def _near(sig: np.ndarray, n: np.ndarray, i: int, among: np.ndarray, agreeing: int, percent: int) -> np.ndarray:
     """Which of the nodes `among` may be linked with node i, by sizes and signatures."""
-    fits = (100 * np.minimum(n[among], n[i]) >= percent * np.maximum(n[among], n[i]))
-    return fits & ((sig[among] == sig[i]).sum(axis=1) >= agreeing)
+    fits = 100 * np.minimum(n[among], n[i]) >= percent * np.maximum(n[among], n[i])
+    return fits & (np.count_nonzero(sig[among] == sig[i], axis=1) >= agreeing)
+
+
+def _meet_first(sig: np.ndarray, i: int, among: np.ndarray, band: int) -> np.ndarray:
+    """Which of the nodes `among` have no bucket in common with node i before this band's, so that a pair is met once."""
+    if not band:
+        return np.ones(len(among), bool)
+    width = band * ROWS
+    return ~(sig[among, :width] == sig[i, :width]).reshape(len(among), band, ROWS).all(axis=2).any(axis=1)
 
 
 def _central(sig: np.ndarray, left: np.ndarray) -> int:
     """The node of `left` whose bytes most others have, too; the first on a tie."""
-    mass = np.zeros(len(left), np.int64)
-    for column in sig[left].T:
-        mass += np.bincount(column, minlength=256)[column]
-    return int(left[np.argmax(mass)])
+    if len(left) <= 2:
+        return int(left[0])
+    coded = sig[left].astype(np.int64) + 256 * np.arange(sig.shape[1])
+    return int(left[np.argmax(np.bincount(coded.ravel(), minlength=256 * sig.shape[1])[coded].sum(axis=1))])
 
 
 def stars(sig: np.ndarray, n: np.ndarray, agreeing: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -180,18 +193,33 @@ def stars(sig: np.ndarray, n: np.ndarray, agreeing: int, percent: int = PERCENT)
 _GROUP = ["bucket", "i", "j"]
 
 
+def _batches(found: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns of longs, as batches of a fair size."""
+    held, rows = [], 0
+    for columns in found:
+        held.append(columns)
+        rows += len(columns[0])
+        if rows > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names=names)
+            held, rows = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names=names)
+
+
 def _first_candidates(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Candidates (u: centre, v), for each v the centre that most blocks give it."""
     agreeing = least_agreeing(percent)
     keyed = nodes.select("node", F.explode("buckets").alias("bucket"))
     met = _blocks(keyed, full).join(nodes.select("node", "n", "sig"), "node")
 
+    def found_in(g: dict) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(g["node"])
+        node = g["node"][order]
+        pairs = np.array(stars(g["sig"][order], g["n"][order], agreeing, percent), np.int64).reshape(-1, 2)
+        return node[pairs[:, 0]], node[pairs[:, 1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, _GROUP):
-            node = g.column("node").to_numpy()
-            order = np.argsort(node)
-            pairs = np.array(stars(_sigs(g.column("sig"))[order], g.column("n").to_numpy()[order], agreeing, percent), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node[order][pairs[:, 0]]), pa.array(node[order][pairs[:, 1]])], names=["u", "v"])
+        yield from _batches(map(found_in, _groups(batches, _GROUP)), ["u", "v"])
 
     found = met.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, "u long, v long")
     votes = found.groupBy("u", "v").agg(F.count("*").alias("votes"))
@@ -244,16 +272,20 @@ def _unsettled(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     mixed = keyed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi")
     met = _blocks(keyed, materialize(mixed.select("bucket", "blocks"), "mixed")).join(nodes.select("node", "sig"), "node")
 
+    def open_in(g: dict) -> tuple[np.ndarray, ...]:
+        sig, n, label, band = g["sig"], g["n"], g["label"], int(g["bucket"][0]) >> 8 * ROWS
+        takes_part = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            among = np.arange(i + 1, len(n))[label[i + 1 :] != label[i]]
+            if len(among):
+                among = among[_near(sig, n, i, among, agreeing, percent)]
+                among = among[_meet_first(sig, i, among, band)]
+                takes_part[among] = True
+                takes_part[i] |= len(among) > 0
+        return tuple(g[c][takes_part] for c in ("bucket", "node", "n", "label"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, _GROUP):
-            sig, n, label = _sigs(g.column("sig")), g.column("n").to_numpy(), g.column("label").to_numpy()
-            takes_part = np.zeros(len(n), bool)
-            for i in range(len(n) - 1):
-                among = np.arange(i + 1, len(n))[label[i + 1 :] != label[i]]
-                near = among[_near(sig, n, i, among, agreeing, percent)] if len(among) else among
-                takes_part[near] = True
-                takes_part[i] |= len(near) > 0
-            yield g.select(["bucket", "node", "n", "label"]).filter(pa.array(takes_part)).combine_chunks().to_batches()[0] if takes_part.any() else pa.RecordBatch.from_pylist([], g.select(["bucket", "node", "n", "label"]).schema)
+        yield from _batches(map(open_in, _groups(batches, _GROUP)), ["bucket", "node", "n", "label"])
 
     return met.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, "bucket long, node long, n long, label long").distinct()
 
@@ -265,21 +297,24 @@ def _links_inside(docs: DataFrame, nodes: DataFrame, open_: DataFrame, words: in
     full = open_.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     met = _blocks(open_, materialize(full, "full")).join(nodes.select("node", "sig"), "node").join(_texts(docs, wanted, text, broadcast_rows), "node")
 
+    def linked_in(g: dict) -> tuple[np.ndarray, np.ndarray]:
+        node, sig, n, label, band = g["node"], g["sig"], g["n"], g["label"].copy(), int(g["bucket"][0]) >> 8 * ROWS
+        has = [set(shingles(t, words)[1]) for t in g["t"]]
+        pairs = []
+        left = np.arange(len(node))
+        while len(left) > 1:
+            i = _central(sig, left)
+            left = left[left != i]
+            near = left[_near(sig, n, i, left, agreeing, percent)]
+            for k in near[_meet_first(sig, i, near, band)].tolist():
+                if label[k] != label[i] and is_link(has[i], has[k], percent):
+                    pairs.append((node[i], node[k]))
+                    label[label == label[k]] = label[i]
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, _GROUP):
-            node, sig, n, label = g.column("node").to_numpy(), _sigs(g.column("sig")), g.column("n").to_numpy(), g.column("label").to_numpy().copy()
-            has = [set(shingles(t, words)[1]) for t in g.column("t").to_pylist()]
-            u, v = [], []
-            left = np.arange(len(node))
-            while len(left) > 1:
-                i = _central(sig, left)
-                left = left[left != i]
-                for k in left[_near(sig, n, i, left, agreeing, percent)].tolist():
-                    if label[k] != label[i] and is_link(has[i], has[k], percent):
-                        u.append(node[i])
-                        v.append(node[k])
-                        label[label == label[k]] = label[i]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        yield from _batches(map(linked_in, _groups(batches, _GROUP)), ["u", "v"])
 
     return met.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, "u long, v long")
 
