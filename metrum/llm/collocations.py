@@ -6,9 +6,9 @@ preorder, and merged by ranges of heads: Spark sorts the rows by language and he
 heads, a bounded number of nodes at a time. Walking down a merged trie gives the counts of a phrase's left parts; its right
 parts come by suffix links, the node of the phrase without its first word, level by level.
 
-Two passes: heads of one word with depth 2, then heads of two words with depth 5. A phrase cannot be frequent unless all its
-word pairs are, so the second pass grows only where a bitmap of fixed size has all pairs; pairs that share a bit with a
-frequent one are counted in vain, never left out.
+Three passes: words, tries of depth 2 below heads of one word, and of depth 5 below heads of two. A phrase cannot be frequent
+unless all its words and word pairs are, so a pass grows only where bitmaps of fixed size have all words, and then all pairs;
+what shares a bit with a frequent one is counted in vain, never left out.
 
 Defined results: null text is empty, null language is `und`; repeated rows count each; texts without words give nothing; extra
 columns are ignored. Counts are exact; scores are quotients of whole numbers of up to 38 digits.
@@ -16,7 +16,7 @@ columns are ignored. Counts are exact; scores are quotients of whole numbers of
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +30,9 @@ from pyspark.sql.window import Window
 from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, materialize, union_all
 
 LEAST, WORDS, FIRST = 100, 5, 2000
-#: Words of a shard's trie, nodes that a merge holds besides those of one head, rows of a batch, bits of the bitmap and of
-#: one of its parts.
-SHARD, NODES, ROWS, BITS, PART = 3_000_000, 1_500_000, 20_000, 26, 19
+#: Words of a shard's trie, distinct words that a task counts before it emits them, nodes that a merge holds besides those of
+#: one head, rows of a batch, bits of a bitmap and of one of its parts.
+SHARD, DISTINCT, NODES, ROWS, BITS, PART = 1_200_000, 400_000, 600_000, 20_000, 26, 19
 
 _BREAK = set(b".,;:!?\n\x0b\x0c\r")
 _BYTES = bytes(10 if c in _BREAK else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -52,7 +52,7 @@ def numbered(parts: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def _slot(a: np.ndarray, b: np.ndarray, lang: str, bits: int) -> np.ndarray:
-    """The bit of a pair of words, from their hashes, in a bitmap of 2**bits."""
+    """The bit of a pair of words, from their hashes (of one word if b is 0), in a bitmap of 2**bits."""
     mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))
     mixed ^= mixed >> np.uint64(29)
     return (mixed * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits)
@@ -62,6 +62,11 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _has(bitmap: bytes, a: np.ndarray, b: np.ndarray, lang: str) -> np.ndarray:
+    slot = _slot(a, b, lang, (8 * len(bitmap)).bit_length() - 1)
+    return np.frombuffer(bitmap, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
@@ -78,7 +83,7 @@ def _rows(lang: str, head: pa.Array, n: np.ndarray, owner: np.ndarray, depth: np
 
 
 def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None, deepest: int) -> Iterator[pa.RecordBatch]:
-    """Rows of TRIE for the words' numbers x in their order (-1 between pieces). Without pairs: heads of one word and the
+    """Rows of TRIE for the words' numbers x in their order (-1 between pieces and for rare words). Without pairs: heads of one word and the
     words after them; else heads of two words and up to deepest - 2 words after them, as far as the bitmap has all pairs."""
     names, size = pa.array(words, pa.binary()).cast(pa.string()), max(len(words), 1)
     at = np.flatnonzero(x >= 0)
@@ -90,8 +95,7 @@ def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None
         yield from _rows(lang, names.take(pa.array(first)), n1, parent, np.ones(len(word), np.int8), names.take(pa.array(word)), n2)
         return
     h = _hashes(words)
-    slot = _slot(h[first[parent]], h[word], lang, (8 * len(pairs)).bit_length() - 1)
-    frequent = np.frombuffer(pairs, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+    frequent = _has(pairs, h[first[parent]], h[word], lang)
     heads = pc.binary_join_element_wise(names.take(pa.array(first[parent])), names.take(pa.array(word)), " ")
     runs = np.zeros(len(x) + deepest, bool)
     runs[at[begins]] = frequent[pair]
@@ -123,8 +127,32 @@ def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None
     yield from _rows(lang, heads.take(pa.array(used)), n2[used], place, depth_, names.take(pa.array(ids_)), count_)
 
 
-def tries(docs: DataFrame, pairs: bytes | None = None, deepest: int = WORDS) -> DataFrame:
-    """The shards' tries of docs (lang, t), see shard_trie."""
+def counted(docs: DataFrame) -> DataFrame:
+    """lang, word, n of docs (lang, t)."""
+    bound_arrow(docs.sparkSession)
+    most = DISTINCT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, n in held.items():
+                del n[b""], n[b"\n"]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "n"])
+            held.clear()
+
+        for b in batches:
+            for lang, t in zip(b.column("lang").to_pylist(), b.column("t").to_pylist(), strict=True):
+                held.setdefault(lang, Counter()).update(tokens(t))
+            if sum(map(len, held.values())) > most:
+                yield from emit()
+        yield from emit()
+
+    return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def tries(docs: DataFrame, singles: bytes, pairs: bytes | None = None, deepest: int = WORDS) -> DataFrame:
+    """The shards' tries of docs (lang, t), see shard_trie; words that the bitmap singles has not are rare."""
     bound_arrow(docs.sparkSession)
     shard = SHARD
 
@@ -135,14 +163,14 @@ def tries(docs: DataFrame, pairs: bytes | None = None, deepest: int = WORDS) ->
 
         def emit() -> Iterator[pa.RecordBatch]:
             words = list(vocabulary)
-            order = sorted(range(len(words)), key=words.__getitem__)
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            in_order = [words[k] for k in order]
+            h, zero = _hashes(words), np.zeros(len(words), np.uint64)
             for lang, parts in texts.items():
+                kept = np.flatnonzero(_has(singles, h, zero, lang))
+                kept = sorted(kept[kept > 1].tolist(), key=words.__getitem__)
+                rank = np.full(len(words), -1, np.int64)
+                rank[kept] = np.arange(len(kept))
                 x = np.concatenate(parts)
-                x = x[x != 0]
-                yield from shard_trie(lang, np.where(x == 1, -1, rank[x]), in_order, pairs, deepest)
+                yield from shard_trie(lang, rank[x[x != 0]], [words[k] for k in kept], pairs, deepest)
             texts.clear()
 
         def begin() -> None:
@@ -274,16 +302,16 @@ def _kept(written: DataFrame, least: int) -> DataFrame:
     return written.repartitionByRange("lang", "head").sortWithinPartitions("lang", "head").mapInArrow(run, "lang string, head string, phrase string, words int, a long, left array<long>")
 
 
-def bitmap(pairs: DataFrame) -> bytes:
-    """2**BITS bits, set for the pairs (lang, phrase of two words). Its parts are made in tasks."""
+def bitmap(phrases: DataFrame) -> bytes:
+    """2**BITS bits, set for the phrases (lang, phrase) of one word or two. Its parts are made in tasks."""
     bits, part_bits = BITS, PART
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True):
-                w = phrase.encode().split(b" ")
-                out.append(int(_slot(_hashes(w[:1]), _hashes(w[1:]), lang, bits)[0]))
+                w = _hashes(phrase.encode().split(b" "))
+                out.append(int(_slot(w[:1], w[1:] if len(w) > 1 else np.zeros(1, np.uint64), lang, bits)[0]))
             yield pa.RecordBatch.from_arrays([pa.array([x >> part_bits for x in out], pa.int64()), pa.array([x & (1 << part_bits) - 1 for x in out], pa.int64())], names=["part", "bit"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +324,7 @@ def bitmap(pairs: DataFrame) -> bytes:
                 np.bitwise_or.at(at, x >> 3, (1 << (x & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["part", "bits"])
 
-    parts = pairs.select("lang", "phrase").mapInArrow(slots, "part long, bit long").distinct().repartition("part").mapInArrow(fill, "part long, bits binary").collect()
+    parts = phrases.select("lang", "phrase").mapInArrow(slots, "part long, bit long").distinct().repartition("part").mapInArrow(fill, "part long, bits binary").collect()
     whole = np.zeros((1 << bits - part_bits, 1 << part_bits - 3), np.uint8)
     for r in parts:
         whole[r.part] |= np.frombuffer(r.bits, np.uint8)
@@ -306,14 +334,15 @@ def bitmap(pairs: DataFrame) -> bytes:
 def mine(docs: DataFrame, least: int = LEAST, words: int = WORDS, first: int = FIRST, text: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first collocations of 2 to `words` words."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col(text).alias("t"))
-    short = materialize(tries(docs), "tries")
-    total = materialize(short.groupBy("lang").agg(F.sum("n").alias("n")), "total")
-    upper = materialize(_kept(short, least), "upper")
+    every = materialize(counted(docs), "words")
+    total = materialize(every.groupBy("lang").agg(F.sum("n").alias("n")), "total")
+    single = every.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
+    frequent = bitmap(single)
     columns = ["lang", "phrase", "a", "left"]
-    single, pairs = upper.where("words = 0").select("lang", "phrase", "a"), upper.where("words = 1").select(*columns)
+    pairs = materialize(_kept(materialize(tries(docs, frequent), "tries"), least).where("words = 1").select(*columns), "pairs")
     of_size = {2: pairs}
     if words > 2:
-        lower = materialize(_kept(materialize(tries(docs, bitmap(pairs), words), "deep"), least).where("words > 0"), "lower")
+        lower = materialize(_kept(materialize(tries(docs, frequent, bitmap(pairs), words), "deep"), least).where("words > 0"), "lower")
         # A deep trie's walk begins at its pair; what is above it are the pair's own count and its first word's.
         above = pairs.select("lang", F.col("phrase").alias("head"), F.concat("left", F.array("a")).alias("above"))
         whole = lower.join(above, ["lang", "head"]).select("lang", "phrase", "a", F.concat("above", F.expr("slice(left, 2, size(left))")).alias("left"), "words")

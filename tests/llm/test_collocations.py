@@ -49,7 +49,7 @@ def texts(seed, n=60):
 @pytest.mark.parametrize("least", [2, 9])
 def test_equal_to_plain_counts(spark, monkeypatch, least, small):
     if small:
-        for name, value in (("SHARD", 50), ("NODES", 20), ("BITS", 5), ("PART", 3)):
+        for name, value in (("SHARD", 50), ("DISTINCT", 5), ("NODES", 20), ("BITS", 5), ("PART", 3)):
             monkeypatch.setattr(collocations, name, value)
     rows = texts(least)
     docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
