@@ -111,32 +111,97 @@ def viterbi(scores: np.ndarray, stay: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def fixed_lag(scores: np.ndarray, stay: np.ndarray, lag: int) -> list[int]:
-    """The same path committed frame by frame: frame t is decided by what is known at t + lag, never revised, and never
-    goes back or ahead by more than one state."""
-    frames, states = scores.shape
-    go = np.log1p(-np.exp(stay))
-    best = np.full(states, -np.inf)
-    best[0] = scores[0, 0]
-    back, done = [np.zeros(states, np.int8)], []
-
-    def commit(upto: int, at: int) -> None:
+# Fixed values of the hold: frames beyond the lag that a decision may wait after a comma, the seconds a token that no frame
+# was left for gets at the end.
+HOLD_FRAMES, TAIL_SECONDS = 3, 0.010
+
+
+class FixedLag:
+    """Decoding frame by frame: frame t is decided by what is known at t + lag, never revised, and never goes back or ahead by
+    more than one state.
+
+    pause[s]: state s is a comma's pause. A frame that would be the first one past such a pause, without a quiet frame seen
+    since, waits up to HOLD_FRAMES more; with a quiet one by then the frame is the pause's, else the first decision stands
+    and this pause is settled. `kept` is all that the future depends on, as plain lists, so a stream can store it."""
+
+    def __init__(self, stay: np.ndarray, lag: int, pause: np.ndarray | None = None, kept: dict | None = None):
+        self.stay, self.go, self.lag = stay, np.log1p(-np.exp(stay)), lag
+        self.pause = np.zeros(len(stay), bool) if pause is None else pause
+        kept = kept or {"best": [], "back": [], "quiet": [], "last": -1, "held": -1, "settled": -1}
+        self.best, self.back, self.quiet = np.array(kept["best"], float), [np.array(b, np.int8) for b in kept["back"]], list(kept["quiet"])
+        self.last, self.held, self.settled = kept["last"], kept["held"], kept["settled"]
+
+    @property
+    def kept(self) -> dict:
+        """back and quiet: of the frames that aren't decided yet; last: the state decided last (-1: none); held: the state
+        that the next frame waits with (-1: it doesn't); settled: the pause that was passed without a quiet frame."""
+        return {"best": self.best.tolist(), "back": [b.tolist() for b in self.back], "quiet": self.quiet, "last": self.last, "held": self.held, "settled": self.settled}
+
+    def _path(self) -> list[int]:
+        """The best path through the frames that aren't decided yet."""
+        at = int(np.argmax(self.best))
         path = [at]
-        for t in range(len(back) - 1, len(done), -1):
-            at -= back[t][at]
-            path.append(int(at))
-        for s in path[::-1][: upto - len(done)]:
-            last = done[-1] if done else 0
-            done.append(min(max(s, last), last + (1 if done else 0)))
-
-    for t in range(1, frames):
-        held, moved = best + stay, np.concatenate([[-np.inf], best[:-1] + go[:-1]])
-        back.append((moved > held).astype(np.int8))
-        best = np.maximum(held, moved) + scores[t]
-        if t - lag >= len(done):
-            commit(t - lag + 1, int(np.argmax(best)))
-    commit(frames, int(np.argmax(best)))
-    return done
+        for back in self.back[:0:-1]:
+            at -= int(back[at])
+            path.append(at)
+        return path[::-1]
+
+    def _decide(self, state: int) -> int:
+        self.last = state if self.last < 0 else min(max(state, self.last), self.last + 1)
+        self.back, self.quiet, self.held = self.back[1:], self.quiet[1:], -1
+        return self.last
+
+    def push(self, scores: np.ndarray, quiet: bool = False) -> list[int]:
+        """The states of the frames that this frame decides, oldest first."""
+        if not len(self.best):
+            self.best = np.where(np.arange(len(scores)) == 0, scores, -np.inf)
+            back = np.zeros(len(scores), np.int8)
+        else:
+            held, moved = self.best + self.stay, np.concatenate([[-np.inf], self.best[:-1] + self.go[:-1]])
+            back = (moved > held).astype(np.int8)
+            self.best = np.maximum(held, moved) + scores
+        self.back.append(back)
+        self.quiet.append(bool(quiet))
+        out = []
+        while len(self.back) > self.lag:
+            state = self._path()[0]
+            state = state if self.last < 0 else min(max(state, self.last), self.last + 1)
+            before = state - 1
+            open_ = state > 0 and self.pause[before] and not self.pause[state] and before != self.settled and self.last <= before
+            waits = len(self.back) - self.lag <= HOLD_FRAMES
+            if self.held >= 0 or open_:
+                if any(self.quiet):
+                    state = max(before, self.last) if open_ else state
+                elif waits:
+                    self.held = state if self.held < 0 else self.held
+                    break
+                else:
+                    state = self.held if self.held >= 0 else state
+                    self.settled = state - 1
+            out.append(self._decide(state))
+        return out
+
+    def finish(self, complete: bool = False) -> tuple[list[int], list[int]]:
+        """The states of the frames that are left, by the best path; and, if complete, the states that no frame was left
+        for. complete: where that path ends before the last state and has frames enough, the missing states are dealt out
+        over the frames evenly."""
+        if not len(self.best):
+            return [], []
+        path, states = self._path() if self.back else [], len(self.stay)
+        first = max(self.last, 0)
+        missing, frames = states - 1 - first, len(path)
+        if complete and path and path[-1] < states - 1 and missing <= frames:
+            path = [first + (k + 1) * missing // frames for k in range(frames)]
+        out = [self._decide(s) for s in path]
+        return out, list(range(self.last + 1, states)) if complete else []
+
+
+def fixed_lag(scores: np.ndarray, stay: np.ndarray, lag: int, pause: np.ndarray | None = None, quiet: np.ndarray | None = None, complete: bool = False) -> list[int]:
+    """All frames through FixedLag; with complete, the states without a frame follow those of the frames."""
+    machine = FixedLag(stay, lag, pause)
+    done = [s for t, row in enumerate(scores) for s in machine.push(row, quiet is not None and bool(quiet[t]))]
+    rest, tail = machine.finish(complete)
+    return done + rest + tail
 
 
 def align_tokens(pairs: DataFrame) -> DataFrame:
@@ -258,8 +323,11 @@ def decode_dwell(frames: DataFrame, prior: list[float], silent: list[bool], sent
 
 
 def _level_scores(v: np.ndarray, states: int) -> np.ndarray:
+    return level_scores(v, v.min(), v.max(), states)
+
+
+def level_scores(v: np.ndarray, low: float, high: float, states: int) -> np.ndarray:
     """Log-softmax of how near each of evenly spaced levels is to the values."""
-    levels = np.linspace(v.min(), v.max(), states)
-    scores = -np.abs(v[:, None] - levels[None, :]) / (np.ptp(v) + 1e-9)
+    scores = -np.abs(v[:, None] - np.linspace(low, high, states)[None, :]) / (high - low + 1e-9)
     top = scores.max(axis=1, keepdims=True)
     return scores - top - np.log(np.maximum(np.exp(scores - top).sum(axis=1, keepdims=True), 1e-12))

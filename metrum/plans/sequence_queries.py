@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,7 @@ from metrum.operators import alignment, frames, signal
 from metrum.plans import adapters
 from metrum.plans.adapters import EVENTS_SQL, GOLD_SQL, HOUR
 from metrum.session import table
+from metrum.streaming import commit
 from metrum.streaming import regions as streaming
 
 QUERIES, ORACLES = {}, {}
@@ -63,17 +66,27 @@ DECODE_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, f AS (SELECT case_id, event_id AS
       FROM d JOIN sc ON sc.case_id = d.case_id AND sc.i = d.i + 1)"""
 
 
-@query(f"""{DECODE_SQL}, n AS (SELECT case_id, max(i) AS n FROM d GROUP BY 1), ends AS (SELECT d.case_id, d.i AS upto, n.n, list_position(best, list_max(best)) AS state FROM d JOIN n ON n.case_id = d.case_id),
+COMMIT_SQL = f"""{DECODE_SQL}, n AS (SELECT case_id, max(i) AS n FROM d GROUP BY 1), ends AS (SELECT d.case_id, d.i AS upto, n.n, list_position(best, list_max(best)) AS state FROM d JOIN n ON n.case_id = d.case_id),
     walk AS (SELECT case_id, upto, n, upto AS i, state FROM ends UNION ALL SELECT w.case_id, w.upto, w.n, w.i - 1, w.state - d.back[w.state] FROM walk w JOIN d ON d.case_id = w.case_id AND d.i = w.i WHERE w.i > 1 AND (w.upto - w.i < {LAG} OR w.upto = w.n)),
     off AS (SELECT case_id, i, state - 1 AS offline FROM walk WHERE upto = n),
     seen AS (SELECT case_id, i, state - 1 AS want FROM walk WHERE upto = least(i + {LAG}, n)),
-    com AS (SELECT case_id, i, want AS committed FROM seen WHERE i = 1 UNION ALL SELECT s.case_id, s.i, least(greatest(s.want, c.committed), c.committed + 1) FROM com c JOIN seen s ON s.case_id = c.case_id AND s.i = c.i + 1)
+    com AS (SELECT case_id, i, want AS committed FROM seen WHERE i = 1 UNION ALL SELECT s.case_id, s.i, least(greatest(s.want, c.committed), c.committed + 1) FROM com c JOIN seen s ON s.case_id = c.case_id AND s.i = c.i + 1)"""
+
+
+@query(f"""{COMMIT_SQL}
     SELECT f.case_id, f.frame, CAST(off.offline AS INTEGER) AS offline, CAST(com.committed AS INTEGER) AS committed FROM f JOIN off ON off.case_id = f.case_id AND off.i = f.i JOIN com ON com.case_id = f.case_id AND com.i = f.i""")
 def fixed_lag_viterbi(spark: SparkSession, sf: str) -> DataFrame:
     frames = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), "value")
     return alignment.decode_cases(frames, 6, 30)
 
 
+@query(f"""{COMMIT_SQL}
+    SELECT f.case_id, f.frame, CAST(com.committed AS INTEGER) AS committed, CASE WHEN f.i > f.n - {LAG} THEN 'end_of_stream' ELSE 'fixed_lag' END AS reason FROM f JOIN com ON com.case_id = f.case_id AND com.i = f.i""")
+def stream_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """The same decisions from a stream: frame by frame, never revised, with the last ones at the end of the stream."""
+    return commit.commits_of_events(spark, f"{sf}/events.parquet", [math.log(0.8)] * STATES, LAG)
+
+
 BANDS = [1.0, 2.0, 4.0, 8.0, 16.0, 24.0]
 
 

@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="metrum-")
+        # One folder a session, not one a call.
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -46,10 +48,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/metrum-{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver ends."""
+    atexit.register(_forget, spark, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     """Remove a folder as long as the session still runs."""
     sc = spark.sparkContext

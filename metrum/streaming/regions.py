@@ -1,68 +1,97 @@
 """Regions of an event stream in Structured Streaming.
 
-The state of a case is its open region. Rows of a micro-batch are sorted by event time, extend the open region or, after
-a gap, close it; a closed region is never revised. When the watermark passes the gap, or the stream ends with one last
-row far ahead, the open region is emitted, too. Rows behind the watermark are dropped by Spark before the state sees
-them.
+The state of a case is the list of its open regions: spans of events that are less than a gap apart. Events of a
+micro-batch extend spans, join two of them or open new ones, whatever order they come in. A span is a region, numbered and
+emitted for good, when the watermark has passed its last event by the gap, as no later row can change it then: a timer does
+that. Rows behind the watermark are dropped by Spark before the state sees them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from metrum.session import shared_folder
+from metrum.streaming.tables import ANY_ORDER, SHIFT, case_key, case_of, event_time, run_to_end, table_stream
 
 OUT = "case_id long, region int, start_us long, end_us long, n_events long"
-STATE = "region int, first long, last long, n long"
-
-
-def detect(events: DataFrame, gap: int, hold: int, watermark: str = "0 seconds") -> DataFrame:
-    """Closed regions from a stream with case_id, at (timestamp), t (microseconds), event_id."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        region, first, last, n = state.get if state.exists else (-1, 0, 0, 0)
-        if state.hasTimedOut:
-            # The number stays, so that the case's next region has the next one; n = 0 says that none is open.
-            state.update((region, first, last, 0))
-            yield pd.DataFrame([(key[0], region, first, last + hold, n)], columns=["case_id", "region", "start_us", "end_us", "n_events"])
-            return
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"], kind="stable")
-        for t in rows["t"].tolist():
-            if n == 0 or t - last >= gap:
-                if n > 0:
-                    out.append((key[0], region, first, last + hold, n))
-                region, first, n = region + 1, t, 0
-            last, n = t, n + 1
-        state.update((region, first, last, n))
-        # A quiet gap behind the watermark ends the region.
-        state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["case_id", "region", "start_us", "end_us", "n_events"])
-
-    stream = events.withWatermark("at", watermark)
-    return stream.groupBy("case_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def regions_of_table(spark: SparkSession, path: str, gap: int, hold: int, watermark: str = "0 seconds") -> DataFrame:
-    """The stream over a table read to its end: closed regions from the sink, and those that are open at the end, as no
-    gap has passed since their last events, from these events. watermark: how much later than later rows a row may come;
-    one micro-batch, as of up to 1000 files, is sorted whatever its rows' order."""
-    schema = spark.read.parquet(path).schema
-    source = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", source[1]).parquet(source[0] if source[1].endswith(".parquet") else path)
+SPANS = "first long, last long, n long"
+
+
+def joined(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """Spans (first, last, n) in order, those less than a gap apart as one."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(spans):
+        if out and first - out[-1][1] < gap:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+        else:
+            out.append((first, last, n))
+    return out
+
+
+class Regions(StatefulProcessor):
+    """Open spans of a case, the number of its next region, and the time its timer is set to (0: none)."""
+
+    def __init__(self, gap: int, hold: int):
+        self.gap, self.hold = gap, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spans = handle.getListState("spans", SPANS)
+        self.told = handle.getValueState("told", "region int, timer long")
+
+    def _settle(self, case: int | None, spans: list[tuple[int, int, int]], watermark: int, fired: bool) -> pd.DataFrame:
+        region, timer = self.told.get() if self.told.exists() else (0, 0)
+        done = 0
+        while done < len(spans) and spans[done][1] + self.gap + SHIFT <= watermark * 1000:
+            done += 1
+        rows = [(case, region + k, first, last + self.hold, n) for k, (first, last, n) in enumerate(spans[:done])]
+        left = spans[done:]
+        if left:
+            self.spans.put(left)
+            due = -(-(left[0][1] + self.gap + SHIFT) // 1000)
+            if fired or not timer or due < timer:
+                if timer and not fired:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+                timer = due
+        else:
+            self.spans.clear()
+            if timer and not fired:
+                self.handle.deleteTimer(timer)
+            timer = 0
+        self.told.update((region + done, timer))
+        return pd.DataFrame(rows, columns=["case_id", "region", "start_us", "end_us", "n_events"]).astype({"case_id": "Int64"})
+
+    def _open(self) -> list[tuple[int, int, int]]:
+        return [tuple(map(int, s)) for s in self.spans.get()] if self.spans.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        spans = self._open()
+        for b in rows:
+            t = b.loc[~b["ended"], "t"].tolist()
+            spans = joined([*spans, *((int(x), int(x), 1) for x in t)], self.gap)
+        if spans:
+            yield self._settle(case_of(key[0]), spans, timerValues.getCurrentWatermarkInMs(), False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._settle(case_of(key[0]), self._open(), timerValues.getCurrentWatermarkInMs(), True)
+
+    def close(self) -> None:
+        pass
+
+
+def detect(events: DataFrame, gap: int, hold: int) -> DataFrame:
+    """Regions of a stream with key (see case_key), t (microseconds), ended, and a watermark."""
+    return events.groupBy("key").transformWithStateInPandas(Regions(gap, hold), OUT, "Append", "EventTime")
+
+
+def regions_of_table(spark: SparkSession, path: str, gap: int, hold: int, files: int = 1000, lateness: str = ANY_ORDER, folder: str | None = None, end: bool = True) -> DataFrame:
+    """The stream over a table, a file or a folder of them, `files` a micro-batch: its regions when it has been read to its
+    end. lateness: how much later than the latest rows a row may come; the default takes files in any order."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
-    shaped = lambda d: d.select(F.col("user_id").alias("case_id"), "event_id", micros.alias("t"), F.timestamp_micros(micros).alias("at"))
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    run = detect(shaped(stream), gap, hold, watermark).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
-    closed = spark.read.schema(OUT).parquet(f"{folder}/out")
-    ends = closed.groupBy("case_id").agg(F.max("region").alias("r"), F.max("end_us").alias("e"))
-    rest = shaped(spark.read.parquet(path)).join(ends, "case_id", "left").where(F.col("e").isNull() | (F.col("t") > F.col("e") - hold))
-    open_ = rest.groupBy("case_id").agg((F.coalesce(F.max("r"), F.lit(-1)) + 1).cast("int").alias("region"), F.min("t").alias("start_us"), (F.max("t") + hold).alias("end_us"), F.count("*").alias("n_events"))
-    return closed.unionByName(open_)
+    rows = table_stream(spark, path, files).select(case_key(F.col("user_id")), micros.alias("t"), event_time(micros).alias("at"))
+    return run_to_end(spark, rows, lambda d: detect(d, gap, hold), folder, lateness, end)
