@@ -1,9 +1,9 @@
 """Source divergence audit: how the term shares of a language's sources differ, by integer-dictionary encoding.
 
 Tasks count the terms of their texts by language and source and emit each count once. Terms in enough documents of their
-language are kept; they are sorted (UTF-8 order) and cut into chunks of CHUNK terms. A chunk's kept terms are one sorted
-array; searchsorted gives its rows their ids, and bincount the dense vector of counts of each group (language and source).
-Ids have the terms' order, so ties in a ranking go by the id. Groups are met in blocks, so a task holds two blocks of
+language are kept and numbered in UTF-8 order, CHUNK numbers a chunk. A chunk's kept terms are one sorted array; searchsorted
+gives its rows their ids, and bincount the dense vector of counts of each group (language and source). Ids have the terms'
+order, so ties in a ranking go by the id. Groups are met in blocks, so a task holds two blocks of
 vectors of one chunk; sums over chunks are Spark's. Nothing of the dictionary or the groups passes the driver.
 
 Defined results: null text, language and source are empty strings, and such a language or source is one like any other;
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrum.llm.shared import bound_arrow, materialize
+from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, materialize
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 10**9, 50
 #: Terms of a chunk, groups of a block, and counts that a task holds before it emits them.
@@ -68,24 +68,35 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "source", F.col("text").alias("t")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """rows with chunk: rows of one language whose terms are within CHUNK neighbouring ones."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (lang, term, ...) with id: how many of the language's terms come before. Rows are sorted in ranges and numbered
+    within them; then the numbers of terms in the ranges before are added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seen, last = TaskContext.get().partitionId() << 32, -1, None
+        part, place, last = TaskContext.get().partitionId(), -1, (None, None)
         for b in batches:
             if not b.num_rows:
                 continue
             lang, term = b.column("lang"), b.column("term")
-            new = np.ones(b.num_rows, bool)
-            new[1:] = np.asarray(pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])))
-            new[0] = (lang[0].as_py(), term[0].as_py()) != last
-            at = seen + np.cumsum(new)
-            seen, last = int(at[-1]), (lang[-1].as_py(), term[-1].as_py())
-            yield b.append_column("chunk", pa.array(base + at // CHUNK, pa.int64()))
+            other, new = np.ones(b.num_rows, bool), np.ones(b.num_rows, bool)
+            other[1:] = np.asarray(pc.not_equal(lang[1:], lang[:-1]))
+            new[1:] = other[1:] | np.asarray(pc.not_equal(term[1:], term[:-1]))
+            other[0] = lang[0].as_py() != last[0]
+            new[0] = other[0] or term[0].as_py() != last[1]
+            at = np.cumsum(new) + place
+            # A language's first term has place 0.
+            starts = np.flatnonzero(other)
+            at -= np.concatenate([[0], at[starts]])[np.cumsum(other)]
+            place, last = int(at[-1]), (lang[-1].as_py(), term[-1].as_py())
+            yield b.append_column("part", pa.array([part] * b.num_rows, pa.int32())).append_column("place", pa.array(at, pa.int64()))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, f"{kinds}, chunk long")
+    placed = materialize(rows.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, f"{kinds}, part int, place long"), "placed")
+    sizes = placed.groupBy("lang", "part").agg((F.max("place") + 1).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = materialize(sizes.select("lang", "part", F.coalesce(before, F.lit(0)).alias("before")), "before")
+    before = F.broadcast(before) if before.count() <= BROADCAST_ROWS else before
+    return placed.join(before, ["lang", "part"]).withColumn("id", F.col("place") + F.col("before")).drop("part", "place", "before")
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -178,7 +189,7 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     kept = counted.withColumn("docs", F.sum("docs").over(of_term)).withColumn("all_", F.sum("n").over(of_term)).withColumn("first", F.row_number().over(of_term.orderBy("source")) == 1)
     # Written before the sort, as Spark reads what it cuts into ranges twice.
     kept = materialize(kept.where(F.col("docs") >= least_documents).select("lang", "term", "source", "n", "all_", "first"), "counted")
-    kept = materialize(_chunked(kept), "kept")
+    kept = materialize(_numbered(kept).withColumn("chunk", F.floor(F.col("id") / CHUNK)).drop("id"), "kept")
     of_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     of_lang = kept.groupBy("lang").agg(F.sum("n").alias("all_"), F.count_if("first").alias("v"))
     groups = docs.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0, ["n", "all_", "v"])
