@@ -11,7 +11,7 @@ shares that half's parse.
 
 Defined results: a null text is empty; an empty text has the empty fingerprint, which is like itself (1) and unlike all
 others (0); equal texts have equal fingerprints; repeated rows follow one another in the order and are fingerprinted
-each; null ids come last, by text; extra columns are ignored.
+each; null ids come last, rows of one id in the order of a hash of their texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from metrum.llm.shared import bound_arrow, literals, places
 
 SIZE = 64
-HEAD = 32
+#: Ranges at most: the driver and the plan hold two numbers for each, and longer ranges only take longer, as rows stream.
+MOST_RANGES = 4096
 _MASK = (1 << 32) - 1
 
 
@@ -122,12 +123,13 @@ class _Row:
 
 def compare_with_next(docs: DataFrame, rows_a_range: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The next document is the one that follows by descending key, then by text; after the last comes the first.
+    near_next. The next document is the one that follows by descending key, then by a hash of the text, then by text; after
+    the last comes the first.
 
-    Rows are dealt to ranges of that order. Spark's range partitioner cuts the ranges over ids and the texts' first HEAD
-    characters alone, and the driver gets one such pair a range: its first. Rows find their range by binary search, and a
-    range's first row also goes to the range before, where it ends the chain. So the plan has one size however many
-    ranges there are, and texts are exchanged once. Rows that share id and HEAD characters share a range.
+    Rows are dealt to ranges of that order, MOST_RANGES at most. Spark's range partitioner cuts the ranges over ids and
+    hashes of the whole texts alone, and the driver gets one such pair a range: its first. Rows find their range by binary
+    search, and a range's first row also goes to the range before, where it ends the chain. So texts are exchanged once.
+    Only rows that share id and text share a range.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -135,14 +137,14 @@ def compare_with_next(docs: DataFrame, rows_a_range: int = 2000, key: str = "doc
     # Descending ids as ascending numbers; null ids come last.
     down = F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1))
     body = F.coalesce(F.col(text), F.lit(""))
-    heads = first_keys(docs.select(down.alias("i"), F.substring(body, 1, HEAD).alias("p")), rows_a_range)
+    heads = first_keys(docs.select(down.alias("i"), F.xxhash64(body).alias("h")), rows_a_range)
     n = max(len(heads), 1)
-    routed = docs.select(F.col(key).alias("k"), body.alias("t"), down.alias("i"))
-    own = F.greatest(places(heads, [F.col("i"), F.substring("t", 1, HEAD)], ["long", "string"]), F.lit(1)) - 1
+    routed = docs.select(F.col(key).alias("k"), body.alias("t"), down.alias("i"), F.xxhash64(body).alias("h"))
+    own = F.greatest(places(heads, [F.col("i"), F.col("h")], ["long", "long"]), F.lit(1)) - 1
     ranged = routed.withColumn("r", own)
-    is_head = (F.col("i") == F.get(literals([h[0] for h in heads], "long"), F.col("r"))) & (F.substring("t", 1, HEAD) == F.get(literals([h[1] for h in heads], "string"), F.col("r")))
+    is_head = (F.col("i") == F.get(literals([h[0] for h in heads], "long"), F.col("r"))) & (F.col("h") == F.get(literals([h[1] for h in heads], "long"), F.col("r")))
     to = F.array_compact(F.array(F.struct(F.col("r"), F.lit(0).alias("ahead")), F.when(is_head, F.struct(F.pmod(F.col("r") - 1, F.lit(n)).alias("r"), F.lit(1).alias("ahead")))))
-    sent = ranged.select("k", "t", "i", F.explode(to).alias("to")).select("k", "t", "i", "to.r", "to.ahead")
+    sent = ranged.select("k", "t", "i", "h", F.explode(to).alias("to")).select("k", "t", "i", "h", "to.r", "to.ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, ended = None, None, True
@@ -161,12 +163,12 @@ def compare_with_next(docs: DataFrame, rows_a_range: int = 2000, key: str = "doc
             types = [b.schema.field("k").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, types, strict=True)], names=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    dealt = sent.repartition(n, "r").sortWithinPartitions("r", "ahead", "i", "t")
+    dealt = sent.repartition(n, "r").sortWithinPartitions("r", "ahead", "i", "h", "t")
     return dealt.mapInArrow(run, f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def first_keys(keys: DataFrame, rows_a_range: int) -> list[tuple[int, str]]:
-    """The first (i, p) of each range, in order; ranges have about rows_a_range rows."""
-    wanted = max(8, -(-keys.count() // rows_a_range))
-    cut = keys.repartitionByRange(wanted, "i", "p").select("i", "p", F.spark_partition_id().alias("r"))
-    return sorted((h["i"], h["p"]) for (h,) in cut.groupBy("r").agg(F.min(F.struct("i", "p")).alias("h")).select("h").collect())
+def first_keys(keys: DataFrame, rows_a_range: int) -> list[tuple[int, int]]:
+    """The first (i, h) of each range, in order; ranges have about rows_a_range rows, or more beyond MOST_RANGES ranges."""
+    wanted = min(MOST_RANGES, max(8, -(-keys.count() // rows_a_range)))
+    cut = keys.repartitionByRange(wanted, "i", "h").select("i", "h", F.spark_partition_id().alias("r"))
+    return sorted((x["i"], x["h"]) for (x,) in cut.groupBy("r").agg(F.min(F.struct("i", "h")).alias("x")).select("x").collect())

@@ -120,10 +120,10 @@ SECRETS_SQL = f"""
     every AS ({" UNION ALL ".join(map(_matches_sql, range(4)))}),
     valued AS (SELECT row_, kind, CAST(start_ AS BIGINT) AS start_, CAST(start_ + length(hit) AS BIGINT) AS end_, CASE kind WHEN 0 THEN regexp_extract(hit, '{KIND_PATTERNS[0]}', 2) ELSE hit END AS value FROM every),
     base AS (SELECT * FROM valued WHERE kind < 3 AND length(value) >= CASE kind WHEN 0 THEN 12 WHEN 1 THEN 18 ELSE 16 END),
-    mixed AS (SELECT * FROM valued t WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    mixed AS (SELECT * FROM valued t WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND NOT regexp_matches(value, '[a-z]{{9}}')
               AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_ = t.row_ AND b.start_ < t.end_ AND t.start_ < b.end_)),
     letters AS (SELECT value, n, count(*) / CAST(n AS DOUBLE) AS p FROM (SELECT DISTINCT value, length(value) AS n, generate_subscripts(string_split(value, ''), 1) AS i, unnest(string_split(value, '')) AS c FROM (SELECT DISTINCT value FROM mixed)) GROUP BY value, n, c),
-    random_ AS (SELECT value FROM letters GROUP BY value HAVING -sum(p * log2(p)) >= 3.0),
+    random_ AS (SELECT value FROM letters GROUP BY value HAVING -sum(p * log2(p)) >= 3.5),
     found AS (SELECT * FROM base UNION ALL SELECT m.* FROM mixed m JOIN random_ r ON m.value = r.value),
     counted AS (SELECT value, count(DISTINCT body) AS repositories, count(DISTINCT owner) AS owners FROM found JOIN d ON d.row_ = found.row_ GROUP BY value),
     told AS (SELECT f.*, c.owners, NOT (c.owners >= 3 OR c.owners >= 2 AND c.repositories >= 25) AS live FROM found f JOIN counted c ON c.value = f.value WHERE f.kind < 3 OR NOT (c.owners >= 3 OR c.owners >= 2 AND c.repositories >= 25)),
@@ -147,15 +147,14 @@ SHARDS_SQL = """
         SELECT body, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS BIGINT))),
                                      lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1])), 4294967295) AS crc
         FROM (SELECT DISTINCT body FROM sized), remainders),
-    totals AS (SELECT sum(size) AS total, greatest(32, least(4096, CAST(ceil(count(*) / 50000.0) AS BIGINT))) AS cells FROM sized),
+    totals AS (SELECT sum(size) AS total FROM sized),
     placed AS (
         SELECT doc_id, s.body, size, crc, major, minor,
                CAST(((sum(size) OVER (ORDER BY major, minor RANGE UNBOUNDED PRECEDING)
-                      - sum(size) OVER (PARTITION BY major, minor)) * 8) // total AS INTEGER) AS shard,
-               ((coalesce(doc_id, 0) % cells) + cells) % cells AS cell
+                      - sum(size) OVER (PARTITION BY major, minor)) * 8) // total AS INTEGER) AS shard
         FROM sized s JOIN sums ON sums.body = s.body, totals)
     SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
-           row_number() OVER (PARTITION BY shard ORDER BY cell, major, minor, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+           row_number() OVER (PARTITION BY shard ORDER BY major, minor, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
     FROM placed
 """
 

@@ -3,7 +3,11 @@
 Every text is scanned for credential-like spans. The value of each span is hashed, and the hashes are counted over the
 whole corpus by distinct repositories and distinct owners. A value that many owners have is a copied example (sample
 keys of manuals, licence fingerprints); a value that few owners have is live-looking. Tokens that no base pattern
-covers become spans of kind ``live`` only if the corpus shows them to be live-looking.
+covers become spans of kind ``live`` only if they look drawn at random (small and capital letters and digits, no long run of
+small letters as in words and paths, entropy) and the corpus shows them to be live-looking.
+
+Values that occur more than once, by owners or repositories, are counted apart: they are sent to the spans as long as they
+are few, and beyond that joined from a written table, where a value of very many spans can be split. All others have one owner.
 
 Defined results: a null text is empty; a null owner counts as the owner ''; repeated rows each give a row, but count
 once as a repository; a text without spans has empty lists. Extra columns are ignored.
@@ -30,6 +34,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What a token must have, and what it must not, to look drawn at random.
+DRAWN, WORDLIKE = [re.compile(x) for x in ("[0-9]", "[A-Z]", "[a-z]")], re.compile("[a-z]{9}")
+MIN_ENTROPY = 3.5
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 _SCANNED = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -41,9 +48,9 @@ def entropy(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
 
 
-def scan(text: str | None, min_entropy: float = 3.0) -> list[tuple[int, int, int, str]]:
+def scan(text: str | None, min_entropy: float = MIN_ENTROPY) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, value) of all candidates: base spans by the fixed patterns, and other tokens of 20+ characters
-    with letters, digits and enough entropy that touch no base span. Offsets in code points, end exclusive."""
+    that look drawn at random and touch no base span. Offsets in code points, end exclusive."""
     if not text:
         return []
     found = [(0, m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
@@ -56,12 +63,12 @@ def scan(text: str | None, min_entropy: float = 3.0) -> list[tuple[int, int, int
         while at < len(base) and base[at][0] < e:
             reach = max(reach, base[at][1])
             at += 1
-        if reach <= s and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= min_entropy:
+        if reach <= s and all(x.search(v) for x in DRAWN) and not WORDLIKE.search(v) and entropy(v) >= min_entropy:
             found.append((3, s, e, v))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, min_entropy: float = 3.0) -> DataFrame:
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, min_entropy: float = MIN_ENTROPY) -> DataFrame:
     """One row for each row of docs: row (unique number), key, owner, repository, found (list of candidates with hashed
     values), written to the shared folder. Without a repository column each distinct text is a repository of its own."""
     bound_arrow(docs.sparkSession)
@@ -93,15 +100,18 @@ def is_example(owners: Column, repositories: Column, min_owners: int, min_reposi
     return (owners >= min_owners) | ((owners >= 2) & (repositories >= min_repositories))
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, min_owners: int = 3, min_repositories: int = 25, min_entropy: float = 3.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, min_owners: int = 3, min_repositories: int = 25, min_entropy: float = MIN_ENTROPY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs: key and spans, a list of (start, kind, end, live, owners, repositories), by start and
     then kind. Spans of kind live are those that the ownership counts prove live-looking; base spans always stay, and
     their flag tells examples from live-looking credentials."""
     found = candidates(docs, key, text, owner, repository, min_entropy)
-    counts = ownership(found)
+    counts = materialize(ownership(found).where("owners > 1 OR repositories > 1"), "owned")
+    if counts.count() <= broadcast_rows:
+        counts = F.broadcast(counts)
     each = found.select("row", F.explode("found").alias("s")).select("row", "s.*")
     live = ~is_example(F.col("owners"), F.col("repositories"), min_owners, min_repositories)
-    told = each.join(counts, "value").withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
+    once = [F.coalesce(c, F.lit(1).cast("long")).alias(c) for c in ("owners", "repositories")]
+    told = each.join(counts, "value", "left").select("row", "start", "kind", "end", *once).withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
     spans = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("spans"))
     return found.select("row", F.col("key").alias(key)).join(spans, "row", "left").select(key, F.coalesce("spans", F.expr("array()").cast(spans.schema["spans"].dataType)).alias("spans"))
 
@@ -135,7 +145,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: s
     bound_arrow(docs.sparkSession)
     stamped = docs.select("*", F.xxhash64(text).alias("__m_hash"))
     slim = stamped.select(F.struct(F.col(key).alias("k"), F.col("__m_hash").alias("h")).alias("__m_key"), F.col(text).alias("__m_text"), F.col(owner).alias("__m_owner"))
-    found = scan_secrets(slim, "__m_key", "__m_text", "__m_owner", **rules)
+    found = scan_secrets(slim, "__m_key", "__m_text", "__m_owner", broadcast_rows=broadcast_rows, **rules)
     live = found.select("__m_key", F.filter("spans", lambda s: s["live"]).alias("__m_spans")).where(F.size("__m_spans") > 0).dropDuplicates(["__m_key"])
     live = materialize(live.select(F.col("__m_key.k").alias("__m_k"), F.col("__m_key.h").alias("__m_h"), F.transform("__m_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__m_spans")), "live")
     if live.count() <= broadcast_rows:

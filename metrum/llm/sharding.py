@@ -4,8 +4,8 @@ Rows are ordered by a composite key (hash of the text, id, number of the row), s
 rows share a key. Splitters are found before any row moves: each round counts the exact bytes below candidate boundaries
 over all partitions, in one aggregation, and narrows each splitter's interval to the probe gap that holds its target,
 until the bytes left in the interval meet the tolerance or one row is left there. Only the counts of the probes reach
-the driver. The rows are then exchanged once, to
-(shard, cell); cells are of bounded size, and a row's slot is its place in the cell plus the counts of the cells before.
+the driver. The rows are then exchanged once, to ranges of (shard, composite key), so that no key, however often it occurs,
+makes a task larger; a row's slot is its place in the range plus the counts of the shard's ranges before.
 
 Defined results: a null text has no bytes, so size 1; a null id sorts before all others; repeated rows lie together,
 in the order of their numbers, and are parted where a boundary falls among them; with fewer rows than shards some shards are empty; extra columns are ignored.
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metrum.llm.shared import materialize, places
+from metrum.llm.shared import BROADCAST_ROWS, materialize, places
 
 SHARDS = 8
 PROBES = 64
-CELL_ROWS, LEAST_CELLS, MOST_CELLS = 50_000, 32, 4096
+RANGE_ROWS, LEAST_RANGES = 500_000, 32
 _LOW = -(1 << 63)
 
 
@@ -93,16 +93,19 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: int = 0, probes:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: id, size, text_crc32, shard, slot. Slots number a shard's rows from 0 without gaps:
-    by cell (the id modulo the number of cells), then by key."""
+    """One row for each row of docs: id, size, text_crc32, shard, slot. Slots number a shard's rows from 0 without gaps, in the
+    order of the composite key."""
     rows = materialize(sized(docs, key, text), "sized")
-    many = rows.count()
-    cells = max(LEAST_CELLS, min(MOST_CELLS, -(-many // CELL_ROWS)))
-    placed = rows.withColumn("shard", places(splitters(rows, shards, tolerance), [F.col(c) for c in KEY], KINDS)).withColumn("cell", F.pmod(F.coalesce("id", F.lit(0)), F.lit(cells)).cast("int"))
-    # At most shards * MOST_CELLS short rows, so this may be broadcast.
-    counts = placed.groupBy("shard", "cell").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("shard", "cell", before.alias("before"))
-    in_cell = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("major", "minor", "tie")) - 1
-    numbered = placed.withColumn("in_cell", in_cell)
-    return numbered.join(F.broadcast(offsets), ["shard", "cell"]).select(F.col("id").alias(key), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("in_cell")).cast("long").alias("slot"))
+    ranges = max(LEAST_RANGES, -(-rows.count() // RANGE_ROWS))
+    placed = rows.withColumn("shard", places(splitters(rows, shards, tolerance), [F.col(c) for c in KEY], KINDS))
+    by = ["shard", *KEY]
+    # The identifier has the range in its upper bits and the row's place there in the lower 33.
+    number = F.monotonically_increasing_id()
+    sorted_ = placed.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("id", "size", "text_crc32", "shard", F.shiftright(number, 33).alias("range"), number.alias("number"))
+    sorted_ = materialize(sorted_, "sorted")
+    counts = sorted_.groupBy("shard", "range").agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each range, and one more for each shard that begins within one.
+    offsets = materialize(counts.select("shard", "range", "first", before.alias("before")), "offsets")
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
+    return sorted_.join(offsets, ["shard", "range"]).select(F.col("id").alias(key), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("number") - F.col("first")).cast("long").alias("slot"))

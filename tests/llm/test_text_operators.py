@@ -266,7 +266,8 @@ def test_lempel_ziv_parse():
 def test_fingerprints_of_neighbours(spark, docs):
     for frame, rows in ((docs, EDGE), (spark.read.parquet(f"{SF}/documents.parquet"), None)):
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+        signed = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
         want = Counter()
         for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
             t, nxt = t or "", nxt or ""

@@ -116,7 +116,7 @@ def test_chunks_have_no_piece_across(model):
 
 def test_plan_of_many_ranges(spark, monkeypatch):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
-    heads = [(-20_000 + 4 * i, "") for i in range(5000)]
+    heads = [(-20_000 + 4 * i, 0) for i in range(5000)]
     monkeypatch.setattr(phrases, "first_keys", lambda *_: heads)
     began = time.time()
     phrases.compare_with_next(docs)._jdf.queryExecution().executedPlan().toString()
@@ -124,13 +124,67 @@ def test_plan_of_many_ranges(spark, monkeypatch):
 
 
 def test_ranges_part_rows_of_one_id(spark):
-    # All null ids: ranges are cut by the texts.
-    docs = spark.createDataFrame([(None, f"{i:05d} text") for i in range(400)], "doc_id long, text string")
-    assert len(phrases.first_keys(docs.select(F.lit(0).cast("long").alias("i"), F.substring("text", 1, 32).alias("p")), 50)) > 4
+    # All null ids and one long boilerplate head: ranges are cut by the whole texts.
+    docs = spark.createDataFrame([(None, f"{'licence ' * 9}{i:05d}") for i in range(400)], "doc_id long, text string")
+    assert len(phrases.first_keys(docs.select(F.lit(0).cast("long").alias("i"), F.xxhash64("text").alias("h")), 50)) > 4
     got = [r.near_edited for r in phrases.compare_with_next(docs, rows_a_range=50).collect()]
     assert len(got) == 400
 
 
+def test_heads_of_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST_RANGES", 10)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    assert len(phrases.first_keys(docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")), 1)) <= 10
+    assert phrases.compare_with_next(docs, rows_a_range=1).count() == 3000
+
+
+@pytest.mark.parametrize("kind", ["equal", "null", "stride"])
+def test_ids_do_not_make_a_range_larger(spark, kind):
+    key = {"equal": F.lit(5), "null": F.lit(None), "stride": F.col("id") * 4096}[kind].cast("long")
+    docs = spark.range(20_000).select(key.alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7000).alias("text"))
+    plan = sharding.assign(docs)
+    got = plan.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(got) == 8 and max(r.b for r in got) - min(r.b for r in got) <= 12 and all(r.n == r.d == r.m + 1 for r in got)
+
+
+def _planted(spark):
+    """Documents of 12 owners with copied and owner-specific tokens, and what only looks like them."""
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda: "".join(r.choice(letters) for _ in range(32))
+    copied, own, rows = [drawn() for _ in range(6)], [(drawn(), f"o{i % 12}") for i in range(400)], []
+    decoys = ["src/main/resources/Version2Templates/default", "build-2024-11-05-release-candidate-7", "InternationalizationHelper2Factory", "0A1B2C3D4E5F60718293A4B5", "the_quick_brown_fox_1_jumps_over", "AAAAAAAAAAaaaaaaaaaa1111111111"]
+    for i in range(4000):
+        owner, words = f"o{i % 12}", [f"w{r.randrange(900)}" for _ in range(30)]
+        words.insert(3, copied[i % 6])
+        words.insert(9, f"{decoys[i % 6]}")
+        if i % 10 == 0:
+            words.insert(20, own[i // 10][0])
+            owner = own[i // 10][1]
+        rows.append((i, " ".join(words), "en", owner, 0))
+    return spark.createDataFrame(rows, DOCS), {v for v, _ in own}, set(copied)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_planted_tokens(spark, most):
+    docs, own, copied = _planted(spark)
+    spans = secrets.scan_secrets(docs, broadcast_rows=most).withColumnRenamed("doc_id", "k")
+    found = spans.join(docs, F.col("k") == F.col("doc_id")).select("text", F.explode("spans").alias("s")).where("s.kind = 3").collect()
+    marked = [r.text[r.s.start : r.s.end] for r in found]
+    assert len(marked) > 390 and not copied & set(marked)
+    precision, recall = sum(m in own for m in marked) / len(marked), len(own & set(marked)) / len(own)
+    assert precision == 1 and recall >= 0.97
+    kept = secrets.redact(docs, broadcast_rows=most).where(F.col("text").contains("[SECRET]")).count()
+    assert kept == len(marked)
+
+
+def test_one_value_in_every_document(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("token=Zq8Lm2Xv5Tb9Rw4Yk7Pd w"), "id").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("o"), F.col("id") % 5).alias("source"), F.lit(0).alias("n_chars"))
+    for most in (1_000_000, 0):
+        got = secrets.scan_secrets(docs, broadcast_rows=most).select(F.explode("spans").alias("s")).select("s.*").distinct().collect()
+        assert [(r.live, r.owners, r.repositories) for r in got] == [(False, 5, 6000)]
+
+
 def test_secrets_of_a_long_text_take_linear_time():
     part = "token=abcdef0123456789abcdef " + "Zq8Lm2Xv5Tb9Rw4Yk7Pd" + " AKIA" + "Z9" * 8 + " "
     began = time.time()
