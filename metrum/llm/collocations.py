@@ -1,9 +1,9 @@
 """Phrase collocations from depth-limited count tries.
 
 A task is a shard: it numbers its words in their order and builds a trie level by level, as sorted arrays of (parent, word,
-count). Tries are written serialised and sorted, one row for the subtree below each head (a prefix of the phrases), in
-preorder, and merged by ranges of heads: Spark sorts the rows by language and head, and a task merges the subtrees of equal
-heads, a bounded number of nodes at a time. Walking down a merged trie gives the counts of a phrase's left parts; its right
+count). Tries are written serialised and sorted: for each range of heads (prefixes of the phrases) one row with the subtrees
+below them, in preorder, as packed numbers. The ranges are cut so that frequent heads are dealt out evenly, and a task merges
+the rows of a range from all shards: it holds the range's distinct nodes and some rows more. Walking down a merged trie gives the counts of a phrase's left parts; its right
 parts come by suffix links, the node of the phrase without its first word, level by level.
 
 Three passes: words, tries of depth 2 below heads of one word, and of depth 5 below heads of two. A phrase cannot be frequent
@@ -31,12 +31,14 @@ from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, materialize, union_al
 
 LEAST, WORDS, FIRST = 100, 5, 2000
 #: Words of a shard's trie, distinct words that a task counts before it emits them, nodes that a merge holds besides those of
-#: one head, rows of a batch, bits of a bitmap and of one of its parts.
-SHARD, DISTINCT, NODES, ROWS, BITS, PART = 1_200_000, 400_000, 600_000, 20_000, 26, 19
+#: one range, bits of a bitmap and of one of its parts; words of a range, and how many ranges there are at least and at most.
+SHARD, DISTINCT, NODES, BITS, PART = 1_500_000, 400_000, 1_000_000, 26, 19
+RANGE_WORDS, LEAST_RANGES, MOST_RANGES = 2_000_000, 32, 65_536
 
 _BREAK = set(b".,;:!?\n\x0b\x0c\r")
 _BYTES = bytes(10 if c in _BREAK else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-TRIE = "lang string, head string, n long, depth array<tinyint>, word array<string>, count array<long>"
+#: own: the heads' counts; sizes: their numbers of nodes; depth, word (a place in words) and count of the nodes; packed.
+TRIE = "lang string, range int, heads array<string>, words array<string>, own binary, sizes binary, depth binary, word binary, count binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,23 +69,39 @@ def _has(bitmap: bytes, a: np.ndarray, b: np.ndarray, lang: str) -> np.ndarray:
     return np.frombuffer(bitmap, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+class _Nodes:
+    """Subtrees in preorder: for each node the place of its head in heads, depth, word and count; own: the heads' counts. Heads
+    and words are arrays of strings."""
+
+    def __init__(self, heads: pa.Array, own: np.ndarray, of: np.ndarray, depth: np.ndarray, word: pa.Array, count: np.ndarray):
+        self.heads, self.own, self.of, self.depth, self.word, self.count = heads, own, of, depth, word, count
 
 
-def _rows(lang: str, head: pa.Array, n: np.ndarray, owner: np.ndarray, depth: np.ndarray, word: pa.Array, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Batches of TRIE; owner: the head's place for each node, in order."""
-    offsets = np.searchsorted(owner, np.arange(len(head) + 1))
-    for lo in range(0, len(head), ROWS):
-        hi = min(lo + ROWS, len(head))
-        a, b = int(offsets[lo]), int(offsets[hi])
-        cut = lambda values: _lists(offsets[lo : hi + 1] - a, values[a:b])  # noqa: B023, E731
-        lists = [cut(pa.array(depth, pa.int8())), cut(word), cut(pa.array(count, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (hi - lo), pa.string()), head[lo:hi], pa.array(n[lo:hi], pa.int64()), *lists], names=["lang", "head", "n", "depth", "word", "count"])
+def _packed(lang: str, t: _Nodes, bounds: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of TRIE: the heads, which are sorted, by ranges; bounds: the first keys (language, head) of ranges but the first."""
+    before = sum(b[0] < lang for b in bounds)
+    own = np.array([b[1] for b in bounds if b[0] == lang], object)
+    heads = np.array(t.heads.cast(pa.binary()).to_pylist(), object)
+    place = before + (np.searchsorted(own, heads, "right") if len(own) else np.zeros(len(heads), np.int64))
+    starts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(heads)]
+    edges = np.searchsorted(t.of, starts)
+    rows = []
+    for lo, hi, a, b in zip(starts, starts[1:], edges, edges[1:], strict=False):
+        if lo < hi:
+            coded = t.word[int(a) : int(b)].dictionary_encode()
+            sizes = np.bincount(t.of[a:b] - lo, minlength=hi - lo)
+            numbers = (t.own[lo:hi].astype("<i8"), sizes.astype("<i4"), t.depth[a:b].astype("u1"), coded.indices.to_numpy().astype("<i4"), t.count[a:b].astype("<u4"))
+            rows.append((lang, int(place[lo]), t.heads[lo:hi].to_pylist(), coded.dictionary.to_pylist(), *(x.tobytes() for x in numbers)))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None, deepest: int) -> Iterator[pa.RecordBatch]:
-    """Rows of TRIE for the words' numbers x in their order (-1 between pieces and for rare words). Without pairs: heads of one word and the
+_NAMES = ["lang", "range", "heads", "words", "own", "sizes", "depth", "word", "count"]
+_KINDS = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5]
+
+
+def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None, deepest: int) -> _Nodes | None:
+    """The trie of the words' numbers x in their order (-1 between pieces and for rare words). Without pairs: heads of one word and the
     words after them; else heads of two words and up to deepest - 2 words after them, as far as the bitmap has all pairs."""
     names, size = pa.array(words, pa.binary()).cast(pa.string()), max(len(words), 1)
     at = np.flatnonzero(x >= 0)
@@ -92,8 +110,7 @@ def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None
     begins = np.flatnonzero((at + 1 < len(x)) & (x[np.minimum(at + 1, len(x) - 1)] >= 0))
     pair, parent, word, n2 = numbered(node[begins], x[at[begins] + 1], size)
     if pairs is None:
-        yield from _rows(lang, names.take(pa.array(first)), n1, parent, np.ones(len(word), np.int8), names.take(pa.array(word)), n2)
-        return
+        return _Nodes(names.take(pa.array(first)), n1, parent, np.ones(len(word), np.int8), names.take(pa.array(word)), n2)
     h = _hashes(words)
     frequent = _has(pairs, h[first[parent]], h[word], lang)
     heads = pc.binary_join_element_wise(names.take(pa.array(first[parent])), names.take(pa.array(word)), " ")
@@ -108,7 +125,7 @@ def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None
         number, up, word, n = numbered(number[on], x[here + k], size)
         levels.append((up, word, n))
     if not len(levels[0][0]):
-        return
+        return None
     # Preorder: a node's key is the chain of numbers above it, in which the missing ones come first.
     keys, owner, depth, ids, count = [], [], [], [], []
     chain: list[np.ndarray] = []
@@ -124,7 +141,7 @@ def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None
     order = np.lexsort(np.concatenate(keys, axis=1)[::-1])
     owner_, depth_, ids_, count_ = (np.concatenate(c)[order] for c in (owner, depth, ids, count))
     used, place = np.unique(owner_, return_inverse=True)
-    yield from _rows(lang, heads.take(pa.array(used)), n2[used], place, depth_, names.take(pa.array(ids_)), count_)
+    return _Nodes(heads.take(pa.array(used)), n2[used], place, depth_, names.take(pa.array(ids_)), count_)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -151,8 +168,8 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def tries(docs: DataFrame, singles: bytes, pairs: bytes | None = None, deepest: int = WORDS) -> DataFrame:
-    """The shards' tries of docs (lang, t), see shard_trie; words that the bitmap singles has not are rare."""
+def tries(docs: DataFrame, bounds: list[tuple[str, bytes]], singles: bytes, pairs: bytes | None = None, deepest: int = WORDS) -> DataFrame:
+    """The shards' tries of docs (lang, t), see shard_trie, by ranges; words that the bitmap singles has not are rare."""
     bound_arrow(docs.sparkSession)
     shard = SHARD
 
@@ -170,7 +187,9 @@ def tries(docs: DataFrame, singles: bytes, pairs: bytes | None = None, deepest:
                 rank = np.full(len(words), -1, np.int64)
                 rank[kept] = np.arange(len(kept))
                 x = np.concatenate(parts)
-                yield from shard_trie(lang, rank[x[x != 0]], [words[k] for k in kept], pairs, deepest)
+                trie = shard_trie(lang, rank[x[x != 0]], [words[k] for k in kept], pairs, deepest)
+                if trie is not None:
+                    yield from _packed(lang, trie, bounds)
             texts.clear()
 
         def begin() -> None:
@@ -195,39 +214,27 @@ def tries(docs: DataFrame, singles: bytes, pairs: bytes | None = None, deepest:
     return docs.mapInArrow(run, TRIE)
 
 
-class _Nodes:
-    """Subtrees in preorder: for each node the place of its head in `heads`, depth, word and count; own: the heads' counts."""
-
-    def __init__(self, heads: list[tuple[str, str]], own: np.ndarray, of: np.ndarray, depth: np.ndarray, word: pa.Array, count: np.ndarray):
-        self.heads, self.own, self.of, self.depth, self.word, self.count = heads, own, of, depth, word, count
-
-
-def _read(batch: pa.RecordBatch) -> _Nodes:
-    """Nodes of the rows of TRIE, sorted by head; one place for each run of equal heads."""
-    keys = list(zip(batch.column("lang").to_pylist(), batch.column("head").to_pylist(), strict=True))
-    new = np.array([True, *(a != b for a, b in zip(keys, keys[1:], strict=False))])
-    place = np.cumsum(new) - 1
-    lists = batch.column("depth")
-    lengths = np.asarray(lists.value_lengths())
-    own = np.zeros(int(place[-1]) + 1, np.int64)
-    np.add.at(own, place, batch.column("n").to_numpy())
-    word = batch.column("word").flatten()
-    return _Nodes([keys[i] for i in np.flatnonzero(new)], own, np.repeat(place, lengths), lists.flatten().to_numpy(zero_copy_only=False), word, batch.column("count").flatten().to_numpy(zero_copy_only=False))
+def _joined(parts: list[_Nodes]) -> _Nodes:
+    """The parts as one, with one place for equal heads, in order; nodes are sorted by heads, those of a part together."""
+    coded = pa.concat_arrays([p.heads for p in parts]).dictionary_encode()
+    sorting = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(sorting), np.int64)
+    rank[sorting.to_numpy()] = np.arange(len(sorting))
+    place = rank[coded.indices.to_numpy()]
+    own = np.zeros(len(sorting), np.int64)
+    np.add.at(own, place, np.concatenate([p.own for p in parts]))
+    ends = np.cumsum([len(p.heads) for p in parts])
+    of = np.concatenate([place[end - len(p.heads) : end][p.of] for p, end in zip(parts, ends, strict=True)])
+    order = np.argsort(of, kind="stable")
+    depth, count = (np.concatenate([getattr(p, c) for p in parts])[order] for c in ("depth", "count"))
+    return _Nodes(coded.dictionary.take(sorting), own, of[order], depth, pa.concat_arrays([p.word for p in parts]).take(pa.array(order)), count)
 
 
-def _joined(parts: list[_Nodes]) -> _Nodes:
-    """The parts as one; a head that ends one part and begins the next has one place."""
-    heads, own, of = [], [], []
-    for p in parts:
-        again = bool(heads) and heads[-1] == p.heads[0]
-        shift = len(heads) - again
-        if again:
-            own[-1] += int(p.own[0])
-        heads += p.heads[again:]
-        own += p.own[int(again) :].tolist()
-        of.append(p.of + shift)
-    depth, count = (np.concatenate([getattr(p, c) for p in parts]) for c in ("depth", "count"))
-    return _Nodes(heads, np.array(own, np.int64), np.concatenate(of), depth, pa.concat_arrays([p.word for p in parts]), count)
+def _read(b: pa.RecordBatch, row: int) -> _Nodes:
+    """A row of TRIE."""
+    own, sizes, depth, word, count = (np.frombuffer(b.column(c)[row].as_py(), kind) for c, kind in (("own", "<i8"), ("sizes", "<i4"), ("depth", "u1"), ("word", "<i4"), ("count", "<u4")))
+    lists = [b.column(c)[row].values for c in ("heads", "words")]
+    return _Nodes(lists[0], own, np.repeat(np.arange(len(sizes)), sizes), depth.astype(np.int8), lists[1].take(pa.array(word)), count.astype(np.int64))
 
 
 def merged(t: _Nodes) -> _Nodes:
@@ -258,48 +265,63 @@ def merged(t: _Nodes) -> _Nodes:
     return _Nodes(t.heads, t.own, of[order], depth[order], vocabulary.take(pa.array(word[order])), count[order])
 
 
-def _frequent(t: _Nodes, least: int) -> pa.RecordBatch:
-    """lang, head, phrase, words (after the head), a, left (counts of the nodes above, the head's first) of the heads and nodes
-    that occur often enough."""
-    out: list[tuple] = [(*t.heads[i], t.heads[i][1], 0, int(t.own[i]), []) for i in np.flatnonzero(t.own >= least).tolist()]
+def _frequent(lang: str, t: _Nodes, least: int) -> pa.RecordBatch:
+    """lang, head, phrase, words (after the head), a, left (counts of the nodes above, the head's first) of the nodes that
+    occur often enough."""
+    out: list[tuple] = []
     path: list[tuple[str, int]] = []
     of = -1
     often = np.flatnonzero(t.count >= least)
-    for i, d, word, count in zip(t.of[often].tolist(), t.depth[often].tolist(), t.word.take(pa.array(often)).to_pylist(), t.count[often].tolist(), strict=True):
+    heads = t.heads.take(pa.array(t.of[often])).to_pylist()
+    for i, head, d, word, count in zip(t.of[often].tolist(), heads, t.depth[often].tolist(), t.word.take(pa.array(often)).to_pylist(), t.count[often].tolist(), strict=True):
         if i != of:
             of, path = i, []
         del path[d - 1 :]
         path.append((word, count))
-        out.append((*t.heads[i], " ".join([t.heads[i][1], *(w for w, _ in path)]), d, count, [int(t.own[i]), *(c for _, c in path[:-1])]))
+        out.append((lang, head, " ".join([head, *(w for w, _ in path)]), d, count, [int(t.own[i]), *(c for _, c in path[:-1])]))
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["lang", "head", "phrase", "words", "a", "left"])
 
 
 def _kept(written: DataFrame, least: int) -> DataFrame:
-    """Rows of _frequent over all shards' tries."""
+    """Rows of _frequent over all shards' tries: rows of one language and range follow one another and are merged."""
     most = NODES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[_Nodes] = []
-        nodes = 0
+        nodes, now = 0, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            parts.append(_read(b))
-            nodes += len(parts[-1].of)
-            if nodes > most:
-                t = merged(_joined(parts))
-                # All but the last head are complete; that one goes on, already merged.
-                last = len(t.heads) - 1
-                done, rest = t.of < last, t.of == last
-                if last:
-                    yield _frequent(_Nodes(t.heads[:-1], t.own[:-1], t.of[done], t.depth[done], t.word.filter(pa.array(done)), t.count[done]), least)
-                parts = [_Nodes(t.heads[-1:], t.own[-1:], t.of[rest] - last, t.depth[rest], t.word.filter(pa.array(rest)), t.count[rest])]
-                nodes = 0
+            for row, key in enumerate(zip(b.column("lang").to_pylist(), b.column("range").to_pylist(), strict=True)):
+                if key != now and parts:
+                    yield _frequent(now[0], merged(_joined(parts)), least)
+                    parts, nodes = [], 0
+                now = key
+                parts.append(_read(b, row))
+                nodes += len(parts[-1].of)
+                if nodes > most:
+                    parts, nodes = [merged(_joined(parts))], 0
         if parts:
-            yield _frequent(merged(_joined(parts)), least)
+            yield _frequent(now[0], merged(_joined(parts)), least)
+
+    return written.repartition("range", "lang").sortWithinPartitions("range", "lang").mapInArrow(run, "lang string, head string, phrase string, words int, a long, left array<long>")
+
+
+def bounds_of(phrases: DataFrame, weight: int) -> list[tuple[str, bytes]]:
+    """First keys of ranges of the heads (lang, phrase, a), about `weight` occurrences each: MOST_RANGES at most. They only
+    decide which rows meet in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = 0, []
+        for b in batches:
+            for lang, phrase, a in zip(*(b.column(c).to_pylist() for c in ("lang", "phrase", "a")), strict=True):
+                if held >= weight:
+                    out.append((lang, phrase))
+                    held = 0
+                held += a
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(2)], names=["lang", "phrase"])
 
-    return written.repartitionByRange("lang", "head").sortWithinPartitions("lang", "head").mapInArrow(run, "lang string, head string, phrase string, words int, a long, left array<long>")
+    found = phrases.select("lang", "phrase", "a").repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(run, "lang string, phrase string")
+    return sorted((r.lang, r.phrase.encode()) for r in found.collect())
 
 
 def bitmap(phrases: DataFrame) -> bytes:
@@ -338,11 +360,14 @@ def mine(docs: DataFrame, least: int = LEAST, words: int = WORDS, first: int = F
     total = materialize(every.groupBy("lang").agg(F.sum("n").alias("n")), "total")
     single = every.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
     frequent = bitmap(single)
+    # Ranges are as many as all words ask for, so their weight, of frequent heads, keeps within the bound.
+    all_ = total.agg(F.sum("n")).first()[0] or 0
+    weight = max(1, all_ // min(MOST_RANGES, max(LEAST_RANGES, all_ // RANGE_WORDS)))
     columns = ["lang", "phrase", "a", "left"]
-    pairs = materialize(_kept(materialize(tries(docs, frequent), "tries"), least).where("words = 1").select(*columns), "pairs")
+    pairs = materialize(_kept(materialize(tries(docs, bounds_of(single, weight), frequent), "tries"), least).select(*columns), "pairs")
     of_size = {2: pairs}
     if words > 2:
-        lower = materialize(_kept(materialize(tries(docs, frequent, bitmap(pairs), words), "deep"), least).where("words > 0"), "lower")
+        lower = materialize(_kept(materialize(tries(docs, bounds_of(pairs, weight), frequent, bitmap(pairs), words), "deep"), least), "lower")
         # A deep trie's walk begins at its pair; what is above it are the pair's own count and its first word's.
         above = pairs.select("lang", F.col("phrase").alias("head"), F.concat("left", F.array("a")).alias("above"))
         whole = lower.join(above, ["lang", "head"]).select("lang", "phrase", "a", F.concat("above", F.expr("slice(left, 2, size(left))")).alias("left"), "words")

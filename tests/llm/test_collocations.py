@@ -49,7 +49,7 @@ def texts(seed, n=60):
 @pytest.mark.parametrize("least", [2, 9])
 def test_equal_to_plain_counts(spark, monkeypatch, least, small):
     if small:
-        for name, value in (("SHARD", 50), ("DISTINCT", 5), ("NODES", 20), ("BITS", 5), ("PART", 3)):
+        for name, value in (("SHARD", 50), ("DISTINCT", 5), ("NODES", 20), ("BITS", 5), ("PART", 3), ("RANGE_WORDS", 40)):
             monkeypatch.setattr(collocations, name, value)
     rows = texts(least)
     docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
@@ -80,7 +80,9 @@ def test_scores_beyond_64_bits(spark):
 def test_merge_of_tries():
     words = sorted({b"", b"\n", b"a", b"b", b"c"})
     x = np.array([words.index(w) for w in (b"a", b"b", b"a", b"b", b"c")])
-    rows = next(collocations.shard_trie("en", x, words, None, 5))
-    t = collocations.merged(collocations._read(rows))
-    assert [h[1] for h in t.heads] == ["a", "b", "c"] and t.own.tolist() == [2, 2, 1]
-    assert list(zip(t.of.tolist(), t.word.to_pylist(), t.count.tolist(), strict=True)) == [(0, "b", 2), (1, "a", 1), (1, "c", 1)]
+    trie = collocations.shard_trie("en", x, words, None, 5)
+    rows = next(collocations._packed("en", trie, [("en", b"b"), ("fr", b"a")]))
+    assert rows.column("range").to_pylist() == [0, 1]
+    t = collocations.merged(collocations._joined([collocations._read(rows, 1), collocations._read(rows, 0), collocations._read(rows, 1)]))
+    assert t.heads.to_pylist() == ["a", "b", "c"] and t.own.tolist() == [2, 4, 2]
+    assert list(zip(t.of.tolist(), t.word.to_pylist(), t.count.tolist(), strict=True)) == [(0, "b", 2), (1, "a", 2), (1, "c", 2)]
