@@ -210,3 +210,76 @@ def delivery_grade(spark: SparkSession, sf: str) -> DataFrame:
     joined = of_regions.join(of_events, "case_id", "left").join(of_words, "case_id", "left").join(of_sentences, "case_id", "left").na.fill(0)
     rate = lambda n, d: F.round(ratio(n, d), 6)
     return joined.withColumn("event_delivery_rate", rate(F.col("delivered_events"), F.col("planned_events"))).withColumn("word_delivery_rate", rate(F.col("expected_words") - F.col("missing_words"), F.col("expected_words")))
+
+
+SHOWN, SATURATED, DOMINANT, LATE_PEAK = 0.40, 0.90, 0.20, 20 * MS
+# Labels: vowels (round ones among them) and bilabials; a label's target is the event of its word and place, if rendered.
+_FRAME_PHASE = f"least(greatest((t - a) / greatest(b - a, {_u(0.001)})::DOUBLE, 0e0), 1e0)"
+PHONETIC_SQL = f"""{ENVELOPE_SQL}, lb AS (SELECT case_id, idx, word_index, a AS la, b AS lz, (event_id + k) % 5 IN (2, 3) AS vowel, (event_id + k) % 5 = 2 AS round_, (event_id + k) % 5 = 4 AS bilabial, renderable AND NOT cancelled AS supported FROM pr WHERE (event_id + k) % 5 >= 2),
+    fr AS (SELECT case_id, idx AS label, word_index AS lw, la + {STEP // 2} + j * {STEP} AS t FROM (SELECT *, unnest(range(0, (lz - la - {STEP // 2} + {STEP - 1}) // {STEP})) AS j FROM lb WHERE supported)),
+    fw AS (SELECT fr.case_id, label, lw, t, en.idx, en.word_index, a, b, turns, {_weight_sql('t')} AS w FROM fr JOIN en ON en.case_id = fr.case_id AND att <= t AND rel >= t AND t + {MS // 2} >= commit_at),
+    ft AS (SELECT *, {_smooth(f'({_FRAME_PHASE} - 0.35e0) / 0.4e0')} AS turn FROM fw WHERE w > 0.012e0), fx AS (SELECT *, CASE WHEN turns THEN greatest(w * (1e0 - 0.78e0 * turn), w * turn) ELSE w END AS weight FROM ft),
+    fa AS (SELECT case_id, label, lw, t, max(weight) FILTER (idx = label) AS target, max({{'w': weight, 'i': -idx, 'word': word_index}}) AS top FROM fx WHERE weight > 0.012e0 GROUP BY ALL),
+    fc AS (SELECT case_id, label, count(*) FILTER (target >= {SHOWN}e0) AS visible, count(*) FILTER (target >= {SATURATED}e0) AS saturated, count(*) FILTER (top.w >= {DOMINANT}e0 AND -top.i = label) AS dominant, count(*) FILTER (top.w >= {DOMINANT}e0 AND top.word = lw) AS same_word, count(*) FILTER (top.w >= {DOMINANT}e0 AND top.word <> lw) AS foreign_word FROM fa GROUP BY ALL),
+    fn AS (SELECT case_id, label, count(*) AS frames FROM fr GROUP BY ALL), {_samples_sql(STEP)}, fin AS (SELECT case_id, max(greatest(rb, b)) AS stop FROM pr GROUP BY 1),
+    pe AS (SELECT sm.case_id, idx, max({{'w': weight, 's': -step}}) AS top FROM sm JOIN fin ON fin.case_id = sm.case_id WHERE step * {STEP} + {MS // 2} >= commit_at AND step * {STEP} <= stop GROUP BY ALL),
+    pl_ AS (SELECT lb.case_id, lb.idx, word_index, vowel, round_, bilabial, supported, coalesce(frames, 0) AS frames, coalesce(visible, 0) AS visible, coalesce(saturated, 0) AS saturated, coalesce(dominant, 0) AS dominant, coalesce(same_word, 0) AS same_word, coalesce(foreign_word, 0) AS foreign_word, CASE WHEN bilabial AND supported THEN -pe.top.s * {STEP} - (la + lz) // 2 END AS peak_error_us
+      FROM lb LEFT JOIN fn ON fn.case_id = lb.case_id AND fn.label = lb.idx LEFT JOIN fc ON fc.case_id = lb.case_id AND fc.label = lb.idx LEFT JOIN pe ON pe.case_id = lb.case_id AND pe.idx = lb.idx)"""
+
+
+def _strongest(t: Column) -> Column:
+    """The larger weight of a row's poses at t."""
+    w = env.weight(t, SECOND)
+    phase = F.greatest(F.least((t - F.col("start")) / F.greatest(F.col("end") - F.col("start"), F.lit(_u(env.LEAST_EDGE))), F.lit(1.0)), F.lit(0.0))
+    turn = env.smooth((phase - env.TURN_BEGINS) / env.TURN_LASTS)
+    return F.when(w > env.LEAST_WEIGHT, F.when(F.col("turns"), F.greatest(w * (1.0 - env.TURN_KEEPS * turn), w * turn)).otherwise(w)).otherwise(0.0)
+
+
+@query(f"{PHONETIC_SQL} SELECT * FROM pl_")
+def phonetic_presentation(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vowel's and bilabial's frames: where its event is visible and saturated, which event is the strongest (the first of
+    several), and for bilabials when its peak comes. Frames meet envelopes in time buckets of a case."""
+    events, shown = _shown(spark, sf)
+    of = (F.col("event_id") + F.col("k")) % 5
+    labels = events.where(of >= 2).select("case_id", "idx", "word_index", "start", "end", of.isin(2, 3).alias("vowel"), (of == 2).alias("round_"), (of == 4).alias("bilabial"), (F.col("renderable") & ~F.col("cancelled")).alias("supported"))
+    count = F.ceil((F.col("end") - F.col("start") - STEP // 2) / STEP)
+    frames = labels.where("supported").where(count > 0).select("case_id", F.col("idx").alias("label"), F.col("word_index").alias("of_word"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("j"), (F.col("start") + STEP // 2).alias("t0"))
+    frames = frames.select("case_id", "label", "of_word", (F.col("t0") + F.col("j") * STEP).alias("t"))
+    # Both sides go to buckets of two hours, a frame to one, an envelope to those it covers.
+    width = 2 * HOUR
+    spread = shown.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("attack") / width), F.floor(F.greatest("attack", "release") / width))))
+    met = frames.withColumn("bucket", F.floor(F.col("t") / width)).join(spread, ["case_id", "bucket"]).where("attack <= t AND release >= t").where(F.col("t") + MS // 2 >= F.col("commit_at"))
+    seen = met.withColumn("weight", _strongest(F.col("t"))).where(F.col("weight") > env.LEAST_WEIGHT)
+    top = F.max(F.struct("weight", (-F.col("idx")).alias("i"), "word_index")).alias("top")
+    each = seen.groupBy("case_id", "label", "of_word", "t").agg(F.max(F.when(F.col("idx") == F.col("label"), F.col("weight"))).alias("target"), top)
+    strong = F.col("top.weight") >= DOMINANT
+    counts = each.groupBy("case_id", F.col("label").alias("idx")).agg(
+        F.count_if(F.col("target") >= SHOWN).alias("visible"), F.count_if(F.col("target") >= SATURATED).alias("saturated"), F.count_if(strong & (-F.col("top.i") == F.col("label"))).alias("dominant"),
+        F.count_if(strong & (F.col("top.word_index") == F.col("of_word"))).alias("same_word"), F.count_if(strong & (F.col("top.word_index") != F.col("of_word"))).alias("foreign_word"),
+    )
+    total = frames.groupBy("case_id", F.col("label").alias("idx")).agg(F.count("*").alias("frames"))
+    first = F.greatest(F.ceil(F.col("attack") / STEP), F.col("from_step"))
+    last = F.least(F.floor(F.col("release") / STEP), F.col("to_step"))
+    lips = shown.where((F.col("event_id") + F.col("k")) % 5 == 4).where(first <= last).withColumn("step", F.explode(F.sequence(first, last))).withColumn("weight", _strongest(F.col("step") * STEP)).where(F.col("weight") > env.LEAST_WEIGHT)
+    peaks = lips.groupBy("case_id", "idx").agg((-F.max(F.struct("weight", (-F.col("step")).alias("s")))["s"] * STEP).alias("peak"))
+    told = labels.join(total, ["case_id", "idx"], "left").join(counts, ["case_id", "idx"], "left").join(peaks, ["case_id", "idx"], "left").na.fill(0, ["frames", "visible", "saturated", "dominant", "same_word", "foreign_word"])
+    error = F.when(F.col("bilabial") & F.col("supported"), F.col("peak") - F.floor((F.col("start") + F.col("end")) / 2))
+    return told.select("case_id", "idx", "word_index", "vowel", "round_", "bilabial", "supported", "frames", "visible", "saturated", "dominant", "same_word", "foreign_word", error.alias("peak_error_us"))
+
+
+@query(f"""{PHONETIC_SQL}, g AS (SELECT case_id, count(*) FILTER (vowel) AS vowel_labels, count(*) FILTER (vowel AND supported) AS supported_vowels, coalesce(sum(frames) FILTER (vowel), 0)::BIGINT AS vowel_frames, coalesce(sum(dominant) FILTER (vowel), 0)::BIGINT AS vowel_dominant, coalesce(sum(foreign_word) FILTER (vowel), 0)::BIGINT AS vowel_foreign,
+      count(*) FILTER (vowel AND supported AND 2 * dominant < frames OR vowel AND supported AND frames = 0) AS low_dominance_vowels, count(*) FILTER (vowel AND 4 * foreign_word > frames) AS foreign_intrusion_vowels, count(*) FILTER (bilabial) AS bilabial_labels, count(*) FILTER (bilabial AND supported) AS supported_bilabials, coalesce(sum(frames) FILTER (bilabial), 0)::BIGINT AS bilabial_frames,
+      coalesce(sum(dominant) FILTER (bilabial), 0)::BIGINT AS bilabial_dominant, count(*) FILTER (peak_error_us > {LATE_PEAK}) AS late_peaks, coalesce(sum(frames) FILTER (round_), 0)::BIGINT AS round_frames, coalesce(sum(saturated) FILTER (round_), 0)::BIGINT AS round_saturated FROM pl_ GROUP BY 1)
+    SELECT *, round(CASE WHEN vowel_frames = 0 THEN 1e0 ELSE vowel_dominant / vowel_frames::DOUBLE END, 6) AS vowel_dominance, round(CASE WHEN bilabial_frames = 0 THEN 1e0 ELSE bilabial_dominant / bilabial_frames::DOUBLE END, 6) AS bilabial_dominance, round(CASE WHEN round_frames = 0 THEN 1e0 ELSE round_saturated / round_frames::DOUBLE END, 6) AS round_saturation FROM g""")
+def presentation_grade(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each case: dominance of vowels and bilabials, intrusion of other words, saturation, late peaks."""
+    p = phonetic_presentation(spark, sf)
+    v, b, ok = F.col("vowel"), F.col("bilabial"), F.col("supported")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    g = p.groupBy("case_id").agg(
+        F.count_if(v).alias("vowel_labels"), F.count_if(v & ok).alias("supported_vowels"), total("frames", v).alias("vowel_frames"), total("dominant", v).alias("vowel_dominant"), total("foreign_word", v).alias("vowel_foreign"),
+        F.count_if(v & ok & ((2 * F.col("dominant") < F.col("frames")) | (F.col("frames") == 0))).alias("low_dominance_vowels"), F.count_if(v & (4 * F.col("foreign_word") > F.col("frames"))).alias("foreign_intrusion_vowels"), F.count_if(b).alias("bilabial_labels"), F.count_if(b & ok).alias("supported_bilabials"), total("frames", b).alias("bilabial_frames"),
+        total("dominant", b).alias("bilabial_dominant"), F.count_if(F.col("peak_error_us") > LATE_PEAK).alias("late_peaks"), total("frames", F.col("round_")).alias("round_frames"), total("saturated", F.col("round_")).alias("round_saturated"),
+    )
+    rate = lambda n, d: F.round(ratio(F.col(n), F.col(d)), 6)
+    return g.withColumn("vowel_dominance", rate("vowel_dominant", "vowel_frames")).withColumn("bilabial_dominance", rate("bilabial_dominant", "bilabial_frames")).withColumn("round_saturation", rate("round_saturated", "round_frames"))
