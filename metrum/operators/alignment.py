@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def lcs(planned: list[str], gold: list[str]) -> list[tuple[int, int]]:
@@ -270,6 +271,52 @@ def decode_cases(frames: DataFrame, states: int, lag: int) -> DataFrame:
     return frames.groupBy("case_id").applyInPandas(run, "case_id long, frame long, offline int, committed int")
 
 
+def forward(scores: np.ndarray, lengths: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """Log likelihoods of cases (case, frame, state; each of its own length, filled up at the end) over all paths from the first
+    state to the last that stay or advance by one; -inf where there is none. All cases of a batch take a step together."""
+    go = np.log1p(-np.exp(stay))
+    total = np.full((len(scores), scores.shape[2]), -np.inf)
+    total[:, 0] = scores[:, 0, 0]
+    ends = np.where(lengths == 1, total[:, -1], -np.inf)
+    for t in range(1, scores.shape[1]):
+        moved = np.concatenate([np.full((len(total), 1), -np.inf), total[:, :-1] + go[:-1]], axis=1)
+        total = np.logaddexp(total + stay, moved) + scores[:, t]
+        ends = np.where(lengths == t + 1, total[:, -1], ends)
+    return ends
+
+
+def forward_cases(frames: DataFrame, states: int) -> DataFrame:
+    """case_id, frames, log_likelihood (null where no path reaches the last state) from frames (case_id, frame, value), with the
+    scores and priors of decode_cases. A case's values are one list, and the cases of a batch, by similar length, are one
+    array, so no Python call is made for each case."""
+    kind = frames.schema["case_id"].dataType.simpleString()
+    rows = frames.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda r: r["value"]).alias("values"))
+    stay = np.full(states, np.log(0.8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [np.array(v.as_py(), float) for v in b.column("values")]
+            lengths = np.array([len(v) for v in values])
+            found = np.full(len(values), -np.inf)
+            order = np.argsort(lengths, kind="stable")
+            at = 0
+            while at < len(order):
+                # As many cases as fill some eight million cells.
+                end = at + 1
+                while end < len(order) and (end + 1 - at) * lengths[order[end]] * states <= 1 << 23:
+                    end += 1
+                group = order[at:end]
+                scores = np.zeros((len(group), lengths[group].max(), states))
+                for k, i in enumerate(group):
+                    scores[k, : lengths[i]] = _level_scores(values[i], states)
+                found[group] = forward(scores, lengths[group], stay)
+                at = end
+            likely = pa.array([x if np.isfinite(x) else None for x in found.tolist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("case_id"), pa.array(lengths, pa.int64()), likely], names=["case_id", "frames", "log_likelihood"])
+
+    return rows.mapInArrow(run, f"case_id {kind}, frames long, log_likelihood double")
+
+
 # Fixed values of the lattice with dwell: weight of speech occupancy, its bounds, a frame's seconds, bounds of the chance to
 # advance, frames a token should last at least by its prior, and at most, and what each missing frame costs.
 OCCUPANCY_WEIGHT, OCCUPANCY_BOUNDS = 1.75, (0.02, 0.98)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metrum.functions import text
-from metrum.operators import alignment, frames, signal
+from metrum.operators import alignment, frames, framing, signal
 from metrum.plans import adapters
 from metrum.plans.adapters import EVENTS_SQL, GOLD_SQL, HOUR
 from metrum.session import table
@@ -131,3 +131,46 @@ def dwell_lattice(spark: SparkSession, sf: str) -> DataFrame:
     chance = frames.sigmoid(F.col("value") / 50.0)
     f = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), "value", chance.alias("speech"))
     return alignment.decode_dwell(f, PRIOR, SILENT, SENTENCE)
+
+
+def _energy_sql(x: str, n: int, bands: tuple[float, ...], rate: int = 16000) -> str:
+    wave = lambda f: f"list_sum(list_transform({x}, lambda a, i: a * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / {n - 1})) * {f}(2 * pi() * q * (i - 1) / {n})))"
+    return f"list_transform({[int(0.5 + n * b / rate) for b in bands]}, lambda q: pow({wave('cos')}, 2) + pow({wave('sin')}, 2))"
+
+
+def _period_sql(x: str, n: int, longest: float, steps: int, rate: int = 16000) -> str:
+    low, high = int(framing.PERIOD * rate + 0.5), min(int(longest * rate + 0.5), n - 2)
+    part = lambda a, b: f"list_inner_product({a}, {b})"
+    a, b = f"{x}[:{n} - g]", f"{x}[g + 1:]"
+    return f"least(1e0, greatest(0e0, list_max(list_transform({list(range(low, high + 1, max((high - low) // steps, 1)))}, lambda g: {part(a, b)} / sqrt(greatest({part(a, a)} * {part(b, b)}, 1e-8))))))"
+
+
+HOP, WIDTH, HZ, RICH_HZ = 160, 480, list(framing.BANDS), list(framing.RICH_BANDS)
+
+
+@query(f"""WITH s AS (SELECT label AS case_id, flatten(list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id)) AS x FROM embeddings GROUP BY label), f AS (SELECT case_id, k AS frame, x[k * {HOP} + 1:(k + 1) * {HOP}] AS h, CASE WHEN (k + 1) * {HOP} >= {WIDTH} THEN x[(k + 1) * {HOP} - {WIDTH - 1}:(k + 1) * {HOP}] END AS w FROM (SELECT *, unnest(range(len(x) // {HOP})) AS k FROM s)),
+    e AS (SELECT *, sqrt(list_inner_product(h, h) / {HOP}) AS rms, {_energy_sql('h', HOP, framing.BANDS)} AS e, CASE WHEN list_inner_product(h, h) > 1e-7 THEN {_period_sql('h', HOP, framing.LONGEST, framing.PERIODS)} ELSE 0 END AS p, CASE WHEN w IS NOT NULL THEN {_energy_sql('w', WIDTH, framing.RICH_BANDS)} END AS r, CASE WHEN w IS NOT NULL THEN {_period_sql('w', WIDTH, framing.RICH_LONGEST, framing.RICH_PERIODS)} END AS rp FROM f),
+    t AS (SELECT *, greatest(list_sum(e), 1e-6) AS t, greatest(list_sum(r), 1e-6) AS rt, lag(rms) OVER o AS before_, lag(r) OVER o AS r0 FROM e WINDOW o AS (PARTITION BY case_id ORDER BY frame)),
+    pk AS (SELECT a.case_id, a.frame, greatest(max(b.rms * pow(0.995, a.frame - b.frame)), 1e-4 * pow(0.995, max(a.frame) + 1)) AS peak FROM t a JOIN t b ON b.case_id = a.case_id AND b.frame <= a.frame GROUP BY ALL),
+    u AS (SELECT t.*, peak, least(list_inner_product(e, {HZ}::DOUBLE[]) / t / 8000, 1) AS c, CASE WHEN r IS NOT NULL THEN least(list_inner_product(r, {RICH_HZ}::DOUBLE[]) / rt / 8000, 1) END AS rc, list_transform(r, lambda a: a / rt) AS d, list_transform(r0, lambda a: a / greatest(list_sum(r0), 1e-6)) AS d0 FROM t JOIN pk ON pk.case_id = t.case_id AND pk.frame = t.frame)
+    SELECT case_id, frame, round(ln(greatest(rms, 1e-6)), 6) AS log_rms, round(least(rms / greatest(peak, 1e-4), 1), 6) AS rms_norm, round(coalesce(rms - before_, 0), 6) AS delta_rms, round(greatest(coalesce(rms - before_, 0), 0) / greatest(peak, 1e-4), 6) AS flux, round(len(list_filter(range(1, {HOP}), lambda i: (h[i] < 0) <> (h[i + 1] < 0))) / {HOP}::DOUBLE, 6) AS zcr,
+      round(list_sum(e[1:2]) / t, 6) AS low, round(list_sum(e[3:4]) / t, 6) AS mid, round(list_sum(e[5:6]) / t, 6) AS high, round(c, 6) AS centroid, round(p, 6) AS periodicity, round(CASE WHEN r IS NULL THEN list_sum(e[1:2]) / t ELSE list_sum(r[1:3]) / rt END, 6) AS rich_low, round(CASE WHEN r IS NULL THEN list_sum(e[3:4]) / t ELSE list_sum(r[4:7]) / rt END, 6) AS rich_mid,
+      round(CASE WHEN r IS NULL THEN list_sum(e[5:6]) / t ELSE list_sum(r[8:12]) / rt END, 6) AS rich_high, round(coalesce(rc, c), 6) AS rich_centroid, round(CASE WHEN r IS NULL THEN c ELSE coalesce(({RICH_HZ}::DOUBLE[])[len(list_filter(range(1, 13), lambda i: list_sum(r[1:i]) < 0.85 * rt)) + 1] / 8000, rc) END, 6) AS rich_rolloff,
+      round(CASE WHEN r IS NULL THEN 0 ELSE least(exp(list_avg(list_transform(r, lambda a: ln(a + 1e-9)))) / greatest(rt / 12, 1e-9), 1) END, 6) AS rich_flatness, round(CASE WHEN r IS NULL OR r0 IS NULL THEN 0 ELSE least(2 * list_sum(list_transform(d, lambda a, i: greatest(a - d0[i], 0))), 1) END, 6) AS rich_flux, round(coalesce(rp, p), 6) AS rich_periodicity FROM u""")
+def audio_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The 18 features of 10 ms frames and 30 ms windows, of the vectors of a label taken as one stream of samples."""
+    blocks = table(spark, sf, "embeddings").select(F.col("label").alias("case_id"), F.col("vec_id").alias("block"), F.col("embedding").alias("samples"), F.lit(16000).alias("rate"))
+    found = framing.frame_features(blocks)
+    return found.select("case_id", "frame", *(F.round(c, 6).alias(c) for c in framing.FEATURES))
+
+
+FORWARD_SQL = f"""{DECODE_SQL}, fw AS (SELECT case_id, i, list_transform(range(1, {STATES + 1}), lambda j: CASE WHEN j = 1 THEN s[1] ELSE '-infinity'::DOUBLE END) AS a FROM sc WHERE i = 1
+      UNION ALL SELECT sc.case_id, sc.i, list_transform(range(1, {STATES + 1}), lambda j: sc.s[j] + greatest(st[j].h, st[j].g) + CASE WHEN greatest(st[j].h, st[j].g) = '-infinity'::DOUBLE THEN 0 ELSE ln(exp(st[j].h - greatest(st[j].h, st[j].g)) + exp(st[j].g - greatest(st[j].h, st[j].g))) END)
+        FROM (SELECT sc.case_id, sc.i, sc.s, list_transform(range(1, {STATES + 1}), lambda j: {{'h': fw.a[j] + ln(0.8), 'g': CASE WHEN j = 1 THEN '-infinity'::DOUBLE ELSE fw.a[j - 1] + ln(0.2) END}}) AS st FROM fw JOIN sc ON sc.case_id = fw.case_id AND sc.i = fw.i + 1) sc)"""
+
+
+@query(f"""{FORWARD_SQL} SELECT fw.case_id, sc.n AS frames, CASE WHEN fw.a[{STATES}] = '-infinity'::DOUBLE THEN NULL ELSE round(fw.a[{STATES}], 6) END AS log_likelihood FROM fw JOIN sc ON sc.case_id = fw.case_id AND sc.i = fw.i WHERE fw.i = sc.n""")
+def forward_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """The log likelihood of each case's frames over all paths from the first state to the last."""
+    f = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), "value")
+    return alignment.forward_cases(f, STATES).withColumn("log_likelihood", F.round("log_likelihood", 6))
