@@ -36,46 +36,78 @@ def lcs(planned: list[str], gold: list[str]) -> list[tuple[int, int]]:
     return pairs
 
 
+def _together(spans: list[tuple[float, float, int, int]]) -> Iterator[tuple[list[int], list[int]]]:
+    """Numbers of both sides' spans (start, end, side, number) in groups that no span reaches across, in order."""
+    sides, reach = ([], []), -np.inf
+    for start, end, side, i in sorted(spans):
+        if start > reach and (sides[0] or sides[1]):
+            yield sides
+            sides = ([], [])
+        reach = max(reach, end)
+        sides[side].append(i)
+    if sides[0] or sides[1]:
+        yield sides
+
+
 def match_events(a: list[tuple[float, str, str]], b: list[tuple[float, str, str]], limit: float) -> list[tuple[int, int]]:
-    """Monotonic matches of (time, kind, word) sequences: as many as possible, then as many of the same word, then the
-    least total distance; only equal kinds within the limit. On a tie the item of a is skipped first."""
+    """Monotonic matches of (time, kind, word) sequences in the order of time: as many as possible, then as many of the same
+    word, then the least total distance; only equal kinds within the limit. On a tie the item of a is skipped first. The
+    sequences are cut where no item is within the limit of a later one, so a table is as large as a crowd, not a case."""
+    spans = [(t, t + limit, side, i) for side, events in enumerate((a, b)) for i, (t, *_) in enumerate(events)]
+    return [(x[i], y[j]) for x, y in _together(spans) if x and y for i, j in _match([a[i] for i in x], [b[j] for j in y], limit)]
+
+
+def _match(a: list[tuple[float, str, str]], b: list[tuple[float, str, str]], limit: float) -> list[tuple[int, int]]:
+    """match_events of one crowd. A row of the table is made at once: taking or leaving each item of b, and then the best of
+    what is at or after a place, which a running maximum from the right gives."""
     n, m = len(a), len(b)
-    zero = (0, 0, 0.0)
-    best = [[zero] * (m + 1) for _ in range(n + 1)]
-    step = [[0] * (m + 1) for _ in range(n + 1)]
+    kinds = {k: i for i, k in enumerate(dict.fromkeys(k for _, k, _ in a + b))}
+    t, kind, word = np.array([e[0] for e in b]), np.array([kinds[e[1]] for e in b]), [e[2] for e in b]
+    # Values are compared as (matches, matches of words, -distance).
+    best, take = [[(0, 0, 0.0)] * (m + 1)], []
     for i in range(n - 1, -1, -1):
+        below, row, taken = best[-1], list(best[-1]), np.zeros(m, np.int8)
+        d = np.abs(t - a[i][0])
+        for j in np.flatnonzero((kind == kinds[a[i][1]]) & (d <= limit))[::-1].tolist():
+            k, w, e = below[j + 1]
+            got = (k + 1, w + (a[i][2] == word[j]), e - float(d[j]))
+            if got > below[j]:
+                row[j], taken[j] = got, 1
         for j in range(m - 1, -1, -1):
-            top, how = best[i + 1][j], 1
-            if best[i][j + 1] > top:
-                top, how = best[i][j + 1], 2
-            d = abs(a[i][0] - b[j][0])
-            if a[i][1] == b[j][1] and d <= limit:
-                k, w, e = best[i + 1][j + 1]
-                got = (k + 1, w + (a[i][2] == b[j][2]), e - d)
-                if got > top:
-                    top, how = got, 3
-            best[i][j], step[i][j] = top, how
+            # A match must be better than leaving the item of b out, and that better than leaving a's.
+            if row[j + 1] > row[j] or taken[j] == 1 and row[j + 1] == row[j]:
+                row[j], taken[j] = row[j + 1], 2
+        best.append(row)
+        take.append(taken)
     pairs, i, j = [], 0, 0
     while i < n and j < m:
-        if step[i][j] == 3:
+        step = take[n - 1 - i][j]
+        if step == 1:
             pairs.append((i, j))
-        i, j = i + (step[i][j] != 2), j + (step[i][j] != 1)
+        i, j = i + (step != 2), j + (step != 0)
     return pairs
 
 
 def align_spans(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> list[tuple[int, int, float]]:
-    """Pairs (i, j, IoU), or -1 for a missing partner, in order: 1 for a missing or an extra span, 1 - IoU for a match of
-    spans that overlap. A match wins a tie, then missing (a without partner) before extra."""
+    """Pairs (i, j, IoU), or -1 for a missing partner, of spans in order: 1 for a missing or an extra span, 1 - IoU for a
+    match of spans that overlap. A match wins a tie, then missing (a without partner) before extra. The sides are cut where
+    no span reaches across, as spans on two sides of such a place never match."""
+    spans = [(s, max(s, e), side, i) for side, rows in enumerate((a, b)) for i, (s, e) in enumerate(rows)]
+    return [(x[i] if i >= 0 else -1, y[j] if j >= 0 else -1, share) for x, y in _together(spans) for i, j, share in _align([a[i] for i in x], [b[j] for j in y])]
+
+
+def _align(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> list[tuple[int, int, float]]:
+    """align_spans of one crowd."""
     n, m = len(a), len(b)
     cost = np.zeros((n + 1, m + 1))
     cost[:, m], cost[n, :] = np.arange(n, -1, -1), np.arange(m, -1, -1)
-    share = np.zeros((n, m))
+    (s, e), (u, v) = (np.array(x, float).reshape(-1, 2).T for x in (a, b))
+    both = np.maximum(0.0, np.minimum(e[:, None], v) - np.maximum(s[:, None], u))
+    union = (e - s)[:, None] + (v - u) - both
+    share = np.divide(both, union, out=np.zeros((n, m)), where=union > 0)
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            both = max(0.0, min(a[i][1], b[j][1]) - max(a[i][0], b[j][0]))
-            union = a[i][1] - a[i][0] + b[j][1] - b[j][0] - both
-            share[i, j] = both / union if union > 0 else 0.0
-            take = cost[i + 1, j + 1] + 1 - share[i, j] if both > 0 else np.inf
+            take = cost[i + 1, j + 1] + 1 - share[i, j] if both[i, j] > 0 else np.inf
             cost[i, j] = min(take, cost[i + 1, j] + 1, cost[i, j + 1] + 1)
     out, i, j = [], 0, 0
     while i < n or j < m:

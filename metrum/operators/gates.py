@@ -38,3 +38,24 @@ def reconcile(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def digests(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, n, low, high: a digest of each group's rows that depends neither on their order nor on how they are dealt. Every
+    row's columns, each with its length so that no two rows read alike (null as `-`), give an MD5 whose first two runs of
+    15 digits are summed up apart; repeated rows count each time."""
+    text = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    row = F.md5(F.encode(F.concat(*map(text, columns)), "UTF-8"))
+    lane = lambda at: F.sum(F.conv(F.substring("_h", at, 15), 16, 10).cast("decimal(20, 0)")).cast("decimal(38, 0)").cast("string")
+    return rows.select(*by, row.alias("_h")).groupBy(*by).agg(F.count("*").alias("n"), lane(1).alias("low"), lane(16).alias("high"))
+
+
+def stale(manifest: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """by, status: `same`, `changed`, `missing` (only in the manifest) or `new`, from two tables of digests()."""
+    a = manifest.select(*by, F.struct("n", "low", "high").alias("_a"))
+    b = current.select(*(F.col(c).alias(f"_{c}") for c in by), F.struct("n", "low", "high").alias("_b"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "new").when(F.col("_a") == F.col("_b"), "same").otherwise("changed")
+    return a.join(b, on, "full").select(*(F.when(F.col("_a").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in by), status.alias("status"))

@@ -42,10 +42,10 @@ def lcs_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def monotonic_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases and clicks of a case taken as two sequences of the same kind."""
+    """Purchases and errors of a case against its clicks and views, two sequences of the same kind that hold all events."""
     # Each side reads the table itself: a cogroup of one plan with itself mixes up its columns.
-    side = lambda k: adapters.events(spark, sf).where(F.col("event_type") == k).select("case_id", F.col("event_id").alias("id"), "t", F.lit("e").alias("kind"), (F.floor("value") % 3).cast("string").alias("word"))
-    return alignment.align_events(side("purchase"), side("click"), 3.0 * HOUR)
+    side = lambda k: adapters.events(spark, sf).where(F.coalesce("event_type", F.lit("")).isin("purchase", "error") == k).select("case_id", F.col("event_id").alias("id"), "t", F.lit("e").alias("kind"), (F.floor("value") % 3).cast("string").alias("word"))
+    return alignment.align_events(side(True), side(False), 3.0 * HOUR)
 
 
 @query(None)

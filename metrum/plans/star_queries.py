@@ -96,11 +96,32 @@ def gate_report(spark: SparkSession, sf: str) -> DataFrame:
     return gates.check(gates.long_form(a, "events").unionByName(gates.long_form(b, "lines")), GATES).withColumn("value", F.round("value", 6))
 
 
-@query("""WITH e AS (SELECT DISTINCT c_custkey AS k FROM customer), o AS (SELECT DISTINCT o_custkey AS k FROM orders)
+@query("""WITH e AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0), o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT')
     SELECT coalesce(e.k, o.k) AS custkey, CASE WHEN o.k IS NULL THEN 'missing' ELSE 'unlisted' END AS status FROM e FULL JOIN o ON e.k = o.k WHERE e.k IS NULL OR o.k IS NULL""")
 def inventory_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))
-    return gates.reconcile(e, table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    """Customers in credit, who are expected to have an urgent order, against those who have one: both may lack the other."""
+    e = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    return gates.reconcile(e, table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey")), "custkey")
+
+
+def _digest_sql(name: str, chars: str) -> str:
+    text = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE length(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    lane = lambda at: f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT)) AS VARCHAR)"
+    return f"{name} AS (SELECT lang, source, count(*) AS n, {lane(1)} AS low, {lane(16)} AS high FROM (SELECT lang, source, md5({text('doc_id')} || {text('text')} || {text(chars)}) AS h FROM documents) GROUP BY ALL)"
+
+
+@query(f"WITH {_digest_sql('d', 'n_chars')} SELECT * FROM d")
+def corpus_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of the corpus by language and source."""
+    return gates.digests(table(spark, sf, "documents"), ["lang", "source"], ["doc_id", "text", "n_chars"])
+
+
+@query(f"WITH {_digest_sql('m', 'n_chars')}, {_digest_sql('c', 'length(text)')} SELECT coalesce(m.lang, c.lang) AS lang, coalesce(m.source, c.source) AS source, CASE WHEN m.n = c.n AND m.low = c.low AND m.high = c.high THEN 'same' ELSE 'changed' END AS status FROM m FULL JOIN c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source")
+def corpus_staleness(spark: SparkSession, sf: str) -> DataFrame:
+    """Which parts of the corpus differ from what they are when made anew: lengths are counted again from the texts."""
+    docs, by = table(spark, sf, "documents"), ["lang", "source"]
+    made = docs.withColumn("n_chars", F.length("text").cast("long"))
+    return gates.stale(gates.digests(docs, by, ["doc_id", "text", "n_chars"]), gates.digests(made, by, ["doc_id", "text", "n_chars"]), by)
 
 
 @query("""SELECT r_name || '_' || n_name || '_' || seed AS case_id, 1 + CAST('0x' || substr(sha256(r_name || ':' || n_name || ':' || seed), 1, 8) AS BIGINT) % 2147483646 AS seed_value FROM region CROSS JOIN nation CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS seed)""")
