@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metrum.functions import hashing, stats, text
-from metrum.operators import lexicon, pauses
+from metrum.operators import lexicon, pauses, phones, textplan
 from metrum.session import table, written
 
 QUERIES, ORACLES = {}, {}
@@ -291,3 +291,36 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     return e.select("event_id", text.number(k, "bigint", -1).alias("k"), F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("nested"), text.truth(k).alias("flag"), text.number(F.col("event_type"), "double", 0.5).alias("number"))
+
+
+# Phones by spelling, as no dictionary is at hand; digits have none.
+SPELLED = {
+    "a": "AE1", "b": "B", "c": "K", "d": "D", "e": "EH0", "f": "F", "g": "G", "h": "HH", "i": "IH2", "j": "JH", "k": "K", "l": "L", "m": "M",
+    "n": "N", "o": "OW1", "p": "P", "q": "K", "r": "R", "s": "S", "t": "T", "u": "UW0", "v": "V", "w": "W", "x": "X", "y": "Y", "z": "Z",
+}
+_RULES = {p: (pose, s if s is not None else phones.VOWEL_STRENGTH) for group, pose, s in phones.POSES for p in group.split()}
+_RULES_SQL = "(VALUES " + ", ".join(f"('{p}', '{pose}', {s}e0)" for p, (pose, s) in _RULES.items()) + ") AS r(base, pose, strength)"
+_SPELLED_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SPELLED.items()) + "}"
+_VOWELS_SQL = "(" + ", ".join(f"'{v}'" for v in phones.VOWELS) + ")"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role AS speaker, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS word_index FROM (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9'']+[.!?,;:]?') AS toks FROM conversations)),
+    u AS (SELECT conv_id, turn, word_index, regexp_replace(tok, '[.!?,;:]$', '') AS word, regexp_matches(tok, '[.!?;:]$') AS breaks, regexp_matches(tok, '[.!?]$') AS ends, list_transform(list_filter(string_split(tok, ''), lambda c: c BETWEEN 'a' AND 'z'), lambda c: {_SPELLED_SQL}[c]) AS ph FROM t),
+    v AS (SELECT *, len(ph) > 0 AS known, greatest(len(ph), 1) AS n, CASE WHEN len(ph) > 0 THEN greatest(len(list_filter(ph, lambda p: regexp_replace(p, '[0-9]', '') IN {_VOWELS_SQL})), 1) ELSE greatest(len(list_filter(string_split(regexp_replace(word, '[^aeiouy]+', ' ', 'g'), ' '), lambda x: x <> '')), 1) END AS syl FROM u),
+    x AS (SELECT *, least(greatest(syl + least(greatest(n // 3, 1), 3), 2), 6) AS units FROM v),
+    y AS (SELECT *, CAST(coalesce(sum(units) OVER b, 0) AS BIGINT) AS unit_start, CAST(sum(units) OVER (PARTITION BY conv_id, turn) AS BIGINT) AS total_units, CAST(coalesce(sum(n) OVER b, 0) AS BIGINT) AS first_, CAST(coalesce(sum(breaks::INT) OVER b, 0) AS BIGINT) AS region, CAST(coalesce(sum(ends::INT) OVER b, 0) AS BIGINT) AS sentence FROM x WINDOW b AS (PARTITION BY conv_id, turn ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT * EXCLUDE (ph), unnest(CASE WHEN known THEN ph ELSE ['UNK'] END) AS phone, unnest(range(n)) AS word_phone FROM y),
+    p AS (SELECT z.*, CASE WHEN NOT known THEN '06_Eh' WHEN word = 'to' AND regexp_replace(phone, '[0-9]', '') IN ('AH', 'IH') THEN '11_Oo' ELSE r.pose END AS pose, CASE WHEN NOT known THEN 0.78e0 ELSE r.strength END AS strength FROM z LEFT JOIN {_RULES_SQL} ON r.base = regexp_replace(phone, '[0-9]', '')),
+    q AS (SELECT *, CASE WHEN pose IS NOT NULL THEN count(pose) OVER (PARTITION BY conv_id, turn ORDER BY word_index, word_phone) - 1 END AS event_index, count(pose) OVER (PARTITION BY conv_id, turn, word_index) AS many, (unit_start + least(greatest((word_phone + 0.5e0) / n, 0.05e0), 0.95e0) * units) / total_units AS centre FROM p),
+    s AS (SELECT *, CASE WHEN pose IS NOT NULL THEN least(greatest(centre - CASE WHEN many > 2 THEN 0.32e0 ELSE 0.42e0 END / total_units, 0e0), 1e0) END AS s0, CASE WHEN pose IS NOT NULL THEN least(greatest(centre + CASE WHEN many > 2 THEN 0.32e0 ELSE 0.42e0 END / total_units, 0e0), 1e0) END AS s1 FROM q)
+    SELECT conv_id, turn, word_index, word, region, sentence, units, unit_start, total_units, first_ + word_phone AS phone_index, word_phone, phone, CAST(coalesce(TRY_CAST(regexp_extract(phone, '([12])$', 1) AS INTEGER), 0) AS INTEGER) AS stress, regexp_replace(phone, '[0-9]', '') IN {_VOWELS_SQL} AS vowel, pose, strength, coalesce(pose IN ('22_MBP', '12_Ww-Oo-', '11_Oo', '20_FV', '24_Tongue_Th'), false) AS strong,
+      CASE WHEN pose IS NULL THEN 'timing' WHEN phone = 'HH' THEN 'coarticulated' WHEN pose IN ('21_FV-Ee-', '01_TDS-Ah-', '23_Tongue_LNTDS', '13_KGY_TDS', '02_TDS_KGY-Ee-') THEN 'supporting' ELSE 'primary' END AS role, event_index, floor(s0 * 1e6 + 0.5) / 1e6 AS start_norm, floor(s1 * 1e6 + 0.5) / 1e6 AS end_norm, CASE WHEN pose IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn ORDER BY s0 NULLS LAST, event_index) - 1 END AS place FROM s""")
+def text_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Words, phones and events of each turn, with units, normalised extents and places."""
+    tok = F.col("tok")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+[.!?,;:]?"), F.lit(0))).alias("word_index", "tok"))
+    letters = F.filter(F.split("tok", ""), lambda c: c.between("a", "z"))
+    spelled = F.transform(letters, lambda c: F.create_map(*(F.lit(x) for kv in SPELLED.items() for x in kv))[c])
+    w = t.select("conv_id", "turn", F.col("word_index").cast("long").alias("word_index"), F.regexp_replace(tok, "[.!?,;:]$", "").alias("word"), tok.rlike("[.!?;:]$").alias("breaks"), tok.rlike("[.!?]$").alias("ends"), spelled.alias("phones"))
+    p = textplan.plan(w, ["conv_id", "turn"])
+    return p.withColumn("start_norm", stats.half_up(F.col("start_norm"), 6)).withColumn("end_norm", stats.half_up(F.col("end_norm"), 6))
