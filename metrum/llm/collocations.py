@@ -32,14 +32,14 @@ from metrum.llm.shared import BROADCAST_ROWS, bound_arrow, materialize, union_al
 LEAST, WORDS, FIRST = 100, 5, 2000
 #: Words of a shard's trie, distinct words that a task counts before it emits them, nodes that a merge holds besides those of
 #: one range, bits of a bitmap and of one of its parts; words of a range, and how many ranges there are at least and at most.
-SHARD, DISTINCT, NODES, BITS, PART = 1_000_000, 400_000, 1_000_000, 26, 19
+SHARD, DISTINCT, NODES, BITS, PART = 1_300_000, 400_000, 1_000_000, 26, 19
 RANGE_WORDS, LEAST_RANGES, MOST_RANGES = 2_000_000, 32, 65_536
 
 _BREAK = set(b".,;:!?\n\x0b\x0c\r")
 _BYTES = bytes(10 if c in _BREAK else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: own: the heads' counts; sizes: their numbers of nodes; depth, word (a place in words) and count of the nodes; packed
-#: and compressed.
-TRIE = "lang string, range int, heads array<string>, words array<string>, own binary, sizes binary, depth binary, word binary, count binary"
+#: heads and words: strings, a line each; own: the heads' counts; sizes: their numbers of nodes; depth, word (a place in words) and
+#: count of the nodes: numbers. All are compressed.
+TRIE = "lang string, range int, heads binary, words binary, own binary, sizes binary, depth binary, word binary, count binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -92,13 +92,23 @@ def _packed(lang: str, t: _Nodes, bounds: list[tuple[str, bytes]]) -> Iterator[p
             coded = t.word[int(a) : int(b)].dictionary_encode()
             sizes = np.bincount(t.of[a:b] - lo, minlength=hi - lo)
             numbers = (t.own[lo:hi].astype("<i8"), sizes.astype("<i4"), t.depth[a:b].astype("u1"), coded.indices.to_numpy().astype("<i4"), t.count[a:b].astype("<u4"))
-            rows.append((lang, int(place[lo]), t.heads[lo:hi].to_pylist(), coded.dictionary.to_pylist(), *(pa.compress(x.tobytes(), "zstd", asbytes=True) for x in numbers)))
+            names = ("\n".join(x.to_pylist()).encode() for x in (t.heads[lo:hi], coded.dictionary))
+            rows.append((lang, int(place[lo]), *map(_small, names), *(_small(x.tobytes()) for x in numbers)))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
 _NAMES = ["lang", "range", "heads", "words", "own", "sizes", "depth", "word", "count"]
-_KINDS = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5]
+_KINDS = [pa.string(), pa.int32(), *[pa.binary()] * 7]
+
+
+def _small(x: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def _whole(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
 def shard_trie(lang: str, x: np.ndarray, words: list[bytes], pairs: bytes | None, deepest: int) -> _Nodes | None:
@@ -233,12 +243,9 @@ def _joined(parts: list[_Nodes]) -> _Nodes:
 
 def _read(b: pa.RecordBatch, row: int) -> _Nodes:
     """A row of TRIE."""
-    lists = [b.column(c)[row].values for c in ("heads", "words")]
-    opened = lambda c, kind, n: np.frombuffer(pa.decompress(b.column(c)[row].as_py(), n * np.dtype(kind).itemsize, "zstd"), kind)
-    own, sizes = opened("own", "<i8", len(lists[0])), opened("sizes", "<i4", len(lists[0]))
-    nodes = int(sizes.sum())
-    depth, word, count = opened("depth", "u1", nodes), opened("word", "<i4", nodes), opened("count", "<u4", nodes)
-    return _Nodes(lists[0], own, np.repeat(np.arange(len(sizes)), sizes), depth.astype(np.int8), lists[1].take(pa.array(word)), count.astype(np.int64))
+    heads, words = (pa.array(x.split("\n") if (x := _whole(b.column(c)[row].as_py()).decode()) else [], pa.string()) for c in ("heads", "words"))
+    own, sizes, depth, word, count = (np.frombuffer(_whole(b.column(c)[row].as_py()), kind) for c, kind in (("own", "<i8"), ("sizes", "<i4"), ("depth", "u1"), ("word", "<i4"), ("count", "<u4")))
+    return _Nodes(heads, own, np.repeat(np.arange(len(sizes)), sizes), depth.astype(np.int8), words.take(pa.array(word)), count.astype(np.int64))
 
 
 def merged(t: _Nodes) -> _Nodes:
