@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from metrum.functions.intervals import overlap, ratio
 from metrum.operators import envelopes as env
-from metrum.operators import regions
+from metrum.operators import regions, runs
 from metrum.plans import adapters, cases
 from metrum.plans.adapters import DAY, GOLD_SQL, HOUR
 from metrum.plans.cases import SECOND
@@ -283,3 +283,46 @@ def presentation_grade(spark: SparkSession, sf: str) -> DataFrame:
     )
     rate = lambda n, d: F.round(ratio(F.col(n), F.col(d)), 6)
     return g.withColumn("vowel_dominance", rate("vowel_dominant", "vowel_frames")).withColumn("bilabial_dominance", rate("bilabial_dominant", "bilabial_frames")).withColumn("round_saturation", rate("round_saturated", "round_frames"))
+
+
+# Labels lack one event in seven, and one in nine has another pose than planned.
+_RUNS_SQL = f"""{ENVELOPE_SQL}, fin AS (SELECT case_id, max(greatest(rb, b)) AS stop FROM pr GROUP BY 1),
+    rp AS (SELECT case_id, word_index, idx, k, pose, lag(pose) OVER (PARTITION BY case_id, word_index ORDER BY idx) AS before_ FROM pr WHERE renderable AND strength > 0.012e0),
+    rn AS (SELECT *, CAST(sum(CASE WHEN before_ <> pose THEN 1 ELSE 0 END) OVER (PARTITION BY case_id, word_index ORDER BY idx) AS BIGINT) AS run FROM rp), rm AS (SELECT * FROM rn QUALIFY max(run) OVER (PARTITION BY case_id, word_index) > 0),
+    lb AS (SELECT case_id, word_index, k, CASE WHEN (event_id + k) % 9 = 4 THEN 'p9' ELSE pose END AS pose, greatest(b - a, 0) AS length FROM pr WHERE (event_id + k) % 7 <> 3),
+    rg AS (SELECT rm.case_id, rm.word_index, run, min(rm.pose) AS pose, coalesce(sum(length), 0)::BIGINT AS gold FROM rm LEFT JOIN lb ON lb.case_id = rm.case_id AND lb.word_index = rm.word_index AND lb.k = rm.k AND lb.pose = rm.pose GROUP BY ALL),
+    {_samples_sql(STEP)}, rs_ AS (SELECT sm.case_id, rm.word_index, step, run, row_number() OVER (PARTITION BY sm.case_id, rm.word_index, step ORDER BY weight DESC, sm.idx) AS place FROM sm JOIN rm ON rm.case_id = sm.case_id AND rm.idx = sm.idx JOIN fin ON fin.case_id = sm.case_id
+      WHERE weight >= 0.02e0 AND strength > 0.012e0 AND step * {STEP} + {MS // 2} >= commit_at AND step * {STEP} <= stop),
+    rt_ AS (SELECT case_id, word_index, run, count(*) AS shown FROM rs_ WHERE place = 1 GROUP BY ALL), ra_ AS (SELECT rg.*, coalesce(shown, 0) AS shown FROM rg LEFT JOIN rt_ USING (case_id, word_index, run)),
+    rb_ AS (SELECT *, count(*) FILTER (gold > 0) OVER w >= 2 AS gradeable, sum(gold) OVER w AS gold_all, sum(shown) OVER w AS shown_all, max(run) OVER w AS last_ FROM ra_ WINDOW w AS (PARTITION BY case_id, word_index)),
+    rc_ AS (SELECT *, CASE WHEN gradeable THEN gold / gold_all::DOUBLE END AS gold_share, CASE WHEN gradeable THEN CASE WHEN shown_all > 0 THEN shown / shown_all::DOUBLE ELSE 0e0 END END AS shown_share FROM rb_),
+    rd_ AS (SELECT *, abs(shown_share - gold_share) AS error, CASE WHEN run < last_ THEN abs(sum(shown_share - gold_share) OVER (PARTITION BY case_id, word_index ORDER BY run)) END AS boundary_error, 0.5e0 * sum(abs(shown_share - gold_share)) OVER (PARTITION BY case_id, word_index) AS total_variation FROM rc_)"""
+
+
+def _run_shares(spark: SparkSession, sf: str) -> DataFrame:
+    events, shown = _shown(spark, sf)
+    of = F.col("event_id") + F.col("k")
+    planned = events.where("renderable").where(F.col("strength") > env.LEAST_WEIGHT).select("case_id", "word_index", "idx", "k", "pose")
+    labels = events.where(of % 7 != 3).select("case_id", "word_index", "k", F.when(of % 9 == 4, "p9").otherwise(F.col("pose")).alias("pose"), (F.col("end") - F.col("start")).alias("length"))
+    first, last = F.greatest(F.ceil(F.col("attack") / STEP), F.col("from_step")), F.least(F.floor(F.col("release") / STEP), F.col("to_step"))
+    steps = shown.where(F.col("strength") > env.LEAST_WEIGHT).where(first <= last).withColumn("step", F.explode(F.sequence(first, last)))
+    return runs.shares(planned, labels, steps.select("case_id", "idx", "step", _strongest(F.col("step") * STEP).alias("weight")), ["case_id"])
+
+
+@query(f"{_RUNS_SQL} SELECT case_id, word_index, run, pose, gold AS gold_us, shown AS shown_steps, gradeable, round(gold_share, 6) AS gold_share, round(shown_share, 6) AS shown_share, round(error, 6) AS error, round(boundary_error, 6) AS boundary_error, round(total_variation, 6) AS total_variation FROM rd_")
+def run_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """What share of its word each run of a pose has, by the labels and as shown, and the error at each boundary so far."""
+    f = lambda c: F.round(c, 6).alias(c)
+    return _run_shares(spark, sf).select("case_id", "word_index", "run", "pose", F.col("gold").alias("gold_us"), F.col("shown").alias("shown_steps"), "gradeable", *map(f, ("gold_share", "shown_share", "error", "boundary_error", "total_variation")))
+
+
+_THREE = ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {n}_mean, round(coalesce(quantile_cont({c}, 0.5), 0), 6) AS {n}_median, round(coalesce(quantile_cont({c}, 0.9), 0), 6) AS {n}_p90" for n, c in (("share_error", "error"), ("boundary_error", "boundary_error"), ("variation", "CASE WHEN run = 0 THEN total_variation END")))
+
+
+@query(f"""{_RUNS_SQL}, g AS (SELECT case_id, count(*) FILTER (run = 0) AS words, count(*) FILTER (run = 0 AND gradeable) AS gradeable_words, count(*) FILTER (run = 0 AND NOT gradeable) AS ungradeable_words, count(*) FILTER (run = 0 AND gradeable AND shown_all = 0) AS dark_words, count(*) FILTER (gradeable) AS runs, count(*) FILTER (error <= 0.100000001e0) AS near_runs,
+      count(*) FILTER (run = 0 AND total_variation > 0.250000001e0) AS severe_words, {_THREE} FROM rd_ GROUP BY 1)
+    SELECT *, round(gradeable_words / words::DOUBLE, 6) AS word_coverage, round(CASE WHEN runs > 0 THEN near_runs / runs::DOUBLE ELSE 1e0 END, 6) AS near_rate FROM g""")
+def proportion_grade(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each case: words of several runs, how near the runs are to their shares, boundaries and total variation."""
+    g = runs.grade(_run_shares(spark, sf), ["case_id"])
+    return g.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in g.dtypes))
