@@ -6,10 +6,11 @@ with itself. A text's plan is as long as the text and is sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from metrum.functions import hashing
 from metrum.operators import phones
 
 # The event of a word without phones, poses that are strongly visible, bounds of an event's place in its word, and
@@ -58,3 +59,62 @@ def plan(words: DataFrame, case: list[str]) -> DataFrame:
         *case, "word_index", "word", "region", "sentence", "units", "unit_start", "total_units", (F.col("_first") + F.col("word_phone")).alias("phone_index"), F.col("word_phone").cast("long").alias("word_phone"), "phone",
         phones.stress(F.col("phone")).alias("stress"), base.isin(*phones.VOWELS).alias("vowel"), "pose", "strength", F.coalesce(F.col("pose").isin(*STRONG), F.lit(False)).alias("strong"), role.alias("role"), "event_index", "start_norm", "end_norm", "place",
     )
+
+
+# Buckets of phones and poses, numbers of other features and of kinds of marks in their order; how a silence is
+# named and how long it is expected to last, at the end of a sentence too; roles in their order.
+PHONE_BUCKETS, POSE_BUCKETS, OTHER_FEATURES = 64, 32, 20
+MARKS = ("comma", "period", "question", "exclamation", "colon", "semicolon", "dash", "other")
+SILENCE, SILENT_POSE, SILENT_SECONDS, SENTENCE_SECONDS = "SIL", "__SILENCE__", 0.040, 0.120
+ROLES = ("timing", "coarticulated", "supporting", "primary")
+
+
+def tensor(events: DataFrame, case: list[str]) -> DataFrame:
+    """The tokens of a text and their features: its events in the order of `place`, a silence before the first one, between
+    words, and after the last one.
+
+    events: rows of plan() that have a place, with prior (seconds; null: 0.075), pause (hard_break, soft_list, none) and mark
+    (a class of MARKS, or none) after the event's word; null is none. Returns case, token (from 0), silent, place, word_index,
+    phone_index (null for silences), sentence_end, pause, hard_pause, mark, and the features that are not 0, as `at` (numbers,
+    ascending) and `value`: one of 64 by the phone's hash, one of 32 by the pose's, then prior, vowel, role / 3, centre,
+    strength, first, last, silent, starts a word, ends a word, pause, any mark, and one of eight by its class. Events of the
+    same word that have another word's between them start and end it more than once.
+
+    Neighbours come from one window, silences from one explode next to their event, so nothing is joined."""
+    w = Window.partitionBy(*case).orderBy("place")
+    centre = F.col("start_norm") + 0.5 * (F.col("end_norm") - F.col("start_norm"))
+    role = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1, F.lit(0))
+    pause, mark = F.coalesce("pause", F.lit("none")), F.coalesce("mark", F.lit("none"))
+    told = events.select(*case, "place", "word_index", "phone_index", "sentence", phones.base(F.col("phone")).alias("phone"), "pose", F.coalesce("prior", F.lit(0.075)).alias("prior"), "vowel", (role / 3.0).alias("role"), centre.alias("centre"), F.col("strength").cast("double").alias("strength"), pause.alias("pause"), mark.alias("mark"))
+    told = told.withColumn("_before", F.lag("word_index").over(w)).withColumn("_after", F.lead(F.struct("word_index", "centre", "sentence")).over(w))
+    leads, trails = F.col("_before").isNull(), F.col("_after").isNull()
+    ends = trails | (F.col("_after.word_index") != F.col("word_index"))
+    closes = ~trails & (F.col("_after.sentence") != F.col("sentence"))
+    no, zero, none = F.lit(False), F.lit(0.0), F.lit(None).cast("long")
+
+    def row(part: int, silent: bool, place: Column, word: Column, phone_at: Column, phone: Column, pose: Column, prior: Column, vowel: Column, role: Column, centre: Column, strength: Column, starts: Column, ends: Column, closes: Column, pause: Column, hard: Column, mark: Column) -> Column:
+        named = dict(part=F.lit(part), silent=F.lit(silent), place=place, word_index=word, phone_index=phone_at, phone=phone, pose=pose, prior=prior, vowel=vowel, role=role, centre=centre, strength=strength, starts=starts, ends=ends, sentence_end=closes, pause=pause, hard_pause=hard, mark=mark)
+        return F.struct(*(c.alias(n) for n, c in named.items()))
+
+    def silence(part: int, centre: Column, closes: Column, pause: Column, hard: Column, mark: Column) -> Column:
+        return row(part, True, none, none, none, F.lit(SILENCE), F.lit(SILENT_POSE), F.when(closes, SENTENCE_SECONDS).otherwise(SILENT_SECONDS), no, zero, centre, zero, no, no, closes, pause, hard, mark)
+
+    long_ = lambda c: F.col(c).cast("long")
+    own = row(1, False, long_("place"), long_("word_index"), long_("phone_index"), F.col("phone"), F.col("pose"), F.col("prior"), F.col("vowel"), F.col("role"), F.col("centre"), F.col("strength"), leads | (F.col("_before") != F.col("word_index")), ends, no, no, no, F.lit("none"))
+    between = silence(2, 0.5 * (F.col("centre") + F.col("_after.centre")), closes, F.col("pause") != "none", F.col("pause") == "hard_break", F.col("mark"))
+    # The last silence tells the mark, but is no pause.
+    after = F.when(trails, silence(2, F.lit(1.0), no, no, no, F.col("mark"))).when(ends, between)
+    rows = F.filter(F.array(F.when(leads, silence(0, zero, no, no, no, F.lit("none"))), own, after), lambda x: x.isNotNull())
+    each = told.select(*case, F.col("place").alias("_at"), F.explode(rows).alias("_r")).select(*case, "_at", "_r.*")
+    in_order = Window.partitionBy(*case).orderBy("_at", "part")
+    each = each.withColumn("token", (F.row_number().over(in_order) - 1).cast("long")).withColumn("_last", F.lead("part").over(in_order).isNull())
+    as_number = lambda c: c.cast("double")
+    kind = F.array_position(F.array(*map(F.lit, MARKS)), F.col("mark"))
+    other = [F.col("prior"), as_number(F.col("vowel")), F.col("role"), F.col("centre"), F.col("strength"), as_number(F.col("token") == 0), *(as_number(F.col(c)) for c in ("_last", "silent", "starts", "ends", "pause")), as_number(kind > 0)]
+    other += [as_number(kind == i + 1) for i in range(len(MARKS))]
+    bucket = lambda c, n: (hashing.fnv1a32(F.col(c)) % n).cast("int")
+    one = lambda at, value: F.struct(at.cast("int").alias("at"), value.alias("value"))
+    base = PHONE_BUCKETS + POSE_BUCKETS
+    features = [one(bucket("phone", PHONE_BUCKETS), F.lit(1.0)), one(bucket("pose", POSE_BUCKETS) + PHONE_BUCKETS, F.lit(1.0)), *(one(F.lit(base + i), c) for i, c in enumerate(other))]
+    sparse = each.withColumn("_f", F.filter(F.array(*features), lambda x: x["value"] != 0))
+    return sparse.select(*case, "token", "silent", "place", "word_index", "phone_index", "sentence_end", "pause", "hard_pause", "mark", F.col("_f.at").alias("at"), F.col("_f.value").alias("value"))

@@ -324,3 +324,34 @@ def text_plan(spark: SparkSession, sf: str) -> DataFrame:
     w = t.select("conv_id", "turn", F.col("word_index").cast("long").alias("word_index"), F.regexp_replace(tok, "[.!?,;:]$", "").alias("word"), tok.rlike("[.!?;:]$").alias("breaks"), tok.rlike("[.!?]$").alias("ends"), spelled.alias("phones"))
     p = textplan.plan(w, ["conv_id", "turn"])
     return p.withColumn("start_norm", stats.half_up(F.col("start_norm"), 6)).withColumn("end_norm", stats.half_up(F.col("end_norm"), 6))
+
+
+# The class of a mark that ends a token, and the pause after it.
+_MARKS = {",": "comma", ".": "period", "!": "exclamation", "?": "question", ":": "colon", ";": "semicolon"}
+_FNV_SQL = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, len({0}) + 1), lambda i: CAST(ord(substr({0}, i, 1)) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
+_OTHER_SQL = ["prior", "vowel::INT", "role", "centre", "strength", "(token = 0)::INT", "(lead(part) OVER w IS NULL)::INT", "silent::INT", "starts::INT", "ends_::INT", "pause::INT", "(mark <> 'none')::INT", *(f"(mark = '{m}')::INT" for m in textplan.MARKS)]
+
+
+@query(f"""WITH tp AS ({ORACLES["text_plan"]}), t AS (SELECT conv_id, turn, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS word_index FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9'']+[.!?,;:]?') AS toks FROM conversations)),
+    m0 AS (SELECT conv_id, turn, word_index, regexp_replace(tok, '[.!?,;:]$', '') AS word, regexp_extract(tok, '[.!?,;:]$') AS c FROM t), m1 AS (SELECT *, c IN ('.', '!', '?', ':', ';') AS hard, lead(word) OVER (PARTITION BY conv_id, turn ORDER BY word_index) AS nw FROM m0),
+    m2 AS (SELECT *, coalesce(sum(hard::INT) OVER (PARTITION BY conv_id, turn ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM m1),
+    m3 AS (SELECT *, count(*) FILTER (c = ',') OVER (PARTITION BY conv_id, turn, s) >= 2 OR coalesce(bool_or(word IN ('and', 'or')) OVER (PARTITION BY conv_id, turn, s ORDER BY word_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS listed FROM m2),
+    mk AS (SELECT conv_id, turn, word_index, CASE WHEN hard OR c = ',' AND NOT (listed AND NOT coalesce(nw IN ({STARTERS_SQL}), false)) THEN 'hard_break' WHEN c = ',' THEN 'soft_list' ELSE 'none' END AS pause, CASE c {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MARKS.items())} ELSE 'none' END AS mark FROM m3),
+    ev AS (SELECT tp.*, regexp_replace(phone, '[0-9]', '') AS base, start_norm + 0.5e0 * (end_norm - start_norm) AS centre, CASE WHEN vowel THEN 0.12e0 ELSE 0.075e0 END AS prior, CASE role WHEN 'coarticulated' THEN 1 WHEN 'supporting' THEN 2 WHEN 'primary' THEN 3 ELSE 0 END / 3e0 AS rl, mk.pause, mk.mark FROM tp JOIN mk USING (conv_id, turn, word_index) WHERE place IS NOT NULL),
+    e2 AS (SELECT *, lag(word_index) OVER w AS pw, lead(word_index) OVER w AS nw, lead(centre) OVER w AS nc, lead(sentence) OVER w AS ns FROM ev WINDOW w AS (PARTITION BY conv_id, turn ORDER BY place)),
+    rw AS (SELECT conv_id, turn, place AS p, 1 AS part, false AS silent, place, word_index, phone_index, base AS phone, pose, prior, vowel, rl AS role, centre, strength, coalesce(pw <> word_index, true) AS starts, coalesce(nw <> word_index, true) AS ends_, false AS sentence_end, false AS pause, false AS hard_pause, 'none' AS mark FROM e2
+      UNION ALL SELECT conv_id, turn, place, 0, true, NULL, NULL, NULL, 'SIL', '__SILENCE__', 0.04e0, false, 0e0, 0e0, 0e0, false, false, false, false, false, 'none' FROM e2 WHERE pw IS NULL
+      UNION ALL SELECT conv_id, turn, place, 2, true, NULL, NULL, NULL, 'SIL', '__SILENCE__', CASE WHEN ns <> sentence THEN 0.12e0 ELSE 0.04e0 END, false, 0e0, coalesce(0.5e0 * (centre + nc), 1e0), 0e0, false, false, coalesce(ns <> sentence, false), nw IS NOT NULL AND pause <> 'none', nw IS NOT NULL AND pause = 'hard_break', mark FROM e2 WHERE coalesce(nw <> word_index, true)),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p, part) - 1 AS token FROM rw),
+    ft AS (SELECT *, {_FNV_SQL.format("phone")} % 64 AS b0, 64 + {_FNV_SQL.format("pose")} % 32 AS b1, [{", ".join(f"CAST({c} AS DOUBLE)" for c in _OTHER_SQL)}] AS other FROM tk WINDOW w AS (PARTITION BY conv_id, turn ORDER BY p, part))
+    SELECT conv_id, turn, token, silent, place, word_index, phone_index, sentence_end, pause, hard_pause, mark, b0 || ':1000000 ' || b1 || ':1000000 ' || array_to_string(list_transform(list_filter(range(20), lambda i: other[i + 1] <> 0), lambda i: (96 + i) || ':' || CAST(floor(other[i + 1] * 1e6 + 0.5e0) AS BIGINT)), ' ') AS features FROM ft""")
+def transcript_tensor(spark: SparkSession, sf: str) -> DataFrame:
+    """The tokens of each turn, silences between words among them, with their features (number:millionths; those of 0 left out)."""
+    keys = ["conv_id", "turn"]
+    t = table(spark, sf, "conversations").select(*keys, F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+[.!?,;:]?"), F.lit(0))).alias("i", "tok"))
+    marked = t.select(*keys, "i", F.regexp_replace("tok", "[.!?,;:]$", "").alias("word"), F.regexp_extract("tok", "[.!?,;:]$", 0).alias("mark"))
+    m = pauses.classify(marked, keys).select(*keys, F.col("i").cast("long").alias("word_index"), "pause", text.mark_class(F.col("mark")).alias("mark"))
+    events = text_plan(spark, sf).where("place IS NOT NULL").withColumn("prior", F.when(F.col("vowel"), 0.12).otherwise(0.075)).join(m, [*keys, "word_index"])
+    found = textplan.tensor(events, keys)
+    features = F.array_join(F.zip_with("at", "value", lambda a, v: F.concat(a.cast("string"), F.lit(":"), F.floor(v * 1e6 + 0.5).cast("string"))), " ")
+    return found.withColumn("features", features).drop("at", "value")
