@@ -13,7 +13,7 @@ from metrum.operators import alignment, frames, framing, signal
 from metrum.plans import adapters
 from metrum.plans.adapters import EVENTS_SQL, GOLD_SQL, HOUR
 from metrum.session import table
-from metrum.streaming import commit
+from metrum.streaming import commit, diagnostics
 from metrum.streaming import regions as streaming
 
 QUERIES, ORACLES = {}, {}
@@ -174,3 +174,11 @@ def forward_likelihood(spark: SparkSession, sf: str) -> DataFrame:
     """The log likelihood of each case's frames over all paths from the first state to the last."""
     f = adapters.events(spark, sf).select("case_id", F.col("event_id").alias("frame"), "value")
     return alignment.forward_cases(f, STATES).withColumn("log_likelihood", F.round("log_likelihood", 6))
+
+
+@query(f"""WITH {EVENTS_SQL}, {GOLD_SQL}, g AS (SELECT case_id, count(*) AS regions, min(s) AS shown_from, sum(n)::BIGINT AS inside FROM gold GROUP BY 1), e AS (SELECT case_id, count(*) AS rows, min(t) AS first, max(t) AS last FROM ev GROUP BY 1)
+    SELECT e.case_id, rows, first, last, coalesce(regions, 0) AS regions, shown_from, rows - coalesce(inside, 0) AS open_rows FROM e LEFT JOIN g ON g.case_id IS NOT DISTINCT FROM e.case_id""")
+def stream_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """What two streams over the events, one counting rows by micro-batch, one telling regions, have seen of each case."""
+    path = f"{sf}/events.parquet"
+    return diagnostics.tail(diagnostics.received(spark, path), diagnostics.told_regions(spark, path, 8 * HOUR, HOUR)).drop("updates")

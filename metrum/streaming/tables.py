@@ -46,13 +46,25 @@ def case_of(key: str) -> int | None:
     return int(key) if key else None
 
 
-def run_to_end(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str | None = None, lateness: str = ANY_ORDER, end: bool = True) -> DataFrame:
+def by_batch(path: str, each: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes what is kept of a batch to a folder with its number, in place of what is there."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        each(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def run_to_end(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str | None = None, lateness: str = ANY_ORDER, end: bool = True, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """What the operator emits for the stream `rows` (with `at`, a timestamp), read back from the sink's folder.
 
     The operator gets rows with `ended` (false) and a watermark `lateness` behind the latest `at`. When all that is there has
     been read, the query is started again from its checkpoint, now with a second source of one row that is `ended` and
     later than all, so the watermark passes every timer. end: false leaves that out, and a later call with the same folder
-    goes on where this one stopped. The folder (a new one by default) holds checkpoint, output and the mark of the end."""
+    goes on where this one stopped. The folder (a new one by default) holds checkpoint, output and the mark of the end.
+
+    each: what to keep of every micro-batch; its rows get `batch`, the batch's number. They replace what an earlier try of the
+    same batch has written, so a batch that runs again leaves the table as it was."""
     if folder is None:
         folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
         forget_at_end(spark, folder)
@@ -63,7 +75,8 @@ def run_to_end(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFra
     both = rows.withColumn("ended", F.lit(False)).unionByName(marks).withWatermark("at", lateness)
 
     def run() -> None:
-        out = operator(both).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+        out = operator(both).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/log")
+        out = out.foreachBatch(by_batch(f"{folder}/out", each)) if each else out.format("parquet").option("path", f"{folder}/out")
         out.trigger(availableNow=True).start().awaitTermination()
 
     run()
@@ -71,4 +84,7 @@ def run_to_end(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFra
         marked = spark.range(1).select(*(F.lit(END).cast("timestamp").alias(f.name) if f.name == "at" else F.lit("").alias(f.name) if f.name == "key" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
         marked.write.mode("append").parquet(f"{folder}/end")
         run()
-    return spark.read.schema(operator(both).schema).parquet(f"{folder}/out")
+    kept = operator(both).schema
+    if each:
+        kept = each(spark.createDataFrame([], kept)).schema.add("batch", "long")
+    return spark.read.schema(kept).parquet(f"{folder}/out")
