@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metrum.functions import hashing, stats, text
-from metrum.operators import lexicon, pauses, phones, textplan
+from metrum.operators import lexicon, pauses, phones, pronunciations, textplan
 from metrum.session import table, written
 
 QUERIES, ORACLES = {}, {}
@@ -355,3 +355,67 @@ def transcript_tensor(spark: SparkSession, sf: str) -> DataFrame:
     found = textplan.tensor(events, keys)
     features = F.array_join(F.zip_with("at", "value", lambda a, v: F.concat(a.cast("string"), F.lit(":"), F.floor(v * 1e6 + 0.5).cast("string"))), " ")
     return found.withColumn("features", features).drop("at", "value")
+
+
+# Entries are the words that 20 documents or more have, said by their letters; every third length has a second way, backwards.
+# Words of five letters have a reviewed one; short words without digits have a fallback.
+_LETTERS_SQL = "array_to_string(list_filter(string_split(upper({0}), ''), lambda c: c BETWEEN 'A' AND 'Z'), ' ')"
+
+
+def _said_sql(rules: tuple[str, ...]) -> str:
+    """The first rule that answers, as a chain of cases over left joins."""
+    join, when, cut, said = [], [], [], []
+    for k, r in enumerate(rules):
+        if r == "compound":
+            join.append("LEFT JOIN cp ON cp.word = u.word")
+            found, text_ = "cp.cut IS NOT NULL", "[cp.one || ' ' || cp.two]"
+        elif r == "parts":
+            join.append("LEFT JOIN pa ON pa.word = u.word")
+            found, text_ = "pa.said IS NOT NULL", "[pa.said]"
+        else:
+            ending, more, tail = pronunciations.ENDINGS.get(r, ("", 0, ""))
+            e = ending.replace("'", "''")
+            on = f"d{k}.entry = u.word" if r == "exact" else f"d{k}.entry = substr(u.word, 1, len(u.word) - {len(ending)}) AND u.word LIKE '%{e}' AND len(u.word) > {more}"
+            join.append(f"LEFT JOIN d d{k} ON {on}")
+            found, text_ = f"d{k}.entry IS NOT NULL", f"d{k}.said" if r == "exact" else f"[d{k}.said[1] || ' {tail}']"
+        when.append(f"WHEN {found} THEN '{r}'")
+        cut.append(f"WHEN {found} THEN {'cp.cut' if r == 'compound' else 0}")
+        said.append(f"WHEN {found} THEN {text_}")
+    back = "len(u.word) <= 5 AND NOT regexp_matches(u.word, '[0-9]') AND regexp_matches(u.word, '[a-z]')"
+    return f"""WITH {WORDS}, d AS (SELECT word AS entry, CASE WHEN len(word) % 3 = 0 THEN [a, b] ELSE [a] END AS said FROM (SELECT word, {_LETTERS_SQL.format("word")} AS a, 'R ' || {_LETTERS_SQL.format("reverse(word)")} AS b FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20 AND len(word) >= 2 AND regexp_matches(word, '^[a-z]+$'))),
+    u AS (SELECT DISTINCT word FROM w), hv AS (SELECT word, unnest(generate_series(3, len(word) - 3)) AS cut FROM u WHERE len(word) >= 6), cp AS (SELECT hv.word, min(hv.cut) AS cut, min_by(a.said[1], hv.cut) AS one, min_by(b.said[1], hv.cut) AS two FROM hv JOIN d a ON a.entry = substr(hv.word, 1, hv.cut) JOIN d b ON b.entry = substr(hv.word, hv.cut + 1) GROUP BY 1),
+    p0 AS (SELECT word, ps, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT word, list_filter(string_split_regex(word, '[-'']'), lambda x: x <> '') AS ps FROM u) WHERE len(ps) > 1), pa AS (SELECT p0.word, CASE WHEN count(d.entry) = count(*) THEN string_agg(d.said[1], ' ' ORDER BY i) END AS said FROM p0 LEFT JOIN d ON d.entry = part GROUP BY 1),
+    sd AS (SELECT u.word, CASE {" ".join(when)} WHEN {back} THEN 'fallback' ELSE 'unresolved' END AS source, CAST(CASE {" ".join(cut)} ELSE 0 END AS INTEGER) AS cut, CASE {" ".join(said)} WHEN {back} THEN ['F ' || {_LETTERS_SQL.format("u.word")}] ELSE CAST([] AS VARCHAR[]) END || CASE WHEN len(u.word) = 5 THEN ['AH0 ' || upper(substr(u.word, 1, 1))] ELSE CAST([] AS VARCHAR[]) END AS said FROM u {" ".join(join)})"""
+
+
+def _letters(word: Column) -> Column:
+    return F.array_join(F.filter(F.split(F.upper(word), ""), lambda c: c.between("A", "Z")), " ")
+
+
+def _pronounced(spark: SparkSession, sf: str, rules: tuple[str, ...]) -> DataFrame:
+    each = words(spark, sf).select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("docs"))
+    each = written(each, "words")
+    w = F.col("word")
+    plain, back = _letters(w), F.concat(F.lit("R "), _letters(F.reverse(w)))
+    dictionary = each.where((F.col("docs") >= 20) & (F.length("word") >= 2) & w.rlike("^[a-z]+$")).select(w.alias("entry"), F.when(F.length(w) % 3 == 0, F.array(plain, back)).otherwise(F.array(plain)).alias("said"))
+    fallback = F.when((F.length(w) <= 5) & ~w.rlike("[0-9]") & w.rlike("[a-z]"), F.concat(F.lit("F "), plain))
+    reviewed = each.where(F.length("word") == 5).select("word", F.array(F.concat(F.lit("AH0 "), F.upper(F.substring("word", 1, 1)))).alias("said"))
+    return pronunciations.pronounce(each, dictionary, rules, fallback, reviewed)
+
+
+@query(f"{_said_sql(pronunciations.PLANNER)} SELECT word, source, cut, array_to_string(said, '|') AS said FROM sd")
+def planned_pronunciations(spark: SparkSession, sf: str) -> DataFrame:
+    """How the planner says each word: endings add their sound, halves of compounds are joined."""
+    return _pronounced(spark, sf, pronunciations.PLANNER).withColumn("said", F.array_join("said", "|"))
+
+
+@query(f"{_said_sql(pronunciations.BUILDER)} SELECT word, source, cut, array_to_string(said, '|') AS said FROM sd")
+def dictionary_pronunciations(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the rules that build a dictionary, with reviewed pronunciations behind."""
+    return _pronounced(spark, sf, pronunciations.BUILDER).withColumn("said", F.array_join("said", "|"))
+
+
+@query(f"{_said_sql(pronunciations.BUILDER)} SELECT source, count(*) AS words, sum(len(said))::BIGINT AS said, min(word) AS first_word FROM sd GROUP BY 1")
+def dictionary_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and pronunciations by source."""
+    return pronunciations.report(_pronounced(spark, sf, pronunciations.BUILDER))
