@@ -388,7 +388,7 @@ def _said_sql(rules: tuple[str, ...]) -> str:
     sd AS (SELECT u.word, CASE {" ".join(when)} WHEN {back} THEN 'fallback' ELSE 'unresolved' END AS source, CAST(CASE {" ".join(cut)} ELSE 0 END AS INTEGER) AS cut, CASE {" ".join(said)} WHEN {back} THEN ['F ' || {_LETTERS_SQL.format("u.word")}] ELSE CAST([] AS VARCHAR[]) END || CASE WHEN len(u.word) = 5 THEN ['AH0 ' || upper(substr(u.word, 1, 1))] ELSE CAST([] AS VARCHAR[]) END AS said FROM u {" ".join(join)})"""
 
 
-def _letters(word: Column) -> Column:
+def _spelt(word: Column) -> Column:
     return F.array_join(F.filter(F.split(F.upper(word), ""), lambda c: c.between("A", "Z")), " ")
 
 
@@ -396,7 +396,7 @@ def _pronounced(spark: SparkSession, sf: str, rules: tuple[str, ...]) -> DataFra
     each = words(spark, sf).select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("docs"))
     each = written(each, "words")
     w = F.col("word")
-    plain, back = _letters(w), F.concat(F.lit("R "), _letters(F.reverse(w)))
+    plain, back = _spelt(w), F.concat(F.lit("R "), _spelt(F.reverse(w)))
     dictionary = each.where((F.col("docs") >= 20) & (F.length("word") >= 2) & w.rlike("^[a-z]+$")).select(w.alias("entry"), F.when(F.length(w) % 3 == 0, F.array(plain, back)).otherwise(F.array(plain)).alias("said"))
     fallback = F.when((F.length(w) <= 5) & ~w.rlike("[0-9]") & w.rlike("[a-z]"), F.concat(F.lit("F "), plain))
     reviewed = each.where(F.length("word") == 5).select("word", F.array(F.concat(F.lit("AH0 "), F.upper(F.substring("word", 1, 1)))).alias("said"))
