@@ -6,11 +6,12 @@ group is as long as one case. Token lists that share a row are aligned row by ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +124,17 @@ def _align(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> list[t
     return out
 
 
-def viterbi(scores: np.ndarray, stay: np.ndarray) -> list[int]:
+def _advance(stay: np.ndarray, go: np.ndarray | None) -> np.ndarray:
+    return np.log1p(-np.exp(stay)) if go is None else np.asarray(go, float)
+
+
+def viterbi(scores: np.ndarray, stay: np.ndarray, go: np.ndarray | None = None) -> list[int]:
     """The best path of states, frame by frame, that begins in state 0 and stays or advances by one; stay: log prior of
-    staying in a state, 1 minus it for advancing. Staying wins a tie. The path ends in the best state reached."""
+    staying in a state, 1 minus it for advancing. Staying wins a tie. The path ends in the best state reached. go: the log
+    prior of advancing where it is known; the one made of stay may be off by its last bit, which decides between paths that
+    are equally good."""
     frames, states = scores.shape
-    go = np.log1p(-np.exp(stay))
+    go = _advance(stay, go)
     best = np.full(states, -np.inf)
     best[0] = scores[0, 0]
     back = np.zeros((frames, states), np.int8)
@@ -157,8 +164,8 @@ class FixedLag:
     since, waits up to HOLD_FRAMES more; with a quiet one by then the frame is the pause's, else the first decision stands
     and this pause is settled. `kept` is all that the future depends on, as plain lists, so a stream can store it."""
 
-    def __init__(self, stay: np.ndarray, lag: int, pause: np.ndarray | None = None, kept: dict | None = None):
-        self.stay, self.go, self.lag = stay, np.log1p(-np.exp(stay)), lag
+    def __init__(self, stay: np.ndarray, lag: int, pause: np.ndarray | None = None, kept: dict | None = None, go: np.ndarray | None = None):
+        self.stay, self.go, self.lag = stay, _advance(stay, go), lag
         self.pause = np.zeros(len(stay), bool) if pause is None else pause
         kept = kept or {"best": [], "back": [], "quiet": [], "last": -1, "held": -1, "settled": -1}
         self.best, self.back, self.quiet = np.array(kept["best"], float), [np.array(b, np.int8) for b in kept["back"]], list(kept["quiet"])
@@ -229,9 +236,9 @@ class FixedLag:
         return out, list(range(self.last + 1, states)) if complete else []
 
 
-def fixed_lag(scores: np.ndarray, stay: np.ndarray, lag: int, pause: np.ndarray | None = None, quiet: np.ndarray | None = None, complete: bool = False) -> list[int]:
+def fixed_lag(scores: np.ndarray, stay: np.ndarray, lag: int, pause: np.ndarray | None = None, quiet: np.ndarray | None = None, complete: bool = False, go: np.ndarray | None = None) -> list[int]:
     """All frames through FixedLag; with complete, the states without a frame follow those of the frames."""
-    machine = FixedLag(stay, lag, pause)
+    machine = FixedLag(stay, lag, pause, go=go)
     done = [s for t, row in enumerate(scores) for s in machine.push(row, quiet is not None and bool(quiet[t]))]
     rest, tail = machine.finish(complete)
     return done + rest + tail
@@ -297,8 +304,8 @@ def decode_cases(frames: DataFrame, states: int, lag: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         scores = _level_scores(pdf["value"].to_numpy(float), states)
-        stay = np.full(states, np.log(0.8))
-        return pd.DataFrame({"case_id": pdf["case_id"], "frame": pdf["frame"], "offline": viterbi(scores, stay), "committed": fixed_lag(scores, stay, lag)})
+        stay, go = np.full(states, np.log(0.8)), np.full(states, np.log(0.2))
+        return pd.DataFrame({"case_id": pdf["case_id"], "frame": pdf["frame"], "offline": viterbi(scores, stay, go), "committed": fixed_lag(scores, stay, lag, go=go)})
 
     return frames.groupBy("case_id").applyInPandas(run, "case_id long, frame long, offline int, committed int")
 
@@ -405,8 +412,21 @@ def _level_scores(v: np.ndarray, states: int) -> np.ndarray:
     return level_scores(v, v.min(), v.max(), states)
 
 
-def level_scores(v: np.ndarray, low: float, high: float, states: int) -> np.ndarray:
-    """Log-softmax of how near each of evenly spaced levels is to the values."""
-    scores = -np.abs(v[:, None] - np.linspace(low, high, states)[None, :]) / (high - low + 1e-9)
-    top = scores.max(axis=1, keepdims=True)
-    return scores - top - np.log(np.maximum(np.exp(scores - top).sum(axis=1, keepdims=True), 1e-12))
+def level_scores(v: np.ndarray, low: float | np.ndarray, high: float | np.ndarray, states: int) -> np.ndarray:
+    """Log-softmax of how near each of evenly spaced levels is to the values; low and high may be one for each value.
+
+    Levels are that far apart that paths with the same number of frames above and below are equally good, so the last bit
+    decides: every step is rounded in the order of the SQL, with the C library's exp and ln, which numpy replaces on some
+    processors."""
+    low, high = (np.broadcast_to(np.asarray(x, float), v.shape)[:, None] for x in (low, high))
+    scores = -np.abs(v[:, None] - (low + (high - low) * np.arange(states) / max(states - 1, 1))) / (high - low + 1e-9)
+    shifted = scores - scores.max(axis=1, keepdims=True)
+    total = np.zeros(len(v))
+    for e in _plain(pc.exp, shifted.T):
+        total = total + e
+    return shifted - _plain(pc.ln, np.maximum(total, 1e-12))[:, None]
+
+
+def _plain(f: Callable, x: np.ndarray) -> np.ndarray:
+    """An Arrow function of an array of any shape."""
+    return f(pa.array(x.ravel())).to_numpy(zero_copy_only=False).reshape(x.shape)

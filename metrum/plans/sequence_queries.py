@@ -84,7 +84,7 @@ def fixed_lag_viterbi(spark: SparkSession, sf: str) -> DataFrame:
     SELECT f.case_id, f.frame, CAST(com.committed AS INTEGER) AS committed, CASE WHEN f.i > f.n - {LAG} THEN 'end_of_stream' ELSE 'fixed_lag' END AS reason FROM f JOIN com ON com.case_id = f.case_id AND com.i = f.i""")
 def stream_commit(spark: SparkSession, sf: str) -> DataFrame:
     """The same decisions from a stream: frame by frame, never revised, with the last ones at the end of the stream."""
-    return commit.commits_of_events(spark, f"{sf}/events.parquet", [math.log(0.8)] * STATES, LAG)
+    return commit.commits_of_events(spark, f"{sf}/events.parquet", [math.log(0.8)] * STATES, LAG, go=[math.log(0.2)] * STATES)
 
 
 BANDS = [1.0, 2.0, 4.0, 8.0, 16.0, 24.0]
