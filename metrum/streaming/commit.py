@@ -28,8 +28,8 @@ class Commits(StatefulProcessor):
     """waiting: frames ahead of the watermark; undecided: numbers of the decoded frames without a decision; decoder: its state,
     the time its timer is set to (0: none), and whether the end has come."""
 
-    def __init__(self, stay: list[float], lag: int, pause: list[bool], complete: bool):
-        self.stay, self.lag, self.pause, self.complete = stay, lag, pause, complete
+    def __init__(self, stay: list[float], lag: int, pause: list[bool], complete: bool, go: list[float] | None = None):
+        self.stay, self.lag, self.pause, self.complete, self.go = stay, lag, pause, complete, go
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -39,14 +39,15 @@ class Commits(StatefulProcessor):
 
     def _go_on(self, case: int | None, frames: list[tuple], watermark: int, fired: bool) -> pd.DataFrame:
         kept, timer = self.decoder.get() if self.decoder.exists() else (None, 0)
-        machine = FixedLag(np.array(self.stay), self.lag, np.array(self.pause), json.loads(kept) if kept else None)
+        machine = FixedLag(np.array(self.stay), self.lag, np.array(self.pause), json.loads(kept) if kept else None, self.go)
         numbers = [int(r[0]) for r in self.undecided.get()] if self.undecided.exists() else []
         frames.sort(key=lambda f: f[0])
         rows = []
         now = [f for f in frames if f[0] * MICROS + SHIFT <= watermark * 1000]
-        for frame, value, low, high, quiet in now:
+        value, low, high = (np.array([f[k] for f in now], float) for k in (1, 2, 3))
+        for (frame, *_, quiet), scores in zip(now, level_scores(value, low, high, len(self.stay)), strict=True):
             numbers.append(frame)
-            done = machine.push(level_scores(np.array([value]), low, high, len(self.stay))[0], quiet)
+            done = machine.push(scores, quiet)
             rows += [(case, n, s, "fixed_lag") for n, s in zip(numbers, done, strict=False)]
             numbers = numbers[len(done) :]
         left = frames[len(now) :]
@@ -91,10 +92,10 @@ class Commits(StatefulProcessor):
 _LAST = pd.Timestamp("2150-01-01").value // 1000
 
 
-def commit(frames: DataFrame, stay: list[float], lag: int, pause: list[bool] | None = None, complete: bool = False) -> DataFrame:
+def commit(frames: DataFrame, stay: list[float], lag: int, pause: list[bool] | None = None, complete: bool = False, go: list[float] | None = None) -> DataFrame:
     """case_id, frame, committed, reason from a stream of frames (key, see case_key, frame, value, low, high: the range that the case's
     levels are spaced over, quiet, ended) with a watermark on their time (see frame_time)."""
-    return frames.groupBy("key").transformWithStateInPandas(Commits(stay, lag, pause or [False] * len(stay), complete), OUT, "Append", "EventTime")
+    return frames.groupBy("key").transformWithStateInPandas(Commits(stay, lag, pause or [False] * len(stay), complete, go), OUT, "Append", "EventTime")
 
 
 def frame_time(frame: Column) -> Column:
@@ -102,7 +103,7 @@ def frame_time(frame: Column) -> Column:
     return event_time(frame * MICROS)
 
 
-def commits_of_events(spark: SparkSession, path: str, stay: list[float], lag: int, pause: list[bool] | None = None, quiet_below: float | None = None, complete: bool = False, files: int = 1000, lateness: str = ANY_ORDER, folder: str | None = None, end: bool = True, known_from: str | None = None) -> DataFrame:
+def commits_of_events(spark: SparkSession, path: str, stay: list[float], lag: int, pause: list[bool] | None = None, quiet_below: float | None = None, complete: bool = False, files: int = 1000, lateness: str = ANY_ORDER, folder: str | None = None, end: bool = True, known_from: str | None = None, go: list[float] | None = None) -> DataFrame:
     """The stream over an events table (see table_stream), event numbers as frames, decided to the end. The range of a case's
     values is known beforehand, from that table or the one named by known_from; a value under quiet_below is quiet. lateness is in time of frames, 10 ms each."""
     case, frame = case_key(F.col("user_id")), F.col("event_id").alias("frame")
@@ -110,4 +111,4 @@ def commits_of_events(spark: SparkSession, path: str, stay: list[float], lag: in
     rows = table_stream(spark, path, files).join(known, F.col("user_id").eqNullSafe(F.col("_case")))
     quiet = F.lit(False) if quiet_below is None else F.col("value") < quiet_below
     rows = rows.select(case, frame, "value", "low", "high", quiet.alias("quiet"), frame_time(F.col("event_id")).alias("at"))
-    return run_to_end(spark, rows, lambda d: commit(d, stay, lag, pause, complete), folder, lateness, end)
+    return run_to_end(spark, rows, lambda d: commit(d, stay, lag, pause, complete, go), folder, lateness, end)
