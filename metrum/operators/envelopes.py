@@ -2,9 +2,9 @@
 
 An event rises, holds and falls; its edges depend on the events before and after it, on its region, and on its own extent.
 Times are whole numbers of one unit; `second` says how many of them a second has, for the fixed values, which are seconds.
-An event's weight rises and falls once, so the samples at which it is visible are a range: its ends are found by inverting
-the curve and looking at the samples next to them. Only events with other curves (a nucleus beat, or a diphthong, which
-turns into a second pose) are sampled one by one.
+An event's weight rises and falls once, so the samples at which it is visible are a range: only those of its edges, which are
+short, are looked at. Only events with other curves (a nucleus beat, or a diphthong, which turns into a second pose) are
+sampled one by one.
 """
 
 from __future__ import annotations
@@ -61,13 +61,43 @@ def weight(t: Column, second: int) -> Column:
     return shape * F.greatest(F.least(F.col("strength"), F.lit(1.0)), F.lit(0.0))
 
 
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """rows with the columns made. A generator keeps what it makes: columns of a projection would be computed anew in filters
+    that are pushed below it, and nested curves would become code too long to be compiled."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+
+
+def _clamped(x: Column) -> Column:
+    return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+
+
+def weighed(rows: DataFrame, t: Column, second: int, name: str = "_w", strongest: bool = False) -> DataFrame:
+    """Rows of envelopes() with their weight at t, each part of the curve computed once: the same numbers as weight(). strongest: a
+    diphthong's is the larger one of its two poses, and weights not above LEAST_WEIGHT are 0."""
+    least = F.lit(round(LEAST_EDGE * second))
+    a, ae, rs, r, c = (F.col(x) for x in ("attack", "attack_end", "release_start", "release", "centre"))
+    beat, up, flat, x = F.col("nucleus"), F.col("_up"), F.col("_flat"), F.col("_x")
+    sides = rows.withColumn("_t", t).withColumn("_up", F.when(beat, F.col("_t") <= c).otherwise(F.col("_t") < ae)).withColumn("_flat", ~beat & (F.col("_t") >= ae) & (F.col("_t") <= rs))
+    sides = sides.withColumn("_from", F.when(up, a).when(beat, c).otherwise(rs)).withColumn("_to", F.when(~up, r).when(beat, c).otherwise(ae))
+    at = sides.withColumn("_x", _clamped((F.col("_t") - F.col("_from")) / F.greatest(F.col("_to") - F.col("_from"), least)))
+    curve = at.withColumn("_y", F.when(beat, x * x * (F.lit(3.0) - F.lit(2.0) * x)).otherwise(x * x * x * (F.lit(10.0) + x * (F.lit(6.0) * x - F.lit(15.0)))))
+    shape = F.when((F.col("_t") < a) | (F.col("_t") > r), F.lit(0.0)).when(flat, F.lit(1.0)).when(up, F.col("_y")).otherwise(1.0 - F.col("_y"))
+    made = curve.withColumn("_v", shape * _clamped(F.col("strength")))
+    if strongest:
+        w, turn, phase = F.col("_v"), F.col("_turn"), F.col("_phase")
+        made = made.withColumn("_phase", _clamped((_clamped((F.col("_t") - F.col("start")) / F.greatest(F.col("end") - F.col("start"), least)) - TURN_BEGINS) / TURN_LASTS)).withColumn("_turn", phase * phase * (F.lit(3.0) - F.lit(2.0) * phase))
+        both = F.when(F.col("turns"), F.greatest(w * (1.0 - TURN_KEEPS * turn), w * turn)).otherwise(w)
+        return _once(made, **{name: F.when(w > LEAST_WEIGHT, both).otherwise(0.0)}).select(*rows.columns, name)
+    return _once(made, **{name: F.col("_v")}).select(*rows.columns, name)
+
+
 def samples(found: DataFrame, second: int, step: int) -> DataFrame:
     """Rows of envelopes() with step (a number; its time is that many steps), pose and weight: two poses while a diphthong
     (`turns`) goes over into the second one. Weights not above LEAST_WEIGHT are left out."""
     first, last = F.ceil(F.col("attack") / step), F.floor(F.col("release") / step)
     each = found.where(first <= last).withColumn("step", F.explode(F.sequence(first, last)))
     t = F.col("step") * step
-    each = each.withColumn("_w", weight(t, second)).where(F.col("_w") > LEAST_WEIGHT)
+    each = weighed(each, t, second).where(F.col("_w") > LEAST_WEIGHT)
     phase = F.greatest(F.least((t - F.col("start")) / F.greatest(F.col("end") - F.col("start"), F.lit(round(LEAST_EDGE * second))), F.lit(1.0)), F.lit(0.0))
     turn = smooth((phase - TURN_BEGINS) / TURN_LASTS)
     one = lambda pose, w: F.struct(pose.alias("pose"), w.alias("weight"))
@@ -75,41 +105,29 @@ def samples(found: DataFrame, second: int, step: int) -> DataFrame:
     return each.withColumn("_s", F.explode(both)).drop("pose", "_w").select("*", "_s.pose", "_s.weight").drop("_s").where(F.col("weight") > LEAST_WEIGHT)
 
 
-def _inverse_min_jerk(y: Column) -> Column:
-    """x with min_jerk(x) = y, by halving."""
-    half = lambda s: F.when(min_jerk((s["lo"] + s["hi"]) / 2) < y, F.struct(((s["lo"] + s["hi"]) / 2).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).alias("hi")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), lambda s, _: half(s), lambda s: s["hi"])
-
-
 def visible(found: DataFrame, second: int, step: int, least: float, strict: bool = False, keys: tuple[str, ...] = ("case_id", "idx"), offset: Column | None = None) -> DataFrame:
     """keys, first, last, n: the steps at which an event's weight (a diphthong's: of one of its poses) is `least` or more
     (strict: above), and how many samples those are, from step `from_step` up to `to_step` of the row where it has them.
-    offset: the time of step 0."""
-    at = (lambda k: k * step) if offset is None else (lambda k: k * step + offset)
+    offset: the time of step 0. An event that holds is as strong all the while, so of that part only the first and the last
+    step are looked at; edges are short."""
     near = F.lit(0) if offset is None else offset
+    at = F.col("step") * step + near
     enough = (lambda w: w > least) if strict else (lambda w: w >= least)
     low = F.greatest(F.ceil((F.col("attack") - near) / step), F.col("from_step"))
     high = F.least(F.floor((F.col("release") - near) / step), F.col("to_step"))
-    ranged = found.withColumn("_lo", low).withColumn("_hi", high).where("_lo <= _hi")
-    plain, other = ranged.where("NOT (nucleus OR turns)"), ranged.where("nucleus OR turns")
-    x = _inverse_min_jerk(least / F.greatest(F.least(F.col("strength"), F.lit(1.0)), F.lit(1e-9)))
+    curved, lo, hi, a, b = F.col("nucleus") | F.col("turns"), F.col("_lo"), F.col("_hi"), F.col("_a"), F.col("_b")
+    ranged = _once(found, _lo=low, _hi=high).where("_lo <= _hi").where(curved | (F.col("strength") >= least))
+    held = _once(ranged, _a=F.greatest(lo, F.ceil((F.col("attack_end") - near) / step)), _b=F.least(hi, F.floor((F.col("release_start") - near) / step)))
+    parted = ~curved & (b - a >= 2)
+    steps = F.when(parted, F.concat(F.sequence(lo, a), F.sequence(b, hi))).otherwise(F.sequence(lo, hi))
+    each = held.withColumn("_skipped", F.when(parted, b - a - 1).otherwise(0)).withColumn("step", F.explode(steps))
+    each = weighed(each, at, second)
     edge = F.lit(round(LEAST_EDGE * second))
-    rise = F.least(F.col("attack") + x * F.greatest(F.col("attack_end") - F.col("attack"), edge), F.col("attack_end"))
-    fall = F.greatest(F.col("release_start") + (1.0 - x) * F.greatest(F.col("release") - F.col("release_start"), edge), F.col("release_start"))
-    # A generator keeps what it makes: columns of a projection would be computed anew wherever they are used.
-    once = lambda d, **made: d.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
-    on_grid = lambda t: F.floor((t - near) / step)
-    guessed = once(plain.where(F.col("strength") >= least), _rise=on_grid(rise), _fall=on_grid(fall))
-    around = lambda t: F.transform(F.array(*(F.lit(k).cast("long") for k in range(-2, 3))), lambda d: F.greatest(F.least(F.col(t) + d, F.col("_hi")), F.col("_lo")))
-    seen = lambda t, pick: pick(F.filter(around(t), lambda k: enough(weight(at(k), second))))
-    ends = once(guessed, first=seen("_rise", F.array_min), last=seen("_fall", F.array_max)).where("first <= last")
-    ends = ends.select(*keys, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
-    each = other.withColumn("step", F.explode(F.sequence("_lo", "_hi"))).withColumn("_w", weight(at(F.col("step")), second)).where(F.col("_w") > LEAST_WEIGHT)
-    phase = F.greatest(F.least((at(F.col("step")) - F.col("start")) / F.greatest(F.col("end") - F.col("start"), edge), F.lit(1.0)), F.lit(0.0))
-    turn = smooth((phase - TURN_BEGINS) / TURN_LASTS)
-    poses = F.when(F.col("turns"), F.array(F.col("_w") * (1.0 - TURN_KEEPS * turn), F.col("_w") * turn)).otherwise(F.array("_w"))
-    counted = each.withColumn("_n", F.size(F.filter(poses, enough))).where("_n > 0").groupBy(*keys).agg(F.min("step").alias("first"), F.max("step").alias("last"), F.sum("_n").alias("n"))
-    return ends.unionByName(counted)
+    each = each.where(~curved | (F.col("_w") > LEAST_WEIGHT)).withColumn("_p", _clamped((_clamped((at - F.col("start")) / F.greatest(F.col("end") - F.col("start"), edge)) - TURN_BEGINS) / TURN_LASTS))
+    each = each.withColumn("_turn", F.col("_p") * F.col("_p") * (F.lit(3.0) - F.lit(2.0) * F.col("_p")))
+    one = lambda w: enough(w).cast("long")
+    counted = _once(each, _n=F.when(F.col("turns"), one(F.col("_w") * (1.0 - TURN_KEEPS * F.col("_turn"))) + one(F.col("_w") * F.col("_turn"))).otherwise(one(F.col("_w")))).where("_n > 0")
+    return counted.groupBy(*keys).agg(F.min("step").alias("first"), F.max("step").alias("last"), (F.sum("_n") + F.max("_skipped")).alias("n"))
 
 
 def union_length(ranges: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ overlaps count once. Windows hold one word; sums over labels and samples are pla
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +28,16 @@ def runs_of(events: DataFrame, case: list[str]) -> DataFrame:
     return events.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w)).drop("_fresh")
 
 
-def shares(events: DataFrame, labels: DataFrame, samples: DataFrame, case: list[str]) -> DataFrame:
+def shares(events: DataFrame, labels: DataFrame, samples: DataFrame | Callable[[DataFrame], DataFrame], case: list[str]) -> DataFrame:
     """case, word_index, run, pose, gold, shown, gradeable, gold_share, shown_share, error, boundary_error (null for the last
     run), total_variation: of words with two runs or more; the last five are null unless the word is gradeable: two of its
     runs have labels.
 
     events as in runs_of, with k, the phone's place. labels (case, word_index, k, pose, length): summed by these. samples
     (case, idx, step, weight): the largest weight of a step and word counts, the first event of several; events that are not
-    among `events` count for nothing. A word that isn't shown has shares of 0."""
+    among `events` count for nothing. A word that isn't shown has shares of 0. samples may be a function that gets case,
+    word_index, idx and run and gives these with step and weight: rows are then dealt by word before they become samples,
+    which are never exchanged."""
     word = [*case, "word_index"]
     found = runs_of(events, case)
     many = found.groupBy(*word).agg(F.max("run").alias("_last")).where("_last > 0")
@@ -41,7 +45,9 @@ def shares(events: DataFrame, labels: DataFrame, samples: DataFrame, case: list[
     label = labels.groupBy(*word, "k", "pose").agg(F.sum(F.greatest("length", F.lit(0))).alias("_gold"))
     # Two events of one phone and pose would both have its label.
     gold = found.join(label, [*word, "k", "pose"], "left").groupBy(*word, "run").agg(F.first("pose").alias("pose"), F.coalesce(F.sum("_gold"), F.lit(0)).alias("gold"))
-    at = samples.where(F.col("weight") >= LEAST_SAMPLE).join(found.select(*case, "idx", "word_index", "run"), [*case, "idx"])
+    of = found.select(*case, "idx", "word_index", "run")
+    at = samples(of) if callable(samples) else samples.join(of, [*case, "idx"])
+    at = at.where(F.col("weight") >= LEAST_SAMPLE)
     top = at.groupBy(*word, "step").agg(F.max(F.struct("weight", (-F.col("idx")).alias("i"), "run"))["run"].alias("run"))
     shown = top.groupBy(*word, "run").agg(F.count("*").alias("shown"))
     each = gold.join(shown, [*word, "run"], "left").na.fill(0, ["shown"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -135,9 +135,13 @@ def _shown(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return events, written(shown, "envelopes")
 
 
-def _words(spark: SparkSession, sf: str, events: DataFrame, shown: DataFrame) -> DataFrame:
+def _seen(shown: DataFrame) -> DataFrame:
+    """case_id, idx, first, last, n of events that are delivered."""
+    return env.visible(shown, SECOND, STEP, VISIBLE).where(F.col("n") >= LEAST_SAMPLES)
+
+
+def _words(spark: SparkSession, sf: str, events: DataFrame, seen: DataFrame) -> DataFrame:
     keys = ["case_id", "word_index"]
-    seen = env.visible(shown, SECOND, STEP, VISIBLE).where(F.col("n") >= LEAST_SAMPLES)
     strong = F.col("strength") > env.LEAST_WEIGHT
     planned = events.where("renderable").where(strong).groupBy(*keys).agg(F.count("*").alias("planned"))
     done = events.where("renderable AND NOT cancelled").where(strong).join(seen.drop("n"), ["case_id", "idx"], "left")
@@ -168,7 +172,8 @@ def word_delivery(spark: SparkSession, sf: str) -> DataFrame:
     f = lambda c: F.round(c, 6)
     gap = lambda c: F.coalesce(c, F.lit(0))
     union = F.col("gold") + F.col("shown") - F.col("both")
-    return _words(spark, sf, *_shown(spark, sf)).select(
+    events, shown = _shown(spark, sf)
+    return _words(spark, sf, events, _seen(shown)).select(
         "case_id", "word_index", "word", "sentence", "region", "planned", "committed", "delivered", "first_event", "last_event", F.col("gold").alias("gold_us"), F.col("shown").alias("shown_us"), f(F.col("duration_ratio")).alias("duration_ratio"), gap(F.col("r0") - F.col("start")).alias("onset_error_us"), gap(F.col("r1") - F.col("end")).alias("exit_error_us"),
         F.col("both").alias("overlap_us"), f(ratio(F.col("both"), F.col("gold"), 0.0)).alias("coverage"), f(ratio(F.col("both"), F.col("shown"), 0.0)).alias("precision_"), f(ratio(F.col("both"), union, 0.0)).alias("iou"), "within", "missing", "compressed", "severely_compressed", "stretched",
         gap(F.col("r0") - F.col("before")).alias("previous_gap_us"), gap(F.col("after") - F.col("r1")).alias("next_gap_us"),
@@ -188,8 +193,9 @@ def word_delivery(spark: SparkSession, sf: str) -> DataFrame:
 def delivery_grade(spark: SparkSession, sf: str) -> DataFrame:
     """Of each case: events, words, sentences and regions that were planned, delivered, missing, compressed and stretched."""
     events, shown = _shown(spark, sf)
-    w = written(_words(spark, sf, events, shown), "delivery")
-    seen = env.visible(shown, SECOND, STEP, VISIBLE).where(F.col("n") >= LEAST_SAMPLES).select("case_id", "idx", F.lit(True).alias("seen"))
+    found = written(_seen(shown), "seen")
+    w = written(_words(spark, sf, events, found), "delivery")
+    seen = found.select("case_id", "idx", F.lit(True).alias("seen"))
     strong = events.where("renderable AND NOT cancelled").where(F.col("strength") > env.LEAST_WEIGHT)
     e = written(strong.join(seen, ["case_id", "idx"], "left").withColumn("seen", F.coalesce("seen", F.lit(False))).withColumn("late", F.col("commit_at") > F.col("end") + MS), "events")
     of_events = e.groupBy("case_id").agg(F.count("*").alias("committed_events"), F.count_if("seen").alias("delivered_events"), F.count_if("late").alias("late_after_window"))
@@ -227,14 +233,6 @@ PHONETIC_SQL = f"""{ENVELOPE_SQL}, lb AS (SELECT case_id, idx, word_index, a AS
       FROM lb LEFT JOIN fn ON fn.case_id = lb.case_id AND fn.label = lb.idx LEFT JOIN fc ON fc.case_id = lb.case_id AND fc.label = lb.idx LEFT JOIN pe ON pe.case_id = lb.case_id AND pe.idx = lb.idx)"""
 
 
-def _strongest(t: Column) -> Column:
-    """The larger weight of a row's poses at t."""
-    w = env.weight(t, SECOND)
-    phase = F.greatest(F.least((t - F.col("start")) / F.greatest(F.col("end") - F.col("start"), F.lit(_u(env.LEAST_EDGE))), F.lit(1.0)), F.lit(0.0))
-    turn = env.smooth((phase - env.TURN_BEGINS) / env.TURN_LASTS)
-    return F.when(w > env.LEAST_WEIGHT, F.when(F.col("turns"), F.greatest(w * (1.0 - env.TURN_KEEPS * turn), w * turn)).otherwise(w)).otherwise(0.0)
-
-
 @query(f"{PHONETIC_SQL} SELECT * FROM pl_")
 def phonetic_presentation(spark: SparkSession, sf: str) -> DataFrame:
     """Each vowel's and bilabial's frames: where its event is visible and saturated, which event is the strongest (the first of
@@ -249,7 +247,7 @@ def phonetic_presentation(spark: SparkSession, sf: str) -> DataFrame:
     width = 2 * HOUR
     spread = shown.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("attack") / width), F.floor(F.greatest("attack", "release") / width))))
     met = frames.withColumn("bucket", F.floor(F.col("t") / width)).join(spread, ["case_id", "bucket"]).where("attack <= t AND release >= t").where(F.col("t") + MS // 2 >= F.col("commit_at"))
-    seen = met.withColumn("weight", _strongest(F.col("t"))).where(F.col("weight") > env.LEAST_WEIGHT)
+    seen = env.weighed(met, F.col("t"), SECOND, "weight", True).where(F.col("weight") > env.LEAST_WEIGHT)
     top = F.max(F.struct("weight", (-F.col("idx")).alias("i"), "word_index")).alias("top")
     each = seen.groupBy("case_id", "label", "of_word", "t").agg(F.max(F.when(F.col("idx") == F.col("label"), F.col("weight"))).alias("target"), top)
     strong = F.col("top.weight") >= DOMINANT
@@ -260,7 +258,8 @@ def phonetic_presentation(spark: SparkSession, sf: str) -> DataFrame:
     total = frames.groupBy("case_id", F.col("label").alias("idx")).agg(F.count("*").alias("frames"))
     first = F.greatest(F.ceil(F.col("attack") / STEP), F.col("from_step"))
     last = F.least(F.floor(F.col("release") / STEP), F.col("to_step"))
-    lips = shown.where((F.col("event_id") + F.col("k")) % 5 == 4).where(first <= last).withColumn("step", F.explode(F.sequence(first, last))).withColumn("weight", _strongest(F.col("step") * STEP)).where(F.col("weight") > env.LEAST_WEIGHT)
+    lips = shown.where((F.col("event_id") + F.col("k")) % 5 == 4).where(first <= last).withColumn("step", F.explode(F.sequence(first, last)))
+    lips = env.weighed(lips, F.col("step") * STEP, SECOND, "weight", True).where(F.col("weight") > env.LEAST_WEIGHT)
     peaks = lips.groupBy("case_id", "idx").agg((-F.max(F.struct("weight", (-F.col("step")).alias("s")))["s"] * STEP).alias("peak"))
     told = labels.join(total, ["case_id", "idx"], "left").join(counts, ["case_id", "idx"], "left").join(peaks, ["case_id", "idx"], "left").na.fill(0, ["frames", "visible", "saturated", "dominant", "same_word", "foreign_word"])
     error = F.when(F.col("bilabial") & F.col("supported"), F.col("peak") - F.floor((F.col("start") + F.col("end")) / 2))
@@ -305,8 +304,13 @@ def _run_shares(spark: SparkSession, sf: str) -> DataFrame:
     planned = events.where("renderable").where(F.col("strength") > env.LEAST_WEIGHT).select("case_id", "word_index", "idx", "k", "pose")
     labels = events.where(of % 7 != 3).select("case_id", "word_index", "k", F.when(of % 9 == 4, "p9").otherwise(F.col("pose")).alias("pose"), (F.col("end") - F.col("start")).alias("length"))
     first, last = F.greatest(F.ceil(F.col("attack") / STEP), F.col("from_step")), F.least(F.floor(F.col("release") / STEP), F.col("to_step"))
-    steps = shown.where(F.col("strength") > env.LEAST_WEIGHT).where(first <= last).withColumn("step", F.explode(F.sequence(first, last)))
-    return runs.shares(planned, labels, steps.select("case_id", "idx", "step", _strongest(F.col("step") * STEP).alias("weight")), ["case_id"])
+    strong = shown.where(F.col("strength") > env.LEAST_WEIGHT).where(first <= last).drop("word_index")
+
+    def samples(of: DataFrame) -> DataFrame:
+        dealt = strong.join(of, ["case_id", "idx"]).repartition("case_id", "word_index")
+        return env.weighed(dealt.withColumn("step", F.explode(F.sequence(first, last))), F.col("step") * STEP, SECOND, "weight", True)
+
+    return runs.shares(planned, labels, samples, ["case_id"])
 
 
 @query(f"{_RUNS_SQL} SELECT case_id, word_index, run, pose, gold AS gold_us, shown AS shown_steps, gradeable, round(gold_share, 6) AS gold_share, round(shown_share, 6) AS shown_share, round(error, 6) AS error, round(boundary_error, 6) AS boundary_error, round(total_variation, 6) AS total_variation FROM rd_")
