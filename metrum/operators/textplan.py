@@ -22,13 +22,14 @@ PLACES, FEW_HALF, MANY_HALF, MANY = (0.05, 0.95), 0.42, 0.32, 2
 SUPPORTING = ("21_FV-Ee-", "01_TDS-Ah-", "23_Tongue_LNTDS", "13_KGY_TDS", "02_TDS_KGY-Ee-")
 
 
-def plan(words: DataFrame, case: list[str]) -> DataFrame:
+def plan(words: DataFrame, case: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a phone: case, word_index, word, region (by hard breaks before), sentence (by ends before), units, unit_start,
     total_units, phone_index (in the text), word_phone, phone, stress, vowel, pose, strength, strong, role, event_index (in the
     order of words; null for phones without a pose), start_norm, end_norm, place (of the event by start_norm).
 
     words: case, word_index, word, breaks and ends (whether a region and a sentence end after it), phones (null or empty: one
-    event stands for the word). No two words of a text may have the same word_index."""
+    event stands for the word). No two words of a text may have the same word_index.
+    keep: more columns of words that its phones keep."""
     w, text = Window.partitionBy(*case).orderBy("word_index"), Window.partitionBy(*case)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
@@ -57,7 +58,7 @@ def plan(words: DataFrame, case: list[str]) -> DataFrame:
     role = F.when(F.col("_v") == 0, "timing").when(base == "HH", "coarticulated").when(F.col("pose").isin(*SUPPORTING), "supporting").otherwise("primary")
     return shown.withColumn("place", F.when(F.col("_v") == 1, F.row_number().over(by_start).cast("long") - 1)).select(
         *case, "word_index", "word", "region", "sentence", "units", "unit_start", "total_units", (F.col("_first") + F.col("word_phone")).alias("phone_index"), F.col("word_phone").cast("long").alias("word_phone"), "phone",
-        phones.stress(F.col("phone")).alias("stress"), base.isin(*phones.VOWELS).alias("vowel"), "pose", "strength", F.coalesce(F.col("pose").isin(*STRONG), F.lit(False)).alias("strong"), role.alias("role"), "event_index", "start_norm", "end_norm", "place",
+        phones.stress(F.col("phone")).alias("stress"), base.isin(*phones.VOWELS).alias("vowel"), "pose", "strength", F.coalesce(F.col("pose").isin(*STRONG), F.lit(False)).alias("strong"), role.alias("role"), "event_index", "start_norm", "end_norm", "place", *keep,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from metrum.functions import hashing, stats, text
 from metrum.operators import lexicon, pauses, phones, pronunciations, textplan
-from metrum.session import table, written
+from metrum.session import dealt, table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,7 +66,8 @@ STARTERS_SQL = ", ".join(f"'{w}'" for w in text.CLAUSE_STARTERS)
     SELECT role, pause, scored, count(*) AS n, round(sum(CASE pause WHEN 'hard_break' THEN 0.2 WHEN 'soft_list' THEN 0.04 ELSE 0.0 END), 3) AS seconds FROM pc GROUP BY ALL""")
 def pause_classes(spark: SparkSession, sf: str) -> DataFrame:
     """How turns pause: the planner's class, the scorecard's class and the expected seconds, by role."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(text.tokens_and_tails(F.coalesce("text", F.lit("")))).alias("i", "t"))
+    c = dealt(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+    t = c.select("conv_id", "turn", "role", F.posexplode(text.tokens_and_tails(F.coalesce("text", F.lit("")))).alias("i", "t"))
     marked = t.select("conv_id", "turn", "role", "i", F.lower("t.word").alias("word"), text.mark_of(F.col("t.tail")).alias("mark"))
     c = pauses.classify(marked, ["conv_id", "turn"])
     return c.groupBy("role", "pause", "scored").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))
@@ -175,7 +176,7 @@ TURN_WORDS = "c AS (SELECT conv_id, turn, role, generate_subscripts(ws, 1) AS i,
 
 
 def _turn_words(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(text.words(F.col("text"))).alias("p", "variant"))
+    c = dealt(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", F.posexplode(text.words(F.col("text"))).alias("p", "variant"))
     return c.select("conv_id", "turn", (F.col("p") + 1).alias("i"), "variant", F.substring("variant", 1, 2).alias("base"), F.struct("conv_id", "turn", "p").alias("place"))
 
 
@@ -317,12 +318,21 @@ _VOWELS_SQL = "(" + ", ".join(f"'{v}'" for v in phones.VOWELS) + ")"
       CASE WHEN pose IS NULL THEN 'timing' WHEN phone = 'HH' THEN 'coarticulated' WHEN pose IN ('21_FV-Ee-', '01_TDS-Ah-', '23_Tongue_LNTDS', '13_KGY_TDS', '02_TDS_KGY-Ee-') THEN 'supporting' ELSE 'primary' END AS role, event_index, floor(s0 * 1e6 + 0.5) / 1e6 AS start_norm, floor(s1 * 1e6 + 0.5) / 1e6 AS end_norm, CASE WHEN pose IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn ORDER BY s0 NULLS LAST, event_index) - 1 END AS place FROM s""")
 def text_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Words, phones and events of each turn, with units, normalised extents and places."""
+    return _planned(_plan_words(spark, sf))
+
+
+def _plan_words(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id, turn, i, word_index, word, mark, breaks, ends, phones; texts are dealt, not words."""
     tok = F.col("tok")
-    t = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+[.!?,;:]?"), F.lit(0))).alias("word_index", "tok"))
+    c = dealt(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    t = c.select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+[.!?,;:]?"), F.lit(0))).alias("i", "tok"))
     letters = F.filter(F.split("tok", ""), lambda c: c.between("a", "z"))
     spelled = F.transform(letters, lambda c: F.create_map(*(F.lit(x) for kv in SPELLED.items() for x in kv))[c])
-    w = t.select("conv_id", "turn", F.col("word_index").cast("long").alias("word_index"), F.regexp_replace(tok, "[.!?,;:]$", "").alias("word"), tok.rlike("[.!?;:]$").alias("breaks"), tok.rlike("[.!?]$").alias("ends"), spelled.alias("phones"))
-    p = textplan.plan(w, ["conv_id", "turn"])
+    return t.select("conv_id", "turn", "i", F.col("i").cast("long").alias("word_index"), F.regexp_replace(tok, "[.!?,;:]$", "").alias("word"), F.regexp_extract(tok, "[.!?,;:]$", 0).alias("mark"), tok.rlike("[.!?;:]$").alias("breaks"), tok.rlike("[.!?]$").alias("ends"), spelled.alias("phones"))
+
+
+def _planned(words: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    p = textplan.plan(words, ["conv_id", "turn"], keep)
     return p.withColumn("start_norm", stats.half_up(F.col("start_norm"), 6)).withColumn("end_norm", stats.half_up(F.col("end_norm"), 6))
 
 
@@ -348,10 +358,9 @@ _OTHER_SQL = ["prior", "vowel::INT", "role", "centre", "strength", "(token = 0):
 def transcript_tensor(spark: SparkSession, sf: str) -> DataFrame:
     """The tokens of each turn, silences between words among them, with their features (number:millionths; those of 0 left out)."""
     keys = ["conv_id", "turn"]
-    t = table(spark, sf, "conversations").select(*keys, F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+[.!?,;:]?"), F.lit(0))).alias("i", "tok"))
-    marked = t.select(*keys, "i", F.regexp_replace("tok", "[.!?,;:]$", "").alias("word"), F.regexp_extract("tok", "[.!?,;:]$", 0).alias("mark"))
-    m = pauses.classify(marked, keys).select(*keys, F.col("i").cast("long").alias("word_index"), "pause", text.mark_class(F.col("mark")).alias("mark"))
-    events = text_plan(spark, sf).where("place IS NOT NULL").withColumn("prior", F.when(F.col("vowel"), 0.12).otherwise(0.075)).join(m, [*keys, "word_index"])
+    # Pauses are told of the words before these become phones, so the two are not joined.
+    words_ = pauses.classify(_plan_words(spark, sf), keys).withColumn("mark", text.mark_class(F.col("mark")))
+    events = _planned(words_, ("pause", "mark")).where("place IS NOT NULL").withColumn("prior", F.when(F.col("vowel"), 0.12).otherwise(0.075))
     found = textplan.tensor(events, keys)
     features = F.array_join(F.zip_with("at", "value", lambda a, v: F.concat(a.cast("string"), F.lit(":"), F.floor(v * 1e6 + 0.5).cast("string"))), " ")
     return found.withColumn("features", features).drop("at", "value")
