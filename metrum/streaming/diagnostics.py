@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.window import Window
 
-from metrum.streaming.regions import detect
+from metrum.streaming.regions import detect, regions_of
 from metrum.streaming.tables import ANY_ORDER, case_key, event_time, run_to_end, table_stream
 
 
@@ -45,7 +45,7 @@ def updates(batches: DataFrame) -> DataFrame:
 
 def told_regions(spark: SparkSession, path: str, gap: int, hold: int, files: int = 1000, lateness: str = ANY_ORDER, folder: str | None = None, end: bool = True) -> DataFrame:
     """The regions of regions_of_table with batch, the micro-batch that told each."""
-    return run_to_end(spark, _rows(spark, path, files), lambda d: detect(d, gap, hold), folder, lateness, end, each=lambda d: d)
+    return regions_of(run_to_end(spark, _rows(spark, path, files), lambda d: detect(d, gap), folder, lateness, end, each=lambda d: d), gap, hold)
 
 
 def tail(batches: DataFrame, told: DataFrame) -> DataFrame:

@@ -1,97 +1,46 @@
 """Regions of an event stream in Structured Streaming.
 
-The state of a case is the list of its open regions: spans of events that are less than a gap apart. Events of a
-micro-batch extend spans, join two of them or open new ones, whatever order they come in. A span is a region, numbered and
-emitted for good, when the watermark has passed its last event by the gap, as no later row can change it then: a timer does
-that. Rows behind the watermark are dropped by Spark before the state sees them.
+The state of a case is the list of its open spans: Spark's session windows, whose events are less than a gap apart. Events of a
+micro-batch extend spans, join two of them or open new ones, whatever order they come in. A span is emitted when the
+watermark has passed its last event by the gap. Rows that are later than the lateness and no gap behind the watermark still
+count: spans that they bring less than a gap from one that was told before are joined to it, and spans numbered, as they are
+read. All of it runs in Spark's own operators, so a case costs no call of a Python worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from metrum.streaming.tables import ANY_ORDER, SHIFT, case_key, case_of, event_time, run_to_end, table_stream
-
-OUT = "case_id long, region int, start_us long, end_us long, n_events long"
-SPANS = "first long, last long, n long"
-
-
-def joined(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """Spans (first, last, n) in order, those less than a gap apart as one."""
-    out: list[tuple[int, int, int]] = []
-    for first, last, n in sorted(spans):
-        if out and first - out[-1][1] < gap:
-            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
-        else:
-            out.append((first, last, n))
-    return out
-
-
-class Regions(StatefulProcessor):
-    """Open spans of a case, the number of its next region, and the time its timer is set to (0: none)."""
-
-    def __init__(self, gap: int, hold: int):
-        self.gap, self.hold = gap, hold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.spans = handle.getListState("spans", SPANS)
-        self.told = handle.getValueState("told", "region int, timer long")
-
-    def _settle(self, case: int | None, spans: list[tuple[int, int, int]], watermark: int, fired: bool) -> pd.DataFrame:
-        region, timer = self.told.get() if self.told.exists() else (0, 0)
-        done = 0
-        while done < len(spans) and spans[done][1] + self.gap + SHIFT <= watermark * 1000:
-            done += 1
-        rows = [(case, region + k, first, last + self.hold, n) for k, (first, last, n) in enumerate(spans[:done])]
-        left = spans[done:]
-        if left:
-            self.spans.put(left)
-            due = -(-(left[0][1] + self.gap + SHIFT) // 1000)
-            if fired or not timer or due < timer:
-                if timer and not fired:
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(due)
-                timer = due
-        else:
-            self.spans.clear()
-            if timer and not fired:
-                self.handle.deleteTimer(timer)
-            timer = 0
-        self.told.update((region + done, timer))
-        return pd.DataFrame(rows, columns=["case_id", "region", "start_us", "end_us", "n_events"]).astype({"case_id": "Int64"})
-
-    def _open(self) -> list[tuple[int, int, int]]:
-        return [tuple(map(int, s)) for s in self.spans.get()] if self.spans.exists() else []
+from pyspark.sql.window import Window
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        spans = self._open()
-        for b in rows:
-            t = b.loc[~b["ended"], "t"].tolist()
-            spans = joined([*spans, *((int(x), int(x), 1) for x in t)], self.gap)
-        if spans:
-            yield self._settle(case_of(key[0]), spans, timerValues.getCurrentWatermarkInMs(), False)
+from metrum.streaming.tables import ANY_ORDER, END, case_key, event_time, run_to_end, table_stream
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._settle(case_of(key[0]), self._open(), timerValues.getCurrentWatermarkInMs(), True)
 
-    def close(self) -> None:
-        pass
+def detect(events: DataFrame, gap: int) -> DataFrame:
+    """Spans (key, first, last, n) of a stream with key (see case_key), t (microseconds), at, ended, and a watermark. gap: 2
+    microseconds at least."""
+    if gap < 2:
+        raise ValueError("gap: 2 microseconds at least")
+    # A session window takes what is just its length away, a span does not. The mark of the end moves the watermark and is no event:
+    # only a condition on `at` stays behind the watermark's own operator.
+    rows = events.where(F.col("at") < F.lit(END).cast("timestamp"))
+    spans = rows.groupBy("key", F.session_window("at", f"{gap - 1} microseconds")).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
+    return spans.select("key", "first", "last", "n")
 
 
-def detect(events: DataFrame, gap: int, hold: int) -> DataFrame:
-    """Regions of a stream with key (see case_key), t (microseconds), ended, and a watermark."""
-    return events.groupBy("key").transformWithStateInPandas(Regions(gap, hold), OUT, "Append", "EventTime")
+def regions_of(spans: DataFrame, gap: int, hold: int) -> DataFrame:
+    """case_id, region (from 0 in each case), start_us, end_us, n_events, and batch, the latest one, if spans have it."""
+    w = Window.partitionBy("key").orderBy("first")
+    fresh = F.coalesce((F.col("first") - F.lag("last").over(w) >= gap).cast("int"), F.lit(1))
+    told = spans.withColumn("_fresh", fresh).withColumn("region", (F.sum("_fresh").over(w) - 1).cast("int"))
+    batch = [F.max("batch").alias("batch")] if "batch" in spans.columns else []
+    found = told.groupBy("key", "region").agg(F.min("first").alias("start_us"), (F.max("last") + hold).alias("end_us"), F.sum("n").alias("n_events"), *batch)
+    return found.select(F.expr("try_cast(key AS BIGINT)").alias("case_id"), *found.columns[1:])
 
 
 def regions_of_table(spark: SparkSession, path: str, gap: int, hold: int, files: int = 1000, lateness: str = ANY_ORDER, folder: str | None = None, end: bool = True) -> DataFrame:
     """The stream over a table, a file or a folder of them, `files` a micro-batch: its regions when it has been read to its
-    end. lateness: how much later than the latest rows a row may come; the default takes files in any order."""
+    end. lateness: how much later than the latest rows a row may come and is sure to count; the default takes files in any order."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
     rows = table_stream(spark, path, files).select(case_key(F.col("user_id")), micros.alias("t"), event_time(micros).alias("at"))
-    return run_to_end(spark, rows, lambda d: detect(d, gap, hold), folder, lateness, end)
+    return regions_of(run_to_end(spark, rows, lambda d: detect(d, gap), folder, lateness, end), gap, hold)

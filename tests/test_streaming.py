@@ -159,3 +159,12 @@ def test_fixed_lag_against_plain_loops():
         rest, tail = alignment.FixedLag(stay, lag, pause, machine).finish(complete)
         assert out + rest + tail == got
     assert held > 20
+
+
+def test_spans_told_in_spark_are_joined_and_numbered_as_read(spark, tmp_path):
+    stream = spark.readStream.schema("key string, t long, at timestamp, ended boolean").parquet(str(tmp_path)).withWatermark("at", "1 minute")
+    plan = regions.detect(stream, 10)._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "PySpark" not in plan
+    # A row that was late, but no gap behind the watermark, makes a span of its own next to one told before; 10 away is a gap.
+    spans = spark.createDataFrame([("1", 9, 9, 1, 4), ("1", 0, 5, 2, 3), ("1", 19, 20, 2, 5), ("", 2, 2, 1, 3)], "key string, first long, last long, n long, batch long")
+    assert rows_of(regions.regions_of(spans, 10, 3)) == sorted([(1, 0, 0, 12, 3, 4), (1, 1, 19, 23, 2, 5), (None, 0, 2, 5, 1, 3)], key=repr)
