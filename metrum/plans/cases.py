@@ -26,12 +26,12 @@ RUNTIME_SQL = f"""rt AS (SELECT case_id, event_id, word_index, word, k, n, row_n
     ((event_id * 7 + k) % 100) / 100e0 AS strength, CASE WHEN (event_id + k) % 9 = 0 THEN 'owned_word_tail_commit' ELSE 'lattice' END AS reason FROM gk)"""
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    """case_id, event_id, word_index, word, value, start, end, mark."""
+def words(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """case_id, event_id, word_index, word, value, start, end, mark; of these events, if given (see adapters)."""
     w = Window.partitionBy("case_id").orderBy("t", "event_id")
     until = F.col("t") + 2 * HOUR
     mark = F.when(F.col("event_type") == "error", ".").when(F.col("event_type") == "click", ",").otherwise("")
-    return adapters.events(spark, sf).select(
+    return (adapters.events(spark, sf) if events is None else events).select(
         "case_id", "event_id", (F.row_number().over(w) - 1).cast("long").alias("word_index"), F.col("event_type").alias("word"), "value", F.col("t").alias("start"), F.least(until, F.coalesce(F.lead("t").over(w), until)).alias("end"), mark.alias("mark")
     )
 

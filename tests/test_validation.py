@@ -100,3 +100,27 @@ def test_empty(spark):
     assert (m.words, m.phones, m.selection, m.word_coverage) == (0, 0, 0.0, 0.0)
     one = spark.createDataFrame([("a", 0, 1, 1, [], 0.0), ("a", 1, None, None, None, None)], FRAMES)
     assert v.losses(spark.createDataFrame(_utterance(), TOKENS), one, ["case_id"]).count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_runs_show_what_targets_show(spark, seed):
+    r = random.Random(seed)
+    tokens, step = [], 2
+    for case in ("a", "b", "c"):
+        at = 0
+        for i in range({"a": 40, "b": 1, "c": 25}[case]):
+            at += r.choice([0, 1, 1, 3, 60])
+            flags = [f for f in ("silent", "vowel", "word_start", "word_end", "region_start", "region_end", "sentence_end") if r.random() < 0.3]
+            tokens.append((*_token(case, i, at, *flags, duration=float(r.choice([1, 2, 8])), confidence=r.choice([0.0, 0.5, 1.0])), float(at + r.randint(-9, 9))))
+    t = spark.createDataFrame(tokens, TOKENS + ", late double")
+    grid = [(case, k, float(min(c) + step * k)) for case in ("a", "b", "c") for c in [[x[2] for x in tokens if x[0] == case]] for k in range(int((max(c) - min(c)) // step) + 1)]
+    frames = spark.createDataFrame(grid, "case_id string, frame long, time double")
+    want = v.targets(t.withColumn("centre", t["late"]), v.targets(t, frames, ["case_id"]), ["case_id"], "decoded")
+    found = v.runs(t, ["case_id"], step)
+    shown = ["case_id", "frame", "time", "target", "decoded"]
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(v.frames_of(found, step).select(*shown)) == rows(want.select(*shown)) and found.count() < len(grid)
+    weighed = v.weights(t, want, ["case_id"])
+    assert rows(v.weights_of_runs(found, ["case_id"]).select(*weighed.columns)) == rows(weighed)
+    by_run, by_frame = v.decoded_items(t, found, ["case_id"]), v.decoded_items(t, want, ["case_id"])
+    assert rows(by_run) == rows(by_frame)
