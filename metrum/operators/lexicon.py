@@ -18,24 +18,33 @@ def spelled(word: Column) -> Column:
     return F.filter(F.split(F.upper(F.regexp_replace(word, "[^a-z]", "")), ""), lambda x: x != "")
 
 
+def known_cuts(n: Column, least: int, lengths: Column) -> Column:
+    """The places that cut a word of n letters into two halves of `least` letters or more, both as long as a dictionary word;
+    lengths: those of the dictionary's words, as a list."""
+    longest = F.coalesce(F.array_max(lengths), F.lit(0))
+    low, high = F.greatest(F.lit(least), n - longest), F.least(n - least, longest)
+    return F.when(low <= high, F.filter(F.sequence(low, high), lambda c: F.array_contains(lengths, c) & F.array_contains(lengths, n - c))).otherwise(F.array().cast("array<int>"))
+
+
 def resolve(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """words (word) with base, rest and source: `exact`, `possessive` (word without 's), `plural` (without s),
     `compound` (the first split into two known halves of 3 letters or more) or `unresolved`.
 
-    dictionary: (entry), distinct. Candidates of all kinds go through one equi join; the best rank wins, so no fallback
-    needs a join of its own."""
-    w = F.col("word")
-    cuts = F.when(F.length(w) >= 6, F.sequence(F.lit(3), F.length(w) - 3)).otherwise(F.array().cast("array<int>"))
-    cand = lambda rank, cut, part, text: F.struct(F.lit(rank).alias("rank"), cut.alias("cut"), F.lit(part).alias("part"), text.alias("entry"))
-    none = F.lit(0)
-    simple = F.array_compact(F.array(cand(0, none, 0, w), F.when(w.endswith("'s"), cand(1, none, 0, w.substr(F.lit(1), F.length(w) - 2))), F.when(w.endswith("s") & (F.length(w) > 1), cand(2, none, 0, w.substr(F.lit(1), F.length(w) - 1)))))
-    halves = F.flatten(F.transform(cuts, lambda c: F.array(cand(3, c, 0, w.substr(F.lit(1), c)), cand(3, c, 1, w.substr(c + 1, F.length(w))))))
-    asked = words.select("word").distinct().select("word", F.explode(F.concat(simple, halves)).alias("c")).select("word", "c.*")
-    # Entries that no dictionary word is as long as go before the exchange; its lengths are one short row.
+    dictionary: (entry), distinct. Candidates of all kinds go through one equi join, and what it leaves through a second for the
+    other half; the best rank wins, so no fallback needs a join of its own."""
+    w, n = F.col("word"), F.length("word")
+    # Words of lengths that no dictionary word has are not asked for; its lengths are one short row.
     lengths = dictionary.agg(F.collect_set(F.length("entry")).alias("_lengths"))
-    asked = asked.crossJoin(F.broadcast(lengths)).where(F.array_contains("_lengths", F.length("entry"))).drop("_lengths")
-    hits = asked.join(dictionary.select("entry"), "entry").groupBy("word", "rank", "cut").agg(F.count("*").alias("k"))
-    good = hits.where((F.col("rank") < 3) | (F.col("k") == 2)).groupBy("word").agg(F.min(F.struct("rank", "cut")).alias("best"))
+    has = lambda x: F.array_contains("_lengths", x)
+    cand = lambda rank, cut, text, rest: F.struct(F.lit(rank).alias("rank"), cut.alias("cut"), text.alias("entry"), rest.alias("rest"))
+    none = F.lit(0)
+    one = lambda rank, end: cand(rank, none, F.substring(w, F.lit(1), n - end), F.substring(w, F.lit(1), n - end))
+    simple = F.array_compact(F.array(F.when(has(n), one(0, 0)), F.when(w.endswith("'s") & has(n - 2), one(1, 2)), F.when(w.endswith("s") & (n > 1) & has(n - 1), one(2, 1))))
+    halves = F.transform(known_cuts(n, 3, F.col("_lengths")), lambda c: cand(3, c, F.substring(w, F.lit(1), c), F.substring(w, c + 1, n)))
+    asked = words.select("word").distinct().crossJoin(F.broadcast(lengths)).select("word", F.explode(F.concat(simple, halves)).alias("c")).select("word", "c.*")
+    # Few first halves are known, so second ones are looked for by what is left; others look for their entry once more.
+    hits = asked.join(dictionary.select("entry"), "entry").join(dictionary.select(F.col("entry").alias("rest")), "rest")
+    good = hits.groupBy("word").agg(F.min(F.struct("rank", "cut")).alias("best"))
     r = F.col("best.rank")
     source = F.when(r == 0, "exact").when(r == 1, "possessive").when(r == 2, "plural").when(r == 3, "compound").otherwise("unresolved")
     return words.join(good, "word", "left").select(*words.columns, source.alias("source"), F.coalesce("best.cut", F.lit(0)).alias("cut"))

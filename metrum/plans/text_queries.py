@@ -255,7 +255,7 @@ def preference_heldout(spark: SparkSession, sf: str) -> DataFrame:
     SELECT word, source, CAST(CASE WHEN source = 'compound' THEN cut ELSE 0 END AS INTEGER) AS cut FROM s""")
 def pronunciation_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Words through the ordered fallbacks of a dictionary of those that 20 documents or more have."""
-    each = words(spark, sf).select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("docs"))
+    each = written(words(spark, sf).select("word", "doc_id").distinct().groupBy("word").agg(F.count("*").alias("docs")), "words")
     return lexicon.resolve(each.select("word"), each.where((F.col("docs") >= 20) & (F.length("word") >= 2)).select(F.col("word").alias("entry"))).select("word", "source", "cut")
 
 

@@ -55,3 +55,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "entry string, said array<string>")
     assert [x.source for x in p.pronounce(spark.createDataFrame([("cat",)], "word string"), none).collect()] == ["unresolved"]
     assert p.pronounce(spark.createDataFrame([], "word string"), none).count() == 0
+
+
+def test_cuts_are_those_of_known_lengths(spark):
+    from metrum.operators.lexicon import known_cuts, resolve
+
+    cuts = lambda n, lengths: spark.range(1).select(known_cuts(F.lit(n), 3, F.array(*map(F.lit, lengths)).cast("array<int>"))).first()[0]
+    assert cuts(9, [2, 3, 4, 6]) == [3, 6] and cuts(8, [2, 3, 4, 5]) == [3, 4, 5] and cuts(5, [2, 3]) == cuts(20_000, [3, 9]) == cuts(9, []) == []
+    words = spark.createDataFrame([("catfish",), ("fishcats",), ("x" * 20_000,), ("cat's",), ("fishs",), ("catcat",), ("cat",)], "word string")
+    told = {x.word[:9]: (x.source, x.cut) for x in resolve(words, spark.createDataFrame([("cat",), ("fish",), ("cats",)], "entry string")).collect()}
+    assert told == {"catfish": ("compound", 3), "fishcats": ("compound", 4), "x" * 9: ("unresolved", 0), "cat's": ("possessive", 0), "fishs": ("plural", 0), "catcat": ("compound", 3), "cat": ("exact", 0)}
