@@ -1,7 +1,7 @@
 """Pronunciations of words by ordered rules over a dictionary, with the sounds that endings add, reviewed ones and a report.
 
-Every rule asks the dictionary for one or more entries of a word; all questions of all rules are one equi join, and the first
-rule that has all its answers wins, its leftmost cut of several.
+Every rule asks the dictionary for one or more entries of a word; all questions of all rules are one equi join, those left of it
+are a second one for the other halves of compounds, and the first rule that has all its answers wins, its leftmost cut of several.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metrum.operators.lexicon import known_cuts
+
 # Endings, the letters a word must have more than, and what they add to the entry without them; the least half of
 # a compound; the rules in the order of the planner, and in that of the builder of dictionaries.
 ENDINGS = {
@@ -19,21 +21,20 @@ PLANNER = ("exact", "possessive", "any_s", "compound")
 BUILDER = ("exact", "parts", "compound", "plural", "plural_es", "past", "progressive")
 
 
-def _asked(word: Column, rule: str, rank: int) -> Column:
-    """The questions of a rule as a list of (rank, cut, parts, part, entry): all `parts` of a cut must be answered."""
+def _asked(word: Column, rule: str, rank: int, lengths: Column) -> Column:
+    """The questions of a rule as a list of (rank, cut, parts, part, entry, rest): all `parts` of a cut must be answered, and
+    of a compound its rest, too, which else is the entry. lengths: see known_cuts()."""
     n = F.length(word)
-    one = lambda cut, parts, part, entry: F.struct(F.lit(rank).alias("rank"), cut.cast("int").alias("cut"), parts.cast("int").alias("parts"), part.cast("int").alias("part"), entry.alias("entry"))
+    one = lambda cut, parts, part, entry, rest=None: F.struct(F.lit(rank).alias("rank"), cut.cast("int").alias("cut"), parts.cast("int").alias("parts"), part.cast("int").alias("part"), entry.alias("entry"), (entry if rest is None else rest).alias("rest"))
     none, single = F.lit(0), F.lit(1)
-    nothing = F.filter(F.array(one(none, single, none, word)), lambda _: F.lit(False))
+    nothing = F.array().cast("array<struct<rank:int,cut:int,parts:int,part:int,entry:string,rest:string>>")
     if rule == "exact":
         return F.array(one(none, single, none, word))
     if rule == "parts":
         of = F.filter(F.split(word, "[-']"), lambda p: p != "")
-        return F.when(F.size(of) > 1, F.transform(of, lambda p, i: one(none, F.size(of), i, p))).otherwise(nothing)
+        return F.when((word.contains("'") | word.contains("-")) & (F.size(of) > 1), F.transform(of, lambda p, i: one(none, F.size(of), i, p))).otherwise(nothing)
     if rule == "compound":
-        cuts = F.sequence(F.lit(LEAST_HALF), n - LEAST_HALF)
-        halves = F.flatten(F.transform(cuts, lambda c: F.array(one(c, F.lit(2), none, F.substring(word, F.lit(1), c)), one(c, F.lit(2), single, F.substring(word, c + 1, n)))))
-        return F.when(n >= 2 * LEAST_HALF, halves).otherwise(nothing)
+        return F.transform(known_cuts(n, LEAST_HALF, lengths), lambda c: one(c, single, none, F.substring(word, F.lit(1), c), F.substring(word, c + 1, n)))
     ending, more_than, _ = ENDINGS[rule]
     return F.when(word.endswith(ending) & (n > more_than), F.array(one(none, single, none, F.substring(word, F.lit(1), n - len(ending))))).otherwise(nothing)
 
@@ -46,11 +47,14 @@ def pronounce(words: DataFrame, dictionary: DataFrame, rules: tuple[str, ...] =
     its list, other rules join the first ones of their entries. fallback: a column over `word`, null where it has nothing.
     reviewed (word, said): added behind, without repeats; words that are not asked for are left out. Null words are left out."""
     asked = words.select("word").where("word IS NOT NULL").distinct()
-    every = F.concat(*(_asked(F.col("word"), r, k) for k, r in enumerate(rules)))
+    every = F.concat(*(_asked(F.col("word"), r, k, F.col("_lengths")) for k, r in enumerate(rules)))
     # Entries that no dictionary word is as long as go before the exchange; its lengths are one short row.
     lengths = dictionary.agg(F.collect_set(F.length("entry")).alias("_lengths"))
-    questions = asked.select("word", F.inline(every)).crossJoin(F.broadcast(lengths)).where(F.array_contains("_lengths", F.length("entry"))).drop("_lengths")
-    hits = questions.join(dictionary.select("entry", F.col("said").alias("_said")), "entry")
+    questions = asked.crossJoin(F.broadcast(lengths)).select("word", "_lengths", F.inline(every)).where(F.array_contains("_lengths", F.length("entry"))).drop("_lengths")
+    known = dictionary.select("entry", F.col("said").alias("_said"))
+    hits = questions.join(known, "entry").join(known.select(F.col("entry").alias("rest"), F.col("_said").alias("_more")), "rest")
+    both = F.array(F.concat_ws(" ", F.col("_said")[0], F.col("_more")[0]))
+    hits = hits.withColumn("_said", F.when(F.col("cut") > 0, both).otherwise(F.col("_said")))
     cuts = hits.groupBy("word", "rank", "cut", "parts").agg(F.array_sort(F.collect_list(F.struct("part", "_said"))).alias("_found")).where(F.size("_found") == F.col("parts"))
     best = cuts.groupBy("word").agg(F.min_by(F.struct("rank", "cut", "_found"), F.struct("rank", "cut")).alias("_b"))
     tail = F.get(F.array(*(F.lit(ENDINGS[r][2] if r in ENDINGS else None).cast("string") for r in rules)), F.col("_b.rank"))
