@@ -21,6 +21,14 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(byte, F.lit(FNV_OFFSET).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK32).cast("long")))
 
 
+def fnv1a32_of(text: str) -> int:
+    """fnv1a32() of a given string."""
+    h = FNV_OFFSET
+    for b in text.encode():
+        h = (h ^ b) * FNV_PRIME & MASK32
+    return h
+
+
 def fnv1a64(text: Column) -> Column:
     """FNV-1a of 64 bits over the UTF-8 bytes, as its unsigned halves (high, low). The prime is 2^40 + 435, so a step is
     shifts and short products of the halves, and nothing overflows."""

@@ -26,16 +26,15 @@ def classify(tokens: DataFrame, keys: list[str]) -> DataFrame:
     hard mark; all of it is running sums and looks ahead over one sort by key."""
     order = Window.partitionBy(*keys).orderBy("i")
     ended = F.sum(is_hard(F.col("mark")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = tokens.withColumn("_s", F.coalesce(ended, F.lit(0)))
-    sentence = Window.partitionBy(*keys, "_s")
-    commas = F.count_if(F.col("mark") == ",").over(sentence)
-    joined = F.max(F.col("word").isin(*text.LIST_CONJUNCTIONS)).over(sentence.orderBy("i").rowsBetween(1, Window.unboundedFollowing))
-    follows = F.coalesce(F.lead("word").over(order), F.lit("")).isin(*text.CLAUSE_STARTERS)
-    soft = ((commas >= 2) | F.coalesce(joined, F.lit(False))) & ~follows
+    rows = tokens.withColumn("_s", F.coalesce(ended, F.lit(0))).withColumn("_follows", F.coalesce(F.lead("word").over(order), F.lit("")).isin(*text.CLAUSE_STARTERS))
+    # What comes later in a sentence is all of it less what came so far.
+    sentence, joins = Window.partitionBy(*keys, "_s").orderBy("i"), F.col("word").isin(*text.LIST_CONJUNCTIONS)
+    whole, so_far = sentence.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), sentence.rowsBetween(Window.unboundedPreceding, 0)
+    soft = ((F.count_if(F.col("mark") == ",").over(whole) >= 2) | (F.count_if(joins).over(whole) > F.count_if(joins).over(so_far))) & ~F.col("_follows")
     pause = F.when(is_hard(F.col("mark")) | (F.col("mark") == ",") & ~soft, "hard_break").when(F.col("mark") == ",", "soft_list").otherwise("none")
     later = F.first(F.when(F.col("mark") != "", F.struct("i", "mark")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
     comma = F.when(later.isNull() | (later["i"] > F.col("i") + 1), "standard_comma").when(later["mark"] == ",", "list_comma").otherwise("other_comma")
     scored = F.when(F.col("mark") == ",", comma).otherwise(F.coalesce(F.create_map(*(F.lit(x) for kv in SCORED.items() for x in kv))[F.col("mark")], F.lit("other")))
     told = rows.withColumn("pause", pause).withColumn("scored", scored)
     seconds = F.coalesce(F.create_map(*(F.lit(x) for kv in SECONDS.items() for x in kv))[F.col("pause")], F.lit(0.0))
-    return told.withColumn("seconds", seconds).drop("_s")
+    return told.withColumn("seconds", seconds).drop("_s", "_follows")

@@ -49,7 +49,12 @@ def spell_out(word: Column) -> Column:
 
 
 def base(phone: Column) -> Column:
-    return F.regexp_replace(phone, "[0-9]", "")
+    return F.translate(phone, "0123456789", "")
+
+
+def is_shown(phone: Column) -> Column:
+    """Whether poses() has a rule for it."""
+    return F.coalesce(base(phone).isin(*(p for group, _, _ in POSES for p in group.split())), F.lit(False))
 
 
 def stress(phone: Column) -> Column:

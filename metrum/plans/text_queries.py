@@ -361,9 +361,7 @@ def transcript_tensor(spark: SparkSession, sf: str) -> DataFrame:
     # Pauses are told of the words before these become phones, so the two are not joined.
     words_ = pauses.classify(_plan_words(spark, sf), keys).withColumn("mark", text.mark_class(F.col("mark")))
     events = _planned(words_, ("pause", "mark")).where("place IS NOT NULL").withColumn("prior", F.when(F.col("vowel"), 0.12).otherwise(0.075))
-    found = textplan.tensor(events, keys)
-    features = F.array_join(F.zip_with("at", "value", lambda a, v: F.concat(a.cast("string"), F.lit(":"), F.floor(v * 1e6 + 0.5).cast("string"))), " ")
-    return found.withColumn("features", features).drop("at", "value")
+    return textplan.tensor_text(events, keys)
 
 
 # Entries are the words that 20 documents or more have, said by their letters; every third length has a second way, backwards.
